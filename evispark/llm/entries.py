@@ -8,6 +8,7 @@ import importlib
 NAMES = {
     "op3_bpe_prefix_dp": "bpe_dp",
     "op4_token_counts": "token_counts",
+    "op5_simhash_tiles": "simhash",
 }
 
 
