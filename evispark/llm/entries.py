@@ -6,6 +6,7 @@ import importlib
 
 #: module and function of each query
 NAMES = {
+    "op2_debruijn_compaction": "substring_words",
     "op3_bpe_prefix_dp": "bpe_dp",
     "op4_token_counts": "token_counts",
     "op5_simhash_tiles": "simhash",
