@@ -6,10 +6,12 @@ import importlib
 
 #: module and function of each query
 NAMES = {
+    "op1_factorisation_machine": "quality_fm",
     "op2_debruijn_compaction": "substring_words",
     "op3_bpe_prefix_dp": "bpe_dp",
     "op4_token_counts": "token_counts",
     "op5_simhash_tiles": "simhash",
+    "op8_rank_order_language": "language_id",
 }
 
 
