@@ -12,6 +12,7 @@ NAMES = {
     "op4_token_counts": "token_counts",
     "op5_simhash_tiles": "simhash",
     "op8_rank_order_language": "language_id",
+    "op10_weak_supervision": "weak_supervision",
 }
 
 
