@@ -11,6 +11,7 @@ NAMES = {
     "op3_bpe_prefix_dp": "bpe_dp",
     "op4_token_counts": "token_counts",
     "op5_simhash_tiles": "simhash",
+    "op6_candidate_boosting": "pii",
     "op8_rank_order_language": "language_id",
     "op10_weak_supervision": "weak_supervision",
 }
