@@ -13,6 +13,7 @@ NAMES = {
     "op5_simhash_tiles": "simhash",
     "op6_candidate_boosting": "pii",
     "op8_rank_order_language": "language_id",
+    "op9_simhash_windows": "decontamination",
     "op10_weak_supervision": "weak_supervision",
 }
 
