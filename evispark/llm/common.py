@@ -103,16 +103,15 @@ class Rolling:
         return mix((prefix[size:] - prefix[:n]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
-def window_minima(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Positions that hold the leftmost minimum of some ``width`` neighbouring hashes (of all, if there are fewer).
+def window_minima(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window starts, positions): from each start to the next, windows of ``width`` hashes have their leftmost minimum there.
 
-    The choice depends on the neighbours' values alone, so equal stretches choose alike wherever they lie.
+    If there are fewer hashes, one window holds them all. The choice depends on the hashes in the window alone, so equal
+    stretches choose alike wherever they lie.
     """
     n = len(hashes)
-    if n == 0:
-        return np.zeros(0, np.int64)
     if n <= width:
-        return np.array([int(hashes.argmin())])
+        return (np.zeros(1, np.int64), np.array([int(hashes.argmin())])) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     # blockwise minima from the left and from the right; a window is a tail of one block and a head of the next
     blocks = -(-n // width)
     padded = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
@@ -121,33 +120,29 @@ def window_minima(hashes: np.ndarray, width: int) -> np.ndarray:
     heads = np.minimum.accumulate(grid, axis=1).ravel()
     tails = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(tails[: n - width + 1], heads[width - 1 : n])
-    # a value is the leftmost minimum of a window iff its next window start that has this least value reaches it
-    at = np.arange(n - width + 1)
-    change = np.ones(len(least), bool)
-    change[1:] = least[1:] != least[:-1]
-    out: list[np.ndarray] = []
-    first = np.flatnonzero(change)
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
     stop = np.append(first[1:], len(least))
-    # in a stretch of windows with one least value, find every leftmost place; nearly all stretches have one
-    hit = np.flatnonzero(np.isin(hashes, least[first])) if len(first) * 4 > n else None
-    if hit is None:
-        order = np.argsort(hashes, kind="stable")
-        sorted_hashes = hashes[order]
-        lo = np.searchsorted(sorted_hashes, least[first], "left")
-        hi = np.searchsorted(sorted_hashes, least[first], "right")
-        single = hi - lo == 1
-        out.append(order[lo[single]])
-        rest = np.flatnonzero(~single)
-        for r in rest:
-            places = order[lo[r] : hi[r]]
-            starts = at[first[r] : stop[r]]
-            out.append(places[np.searchsorted(places, starts)])
-    else:
-        for f, s in zip(first, stop, strict=True):
-            places = hit[np.searchsorted(hit, f) : np.searchsorted(hit, s + width)]
-            places = places[hashes[places] == least[f]]
-            out.append(places[np.searchsorted(places, at[f:s])])
-    return np.unique(np.concatenate(out))
+    view = np.lib.stride_tricks.sliding_window_view(hashes, width)
+
+    def leftmost(starts: np.ndarray) -> np.ndarray:
+        step = max(1, (1 << 21) // width)
+        return np.concatenate([starts[i : i + step] + view[starts[i : i + step]].argmin(axis=1) for i in range(0, len(starts), step)] or [starts])
+
+    # a minimum below the last one has just come in; otherwise the last one has just left
+    entered = np.zeros(len(first), bool)
+    entered[1:] = least[first[1:]] < least[first[1:] - 1]
+    at = first + width - 1
+    at[~entered] = leftmost(first[~entered])
+    starts, places = [first], [at]
+    # where the value stays and its place is left behind, an equal value follows
+    while (late := at + 1 < stop).any():
+        first, stop = at[late] + 1, stop[late]
+        at = leftmost(first)
+        starts.append(first)
+        places.append(at)
+    starts, places = np.concatenate(starts), np.concatenate(places)
+    order = np.argsort(starts, kind="stable")
+    return starts[order], places[order]
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str | None = "text") -> Iterator[pa.RecordBatch]:

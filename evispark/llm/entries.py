@@ -12,6 +12,7 @@ NAMES = {
     "op4_token_counts": "token_counts",
     "op5_simhash_tiles": "simhash",
     "op6_candidate_boosting": "pii",
+    "op7_bwt_intervals": "substring_bytes",
     "op8_rank_order_language": "language_id",
     "op9_simhash_windows": "decontamination",
     "op10_weak_supervision": "weak_supervision",

@@ -42,7 +42,7 @@ class Hashing:
 def _edges(one: Rolling, prefix: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the chosen k-mers."""
     hashes = one.windows(prefix, k)
-    at = window_minima(hashes, window - k + 1)
+    at = np.unique(window_minima(hashes, window - k + 1)[1])
     return at, hashes[at]
 
 
