@@ -6,6 +6,7 @@ tables written to the shared scratch folder to cut lineage, and connected compon
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -213,6 +214,11 @@ class Scratch:
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def settle(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps now: it does so when the driver has collected its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def keep(self, df: DataFrame) -> DataFrame:
         """A checkpoint: for what the caller's result reads; Spark deletes its files with the last reference."""
         return df.checkpoint(eager=True)

@@ -2,11 +2,12 @@
 
 Token k-mers are the graph's edges. Of each document only those k-mers are kept that have the least hash of some run
 of neighbours, so that every window holds one, chosen by the window's own words (a sparse de Bruijn graph, about one
-edge in thirteen). A join with the corpus-wide occurrences tells which edges repeat, and for each whether all its
+edge in eighteen). A join with the corpus-wide occurrences tells which edges repeat, and for each whether all its
 occurrences go on to the same next edge over the same words and that next edge always comes from it: then the two lie
 on one nonbranching path, and compact. Every window inside a compacted path occurs in exactly the documents that hold
-the path, so one comparison settles the whole path. Windows that reach over a path's end are few; they are compared
-one by one by a 128-bit hash of their words, at their coordinates in the source. Nothing is sampled: the outcome is
+the path, so one comparison settles the whole path. Windows that reach over a path's end are
+looked at only where the words on the longer side of their edge repeat too; those are compared one by one by a 128-bit
+hash of their words, at their coordinates in the source. Nothing is sampled: the outcome is
 that of comparing every window with every other.
 
 Defined cases: null and empty texts have no words; a document shorter than a window keeps all its words; a row
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import LAST_ID, Rolling, Scratch, WordHashes, arrow_map, mix, table, window_minima, words_of
 
-WINDOW, EDGE = 50, 25
+WINDOW, EDGE = 50, 16
 
 
 class Hashing:
@@ -47,123 +48,161 @@ def _edges(one: Rolling, prefix: np.ndarray, window: int, k: int) -> tuple[np.nd
 
 
 def _identity(docs: DataFrame) -> DataFrame:
-    """doc_id, text, ord (doc_id, or later than all), and key: the row's identity (rows equal in both share it)."""
+    """doc_id, text, ord (doc_id, or later than all), and rid: a hash of both, which rows that share it need not share."""
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    return docs.select("doc_id", "text", order.alias("ord"), F.xxhash64("text").alias("th"))
+    return docs.select("doc_id", "text", order.alias("ord"), F.xxhash64(order, "text").alias("rid"))
+
+
+def _sides(window: int, k: int) -> tuple[int, int]:
+    """Words before and after an edge, of which every window that holds it covers one or the other."""
+    return (window - k) // 2, window - k - (window - k) // 2
 
 
 def _occurrences(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """Rows (edge, ord, th, pos, after, before): each chosen edge, and hashes of the words up to the next and from the last one (0: none)."""
+    """Rows (edge, ord, rid, pos, nth, after, before, left, right): each chosen edge, hashes of the words up to the next and
+    from the last one, and short hashes of the edge with the words on either side (0: there are not so many)."""
+    less, more = _sides(window, k)
 
     def make():
         hashing = Hashing()
 
         def work(cols: dict) -> dict:
-            out: dict[str, list] = {c: [] for c in ("edge", "ord", "th", "pos", "after", "before")}
-            orders, ths = cols["ord"].to_numpy(), cols["th"].to_numpy()
-            for text, order, th in zip(cols["text"].to_pylist(), orders, ths, strict=True):
+            out: dict[str, list] = {c: [] for c in ("edge", "ord", "rid", "pos", "nth", "after", "before", "left", "right")}
+            orders, rids = cols["ord"].to_numpy(), cols["rid"].to_numpy()
+            for text, order, rid in zip(cols["text"].to_pylist(), orders, rids, strict=True):
                 words = words_of(text)
-                if len(words) < window:
+                n = len(words)
+                if n < window:
                     continue
                 prefix, other = hashing(words)
                 at, edge = _edges(hashing.one, prefix, window, k)
                 link = np.zeros(len(at) + 1, np.uint64)
                 # the span from an edge's first word to the next edge's last
                 link[1:-1] = hashing.two.runs(other, at[:-1], at[1:] + k) | np.uint64(1)
+                left = (hashing.two.runs(other, np.maximum(at - less, 0), at + k) | np.uint64(1)).view(np.int64).astype(np.int32)
+                right = (hashing.two.runs(other, at, np.minimum(at + k + more, n)) | np.uint64(1)).view(np.int64).astype(np.int32)
                 out["edge"].append(edge.view(np.int64))
                 out["pos"].append(at.astype(np.int32))
+                out["nth"].append(np.arange(len(at), dtype=np.int32))
                 out["after"].append(link[1:].view(np.int64))
                 out["before"].append(link[:-1].view(np.int64))
+                out["left"].append(np.where(at >= less, left, 0))
+                out["right"].append(np.where(at + k + more <= n, right, 0))
                 out["ord"].append(np.full(len(at), order, np.int64))
-                out["th"].append(np.full(len(at), th, np.int64))
+                out["rid"].append(np.full(len(at), rid, np.int64))
             return {c: np.concatenate(v) for c, v in out.items()} if out["edge"] else None
 
         return work
 
-    return arrow_map(docs.select("text", "ord", "th"), "edge bigint, ord bigint, th bigint, pos int, after bigint, before bigint", make)
-
-
-def _same(c: str) -> Column:
-    """One value, not 0, at every occurrence."""
-    return (F.min(c) == F.max(c)) & (F.min(c) != 0)
+    return arrow_map(docs.select("text", "ord", "rid"), "edge bigint, ord bigint, rid bigint, pos int, nth int, after bigint, before bigint, left int, right int", make)
 
 
 def _settle(rows: DataFrame, window: int, k: int) -> DataFrame:
-    """Rows (ord, th, start, stop, w1, w2): runs of window starts settled as repeats (w1 null), and open windows with their hashes."""
+    """Rows (ord, rid, start, stop, w1, w2): runs of window starts settled as repeats (w1 null), and open windows with their hashes."""
+    less, _ = _sides(window, k)
 
     def make():
         hashing = Hashing()
 
         def work(cols: dict) -> dict:
-            out: dict[str, list] = {c: [] for c in ("ord", "th", "start", "stop", "w1", "w2")}
+            out: dict[str, list] = {c: [] for c in ("ord", "rid", "start", "stop", "w1", "w2")}
 
-            def add(order, th, start, stop, w1, w2):
+            def add(order, rid, start, stop, w1, w2):
                 n = len(start)
                 out["ord"].append(np.full(n, order, np.int64))
-                out["th"].append(np.full(n, th, np.int64))
+                out["rid"].append(np.full(n, rid, np.int64))
                 out["start"].append(np.asarray(start, np.int32))
                 out["stop"].append(np.asarray(stop, np.int32))
                 out["w1"].append(w1)
                 out["w2"].append(w2)
 
-            orders, ths = cols["ord"].to_numpy(), cols["th"].to_numpy()
-            for text, order, th, edges in zip(cols["text"].to_pylist(), orders, ths, cols["edges"].to_pylist(), strict=True):
+            orders, rids = cols["ord"].to_numpy(), cols["rid"].to_numpy()
+            for text, order, rid, edges in zip(cols["text"].to_pylist(), orders, rids, cols["edges"].to_pylist(), strict=True):
                 words = words_of(text)
                 n = len(words) - window + 1
-                found = sorted({(e["pos"], e["least"], e["joined"]) for e in edges})
-                at = np.array([e[0] for e in found], np.int64)
-                # windows that hold a repeated edge
-                held = np.zeros(n + 1, np.int64)
-                np.add.at(held, np.maximum(at + k - window, 0), 1)
-                np.add.at(held, np.minimum(at + 1, n), -1)
-                open_ = np.cumsum(held)[:n] > 0
+                if n < 1:
+                    continue
+                prefix, other = hashing(words)
+                # of a row that only shares the hash of another one, no edge stands at the place named
+                listed = sorted({(e["pos"], e["edge"], e["least"], e["joined"], e["lopen"], e["ropen"], e["nth"]) for e in edges if e["pos"] + k <= len(words)})
+                at = np.array([e[0] for e in listed], np.int64)
+                there = hashing.one.runs(prefix, at, at + k).view(np.int64)
+                found = [e for e, h in zip(listed, there.tolist(), strict=True) if e[1] == h]
+                open_ = np.zeros(n, bool)
+                for pos, _, _, _, lopen, ropen, _ in found:
+                    if lopen:
+                        open_[max(pos + k - window, 0) : max(pos - less + 1, 0)] = True
+                    if ropen:
+                        open_[max(pos - less + 1, 0) : pos + 1] = True
                 i, starts, stops = 0, [], []
                 while i < len(found):
                     j = i
-                    while j + 1 < len(found) and found[j][2]:
+                    # the next edge may be missing here: then no window lies inside the path up to it
+                    while j + 1 < len(found) and found[j][3] and found[j + 1][6] == found[j][6] + 1:
                         j += 1
                     begin, end = found[i][0], min(found[j][0] + k - window + 1, n)
                     if end > begin:
                         open_[begin:end] = False
-                        if found[i][1] < order:
+                        if found[i][2] < order:
                             starts.append(begin)
                             stops.append(end)
                     i = j + 1
                 if starts:
                     none = np.full(len(starts), None, object)
-                    add(order, th, starts, stops, none, none)
+                    add(order, rid, starts, stops, none, none)
                 left = np.flatnonzero(open_)
                 if len(left):
-                    prefix, other = hashing(words)
                     w1 = hashing.one.runs(prefix, left, left + window).view(np.int64)
                     w2 = hashing.two.runs(other, left, left + window).view(np.int64)
-                    add(order, th, left, left + 1, w1, w2)
+                    add(order, rid, left, left + 1, w1, w2)
             return {c: np.concatenate(v) for c, v in out.items()} if out["ord"] else None
 
         return work
 
-    return arrow_map(rows, "ord bigint, th bigint, start int, stop int, w1 bigint, w2 bigint", make)
+    return arrow_map(rows, "ord bigint, rid bigint, start int, stop int, w1 bigint, w2 bigint", make)
+
+
+def _same(c: str) -> Column:
+    """One value, not 0, at every occurrence."""
+    return (F.min(c) == F.max(c)) & (F.min(c) != 0)
 
 
 def removed_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, k: int = EDGE) -> DataFrame:
-    """Rows (ord, th, spans: array of (start, stop)) of word runs to remove, for rows of ``docs`` that lose some."""
+    """Rows (ord, rid, spans: array of (start, stop)) of word runs to remove, for rows of ``docs`` that lose some."""
     rows = _identity(docs)
-    occurrences = scratch.table(_occurrences(rows, window, k))
-    edges = occurrences.groupBy("edge").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), _same("after").alias("one_after"), _same("before").alias("one_before"), F.min("after").alias("after")).where("least < most")
-    edges = scratch.table(edges)
+    every = scratch.table(_occurrences(rows, window, k))
+    twice = every.groupBy("edge").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select("edge", "least")
+    occurrences = scratch.table(every.join(twice, "edge"))
+    scratch.free(every)
+    scratch.settle()
     # an edge compacts with the next one if the path branches at neither; the span's hash names the next edge
-    backward = occurrences.join(edges.where("one_before").select("edge"), "edge").where("before <> 0").select(F.col("before").alias("span")).distinct()
-    joined = edges.join(backward, edges.one_after & (edges.after == backward.span), "left").select("edge", "least", F.col("span").isNotNull().alias("joined"))
-    at = occurrences.select("edge", "ord", "th", "pos").join(joined, "edge").groupBy("ord", "th").agg(F.collect_list(F.struct("pos", "least", "joined")).alias("edges"))
-    texts = rows.select("ord", "th", "text").join(at, ["ord", "th"]).select("text", "ord", "th", "edges")
+    edges = occurrences.groupBy("edge").agg(_same("after").alias("one_after"), _same("before").alias("one_before"), F.min("after").alias("after"), F.min("before").alias("before"))
+    spans = edges.where("one_before").select(F.col("before").alias("span")).distinct()
+    joined = edges.join(spans, edges.one_after & (edges.after == spans.span)).select("edge", F.lit(True).alias("joined"))
+    # sides of edges that repeat with them
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("words")), F.struct(F.lit(1).alias("side"), F.col("right").alias("words"))))
+    repeated = occurrences.select("edge", "ord", sides.alias("s")).where("s.words <> 0").groupBy("edge", "s.side", "s.words").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b")
+    repeated = scratch.table(repeated.select("edge", "side", "words"))
+    lefts = repeated.where("side = 0").select("edge", F.col("words").alias("left"), F.lit(True).alias("lopen"))
+    rights = repeated.where("side = 1").select("edge", F.col("words").alias("right"), F.lit(True).alias("ropen"))
+    flagged = occurrences.select("edge", "rid", "pos", "nth", "least", "left", "right").join(joined, "edge", "left").join(lefts, ["edge", "left"], "left").join(rights, ["edge", "right"], "left").where("joined or lopen or ropen")
+    no = F.lit(False)
+    entry = F.struct("edge", "pos", "nth", "least", F.coalesce("joined", no).alias("joined"), F.coalesce("lopen", no).alias("lopen"), F.coalesce("ropen", no).alias("ropen"))
+    at = scratch.table(flagged.select("rid", entry.alias("e")).groupBy("rid").agg(F.collect_set("e").alias("edges")))
+    scratch.free(occurrences, repeated)
+    scratch.settle()
+    texts = rows.select("ord", "rid", "text").join(at, "rid").select("text", "ord", "rid", "edges")
     settled = scratch.table(_settle(texts, window, k))
-    scratch.free(occurrences, edges)
+    scratch.free(at)
+    scratch.settle()
     open_ = settled.where("w1 is not null")
     first = open_.groupBy("w1", "w2").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select("w1", "w2", "least")
-    repeats = open_.join(first, ["w1", "w2"]).where("ord > least").select("ord", "th", "start", "stop")
-    spans = settled.where("w1 is null").select("ord", "th", "start", "stop").unionByName(repeats)
-    spans = spans.groupBy("ord", "th").agg(F.collect_set(F.struct("start", (F.col("stop") + window - 1).alias("stop"))).alias("spans"))
-    return spans
+    repeats = open_.join(first, ["w1", "w2"]).where("ord > least").select("ord", "rid", "start", "stop")
+    spans = settled.where("w1 is null").select("ord", "rid", "start", "stop").unionByName(repeats)
+    out = scratch.table(spans.groupBy("ord", "rid").agg(F.collect_set(F.struct("start", (F.col("stop") + window - 1).alias("stop"))).alias("spans")))
+    scratch.free(settled)
+    scratch.settle()
+    return out
 
 
 def _kept(n: int, spans: list) -> np.ndarray:
@@ -178,7 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = EDGE, texts:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, and the kept words' digest (or the kept text)."""
     scratch = Scratch(docs.sparkSession)
     spans = removed_spans(docs, scratch, window, k)
-    rows = _identity(docs).join(spans, ["ord", "th"], "left").select("doc_id", "text", "spans")
+    rows = _identity(docs).join(spans, ["ord", "rid"], "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make():
