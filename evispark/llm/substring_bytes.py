@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import Rolling, Scratch, arrow_map, mix, table, window_minima
 
 LENGTH, ANCHOR = 400, 64
-#: Bytes of a block, and stretches beyond which a group is compared by hashes.
-BLOCK, MANY = 1 << 18, 512
+#: Symbols of a block, and stretches (each of at most LENGTH symbols) beyond which a group is compared by hashes.
+BLOCK, MANY = 1 << 18, 8192
 
 
 class Hashing:
@@ -77,14 +77,15 @@ def _occurrences(rows: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def _settle(rows: DataFrame, length: int, k: int) -> DataFrame:
-    """Rows (r1, r2, start, n, g, f, bytes): runs of n settled string starts (g null), and open stretches by group g and hash f."""
+    """Rows (r1, r2, start, n, g, f, core, bytes): runs of n settled string starts (g null), and open stretches by group g and
+    hash f, with the place of the bytes that the whole group has in common."""
     half = (length - k) // 2
 
     def make():
         hashing = Hashing()
 
         def work(cols: dict) -> dict:
-            out: dict[str, list] = {c: [] for c in ("r1", "r2", "start", "n", "g", "f", "bytes")}
+            out: dict[str, list] = {c: [] for c in ("r1", "r2", "start", "n", "g", "f", "core", "bytes")}
             for text, r1, r2, found in zip(cols["text"].to_pylist(), cols["r1"].to_pylist(), cols["r2"].to_pylist(), cols["edges"].to_pylist(), strict=True):
                 data = text.encode("utf-8")
                 raw = np.frombuffer(data, np.uint8)
@@ -98,7 +99,7 @@ def _settle(rows: DataFrame, length: int, k: int) -> DataFrame:
                     begin, end = own[i][0], min(own[j][0] + k - length + 1, n)
                     if end > begin:
                         inside[begin:end] = True
-                        for c, v in zip(out, (r1, r2, begin, end - begin, None, None, None), strict=True):
+                        for c, v in zip(out, (r1, r2, begin, end - begin, None, None, None, None), strict=True):
                             out[c].append(v)
                     i = j + 1
                 one, two = hashing.prefixes(raw)
@@ -113,8 +114,8 @@ def _settle(rows: DataFrame, length: int, k: int) -> DataFrame:
                 cut = np.flatnonzero(np.append(True, (np.diff(s) > 1) | (np.diff(a) != 0) | (left[1:] != left[:-1])))
                 count = np.diff(np.append(cut, len(s)))
                 s, a, left = s[cut], a[cut], left[cut]
-                low, high = np.where(left, a - half, a), np.where(left, a + k, a + k + (length - k - half))
-                g = mix(hashing.two.runs(two, low, high) + left.astype(np.uint64))
+                low = np.where(left, a - half, a)
+                g = mix(hashing.two.runs(two, low, low + half + k) + left.astype(np.uint64))
                 f = hashing.one.runs(one, s, s + count + length - 1)
                 out["r1"] += [r1] * len(s)
                 out["r2"] += [r2] * len(s)
@@ -122,12 +123,13 @@ def _settle(rows: DataFrame, length: int, k: int) -> DataFrame:
                 out["n"] += count.tolist()
                 out["g"] += g.view(np.int64).tolist()
                 out["f"] += f.view(np.int64).tolist()
+                out["core"] += (low - s).tolist()
                 out["bytes"] += [data[x : x + c + length - 1] for x, c in zip(s.tolist(), count.tolist(), strict=True)]
             return out if out["r1"] else None
 
         return work
 
-    return arrow_map(rows, "r1 bigint, r2 int, start int, n int, g bigint, f bigint, bytes binary", make)
+    return arrow_map(rows, "r1 bigint, r2 int, start int, n int, g bigint, f bigint, core int, bytes binary", make)
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -188,21 +190,26 @@ def shared_suffixes(symbols: np.ndarray, threshold: int) -> np.ndarray:
     return order[shared[:n] | shared[1:]]
 
 
-def repeated_starts(stretches: list[bytes], threshold: int) -> list[np.ndarray]:
-    """For each of some different stretches, the starts of its strings of ``threshold`` bytes that also start elsewhere in them."""
-    ends = np.cumsum([len(x) + 1 for x in stretches])
-    symbols = np.empty(int(ends[-1]), np.int64)
+def repeated_starts(sequences: list[np.ndarray], threshold: int) -> list[np.ndarray]:
+    """For each of some different sequences, the starts of its strings of ``threshold`` symbols that also start elsewhere in them."""
+    ends = np.cumsum([len(x) + 1 for x in sequences])
     begin = np.append(0, ends[:-1])
-    for i, (b, x) in enumerate(zip(begin, stretches, strict=True)):
-        symbols[b : b + len(x)] = np.frombuffer(x, np.uint8)
-        symbols[b + len(x)] = 256 + i  # an end of its own, which no other string holds
-    # few numbers, in the same order
-    used = np.bincount(symbols[symbols < 256], minlength=256) > 0
-    small = np.cumsum(used) - 1
-    symbols = np.where(symbols < 256, small[np.minimum(symbols, 255)], symbols - 256 + int(used.sum()))
+    symbols = np.full(int(ends[-1]), -1, np.int64)
+    for b, x in zip(begin, sequences, strict=True):
+        symbols[b : b + len(x)] = x
+    # few numbers in the same order, then for each sequence an end of its own, which no other string holds
+    used, small = np.unique(symbols[symbols >= 0], return_inverse=True)
+    symbols[symbols >= 0] = small
+    symbols[ends - 1] = len(used) + np.arange(len(ends))
     starts = np.sort(shared_suffixes(symbols, threshold))
     of = np.searchsorted(ends, starts, "right")
-    return [starts[of == i] - begin[i] for i in range(len(stretches))] if len(stretches) < 8 else np.split(starts - begin[of], np.searchsorted(of, np.arange(1, len(stretches))))
+    return np.split(starts - begin[of], np.searchsorted(of, np.arange(1, len(ends))))
+
+
+def condensed(stretch: bytes, core: int, size: int, symbol: int) -> np.ndarray:
+    """A stretch as symbols, the ``size`` bytes from ``core`` on being one."""
+    x = np.frombuffer(stretch, np.uint8)
+    return np.concatenate([x[:core], [symbol], x[core + size :]]).astype(np.int64)
 
 
 def _runs(starts: np.ndarray) -> list[dict]:
@@ -212,8 +219,12 @@ def _runs(starts: np.ndarray) -> list[dict]:
     return [{"a": a, "n": n} for a, n in zip(starts[cut].tolist(), np.diff(np.append(cut, len(starts))).tolist(), strict=True)]
 
 
-def _expand(stretches: DataFrame, threshold: int) -> DataFrame:
-    """For different stretches (g, f, bytes): rows (g, f, runs) of those with repeats, found block by block."""
+def _expand(stretches: DataFrame, length: int, k: int) -> DataFrame:
+    """For different stretches (g, f, core, bytes): rows (g, f, runs) of those with repeats, found block by block.
+
+    All strings of a stretch hold its core, and no other string of as many symbols as they have then is long enough.
+    """
+    size = (length - k) // 2 + k
 
     def make():
         state: dict = {"rows": [], "bytes": 0}
@@ -226,22 +237,20 @@ def _expand(stretches: DataFrame, threshold: int) -> DataFrame:
                 while end and rows[end - 1][0] == rows[-1][0]:
                     end -= 1
             done, state["rows"] = rows[:end], rows[end:]
-            state["bytes"] = sum(len(x[2]) for x in state["rows"])
+            state["bytes"] = sum(len(x[2]) - size + 2 for x in state["rows"])
             if not done:
                 return None
-            found = repeated_starts([x[2] for x in done], threshold)
+            names = {g: 256 + i for i, g in enumerate(dict.fromkeys(x[0] for x in done))}
+            found = repeated_starts([condensed(x[2], x[3], size, names[x[0]]) for x in done], length - size + 1)
             got = [(x[0], x[1], _runs(s)) for x, s in zip(done, found, strict=True) if len(s)]
             return {"g": [x[0] for x in got], "f": [x[1] for x in got], "runs": [x[2] for x in got]}
 
         def work(cols: dict) -> dict | None:
             out: dict = {"g": [], "f": [], "runs": []}
-            for row in zip(cols["g"].to_pylist(), cols["f"].to_pylist(), cols["bytes"].to_pylist(), strict=True):
-                if row[2] is None:  # the end of the partition
-                    part = flush(True)
-                else:
-                    state["rows"].append(row)
-                    state["bytes"] += len(row[2])
-                    part = flush(False) if state["bytes"] >= BLOCK and row[0] != state["rows"][-2:][0][0] else None
+            for row in zip(cols["g"].to_pylist(), cols["f"].to_pylist(), cols["bytes"].to_pylist(), cols["core"].to_pylist(), strict=True):
+                state["rows"].append(row)
+                state["bytes"] += len(row[2]) - size + 2
+                part = flush(False) if state["bytes"] >= BLOCK and row[0] != state["rows"][-2:][0][0] else None
                 if part:
                     for c in out:
                         out[c] += part[c]
@@ -249,7 +258,8 @@ def _expand(stretches: DataFrame, threshold: int) -> DataFrame:
 
         return work, lambda: flush(True)
 
-    return _blocks(stretches.repartition("g").sortWithinPartitions("g"), make)
+    parts = int(stretches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _blocks(stretches.repartition(parts, "g").sortWithinPartitions("g"), make)
 
 
 def _blocks(df: DataFrame, make) -> DataFrame:
@@ -273,7 +283,7 @@ def _blocks(df: DataFrame, make) -> DataFrame:
         if out and out["g"]:
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    return df.select("g", "f", "bytes").mapInArrow(run, kinds)
+    return df.select("g", "f", "core", "bytes").mapInArrow(run, kinds)
 
 
 def _by_hash(stretches: DataFrame, threshold: int) -> DataFrame:
@@ -314,12 +324,13 @@ def removed_spans(rows: DataFrame, scratch: Scratch, length: int, k: int) -> Dat
     texts = rows.where(F.octet_length("text") >= length).select("r1", "r2", "text").join(at, ["r1", "r2"]).select("text", "r1", "r2", "edges")
     settled = scratch.table(_settle(texts, length, k))
     scratch.free(occurrences, edges)
+    scratch.settle()
     open_ = settled.where("g is not null")
     # different stretches of groups that have more than one occurrence
     groups = open_.groupBy("g").agg(F.count("*").alias("c"), F.approx_count_distinct("f").alias("d")).where("c > 1")
-    kinds = scratch.table(open_.groupBy("g", "f").agg(F.count("*").alias("c"), F.any_value("n").alias("n"), F.any_value("bytes").alias("bytes")).join(groups.select("g", "d"), "g"))
-    several = kinds.where("c = 1 or d > 1").select("g", "f", "d", "bytes")
-    found = _expand(several.where(F.col("d") <= MANY), length).unionByName(_by_hash(several.where(F.col("d") > MANY), length))
+    kinds = scratch.table(open_.groupBy("g", "f").agg(F.count("*").alias("c"), F.any_value("n").alias("n"), F.any_value("core").alias("core"), F.any_value("bytes").alias("bytes")).join(groups.select("g", "d"), "g"))
+    several = kinds.where("c = 1 or d > 1").select("g", "f", "d", "core", "bytes")
+    found = _expand(several.where(F.col("d") <= MANY), length, k).unionByName(_by_hash(several.where(F.col("d") > MANY), length))
     copies = kinds.where("c > 1").select("g", "f", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("n"))).alias("runs"))
     runs = scratch.table(found.unionByName(copies))
     hits = open_.select("g", "f", "r1", "r2", "start").join(runs, ["g", "f"]).select("r1", "r2", "start", F.explode("runs").alias("x")).select("r1", "r2", (F.col("start") + F.col("x.a")).alias("start"), F.col("x.n").alias("n"))

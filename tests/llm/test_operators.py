@@ -173,10 +173,10 @@ def test_interval_expansion():
         parts = list({bytes(r.choice(b"ab") for _ in range(r.randint(t, 40))) for _ in range(r.randint(1, 12))})
         count = Counter(x[i : i + t] for x in parts for i in range(len(x) - t + 1))
         expected = [[i for i in range(len(x) - t + 1) if count[x[i : i + t]] > 1] for x in parts]
-        assert [x.tolist() for x in substring_bytes.repeated_starts(parts, t)] == expected
+        assert [x.tolist() for x in substring_bytes.repeated_starts([np.frombuffer(x, np.uint8) for x in parts], t)] == expected
 
 
-@pytest.mark.parametrize(("length", "k", "many"), [(400, 64, 512), (60, 16, 512), (60, 16, 2)])
+@pytest.mark.parametrize(("length", "k", "many"), [(400, 64, 512), (60, 16, 512), (61, 16, 512), (60, 16, 2)])
 def test_repeated_bytes(spark, rows, length, k, many, monkeypatch):
     monkeypatch.setattr(substring_bytes, "MANY", many)
     data = [(i, (t or "").encode()) for i, t in rows]
