@@ -326,10 +326,10 @@ def removed_spans(rows: DataFrame, scratch: Scratch, length: int, k: int) -> Dat
     scratch.free(occurrences, edges)
     scratch.settle()
     open_ = settled.where("g is not null")
-    # different stretches of groups that have more than one occurrence
-    groups = open_.groupBy("g").agg(F.count("*").alias("c"), F.approx_count_distinct("f").alias("d")).where("c > 1")
-    kinds = scratch.table(open_.groupBy("g", "f").agg(F.count("*").alias("c"), F.any_value("n").alias("n"), F.any_value("core").alias("core"), F.any_value("bytes").alias("bytes")).join(groups.select("g", "d"), "g"))
-    several = kinds.where("c = 1 or d > 1").select("g", "f", "d", "core", "bytes")
+    # different stretches of groups that have more than one occurrence; their number d is an estimate, which only chooses the way
+    groups = open_.groupBy("g").agg(F.count("*").alias("c"), F.approx_count_distinct("f").alias("d"), (F.min("f") < F.max("f")).alias("differ")).where("c > 1")
+    kinds = scratch.table(open_.groupBy("g", "f").agg(F.count("*").alias("c"), F.any_value("n").alias("n"), F.any_value("core").alias("core"), F.any_value("bytes").alias("bytes")).join(groups.select("g", "d", "differ"), "g"))
+    several = kinds.where("differ").select("g", "f", "d", "core", "bytes")
     found = _expand(several.where(F.col("d") <= MANY), length, k).unionByName(_by_hash(several.where(F.col("d") > MANY), length))
     copies = kinds.where("c > 1").select("g", "f", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("n"))).alias("runs"))
     runs = scratch.table(found.unionByName(copies))

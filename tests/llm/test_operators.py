@@ -193,6 +193,18 @@ def test_repeated_bytes(spark, rows, length, k, many, monkeypatch):
     assert keyed(substring_bytes.remove_repeats(corpus(spark, rows), length, k), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == expected
 
 
+def test_repeated_bytes_beside_copies(spark):
+    """A stretch beside copies of another one; in these, both stretches' hashes meet in an estimate of the different values."""
+    rows = []
+    for seed in (517, 988, 1301, 1861, 2984):
+        r = random.Random(seed)
+        t = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+        x = t(120)
+        rows += [(3 * seed, x), (3 * seed + 1, x), (3 * seed + 2, x[:80] + t(40))]
+    got = {x.doc_id: (x.n_removed, x.n_spans, x.kept_sha256) for x in substring_bytes.remove_repeats(corpus(spark, rows), 60, 16).collect()}
+    assert got == {i: (80, 1, hashlib.sha256(x[80:].encode()).hexdigest()) if i % 3 == 2 else (120, 1, hashlib.sha256(b"").hexdigest()) for i, x in rows}
+
+
 def test_decontamination(spark, rows):
     r = random.Random(8)
     texts = [t for _, t in rows if t and len(words(t)) > 60][:6]
