@@ -274,6 +274,26 @@ def test_personal_data(spark, rows):
     assert [(x.text, x.n_chars) for x in out.orderBy("doc_id").collect()] == [("mail <email>, call <phone>!", 27), (None, 0), ("nothing", 7)]
 
 
+def test_personal_data_beyond_the_base_forms(spark):
+    """Planted variants that no base pattern matches are added and redacted; clean text with look-alikes is not."""
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    texts, due = [], []
+    for i in range(600):
+        number = f"{r.randrange(100, 1000)}-{r.randrange(100, 1000)}-{r.randrange(1000, 10000)}"
+        planted = ["", "", "", ("email", "mail", f"{word(6)} [at] {word(8)} [dot] org"), ("ip", "see", ":".join(f"{r.randrange(4096, 65536):x}" for _ in range(8))), ("phone", "call", number)][i % 6]
+        clean = ["nothing of note here", f"{word(3)}@{word(3)} was late at 10:20:30:40", f"order {number} went out"][i % 3]
+        texts.append(f"{clean} and {planted[1]} {planted[2]} today" if planted else clean)
+        due.append(f"{planted[0]}:{(a := texts[-1].rindex(planted[2]))}:{a + len(planted[2])}" if planted else "")
+    docs = corpus(spark, list(enumerate(texts)))
+    models = pii.train(docs)
+    got = {x.doc_id: x for x in pii.find(docs, models).collect()}
+    assert [got[i].spans for i in range(len(texts))] == due
+    assert {(x.n_email, x.n_ip, x.n_card, x.n_phone) for x in got.values()} == {(0, 0, 0, 0)}
+    out = {x.doc_id: x.text for x in pii.redact(docs, models).collect()}
+    assert all(("<" + d.split(":")[0] + ">" in out[i]) if d else out[i] == texts[i] for i, d in enumerate(due))
+
+
 def test_boosted_trees_learn_and_agree_with_their_columns(spark):
     x = np.array([[a, b] + [0] * 11 for a in range(20) for b in range(2)])
     y = ((x[:, 0] >= 16) & (x[:, 1] == 1)).astype(float)
