@@ -323,6 +323,12 @@ def redaction(spark, sf_dir):
     return d.select("doc_id", redacted(F.col("text")).alias("text"))
 
 
+@query()
+def redaction_whole(spark, sf_dir):
+    """All rules over every document; the SQL of ``redaction`` has one rule and the documents that only it can touch."""
+    return read(spark, sf_dir, "documents").select("doc_id", redacted(F.col("text")).alias("text"))
+
+
 @query("SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events")
 def canonical_time(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumn("iso", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))

@@ -1,5 +1,7 @@
 """Every engine query against its SQL on the smallest tables."""
 
+import re
+
 import duckdb
 import pandas as pd
 import pytest
@@ -34,3 +36,23 @@ def test_query(spark, duck, name):
     expected = duck.sql(SQL[name]).df()
     assert sorted(found.columns) == sorted(expected.columns)
     assert rows(found) == rows(expected)
+
+
+def test_redaction_of_every_document(spark, tmp_path):
+    rules = [
+        (r"\b(authorization|bearer|token|api[_-]?key|secret|password)\b(\s*[=:]\s*|\s+)(\"[^\"]*\"|'[^']*'|[^\s,;]+)", r"\1\2[redacted]", re.I | re.A),
+        (r"(?:/[\w.-]+){2,}", "[path]", re.A),
+        (r"[A-Za-z]:\\\S+", "[path]", re.A),
+    ]
+    texts = ["secret: abc, then", "PASSWORD='a b' and bearer xyz", 'api_key="q r"; api-key = z', "see /usr/local/bin/x now", r"in C:\work\a.txt now", "token = t1 in /etc/passwd", "tokens and /one stay", "", None]
+    docs = list(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").toPandas().itertuples(index=False, name=None))
+    docs += [(10**9 + i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    expected = {}
+    for i, t in docs:
+        for pattern, to, flags in rules if t is not None else ():
+            t = re.sub(pattern, to, t, flags=flags)
+        expected[i] = t
+    assert {r.doc_id: r.text for r in QUERIES["redaction_whole"](spark, str(tmp_path)).collect()} == expected
+    shown = " ".join(expected[10**9 + i] for i in range(6))
+    assert shown.count("[redacted]") == 6 and shown.count("[path]") == 3
