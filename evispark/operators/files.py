@@ -68,12 +68,12 @@ def suffix_matches(files: DataFrame, wanted: DataFrame, path: str, suffix: str)
     return got.groupBy(suffix).agg(F.countDistinct(path).alias("n_files"), F.when(F.countDistinct(path) == 1, F.min(path)).alias("resolved"))
 
 
-def closure(links: DataFrame, start: DataFrame, source: str, target: str, scratch_rounds: int = 32) -> DataFrame:
+def closure(links: DataFrame, start: DataFrame, source: str, target: str) -> DataFrame:
     """Everything reachable from ``start`` (one column, node), itself included; cycles end the search."""
     from .graph import reach
 
     edges = links.select(F.col(source).alias("src"), F.col(target).alias("dst"))
-    return reach(edges, start, scratch_rounds).select("node")
+    return reach(edges, start, None).select("node")
 
 
 def fingerprints(files: DataFrame, path: str, content: str) -> DataFrame:

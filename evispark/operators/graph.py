@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -81,11 +82,11 @@ def topk_neighbours(edges: DataFrame, k: int, order: list[Column], key: str = "n
     return edges.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rn") <= k)
 
 
-def reach(edges: DataFrame, start: DataFrame, max_depth: int = DEPTH_MAX) -> DataFrame:
-    """Rows (node, depth): everything that edges (src, dst) lead to within ``max_depth`` steps, with the least depth."""
+def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = DEPTH_MAX) -> DataFrame:
+    """Rows (node, depth): everything that edges (src, dst) lead to within ``max_depth`` steps (None: any number), with the least depth."""
     edges = edges.select("src", "dst")
     found = frontier = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -303,18 +304,17 @@ def module_edges(specifiers: DataFrame, declarations: DataFrame) -> DataFrame:
     return out.withColumn("relationship_id", relationship_id(F.col("kind"), F.col("src"), F.col("dst"))).dropDuplicates(["relationship_id"])
 
 
-def ancestors(bases: DataFrame, max_depth: int = DEPTH_MAX) -> DataFrame:
+def ancestors(bases: DataFrame) -> DataFrame:
     """Rows (node, ancestor) for containers (src) and their bases (dst), direct and indirect; cycles end the search."""
     step = bases.select(F.col("src").alias("node"), F.col("dst").alias("ancestor")).where("node <> ancestor").distinct()
     direct = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
     found = frontier = cut(step)
-    for _ in range(max_depth):
+    while True:
         more = frontier.join(direct, "ancestor").select("node", F.col("next").alias("ancestor")).where("node <> ancestor").distinct()
         frontier = cut(more.join(found, ["node", "ancestor"], "left_anti"))
         if frontier.isEmpty():
-            break
+            return found
         found = found.unionByName(frontier)
-    return found
 
 
 def override_edges(members: DataFrame, bases: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 
 from evispark.contracts import QueryError
-from evispark.operators import evidence, graph
+from evispark.operators import evidence, files, graph
 
 
 def edge_table(spark, pairs):
@@ -98,3 +98,11 @@ def test_test_candidates(spark):
     ]
     with pytest.raises(QueryError, match="INCOMPLETE_EVIDENCE"):
         evidence.test_candidates(e, graph.bounded_impact(e, "service", "incoming", 1), files)
+
+
+def test_closures_of_a_long_chain(spark):
+    n = 36
+    chain = edge_table(spark, [(str(i), f"n{i:02}", f"n{i + 1:02}") for i in range(n)])
+    assert graph.ancestors(chain).count() == n * (n + 1) // 2
+    start = spark.createDataFrame([("n00",)], "node string")
+    assert files.closure(chain, start, "src", "dst").count() == n + 1
