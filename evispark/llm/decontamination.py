@@ -1,9 +1,9 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Every run of a document's words as long as a benchmark item is a window. Its SimHash over word shingles is looked up
-in a multi-index of the items' fingerprints: whatever lies within the radius has a block that differs in few bits, so
-the blocks miss nothing, and candidates are verified by the exact similarity of the two bags of shingles. A window
-without any shingle of an item cannot be similar to it, so only windows around shared shingles are fingerprinted.
+Every run of a document's words as long as a benchmark item is a window. A window without any shingle of an item cannot
+be similar to it, so an inverted index of the items' exact shingles gives the candidates, not a multi-index of blocks.
+A candidate's SimHash is held against that item's alone: only windows within the radius are verified by the exact
+similarity of the two bags of shingles. The test of single blocks follows from the radius and decides nothing.
 
 The radius is six standard deviations above the distance that a pair at the similarity threshold has on average.
 
