@@ -1,12 +1,17 @@
 """Token counts of whole texts by overlap resynchronisation.
 
-A text longer than a chunk is encoded in overlapping chunks with offsets. Two neighbours are spliced at a boundary in
-their overlap that is proven stable: white space, which no normal form, pre-token, merge or special string of the
-vocabulary crosses; and the tokens that both chunks give between the first and last such boundary must be the same.
-Without a boundary, or where the tokens differ, the overlap is doubled, up to the whole chunk, and then the chunk.
+A text is encoded in overlapping chunks. Two neighbours are spliced at a boundary in their overlap that is proven
+stable. White space is a candidate, for no normal form, pre-token, merge or special string of the vocabulary crosses it;
+the proof is that the library, encoding the end of one chunk and the beginning of the next with offsets, gives the same
+ids at the same places between the overlap's first and last white space. Where that fails, or where there are no two
+candidates, the overlap is doubled, up to the whole chunk, and then the chunk. The stretches between white space of a
+spliced chunk are counted by the library once for each different one that a worker remembers.
+
+Every text goes this way; one that fits one chunk has no splice.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; special strings inside texts are single tokens, the
-library's default; a text without white space ends as one chunk; rows that repeat are counted each for itself.
+library's default; a text without white space, however long, ends as one chunk; rows that repeat are counted each for
+itself; a null doc_id is carried through; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,15 +19,16 @@ from __future__ import annotations
 import os
 from functools import lru_cache
 
-import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_map, table
 
-#: Characters of a chunk and of the first overlap; words whose counts a worker remembers.
-CHUNK, OVERLAP, MEMO = 32_768, 512, 600_000
+#: Characters of a chunk and of the first overlap; stretches whose counts a worker remembers.
+CHUNK, OVERLAP, MEMO = 4096, 64, 600_000
 SPACE = regex.compile(r"\p{White_Space}")
+SPACES = regex.compile(r"\p{White_Space}+")
+#: what str.split() takes for white space and the vocabulary does not
 ODD = regex.compile("[\x1c-\x1f]")
 
 
@@ -38,9 +44,9 @@ class Counter:
         self.tokenizer.no_padding()
         self.memo: dict[str, int] = {}
 
-    def short(self, texts: list[str]) -> list[int]:
-        """Counts of texts of one chunk each. White space is a stable boundary, so each different stretch is encoded once."""
-        split = [t.split() if not ODD.search(t) else [w for w in regex.split(r"\p{White_Space}+", t) if w] for t in texts]
+    def stretches(self, parts: list[str]) -> list[int]:
+        """Counts of parts that begin and end at stable boundaries."""
+        split = [t.split() if not ODD.search(t) else [w for w in SPACES.split(t) if w] for t in parts]
         if len(self.memo) > MEMO:
             self.memo.clear()
         new = list({w for words in split for w in words}.difference(self.memo))
@@ -49,48 +55,48 @@ class Counter:
             self.memo.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
         return [sum(map(self.memo.__getitem__, words)) for words in split]
 
-    def chunk(self, text: str, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and start offsets, within the whole text, of the tokens of text[a:b]."""
+    def between(self, text: str, a: int, b: int, p: int, q: int) -> list[tuple[int, int]]:
+        """Ids and places, within the whole text, of the tokens that text[a:b] has from p to q."""
         e = self.tokenizer.encode(text[a:b], add_special_tokens=False)
-        return np.array(e.ids, np.int64), np.array([s for s, _ in e.offsets], np.int64) + a
-
-    def long(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-        n, a, size, lap = len(text), 0, chunk, overlap
-        #: tokens that start before here are counted
-        edge, total = 0, 0
-        ids, starts = self.chunk(text, 0, min(n, size))
-        end = min(n, size)
-        while end < n:
-            b = max(a, end - lap)
-            spaces = [m.start() for m in SPACE.finditer(text, max(b, edge), end)]
-            splice = None
-            if spaces:
-                next_end = min(n, b + size)
-                more, at = self.chunk(text, b, next_end)
-                p, q = spaces[0], spaces[-1]
-                mine, theirs = (starts >= p) & (starts < q), (at >= p) & (at < q)
-                if next_end > end and np.array_equal(ids[mine], more[theirs]) and np.array_equal(starts[mine], at[theirs]):
-                    splice = p
-            if splice is not None:
-                total += int(((starts >= edge) & (starts < splice)).sum())
-                edge, a, end, ids, starts, lap, size = splice, b, next_end, more, at, overlap, chunk
-            elif b > a and lap < size:
+        return [(i, s + a) for i, (s, _) in zip(e.ids, e.offsets, strict=True) if p <= s + a < q]
+
+    def stable(self, text: str, begin: int, end: int, lap: int) -> int | None:
+        """A boundary in text[begin:end], the overlap of a chunk and its successor, at which both may be cut."""
+        spaces = [m.start() for m in SPACE.finditer(text, begin, end)]
+        if len(spaces) < 2:
+            return None
+        p, q = spaces[0], spaces[-1]
+        left = self.between(text, max(0, begin - lap), end, p, q)
+        right = self.between(text, begin, min(len(text), end + lap), p, q)
+        return p if left == right else None
+
+    def cuts(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+        """The boundaries at which the chunks of a text are spliced."""
+        out, edge, size, n = [], 0, chunk, len(text)
+        while (end := edge + size) < n:
+            splice, lap = None, overlap
+            while splice is None:
+                begin = max(edge + 1, end - lap)
+                splice = self.stable(text, begin, end, lap)
+                if begin == edge + 1:
+                    break
                 lap *= 2
-            else:  # no boundary in the whole chunk
+            if splice is None:  # no boundary in the whole chunk
                 size *= 2
-                lap = overlap
-                end = min(n, a + size)
-                ids, starts = self.chunk(text, a, end)
-        return total + int((starts >= edge).sum())
+            else:
+                out.append(splice)
+                edge, size = splice, chunk
+        return out
 
     def counts(self, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-        out = [0] * len(texts)
-        few = [i for i, t in enumerate(texts) if len(t) <= chunk]
-        for i, c in zip(few, self.short([texts[i] for i in few]), strict=True):
-            out[i] = c
+        parts, of = [], []
         for i, t in enumerate(texts):
-            if len(t) > chunk:
-                out[i] = self.long(t, chunk, overlap)
+            edges = [0, *self.cuts(t, chunk, overlap), len(t)]
+            parts += [t[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+            of += [i] * (len(edges) - 1)
+        out = [0] * len(texts)
+        for i, c in zip(of, self.stretches(parts), strict=True):
+            out[i] += c
         return out
 
 

@@ -107,7 +107,7 @@ def test_encoding_of_random_text():
     for _ in range(800):
         text = "".join(r.choice(letters if r.random() < 0.5 else "abthein '<|endoftext|>sS!?1") for _ in range(r.randrange(60)))
         e = t.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(c.encode(text)[0], "<u4").tolist() == e and n.long(text, 9, 3) == len(e), text
+        assert np.frombuffer(c.encode(text)[0], "<u4").tolist() == e and n.counts([text], 9, 3) == [len(e)], text
 
 
 def brute_simhash(rows):
@@ -329,15 +329,19 @@ def test_out_of_place_distance():
 
 
 def test_quality(spark, rows):
-    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     m = quality_fm.train(docs, labels)
     got = table(quality_fm.score(docs, m)).merge(labels.toPandas())
     assert ((got.predicted == 1) == (got.score >= 0.7)).all()
-    assert (got.predicted == got.quality)[~got.held_out].mean() > 0.95
+    assert (got.predicted == got.quality)[got.held_out].mean() > 0.9 and got.held_out.sum() > 30
     odd = corpus(spark, rows).withColumn("score", common.F.lit("clash"))
     assert quality_fm.score(odd, m).count() == len(rows)
     assert quality_fm.accepted(odd, m).columns == odd.columns
-    assert {x.score for x in quality_fm.score(odd, quality_fm.train(docs, labels.limit(0))).collect()} == {0.5} or True
+    assert {x.score for x in quality_fm.score(odd, quality_fm.train(docs, labels.limit(0))).collect()} == {0.5}
+    # a bound on the learned features takes fewer rows, in an order that does not depend on arrival
+    few = [quality_fm.train(docs, labels, learned=3000).weights for _ in range(2)]
+    assert (few[0] == few[1]).all() and 0 < (few[0] != 0).sum() < 3000
 
 
 def test_pairs_by_sum_of_squares():
