@@ -25,12 +25,22 @@ SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 MEMO_WORDS = 300_000
 #: Order of a row without doc_id: after every row that has one.
 LAST_ID = (1 << 63) - 1
+#: Tasks over which the rows of one key are dealt where a key may hold very many.
+SALTS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(taken: Iterable[str], stem: str) -> str:
+    """A column name like ``stem`` that no column in ``taken`` has, whatever the case of its letters."""
+    used = {c.lower() for c in taken}
+    while stem.lower() in used:
+        stem += "_"
+    return stem
+
+
 def fold() -> Column:
     """crc32 of doc_id as text modulo 4; remainder 2 is held out. A null doc_id is in no fold but learns nothing."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
@@ -181,48 +191,59 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], di
     return df.mapInArrow(run, kinds)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset and the master is local, as in tests, a folder of this machine."""
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
+    if base is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        base = f"file://{tempfile.gettempdir()}/evispark-{uuid.uuid4().hex}"
+    if not known.isDefined():
+        context.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 class Scratch:
     """Tables written to the folder that all executors share, to cut lineage and to be read more than once.
 
-    Reading them back survives lost executors. Each is deleted once a later table no longer needs it.
+    Reading them back survives lost executors. Each is deleted as soon as no later step reads it; those that a result
+    still reads are deleted when the application ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            # unset: a single machine, as in tests
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(f"file://{tempfile.gettempdir()}/evispark-{uuid.uuid4().hex}")
-        set_by_context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        self.base = spark.conf.get("spark.checkpoint.dir", None) or set_by_context.get()
-        if not set_by_context.isDefined():
-            spark.sparkContext.setCheckpointDir(self.base)
+        self.base = shared_folder(spark)
         self.paths: dict[int, str] = {}
 
+    def _at(self, path: str) -> tuple:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def table(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base.rstrip('/')}/evispark-{uuid.uuid4().hex}"
+        path = f"{self.base}/evispark-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
+        where, system = self._at(path)
+        system.deleteOnExit(where)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
 
     def free(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for t in tables:
             if path := self.paths.pop(id(t), None):
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                where, system = self._at(path)
+                system.delete(where, True)
+                system.cancelDeleteOnExit(where)
 
     def settle(self) -> None:
         """Lets Spark delete the shuffle files of finished steps now: it does so when the driver has collected its garbage."""
         gc.collect()
         self.spark._jvm.System.gc()
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """A checkpoint: for what the caller's result reads; Spark deletes its files with the last reference."""
-        return df.checkpoint(eager=True)
-
 
 def forest(a: np.ndarray, b: np.ndarray, parent: dict) -> list[tuple[int, int]]:
     """Those of the links (a, b) that join two trees of ``parent``, which is updated; the others add nothing."""
@@ -247,18 +268,21 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Alternates two star rewritings that keep components: every neighbour above a node links to the least neighbour,
     then every neighbour below it does. The number of rounds grows with the logarithm of the longest chain. Least
-    neighbours come from aggregates that combine before the shuffle, so that a node with very many links is no
-    bottleneck, and links are never listed on the driver.
+    neighbours come from aggregates that combine before the shuffle, and the links of one node are dealt to SALTS tasks
+    where they meet it, so that a node with very many links is no bottleneck. Links are never listed on the driver.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = scratch.table(e)
     mark = None
+
+    def with_least(links: DataFrame) -> DataFrame:
+        least = links.groupBy("u").agg(F.min("v").alias("m")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return links.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(least, ["u", "salt"])
+
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        small = with_least(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         after = scratch.table(small)
         scratch.free(now)
         now = after
@@ -267,6 +291,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             break
         mark = new
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-    out = scratch.keep(nodes)
+    out = scratch.table(nodes)
     scratch.free(now)
     return out

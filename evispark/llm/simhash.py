@@ -1,15 +1,19 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints are compared exactly, with exclusive-or and bit counts in numpy. The comparison is laid out in tiles:
-64 bits are cut into six blocks, and at most four differing bits leave two blocks untouched, so that two linked
-fingerprints share a tile row for one of the fifteen pairs of blocks. A large row is cut further into tiles by bit
-count and hash, and tile pairs whose bit counts differ by more than the radius are never formed. No link is lost, and
-no cap is set: a large row only has more tile pairs. Each task gives a spanning forest of the links it found, so that
-a group of n near copies gives about n rows, and components follow from joins.
-
-Defined cases: a text without words has fingerprint zero, linked like any other; null doc_id is never a component's
-id unless the component has no other; equal texts and repeated rows have equal fingerprints and one component; an
-empty table gives an empty result.
+Fingerprints are compared exactly, with exclusive-or and bit counts in numpy, tile by tile. A tile holds the
+fingerprints of one band of bit counts, as wide as the radius and one; only tiles of the same or of neighbouring bands
+are paired, for beyond these the bit counts differ by more than the radius. To keep the number of tile pairs in
+proportion to the input, 64 bits are cut into six blocks first: at most four differing bits leave two blocks untouched,
+so that two linked fingerprints meet in the tiles of one of the fifteen pairs of blocks. A tile of more than TILE
+fingerprints is dealt by hash to several, each of which meets each of the others. No link is lost, and no cap is set.
+Each task gives a spanning forest of the links it found, so that a group of n near copies gives about n rows, and
+components follow from joins.
+
+Defined cases: null texts and texts without words have fingerprint zero, linked like any other; very long texts are
+hashed whole; null doc_id is never a component's id unless the component has no other; equal texts and repeated rows
+have equal fingerprints and one component; ties for the document that stays go to the least text, then to one row; an
+empty table gives an empty result; near_duplicates() ignores other columns, keep_one() passes them by untouched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, components, forest, table
+from .common import SALTS, Scratch, arrow_map, components, forest, table
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Blocks of the 64 bits: (first bit, bits). Radius plus two blocks, so that any two linked fingerprints agree on two.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
-#: Fingerprints that a tile holds before its row is cut by bit count and hash.
+#: Fingerprints that a tile holds before they are dealt by hash.
 TILE = 2048
 
 
@@ -81,15 +85,12 @@ def _tiles(prints: DataFrame, scratch: Scratch) -> DataFrame:
     rows = [F.struct(F.lit(i).alias("pair"), F.shiftleft(block[p], 11).bitwiseOR(block[q]).alias("value")) for i, (p, q) in enumerate(combinations(range(len(BLOCKS)), 2))]
     placed = prints.select("fp", F.explode(F.array(*rows)).alias("r")).select("fp", "r.pair", "r.value", F.bit_count("fp").alias("bits"))
     sizes = placed.groupBy("pair", "value").agg(F.count("*").alias("n")).where("n > 1")
-    met = placed.join(sizes, ["pair", "value"])
-    key = F.shiftleft(F.col("pair").cast("long"), 22).bitwiseOR(F.col("value").cast("long"))
-    small = met.where(F.col("n") <= TILE).select(F.xxhash64(key).alias("tile"), "fp")
-    # a large row: (bit count, salt) tiles, and every pair of them within the radius
+    # a row of more than TILE is dealt to ``cut`` parts, and every two of them meet
     cut = F.ceil(F.col("n") / TILE).cast("long")
-    large = met.where(F.col("n") > TILE).withColumn("cut", cut).withColumn("own", F.col("bits") * F.col("cut") + F.pmod(F.xxhash64("fp", F.lit(7)), F.col("cut")))
-    low, high = F.greatest(F.col("bits") - RADIUS, F.lit(0)) * F.col("cut"), (F.col("bits") + RADIUS + 1) * F.col("cut") - 1
-    large = large.select("fp", "own", key.alias("key"), F.explode(F.sequence(low, high)).alias("other")).select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("tile"))
-    return small.unionByName(large.select("tile", "fp"))
+    met = placed.join(sizes, ["pair", "value"]).select("fp", "pair", "value", F.floor(F.col("bits") / (RADIUS + 1)).alias("band"), cut.alias("cut"), F.pmod(F.xxhash64("fp", F.lit(7)), cut).alias("part"))
+    # the pair of bands (b, b + 1) is compared under b; a fingerprint of band b stands in it and in (b - 1, b)
+    spread = met.withColumn("low", F.explode(F.array(F.col("band") - 1, F.col("band")))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)))
+    return spread.select("fp", F.xxhash64("pair", "value", "low", F.least("part", "other"), F.greatest("part", "other")).alias("tile"))
 
 
 def _compare(rows: DataFrame, radius: int) -> DataFrame:
@@ -139,9 +140,10 @@ def classes(prints: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFr
     edges = scratch.table(_compare(_tiles(ids.select("fp"), scratch), radius))
     roots = components(edges, scratch)
     scratch.free(edges)
-    rooted = ids.join(roots, ids.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "root", "component_id")
+    rooted = ids.join(roots, ids.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
+    # a component may hold very many fingerprints: they meet its id in several tasks
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rooted.join(least, ["root", "salt"]).select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -155,14 +157,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component, one row with the least doc_id (ties: the least text) stays."""
     scratch = Scratch(docs.sparkSession)
-    prints = scratch.table(fingerprints(docs.withColumn("text_hash", F.xxhash64("text")), ["doc_id", "text_hash"]))
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    prints = scratch.table(fingerprints(hashed, ["doc_id", "text_hash"]))
     found = classes(prints, scratch)
     # a component's rows that have its least doc_id: more than one only where ids repeat
     first = prints.join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-    chosen = first.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash")).distinct()
-    stay = docs.withColumn("_h", F.xxhash64("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left_semi")
-    one = W.partitionBy("doc_id", "_h").orderBy(F.xxhash64(*[c for c, k in docs.dtypes if not k.startswith("map")]))
-    return stay.withColumn("_n", F.row_number().over(one)).where("_n = 1").select(*docs.columns)
+    chosen = first.select(F.col("k.doc_id").alias("chosen_id"), F.col("k.text_hash").alias("chosen_hash")).distinct()
+    # the caller's columns travel in a struct, so that none of their names clashes
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64(*[c for c, k in docs.dtypes if not k.startswith("map")]).alias("place"))
+    stay = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("text_hash") == F.col("chosen_hash")), "left_semi")
+    one = W.partitionBy("doc_id", "text_hash").orderBy("place")
+    return stay.withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*")
 
 
 def op5_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

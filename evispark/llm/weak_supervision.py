@@ -150,7 +150,7 @@ def judged(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     own = rules()
     names = [f"vote_{r.name}" for r in own]
-    counts = scratch.keep(measured(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), *[r.vote().cast("byte").alias(n) for r, n in zip(own, names, strict=True)]))
+    counts = scratch.table(measured(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), *[r.vote().cast("byte").alias(n) for r, n in zip(own, names, strict=True)]))
     found = counts.groupBy(*names).agg(F.count("*").alias("n")).collect()
     e = estimate({tuple(int(r[n]) for n in names): r["n"] for r in found}, len(own))
     p = posterior(e, [F.col(n) for n in names])
