@@ -4,9 +4,11 @@ A language's profile is its most frequent letter n-grams in order of frequency.
 are compared with each profile: an n-gram costs the distance of its two ranks, or the profile's length if it is
 missing there; the language with the least total is predicted.
 
-Defined cases: null texts and texts without a letter give ``und`` and score 0; texts of any length are profiled whole;
-ties go to the language that sorts first; without any labelled row every text gives ``und``; rows with null lang are
-predicted but not learned from; repeated rows are learned from as often as they stand.
+Defined cases: null and empty texts and texts without a letter give ``und`` and score 0; texts of any length are
+profiled whole; ties go to the language that sorts first, ties of frequency to the lesser n-gram; without any labelled
+row every text gives ``und``; rows with null lang are predicted but not learned from; repeated rows are learned from as
+often as they stand; a null doc_id is predicted and not held out; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from .common import arrow_map, fold, held_out, table
 
 #: N-gram lengths, entries of a profile, and labelled documents learned from for each language (a documented bound).
 SIZES, PROFILE, SAMPLE = (1, 2, 3), 300, 1000
+#: Parts into which a language's rows are dealt before its first ones are chosen.
+PARTS = 256
 UNKNOWN = "und"
 
 
@@ -70,8 +74,10 @@ def profiles(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[int]]:
     """Profiles of the languages of ``docs`` (doc_id, text, lang), from ``sample`` documents of each, chosen by hash."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
     # the sample's bound by language, found on (lang, h) alone; one number a language comes to the driver
-    first = W.partitionBy("lang").orderBy("h")
-    light = known.select("lang", "h").withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample)
+    # of each language, the first of every part, then the first of these: no task sees a whole language
+    light = known.select("lang", "h", F.pmod("h", F.lit(PARTS)).alias("part"))
+    for by in (["lang", "part"], ["lang"]):
+        light = light.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy("h"))).where(F.col("n") <= sample)
     bound = {r.lang: r.h for r in light.groupBy("lang").agg(F.max("h").alias("h")).collect()}
     if not bound:
         return {}
@@ -96,8 +102,10 @@ def profiles(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[int]]:
         return work
 
     counted = arrow_map(chosen, "lang string, gram bigint, n bigint", make).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    rows = counted.withColumn("r", F.row_number().over(top)).where(F.col("r") <= PROFILE).select("lang", "gram", "r").collect()
+    top = counted.withColumn("part", F.pmod("gram", F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        top = top.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n"), "gram"))).where(F.col("r") <= PROFILE)
+    rows = top.select("lang", "gram", "r").collect()
     out: dict[str, list[int]] = {}
     for row in sorted(rows, key=lambda x: (x.lang, x.r)):
         out.setdefault(row.lang, []).append(row.gram)
