@@ -4,12 +4,14 @@ The score is a logistic of a bias, weights, and all pairwise interactions of a r
 factors. The sum over pairs is half of (the square of the sum minus the sum of the squares) for each factor, so that a
 row is scored in time linear in its features.
 
-Learned on the driver from a bounded sample of labelled rows (SAMPLE, a documented parameter) whose features come from
-the executors; everything else covers every row and whole texts.
-
-Defined cases: null and empty texts have the statistics of an empty text and get a score like any other; without any
-usable label every score is 0.5; a doc_id with several labels counts with their mean, at least 0.5 being 1; null
-n_chars has a feature of its own; repeated rows score alike; extra columns are ignored.
+Learned on the driver from a bounded sample of labelled rows (SAMPLE rows with at most LEARNED features in all, both
+documented parameters) whose features come from the executors; everything else covers every row and whole texts.
+
+Defined cases: null and empty texts have the statistics of an empty text and get a score like any other; very long
+texts are read whole, and their word features stay at most 65,536; without any usable label every score is 0.5; a
+doc_id with several labels counts with their mean, at least 0.5 being 1; null n_chars has a feature of its own; a null
+doc_id is scored and never learned from; repeated rows score alike; an empty table gives an empty result; extra columns
+are ignored by score() and passed by untouched by accepted(), whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, arrow_map, held_out, table
+from .common import Scratch, WordHashes, arrow_map, fresh, held_out, table
 
-#: Hashed word features (a power of two), factors, bins of a statistic, and labelled rows learned from.
-WORDS, FACTORS, BINS, SAMPLE = 1 << 16, 8, 16, 6000
+#: Hashed word features (a power of two), factors, bins of a statistic, and labelled rows and features learned from.
+WORDS, FACTORS, BINS, SAMPLE, LEARNED = 1 << 16, 8, 16, 6000, 10_000_000
 STATISTICS = ("words", "length", "distinct", "adjacent", "upper", "digits", "symbols", "pipes", "marks", "points", "lines", "again", "foreign", "n_chars")
 FEATURES = WORDS + BINS * len(STATISTICS)
 THRESHOLD = 0.7
@@ -86,9 +88,9 @@ class Machine:
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> Machine:
     """Logistic loss by adaptive gradient steps; both classes weigh the same up to a factor of four."""
     random = np.random.default_rng(seed)
-    m = Machine(0.0, np.zeros(FEATURES), random.normal(0, 0.05, (FEATURES, FACTORS)))
     if not len(rows):
-        return m
+        return Machine(0.0, np.zeros(FEATURES), np.zeros((FEATURES, FACTORS)))
+    m = Machine(0.0, np.zeros(FEATURES), random.normal(0, 0.05, (FEATURES, FACTORS)))
     share = np.clip(labels.mean(), 0.02, 0.98)
     importance = np.where(labels > 0.5, 1.0, min(4.0, share / (1 - share)))
     seen_w, seen_v, seen_b = np.full(FEATURES, 1e-6), np.full((FEATURES, FACTORS), 1e-6), 1e-6
@@ -121,8 +123,9 @@ def _with_metadata(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", n)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Learn from at most ``sample`` labelled rows outside the held-out fold, chosen by hash of doc_id."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learned: int = LEARNED) -> Machine:
+    """Learn from at most ``sample`` labelled rows outside the held-out fold, chosen by hash of doc_id, with at most
+    ``learned`` features in all, so that long texts don't fill the driver."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = _with_metadata(docs).select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id").select("text", "n_chars", "y")
@@ -136,19 +139,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
         return work
 
-    got = arrow_map(rows, "y double, ids binary, values binary", make).collect()
-    got.sort(key=lambda r: (zlib.crc32(r.ids), zlib.crc32(r["values"]), r.y))  # the order of arrival is not fixed
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.table(arrow_map(rows, "y double, ids binary, values binary", make).withColumn("h", F.xxhash64("ids", "values", "y")))
+    sizes = found.groupBy("h").agg(F.sum(F.length("ids") / 4).alias("n")).orderBy("h").collect()
+    taken = int(np.searchsorted(np.cumsum([r.n for r in sizes]), learned, "right"))
+    last = sizes[taken - 1].h if taken else None
+    got = found.where(F.col("h") <= F.lit(last)).collect()
+    scratch.free(found)
+    got.sort(key=lambda r: (r.h, zlib.crc32(r.ids)))  # the order of arrival is not fixed
     pairs = [(np.frombuffer(r.ids, "<i4").astype(np.int64), np.frombuffer(r["values"], "<f4").astype(np.float64)) for r in got]
     return fit(pairs, np.array([r.y for r in got]))
 
 
-def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, held_out, score, predicted (or the columns of ``carry`` and predicted)."""
+def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, verdict: str | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, held_out, score, predicted (or all its columns and the prediction as ``verdict``)."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    keep = ["doc_id"] if carry is None else carry
+    keep = ["doc_id"] if verdict is None else docs.columns
     used = _with_metadata(docs).select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], held_out().alias("held"), "text", F.col("n_chars").alias("n"))
     small = Machine(machine.bias, machine.weights.astype(np.float32), machine.factors.astype(np.float32))
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + (", held_out boolean, score double, predicted int" if carry is None else ", `predicted by machine` int")
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + (", held_out boolean, score double, predicted int" if verdict is None else f", `{verdict}` int")
 
     def make():
         features = Features()
@@ -156,8 +165,8 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, carry
         def work(cols: dict) -> dict:
             s = small.scores([features(t, n) for t, n in zip(cols["text"].to_pylist(), cols["n"].to_pylist(), strict=True)])
             out = {c: cols[f"c{i}"] for i, c in enumerate(keep)}
-            if carry is not None:
-                return out | {"predicted by machine": (s >= threshold).astype(np.int32)}
+            if verdict is not None:
+                return out | {verdict: (s >= threshold).astype(np.int32)}
             return out | {"held_out": cols["held"], "score": s.astype(np.float64), "predicted": (s >= threshold).astype(np.int32)}
 
         return work
@@ -167,8 +176,8 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, carry
 
 def accepted(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score at least ``threshold``."""
-    out = score(docs, machine, threshold, carry=docs.columns)
-    return out.where(F.col("predicted by machine") == 1).select(*docs.columns)
+    verdict = fresh(docs.columns, "predicted")
+    return score(docs, machine, threshold, verdict).where(F.col(verdict) == 1).select(*docs.columns)
 
 
 def op1_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
