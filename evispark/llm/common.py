@@ -175,18 +175,26 @@ def slices(batches: Iterable[pa.RecordBatch], text: str | None = "text") -> Iter
 
 
 def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dict]], text: str | None = "text") -> DataFrame:
-    """``make()`` runs once a partition and gives a function from a slice's columns to the columns of ``schema``."""
+    """``make()`` runs once a partition and gives a function from a slice's columns to the columns of ``schema``.
+
+    Where it gives two functions, the second one is called at the partition's end and may give more rows.
+    """
     kinds = StructType.fromDDL(schema)
     arrow = to_arrow_schema(kinds)
 
+    def rows(out: dict | None) -> Iterator[pa.RecordBatch]:
+        if out is not None:
+            cols = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in ((out[f.name], f) for f in arrow)]
+            if len(cols[0]):
+                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
+        work, end = work if isinstance(work, tuple) else (work, None)
         for part in slices(batches, text):
-            out = work({name: part.column(name) for name in part.schema.names})
-            if out is not None:
-                cols = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in ((out[f.name], f) for f in arrow)]
-                if len(cols[0]):
-                    yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+            yield from rows(work({name: part.column(name) for name in part.schema.names}))
+        if end is not None:
+            yield from rows(end())
 
     return df.mapInArrow(run, kinds)
 

@@ -205,40 +205,94 @@ def test_repeated_bytes_beside_copies(spark):
     assert got == {i: (80, 1, hashlib.sha256(x[80:].encode()).hexdigest()) if i % 3 == 2 else (120, 1, hashlib.sha256(b"").hexdigest()) for i, x in rows}
 
 
-def test_decontamination(spark, rows):
-    r = random.Random(8)
+def bag_of(text, q=5):
+    w = words((text or "").lower())
+    q = min(q, len(w))
+    return [tuple(w[i : i + q]) for i in range(len(w) - q + 1)] if w else []
+
+
+def exhaustive_leaks(docs, items):
+    """Every window of every document against every item, by the exact similarity of the bags of shingles."""
+    out = set()
+    for i, t in docs:
+        w = words((t or "").lower())
+        for item, b in items:
+            bag = bag_of(b)
+            if not bag:
+                continue
+            q = len(bag[0])
+            own = [tuple(w[j : j + q]) for j in range(len(w) - q + 1)]
+            size = min(len(bag), len(own))
+            for a in range(len(own) - size + 1):
+                both = sum((Counter(own[a : a + size]) & Counter(bag)).values())
+                if size and both / (size + len(bag) - both) >= 0.8:
+                    out.add((i, item))
+                    break
+    return out
+
+
+@pytest.mark.parametrize("part", [2000, 3])
+def test_decontamination(spark, rows, part):
     texts = [t for _, t in rows if t and len(words(t)) > 60][:6]
-    items = [(100 + i, " ".join(words(t)[i : i + 25 + i])) for i, t in enumerate(texts)] + [(1, None), (2, ""), (3, "a"), (4, "tie tie tie"), (5, "never said anywhere before now"), (100, "word word word word word word")]
+    items = [(100 + i, " ".join(words(t)[i : i + 25 + i])) for i, t in enumerate(texts)] + [(1, None), (2, ""), (3, "a"), (4, "tie tie tie"), (5, "never said anywhere before now"), (100, "word word word word word word"), (None, "line line line")]
     edited = []
     for i, (_, t) in enumerate(items[:6]):
         w = t.split()
         w[len(w) // 2] = "changed"
         edited.append((5000 + i, "before it " + " ".join(w).upper() + " after it"))
     docs = [*rows, *edited]
-    shingles = lambda w: [tuple(w[i : i + min(5, len(w))]) for i in range(len(w) - min(5, len(w)) + 1)] if w else []
-    expected = set()
-    for i, t in docs:
-        s = {q: shingles_of(words((t or "").lower()), q) for q in range(1, 6)}
-        for item, b in items:
-            bag = shingles(words((b or "").lower()))
-            if not bag:
-                continue
-            own = s[len(bag[0])]
-            size = min(len(bag), len(own))
-            best = max((sum((Counter(own[a : a + size]) & Counter(bag)).values()) / (size + len(bag) - sum((Counter(own[a : a + size]) & Counter(bag)).values())) for a in range(len(own) - size + 1)), default=0)
-            if best >= 0.8:
-                expected.add((i, item))
-    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    d = corpus(spark, docs)
-    got = decontamination.leaks(d, benchmark).collect()
+    expected = exhaustive_leaks(docs, items)
+    benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, doc_id string")
+    d = corpus(spark, docs).withColumn("c0", common.F.lit("clash")).withColumn("item_id", common.F.lit(7))
+    got = decontamination.leaks(d, benchmark, items=part).collect()
     assert {(x.doc_id, x.item_id) for x in got} == expected and len({i for i, _ in expected}) > 5
-    clean = decontamination.decontaminated(d, benchmark)
-    assert clean.columns == d.columns and Counter(x.doc_id for x in clean.collect()) == Counter(i for i, _ in docs if i not in {e[0] for e in expected})
-    assert r
-
-
-def shingles_of(w, q):
-    return [tuple(w[i : i + q]) for i in range(len(w) - q + 1)]
+    clean = decontamination.decontaminated(d, benchmark, items=part)
+    assert clean.columns == d.columns and {x.c0 for x in clean.collect()} == {"clash"}
+    assert Counter(x.doc_id for x in clean.collect()) == Counter(i for i, _ in docs if i not in {e[0] for e in expected})
+
+
+def test_recall_of_the_multi_index(spark):
+    """Windows just within the bound, of plain and of repetitive items, against every window's exact similarity."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(5))
+    docs, items = [], []
+    for i in range(240):
+        n = r.choice([9, 14, 25, 40, 60, 120])
+        run = r.choice([0, 0, n // 4, n // 2])
+        w = [word() for _ in range(n - run)] + [word()] * run
+        items.append((i, " ".join(w)))
+        near = list(w)
+        # the run is of another word, or single words change, as long as the bags stay similar
+        changes = [lambda: near.__setitem__(slice(n - run, n), [word()] * run)] + [lambda: near.__setitem__(r.randrange(n), word())] * 6
+        r.shuffle(changes)
+        for change in changes:
+            before = list(near)
+            change()
+            a, b = Counter(bag_of(" ".join(near))), Counter(bag_of(" ".join(w)))
+            if sum((a & b).values()) / sum((a | b).values()) < 0.8:
+                near[:] = before
+        docs.append((1000 + i, " ".join([word() for _ in range(r.randrange(30))] + near + [word() for _ in range(r.randrange(30))])))
+    expected = exhaustive_leaks(docs, items)
+    got = {(x.doc_id, x.item_id) for x in decontamination.leaks(corpus(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got <= expected and len(expected) >= 240 and len(got) >= 0.99 * len(expected)
+
+
+def test_radius_and_blocks():
+    """The radius of an item size holds what is at the bound; within it, some block is found, whatever bits differ."""
+    r = np.random.default_rng(5)
+    for n in (9, 30, 100):
+        m = decontamination.needed(n, n)
+        h = decontamination.mix(r.integers(0, 2**63, 3000 * (2 * n - m)).astype(np.uint64)).reshape(3000, -1)
+        one = np.concatenate([decontamination.window_bits(x[:n], n) for x in h])
+        two = np.concatenate([decontamination.window_bits(np.concatenate([x[:m], x[n:]]), n) for x in h])
+        distance = (one != two).sum(axis=1)
+        assert (distance > decontamination.radius(n)).mean() < 0.005
+        group = decontamination.Group(n, one[:40])
+        far = one[:40].copy()
+        for x in far:
+            x[r.choice(256, decontamination.radius(n), replace=False)] ^= 1
+        w, i, d = group.near(far)
+        assert {(a, a) for a in range(40)} <= set(zip(w.tolist(), i.tolist(), strict=True)) and d.max() == decontamination.radius(n)
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
