@@ -1,18 +1,22 @@
 """Substring dedup over bytes by threshold-bounded interval expansion on Burrows-Wheeler transforms.
 
-A string of the threshold's length holds an anchor: the leftmost least hash of its k-grams, chosen by the string's own
-bytes. Strings that are equal have equal anchors, so that the corpus falls apart into groups of stretches around
+A string of the shorter threshold's length holds an anchor: the leftmost least hash of its k-grams, chosen by the string's
+own bytes. Strings that are equal have equal anchors, so that the corpus falls apart into groups of stretches around
 equal anchors, and a stretch whose anchor and further context occur once needs no more work. Where all occurrences of
 two neighbouring anchors agree in everything between them, what lies inside is settled for all of them at once.
 Groups of different stretches are packed into blocks of bounded size. Each block's Burrows-Wheeler transform is
 extended backward, breadth first from the empty string: the intervals of length l settle where neighbouring suffixes
-share exactly l bytes, so that common prefixes come out by increasing value, and at the threshold the search stops:
-what is not settled then is shared over at least the threshold. A group with more stretches than a block may hold is
-compared string by string by a 128-bit hash instead. Nothing is sampled or capped.
+share exactly l bytes, so that common prefixes come out by increasing value. What is not settled when the length of
+SHORT is reached is shared over at least that, and at LENGTH the search stops. A group that would not fit a block is
+split by further context, the bytes before or after what its strings have in common, half of what is left each time,
+until its parts fit. Nothing is sampled or capped, and every comparison is a transform's.
 
-Defined cases: null texts are empty; a text shorter than the threshold stays whole; strings may overlap and may repeat
-within their own text; rows that repeat are each other's repeats; an empty table gives an empty result; the doc_id may
-be null or repeat, and columns beyond doc_id and text are ignored.
+Strings of LENGTH bytes are removed; strings of SHORT bytes, about fifty words, are only counted (n_repeated): repeated
+passages that are shorter than LENGTH show there.
+
+Defined cases: null texts are empty; a text shorter than the threshold stays whole; very long texts are compared whole;
+strings may overlap and may repeat within their own text; rows that repeat are each other's repeats; an empty table
+gives an empty result; the doc_id may be null or repeat, and columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, Scratch, arrow_map, mix, table, window_minima
 
-LENGTH, ANCHOR = 400, 64
-#: Symbols of a block, and stretches (each of at most LENGTH symbols) beyond which a group is compared by hashes.
-BLOCK, MANY = 1 << 18, 8192
+LENGTH, SHORT, ANCHOR = 400, 250, 64
+#: Symbols from which a block is full, and symbols of a group beyond which it is split by further context.
+BLOCK, GROUP = 1 << 18, 2 << 20
 
 
 class Hashing:
@@ -76,10 +80,11 @@ def _occurrences(rows: DataFrame, length: int, k: int) -> DataFrame:
     return arrow_map(rows.select("text", "r1", "r2"), "edge bigint, r1 bigint, r2 int, pos int, after bigint, before bigint", make)
 
 
-def _settle(rows: DataFrame, length: int, k: int) -> DataFrame:
+def _settle(rows: DataFrame, length: int, short: int, k: int) -> DataFrame:
     """Rows (r1, r2, start, n, g, f, core, bytes): runs of n settled string starts (g null), and open stretches by group g and
-    hash f, with the place of the bytes that the whole group has in common."""
-    half = (length - k) // 2
+    hash f, with the place of the bytes that the whole group has in common. A stretch goes on to the end of its last string
+    of ``length`` bytes, or of the text."""
+    half = (short - k) // 2
 
     def make():
         hashing = Hashing()
@@ -89,21 +94,21 @@ def _settle(rows: DataFrame, length: int, k: int) -> DataFrame:
             for text, r1, r2, found in zip(cols["text"].to_pylist(), cols["r1"].to_pylist(), cols["r2"].to_pylist(), cols["edges"].to_pylist(), strict=True):
                 data = text.encode("utf-8")
                 raw = np.frombuffer(data, np.uint8)
-                n = len(raw) - length + 1
+                n = len(raw) - short + 1
                 own = sorted({(e["pos"], e["joined"]) for e in found})
                 inside, i = np.zeros(n + 1, bool), 0
                 while i < len(own):
                     j = i
                     while j + 1 < len(own) and own[j][1]:
                         j += 1
-                    begin, end = own[i][0], min(own[j][0] + k - length + 1, n)
+                    begin, end = own[i][0], own[j][0] + k - length + 1
                     if end > begin:
                         inside[begin:end] = True
                         for c, v in zip(out, (r1, r2, begin, end - begin, None, None, None, None), strict=True):
                             out[c].append(v)
                     i = j + 1
                 one, two = hashing.prefixes(raw)
-                starts, places = window_minima(hashing.one.windows(one, k), length - k + 1)
+                starts, places = window_minima(hashing.one.windows(one, k), short - k + 1)
                 anchor = np.repeat(places, np.diff(np.append(starts, n)))
                 open_ = np.isin(anchor, np.array([p for p, _ in own])) & ~inside[:n]
                 if not open_.any():
@@ -114,9 +119,10 @@ def _settle(rows: DataFrame, length: int, k: int) -> DataFrame:
                 cut = np.flatnonzero(np.append(True, (np.diff(s) > 1) | (np.diff(a) != 0) | (left[1:] != left[:-1])))
                 count = np.diff(np.append(cut, len(s)))
                 s, a, left = s[cut], a[cut], left[cut]
+                end = np.minimum(s + count + length - 1, len(raw))
                 low = np.where(left, a - half, a)
                 g = mix(hashing.two.runs(two, low, low + half + k) + left.astype(np.uint64))
-                f = hashing.one.runs(one, s, s + count + length - 1)
+                f = mix(hashing.one.runs(one, s, end) + count.astype(np.uint64))
                 out["r1"] += [r1] * len(s)
                 out["r2"] += [r2] * len(s)
                 out["start"] += s.tolist()
@@ -124,7 +130,7 @@ def _settle(rows: DataFrame, length: int, k: int) -> DataFrame:
                 out["g"] += g.view(np.int64).tolist()
                 out["f"] += f.view(np.int64).tolist()
                 out["core"] += (low - s).tolist()
-                out["bytes"] += [data[x : x + c + length - 1] for x, c in zip(s.tolist(), count.tolist(), strict=True)]
+                out["bytes"] += [data[x:y] for x, y in zip(s.tolist(), end.tolist(), strict=True)]
             return out if out["r1"] else None
 
         return work
@@ -157,41 +163,44 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         h *= 2
 
 
-def shared_suffixes(symbols: np.ndarray, threshold: int) -> np.ndarray:
-    """Starts of suffixes whose first ``threshold`` symbols also start elsewhere in ``symbols``."""
+def shared_suffixes(symbols: np.ndarray, thresholds: list[int]) -> list[np.ndarray]:
+    """For each of some increasing thresholds, the starts of suffixes whose first so many symbols also start elsewhere."""
     n = len(symbols)
-    order = suffix_order(symbols, threshold)
+    order = suffix_order(symbols, thresholds[-1])
     bwt = symbols[order - 1]
     size = int(symbols.max()) + 1
     # where the suffix that is longer by the symbol before stands
     step = np.empty(n, np.int64)
     step[np.argsort(bwt, kind="stable")] = np.arange(n)
-    #: whether the common prefix of suffixes i - 1 and i, in order, is known to be shorter than the threshold
+    #: whether the common prefix of suffixes i - 1 and i, in order, is known to be shorter than the length reached
     settled = np.zeros(n + 1, bool)
     settled[0] = settled[n] = True
     low, high = np.zeros(1, np.int64), np.full(1, n, np.int64)
-    for _ in range(threshold):
-        sizes = high - low
-        owner = np.repeat(np.arange(len(low)), sizes)
-        at = np.arange(len(owner)) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
-        key = owner * size + bwt[at]
-        if len(low) < len(at):
-            sort = np.argsort(key, kind="stable")
-            key, at = key[sort], at[sort]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        last = np.append(first[1:], len(key)) - 1
-        low, high = step[at[first]], step[at[last]] + 1
-        new = ~settled[high]
-        low, high = low[new], high[new]
-        settled[high] = True
-        if not len(low):
-            break
-    shared = ~settled
-    return order[shared[:n] | shared[1:]]
-
-
-def repeated_starts(sequences: list[np.ndarray], threshold: int) -> list[np.ndarray]:
-    """For each of some different sequences, the starts of its strings of ``threshold`` symbols that also start elsewhere in them."""
+    out = []
+    for reached in range(1, thresholds[-1] + 1):
+        if len(low):
+            sizes = high - low
+            owner = np.repeat(np.arange(len(low)), sizes)
+            at = np.arange(len(owner)) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
+            key = owner * size + bwt[at]
+            if len(low) < len(at):
+                sort = np.argsort(key, kind="stable")
+                key, at = key[sort], at[sort]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            last = np.append(first[1:], len(key)) - 1
+            low, high = step[at[first]], step[at[last]] + 1
+            new = ~settled[high]
+            low, high = low[new], high[new]
+            settled[high] = True
+        if reached == thresholds[len(out)]:
+            shared = ~settled
+            out.append(order[shared[:n] | shared[1:]])
+    return out
+
+
+def repeated_starts(sequences: list[np.ndarray], thresholds: list[int]) -> list[list[np.ndarray]]:
+    """For each threshold, and for each of some different sequences, the starts of its strings of so many symbols that also
+    start elsewhere in them."""
     ends = np.cumsum([len(x) + 1 for x in sequences])
     begin = np.append(0, ends[:-1])
     symbols = np.full(int(ends[-1]), -1, np.int64)
@@ -201,9 +210,12 @@ def repeated_starts(sequences: list[np.ndarray], threshold: int) -> list[np.ndar
     used, small = np.unique(symbols[symbols >= 0], return_inverse=True)
     symbols[symbols >= 0] = small
     symbols[ends - 1] = len(used) + np.arange(len(ends))
-    starts = np.sort(shared_suffixes(symbols, threshold))
-    of = np.searchsorted(ends, starts, "right")
-    return np.split(starts - begin[of], np.searchsorted(of, np.arange(1, len(ends))))
+    out = []
+    for found in shared_suffixes(symbols, thresholds):
+        starts = np.sort(found)
+        of = np.searchsorted(ends, starts, "right")
+        out.append(np.split(starts - begin[of], np.searchsorted(of, np.arange(1, len(ends)))))
+    return out
 
 
 def condensed(stretch: bytes, core: int, size: int, symbol: int) -> np.ndarray:
@@ -212,22 +224,26 @@ def condensed(stretch: bytes, core: int, size: int, symbol: int) -> np.ndarray:
     return np.concatenate([x[:core], [symbol], x[core + size :]]).astype(np.int64)
 
 
-def _runs(starts: np.ndarray) -> list[dict]:
+def _runs(starts: np.ndarray, long: bool) -> list[dict]:
     if not len(starts):
         return []
     cut = np.flatnonzero(np.append(True, np.diff(starts) > 1))
-    return [{"a": a, "n": n} for a, n in zip(starts[cut].tolist(), np.diff(np.append(cut, len(starts))).tolist(), strict=True)]
+    return [{"a": a, "n": n, "long": long} for a, n in zip(starts[cut].tolist(), np.diff(np.append(cut, len(starts))).tolist(), strict=True)]
+
 
+RUNS = "array<struct<a:int,n:int,long:boolean>>"
 
-def _expand(stretches: DataFrame, length: int, k: int) -> DataFrame:
-    """For different stretches (g, f, core, bytes): rows (g, f, runs) of those with repeats, found block by block.
 
-    All strings of a stretch hold its core, and no other string of as many symbols as they have then is long enough.
+def _expand(stretches: DataFrame, size: int, lengths: dict[int, bool]) -> DataFrame:
+    """For different stretches (g, f, n, core, bytes) whose groups share ``size`` bytes: rows (g, f, runs) of those with
+    repeats of any of ``lengths`` (each with its mark), found block by block.
+
+    The shared bytes count as one symbol. All strings of a stretch hold them, and no other string of as many symbols as
+    they have then is long enough.
     """
-    size = (length - k) // 2 + k
 
     def make():
-        state: dict = {"rows": [], "bytes": 0}
+        state: dict = {"rows": [], "symbols": 0}
 
         def flush(whole: bool) -> dict | None:
             rows = state["rows"]
@@ -237,134 +253,182 @@ def _expand(stretches: DataFrame, length: int, k: int) -> DataFrame:
                 while end and rows[end - 1][0] == rows[-1][0]:
                     end -= 1
             done, state["rows"] = rows[:end], rows[end:]
-            state["bytes"] = sum(len(x[2]) - size + 2 for x in state["rows"])
+            state["symbols"] = sum(len(x[3]) - size + 2 for x in state["rows"])
             if not done:
                 return None
             names = {g: 256 + i for i, g in enumerate(dict.fromkeys(x[0] for x in done))}
-            found = repeated_starts([condensed(x[2], x[3], size, names[x[0]]) for x in done], length - size + 1)
-            got = [(x[0], x[1], _runs(s)) for x, s in zip(done, found, strict=True) if len(s)]
-            return {"g": [x[0] for x in got], "f": [x[1] for x in got], "runs": [x[2] for x in got]}
+            found = repeated_starts([condensed(x[3], x[4], size, names[x[0]]) for x in done], [t - size + 1 for t in sorted(lengths)])
+            out: dict = {"g": [], "f": [], "runs": []}
+            for i, (g, f, n, _, _) in enumerate(done):
+                # further starts in a stretch are another one's
+                if runs := [r for own, t in zip(found, sorted(lengths), strict=True) for r in _runs(own[i][own[i] < n], lengths[t])]:
+                    for c, v in zip(out, (g, f, runs), strict=True):
+                        out[c].append(v)
+            return out
 
         def work(cols: dict) -> dict | None:
             out: dict = {"g": [], "f": [], "runs": []}
-            for row in zip(cols["g"].to_pylist(), cols["f"].to_pylist(), cols["bytes"].to_pylist(), cols["core"].to_pylist(), strict=True):
+            for row in zip(*(cols[c].to_pylist() for c in ("g", "f", "n", "bytes", "core")), strict=True):
                 state["rows"].append(row)
-                state["bytes"] += len(row[2]) - size + 2
-                part = flush(False) if state["bytes"] >= BLOCK and row[0] != state["rows"][-2:][0][0] else None
-                if part:
-                    for c in out:
-                        out[c] += part[c]
+                state["symbols"] += len(row[3]) - size + 2
+                part = flush(False) if state["symbols"] >= BLOCK and row[0] != state["rows"][-2:][0][0] else None
+                for c in out if part else ():
+                    out[c] += part[c]
             return out
 
         return work, lambda: flush(True)
 
     parts = int(stretches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _blocks(stretches.repartition(parts, "g").sortWithinPartitions("g"), make)
-
-
-def _blocks(df: DataFrame, make) -> DataFrame:
-    """Like arrow_map, with a last call at the end of each partition."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+    dealt = stretches.select("g", "f", "n", "core", "bytes").repartition(parts, "g").sortWithinPartitions("g")
+    return arrow_map(dealt, f"g bigint, f bigint, runs {RUNS}", make, text="bytes")
 
-    kinds = StructType.fromDDL("g bigint, f bigint, runs array<struct<a:int,n:int>>")
-    arrow = to_arrow_schema(kinds)
 
-    def run(batches):
-        work, end = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                out = work({n: part.column(n) for n in part.schema.names})
-                if out and out["g"]:
-                    yield pa.RecordBatch.from_pydict(out, schema=arrow)
-        out = end()
-        if out and out["g"]:
-            yield pa.RecordBatch.from_pydict(out, schema=arrow)
-
-    return df.select("g", "f", "core", "bytes").mapInArrow(run, kinds)
-
-
-def _by_hash(stretches: DataFrame, threshold: int) -> DataFrame:
-    """Like _expand, for groups of very many stretches: every string by its place in the group and a 128-bit hash."""
+def _part(pieces: DataFrame, size: int, more: int, length: int) -> DataFrame:
+    """Pieces (g, f, c, n, core, bytes, rg, rf, off) cut in two by which of their strings have ``more`` bytes before what the
+    group shares, and grouped by that and these bytes; for the others, by the bytes after it."""
 
     def make():
         hashing = Hashing()
 
         def work(cols: dict) -> dict:
-            out: dict[str, list] = {c: [] for c in ("g", "f", "a", "h1", "h2")}
-            for g, f, data in zip(cols["g"].to_pylist(), cols["f"].to_pylist(), cols["bytes"].to_pylist(), strict=True):
+            out: dict[str, list] = {c: [] for c in ("g", "f", "c", "n", "core", "bytes", "rg", "rf", "off")}
+            for c, n, core, data, rg, rf, off in zip(*(cols[c].to_pylist() for c in ("c", "n", "core", "bytes", "rg", "rf", "off")), strict=True):
                 one, two = hashing.prefixes(np.frombuffer(data, np.uint8))
-                n = len(data) - threshold + 1
-                out["g"].append(np.full(n, g, np.int64))
-                out["f"].append(np.full(n, f, np.int64))
-                out["a"].append(np.arange(n, dtype=np.int32))
-                out["h1"].append(hashing.one.windows(one, threshold).view(np.int64))
-                out["h2"].append(hashing.two.windows(two, threshold).view(np.int64))
-            return {c: np.concatenate(v) for c, v in out.items()}
+                left = min(max(core - more + 1, 0), n)
+                for side, a, b in ((1, 0, left), (0, left, n)):
+                    if b > a:
+                        low, end = (core - more if side else core), b + length - 1
+                        g = mix(hashing.two.runs(two, np.array([low]), np.array([low + size + more])) + np.uint64(side))
+                        f = mix(hashing.one.runs(one, np.array([a]), np.array([end])) + np.uint64(b - a))
+                        for name, v in zip(out, (int(g.view(np.int64)[0]), int(f.view(np.int64)[0]), c, b - a, low - a, data[a:end], rg, rf, off + a), strict=True):
+                            out[name].append(v)
+            return out
 
         return work
 
-    rows = arrow_map(stretches.select("g", "f", "bytes"), "g bigint, f bigint, a int, h1 bigint, h2 bigint", make, text="bytes")
-    twice = rows.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1").select("h1", "h2")
-    found = rows.join(twice, ["h1", "h2"]).groupBy("g", "f").agg(F.collect_set(F.struct("a", F.lit(1).alias("n"))).alias("runs"))
-    return found.select("g", "f", "runs")
+    return arrow_map(pieces, "g bigint, f bigint, c bigint, n int, core int, bytes binary, rg bigint, rf bigint, off int", make, text="bytes")
+
+
+def _kinds(pieces: DataFrame) -> DataFrame:
+    """The different stretches of each group and how often they stand."""
+    return pieces.groupBy("g", "f").agg(F.sum("c").alias("c"), *[F.any_value(c).alias(c) for c in ("n", "core", "bytes")])
+
 
+def _loads(kinds: DataFrame, size: int) -> DataFrame:
+    """Groups with more than one stretch and the symbols that their transform takes."""
+    return kinds.groupBy("g").agg(F.count("*").alias("different"), F.sum(F.length("bytes") - size + 2).alias("symbols")).where("different > 1")
 
-def removed_spans(rows: DataFrame, scratch: Scratch, length: int, k: int) -> DataFrame:
-    """Rows (r1, r2, spans: array of (start, n)) of runs of repeated string starts."""
-    occurrences = scratch.table(_occurrences(rows, length, k))
+
+def _copied(kinds: DataFrame, lengths: dict[int, bool]) -> DataFrame:
+    """Rows (g, f, runs) of stretches that stand more than once: all their strings repeat."""
+    whole = [F.struct(F.lit(0).alias("a"), F.least(F.col("n"), F.length("bytes") - t + 1).alias("n"), F.lit(mark).alias("long")) for t, mark in lengths.items()]
+    return kinds.where("c > 1").select("g", "f", F.filter(F.array(*whole), lambda r: r["n"] > 0).alias("runs"))
+
+
+def _split(stretches: DataFrame, scratch: Scratch, size: int, length: int, long: bool) -> list[DataFrame]:
+    """Like _expand, for groups that fit no block: rows (g, f, runs), a table a round, at most as many as halvings of ``length``."""
+    # of each stretch, what belongs to its strings of this length
+    n = F.least(F.col("n"), F.length("bytes") - length + 1).alias("n")
+    pieces = stretches.select("g", "f", "c", n, "core", "bytes", F.col("g").alias("rg"), F.col("f").alias("rf"), F.lit(0).alias("off")).where("n > 0")
+    out = []
+    while True:
+        more = -(-(length - size) // 2)
+        before = pieces
+        pieces = scratch.table(_part(before, size, more, length))
+        if out:
+            scratch.free(before)
+        size += more
+        kinds = scratch.table(_kinds(pieces))
+        loads = scratch.table(_loads(kinds, size))
+        found = _copied(kinds, {length: long}).unionByName(_expand(kinds.join(loads.where(F.col("symbols") <= GROUP).select("g"), "g"), size, {length: long}))
+        each = found.select("g", "f", F.explode("runs").alias("x"))
+        out.append(scratch.table(pieces.select("g", "f", "rg", "rf", "off").join(each, ["g", "f"]).groupBy(F.col("rg").alias("g"), F.col("rf").alias("f")).agg(F.collect_set(F.struct((F.col("off") + F.col("x.a")).alias("a"), F.col("x.n").alias("n"), F.col("x.long").alias("long"))).alias("runs"))))
+        big = loads.where(F.col("symbols") > GROUP).select("g")
+        if size == length or big.isEmpty():
+            scratch.free(pieces, kinds, loads)
+            return out
+        rest = scratch.table(pieces.join(big, "g"))
+        scratch.free(pieces, kinds, loads)
+        pieces = rest
+
+
+def removed_spans(rows: DataFrame, scratch: Scratch, length: int, short: int, k: int) -> DataFrame:
+    """Rows (r1, r2, spans: array of (start, n, long)) of runs of repeated string starts, of ``length`` bytes or of ``short``."""
+    occurrences = scratch.table(_occurrences(rows, short, k))
     same = lambda c: (F.min(c) == F.max(c)) & (F.min(c) != 0)
     edges = scratch.table(occurrences.groupBy("edge").agg(F.count("*").alias("c"), same("after").alias("one_after"), same("before").alias("one_before"), F.min("after").alias("after"), F.min("before").alias("before")).where("c > 1"))
     # two anchors join if no occurrence of either goes on otherwise
     spans = edges.where("one_before").select(F.col("before").alias("span"))
     joined = edges.join(spans.distinct(), edges.one_after & (edges.after == spans.span), "left").select("edge", F.col("span").isNotNull().alias("joined"))
-    at = occurrences.select("edge", "r1", "r2", "pos").join(joined, "edge").groupBy("r1", "r2").agg(F.collect_list(F.struct("pos", "joined")).alias("edges"))
-    texts = rows.where(F.octet_length("text") >= length).select("r1", "r2", "text").join(at, ["r1", "r2"]).select("text", "r1", "r2", "edges")
-    settled = scratch.table(_settle(texts, length, k))
+    at = scratch.table(occurrences.select("edge", "r1", "r2", "pos").join(joined, "edge").groupBy("r1", "r2").agg(F.collect_list(F.struct("pos", "joined")).alias("edges")))
     scratch.free(occurrences, edges)
     scratch.settle()
+    texts = rows.where(F.octet_length("text") >= short).select("r1", "r2", "text").join(at, ["r1", "r2"]).select("text", "r1", "r2", "edges")
+    settled = scratch.table(_settle(texts, length, short, k))
+    scratch.free(at)
+    scratch.settle()
     open_ = settled.where("g is not null")
-    # different stretches of groups that have more than one occurrence; their number d is an estimate, which only chooses the way
-    groups = open_.groupBy("g").agg(F.count("*").alias("c"), F.approx_count_distinct("f").alias("d"), (F.min("f") < F.max("f")).alias("differ")).where("c > 1")
-    kinds = scratch.table(open_.groupBy("g", "f").agg(F.count("*").alias("c"), F.any_value("n").alias("n"), F.any_value("core").alias("core"), F.any_value("bytes").alias("bytes")).join(groups.select("g", "d", "differ"), "g"))
-    several = kinds.where("differ").select("g", "f", "d", "core", "bytes")
-    found = _expand(several.where(F.col("d") <= MANY), length, k).unionByName(_by_hash(several.where(F.col("d") > MANY), length))
-    copies = kinds.where("c > 1").select("g", "f", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("n"))).alias("runs"))
-    runs = scratch.table(found.unionByName(copies))
-    hits = open_.select("g", "f", "r1", "r2", "start").join(runs, ["g", "f"]).select("r1", "r2", "start", F.explode("runs").alias("x")).select("r1", "r2", (F.col("start") + F.col("x.a")).alias("start"), F.col("x.n").alias("n"))
-    every = settled.where("g is null").select("r1", "r2", "start", "n").unionByName(hits)
-    return every.groupBy("r1", "r2").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    # stretches of groups that have more than one occurrence
+    groups = open_.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g")
+    size, lengths = (short - k) // 2 + k, {short: False, length: True}
+    kinds = scratch.table(_kinds(open_.withColumn("c", F.lit(1).cast("long")).join(groups, "g")))
+    loads = scratch.table(_loads(kinds, size))
+    found = _copied(kinds, lengths).unionByName(_expand(kinds.join(loads.where(F.col("symbols") <= GROUP).select("g"), "g"), size, lengths))
+    big = loads.where(F.col("symbols") > GROUP).select("g")
+    if not big.isEmpty():
+        large = scratch.table(kinds.join(big, "g"))
+        for t, mark in lengths.items():
+            for part in _split(large, scratch, size, t, mark):
+                found = found.unionByName(part)
+        scratch.free(large)
+    runs = scratch.table(found)
+    scratch.free(kinds, loads)
+    hits = open_.select("g", "f", "r1", "r2", "start").join(runs, ["g", "f"]).select("r1", "r2", "start", F.explode("runs").alias("x")).select("r1", "r2", (F.col("start") + F.col("x.a")).alias("start"), F.col("x.n").alias("n"), F.col("x.long").alias("long"))
+    every = settled.where("g is null").select("r1", "r2", "start", "n", F.lit(True).alias("long")).unionByName(hits)
+    out = scratch.table(every.groupBy("r1", "r2").agg(F.collect_set(F.struct("start", "n", "long")).alias("spans")))
+    scratch.free(settled, runs)
+    scratch.settle()
+    return out
+
+
+def _covered(n: int, spans: list, lengths: dict[bool, int]) -> np.ndarray:
+    """Which of ``n`` bytes some string covers, of ``spans`` with a mark in ``lengths``, the strings' length."""
+    own = [(s["start"], s["n"] + lengths[s["long"]] - 1) for s in spans if s["long"] in lengths]
+    gone = np.zeros(n + 1, np.int64)
+    np.add.at(gone, [a for a, _ in own], 1)
+    np.add.at(gone, [a + m for a, m in own], -1)
+    return np.cumsum(gone)[:-1] > 0
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, short: int = SHORT, k: int = ANCHOR, texts: bool = False) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, the kept bytes' digest (or the
+    kept bytes), and n_repeated, the bytes that repeated strings of ``short`` bytes cover."""
+    if not k < short < length:
+        raise ValueError("an anchor is shorter than the short strings, and these than the removed ones")
     scratch = Scratch(docs.sparkSession)
-    spans = removed_spans(_identity(docs), scratch, length, k)
+    spans = removed_spans(_identity(docs), scratch, length, short, k)
     rows = _identity(docs).join(spans, ["r1", "r2"], "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    result = ("kept", "binary") if texts else ("kept_sha256", "string")
 
     def make():
         def work(cols: dict) -> dict:
-            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+            out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], result[0]: [], "n_repeated": []}
             for text, spans in zip(cols["text"].to_pylist(), cols["spans"].to_pylist(), strict=True):
                 data = (text or "").encode("utf-8")
-                kept, runs = data, 0
+                kept, runs, repeated = data, 0, 0
                 if spans:
-                    gone = np.zeros(len(data) + 1, np.int64)
-                    np.add.at(gone, [s["start"] for s in spans], 1)
-                    np.add.at(gone, [s["start"] + s["n"] + length - 1 for s in spans], -1)
-                    stay = np.cumsum(gone)[:-1] == 0
-                    runs = int((~stay[1:] & stay[:-1]).sum()) + int(not stay[0])
-                    kept = np.frombuffer(data, np.uint8)[stay].tobytes()
-                for c, v in zip(out, (len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()), strict=True):
+                    gone = _covered(len(data), spans, {True: length})
+                    runs = int((gone[1:] & ~gone[:-1]).sum()) + int(gone[0])
+                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                    repeated = int(_covered(len(data), spans, {True: length, False: short}).sum())
+                for c, v in zip(out, (len(data), len(data) - len(kept), runs, kept if texts else hashlib.sha256(kept).hexdigest(), repeated), strict=True):
                     out[c].append(v)
             return {"doc_id": cols["doc_id"]} | out
 
         return work
 
-    return arrow_map(rows, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", make)
+    return arrow_map(rows, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, {result[0]} {result[1]}, n_repeated bigint", make)
 
 
 def op7_bwt_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:

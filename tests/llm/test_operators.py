@@ -169,39 +169,70 @@ def test_repeated_words(spark, rows):
 def test_interval_expansion():
     r = random.Random(3)
     for _ in range(60):
-        t = r.choice([1, 3, 5, 9])
-        parts = list({bytes(r.choice(b"ab") for _ in range(r.randint(t, 40))) for _ in range(r.randint(1, 12))})
-        count = Counter(x[i : i + t] for x in parts for i in range(len(x) - t + 1))
-        expected = [[i for i in range(len(x) - t + 1) if count[x[i : i + t]] > 1] for x in parts]
-        assert [x.tolist() for x in substring_bytes.repeated_starts([np.frombuffer(x, np.uint8) for x in parts], t)] == expected
-
-
-@pytest.mark.parametrize(("length", "k", "many"), [(400, 64, 512), (60, 16, 512), (61, 16, 512), (60, 16, 2)])
-def test_repeated_bytes(spark, rows, length, k, many, monkeypatch):
-    monkeypatch.setattr(substring_bytes, "MANY", many)
-    data = [(i, (t or "").encode()) for i, t in rows]
-    count = Counter(b[i : i + length] for _, b in data for i in range(len(b) - length + 1))
-    expected = Counter()
-    for i, b in data:
-        stay = [True] * len(b)
+        t = sorted(r.sample([1, 3, 5, 9], 2))
+        parts = list({bytes(r.choice(b"ab") for _ in range(r.randint(t[0], 40))) for _ in range(r.randint(1, 12))})
+        found = substring_bytes.repeated_starts([np.frombuffer(x, np.uint8) for x in parts], t)
+        for m, got in zip(t, found, strict=True):
+            count = Counter(x[i : i + m] for x in parts for i in range(len(x) - m + 1))
+            assert [x.tolist() for x in got] == [[i for i in range(len(x) - m + 1) if count[x[i : i + m]] > 1] for x in parts]
+
+
+def repeated(data, length):
+    """Which bytes of each text some string of so many bytes covers that starts anywhere else."""
+    count = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    for b in data:
+        gone = [False] * len(b)
         for at in range(len(b) - length + 1):
             if count[b[at : at + length]] > 1:
-                stay[at : at + length] = [False] * length
-        spans = sum(not s and (j == 0 or stay[j - 1]) for j, s in enumerate(stay))
-        kept = bytes(x for x, s in zip(b, stay, strict=True) if s)
-        expected[i, len(b), stay.count(False), spans, hashlib.sha256(kept).hexdigest()] += 1
-    assert keyed(substring_bytes.remove_repeats(corpus(spark, rows), length, k), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]) == expected
+                gone[at : at + length] = [True] * length
+        yield gone
+
+
+def brute_bytes(rows, length, short):
+    data = [(t or "").encode() for _, t in rows]
+    out = Counter()
+    for (i, _), b, gone, some in zip(rows, data, repeated(data, length), repeated(data, short), strict=True):
+        spans = sum(s and (j == 0 or not gone[j - 1]) for j, s in enumerate(gone))
+        kept = bytes(x for x, s in zip(b, gone, strict=True) if not s)
+        out[i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest(), sum(some)] += 1
+    return out
+
+
+BYTES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"]
+
+
+@pytest.mark.parametrize(("length", "short", "k", "group"), [(400, 250, 64, 2 << 20), (60, 40, 16, 2 << 20), (61, 47, 16, 2 << 20), (60, 40, 16, 300), (61, 60, 16, 1)])
+def test_repeated_bytes(spark, rows, length, short, k, group, monkeypatch):
+    monkeypatch.setattr(substring_bytes, "GROUP", group)
+    expected = brute_bytes(rows, length, short)
+    got = substring_bytes.remove_repeats(corpus(spark, rows).withColumnRenamed("lang", "r1"), length, short, k)
+    assert keyed(got, BYTES) == expected and sum(n * x[2] for x, n in expected.items()) > 0
+
+
+def test_large_groups_of_repeated_bytes(spark, monkeypatch):
+    """A passage between different neighbours: one group of very many different stretches, far beyond a block."""
+    r = random.Random(9)
+    t = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    passage, some = t(300), [t(40) for _ in range(6)]
+    rows = [(i, t(r.randrange(60)) + r.choice(some)[r.randrange(40) :] + passage + r.choice(some)[: r.randrange(40)] + t(r.randrange(60))) for i in range(400)]
+    rows += [(1000 + i, x) for i, (_, x) in enumerate(rows[:5])]
+    monkeypatch.setattr(substring_bytes, "GROUP", 4000)
+    rounds = []
+    part = substring_bytes._part
+    monkeypatch.setattr(substring_bytes, "_part", lambda *x: rounds.append(x[1]) or part(*x))
+    assert keyed(substring_bytes.remove_repeats(corpus(spark, rows), 330, 200, 32), BYTES) == brute_bytes(rows, 330, 200)
+    assert len(rounds) > 2
 
 
 def test_repeated_bytes_beside_copies(spark):
-    """A stretch beside copies of another one; in these, both stretches' hashes meet in an estimate of the different values."""
+    """A stretch beside copies of another one."""
     rows = []
     for seed in (517, 988, 1301, 1861, 2984):
         r = random.Random(seed)
         t = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
         x = t(120)
         rows += [(3 * seed, x), (3 * seed + 1, x), (3 * seed + 2, x[:80] + t(40))]
-    got = {x.doc_id: (x.n_removed, x.n_spans, x.kept_sha256) for x in substring_bytes.remove_repeats(corpus(spark, rows), 60, 16).collect()}
+    got = {x.doc_id: (x.n_removed, x.n_spans, x.kept_sha256) for x in substring_bytes.remove_repeats(corpus(spark, rows), 60, 50, 16).collect()}
     assert got == {i: (80, 1, hashlib.sha256(x[80:].encode()).hexdigest()) if i % 3 == 2 else (120, 1, hashlib.sha256(b"").hexdigest()) for i, x in rows}
 
 
