@@ -360,23 +360,41 @@ def test_personal_data(spark, rows):
 
 
 def test_personal_data_beyond_the_base_forms(spark):
-    """Planted variants that no base pattern matches are added and redacted; clean text with look-alikes is not."""
-    r = random.Random(6)
-    word = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
-    texts, due = [], []
-    for i in range(600):
-        number = f"{r.randrange(100, 1000)}-{r.randrange(100, 1000)}-{r.randrange(1000, 10000)}"
-        planted = ["", "", "", ("email", "mail", f"{word(6)} [at] {word(8)} [dot] org"), ("ip", "see", ":".join(f"{r.randrange(4096, 65536):x}" for _ in range(8))), ("phone", "call", number)][i % 6]
-        clean = ["nothing of note here", f"{word(3)}@{word(3)} was late at 10:20:30:40", f"order {number} went out"][i % 3]
-        texts.append(f"{clean} and {planted[1]} {planted[2]} today" if planted else clean)
-        due.append(f"{planted[0]}:{(a := texts[-1].rindex(planted[2]))}:{a + len(planted[2])}" if planted else "")
-    docs = corpus(spark, list(enumerate(texts)))
+    """Learned from documents as they come, added spans are right: forms seen and not seen, planted in other documents, are
+    found as their own kind, broken ones and what stands there otherwise are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     models = pii.train(docs)
-    got = {x.doc_id: x for x in pii.find(docs, models).collect()}
-    assert [got[i].spans for i in range(len(texts))] == due
-    assert {(x.n_email, x.n_ip, x.n_card, x.n_phone) for x in got.values()} == {(0, 0, 0, 0)}
-    out = {x.doc_id: x.text for x in pii.redact(docs, models).collect()}
-    assert all(("<" + d.split(":")[0] + ">" in out[i]) if d else out[i] == texts[i] for i, d in enumerate(due))
+    assert all(m.threshold < float("inf") for m in models.values())
+    found = pii.find(docs, models).withColumn("base", sum((common.F.col(f"n_{k}") for k in pii.KINDS[1:]), common.F.col("n_email"))).collect()
+    assert sum(x.n_spans - x.base for x in found) > 0
+    other = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id > 1000 and doc_id < 4000")
+    plain = common.Scratch(spark).table(pii.base_spans(pii.texts(other)).withColumn("held", common.F.lit(True)))
+    right = wrong = due = 0
+    by: Counter = Counter()
+    for form in (*pii.SEEN, pii.UNSEEN, pii.BROKEN):
+        made = [(i, r.t, r.truth) for i, r in enumerate(pii.planted(plain, form).collect())]
+        got = {x.doc_id: x.spans for x in pii.find(corpus(spark, [(i, t) for i, t, _ in made]), models).collect()}
+        for i, text, truth in made:
+            base = {f"{k}:{a}:{b}" for k, a, b in base_spans(text)}
+            added = {x for x in got[i].split(",") if x} - base
+            planted = {f"{p.kind}:{p.s}:{p.e}" for p in truth if p.plain is not None}
+            if form == 1:  # two cards side by side are two spans
+                planted |= {f"card:{a}:{b}" for p in truth if p.kind == "card" for a, b in ((p.s, p.s + len(p.plain)), (p.e - len(p.plain), p.e))} - {f"card:{p.s}:{p.e}" for p in truth}
+                planted -= {f"card:{p.s}:{p.e}" for p in truth if p.kind == "card"}
+            sound = {x for x in added - planted if x.startswith("card") and luhn(re.sub("[^0-9]", "", text[int(x.split(":")[1]) : int(x.split(":")[2])]))}
+            right += len(added & planted)
+            wrong += len(added - planted - sound)  # two sound cards side by side stand in these documents already
+            due += len(planted)
+            by.update((form, x.split(":")[0]) for x in planted - added)
+    assert right >= 0.9 * (right + wrong) and right >= 0.8 * due > 200, (right, wrong, due, by)
+
+
+def test_running_results(spark):
+    r = random.Random(5)
+    rows = [([r.randrange(100) for _ in range(n)],) for n in (0, 1, 2, 63, 64, 65, 1000)]
+    df = spark.createDataFrame(rows, "v array<int>").select("v", pii._running("v", pii._plus).alias("p"), pii._running("v", pii._most).alias("m"))
+    for x in df.collect():
+        assert x.p == np.cumsum(x.v, dtype=int).tolist() and x.m == (np.maximum.accumulate(x.v).tolist() if x.v else [])
 
 
 def test_boosted_trees_learn_and_agree_with_their_columns(spark):
