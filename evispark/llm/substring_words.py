@@ -2,17 +2,19 @@
 
 Token k-mers are the graph's edges. Of each document only those k-mers are kept that have the least hash of some run
 of neighbours, so that every window holds one, chosen by the window's own words (a sparse de Bruijn graph, about one
-edge in eighteen). A join with the corpus-wide occurrences tells which edges repeat, and for each whether all its
-occurrences go on to the same next edge over the same words and that next edge always comes from it: then the two lie
-on one nonbranching path, and compact. Every window inside a compacted path occurs in exactly the documents that hold
-the path, so one comparison settles the whole path. Windows that reach over a path's end are
-looked at only where the words on the longer side of their edge repeat too; those are compared one by one by a 128-bit
-hash of their words, at their coordinates in the source. Nothing is sampled: the outcome is
-that of comparing every window with every other.
-
-Defined cases: null and empty texts have no words; a document shorter than a window keeps all its words; a row
-without doc_id counts as later than every row with one and never makes another one lose words; rows that share a
-doc_id do not count as earlier than each other; columns beyond doc_id and text are ignored.
+edge in eighteen). Edges that repeat are linked to the next edge where neither branches: all occurrences of the one go
+on to the other over the same words, and the other always comes from it. Joins of the links with themselves, doubling
+their reach each time, compact every nonbranching path into one row: its first edge, its last one and its length in
+words. Where a path's first edge stands, the whole path stands. Every window inside a path occurs in exactly the
+documents that hold the path, so that one comparison settles it: the words at each source coordinate of the path are
+read again and compared by a 128-bit digest. Windows that reach over a path's end are looked at only where the words
+on the longer side of their edge repeat too; those are compared one by one by a 128-bit hash of their words, at their
+coordinates. Nothing is sampled: the outcome is that of comparing every window with every other.
+
+Defined cases: null and empty texts have no words; a document shorter than a window keeps all its words; very long texts
+are compared whole; a row without doc_id counts as later than every row with one and never makes another one lose words;
+rows that share a doc_id do not count as earlier than each other; rows that repeat have the same outcome; an empty table
+gives an empty result; columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, Rolling, Scratch, WordHashes, arrow_map, mix, table, window_minima, words_of
+from .common import LAST_ID, Rolling, Scratch, WordHashes, arrow_map, meet, mix, table, window_minima, words_of
 
 WINDOW, EDGE = 50, 16
 
@@ -59,15 +62,16 @@ def _sides(window: int, k: int) -> tuple[int, int]:
 
 
 def _occurrences(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """Rows (edge, ord, rid, pos, nth, after, before, left, right): each chosen edge, hashes of the words up to the next and
-    from the last one, and short hashes of the edge with the words on either side (0: there are not so many)."""
+    """Rows (edge, ord, rid, pos, gap, after, before, left, right): each chosen edge, how many words on the next one stands,
+    hashes of the words up to the next and from the last one, and short hashes of the edge with the words on either side
+    (0: there are not so many)."""
     less, more = _sides(window, k)
 
     def make():
         hashing = Hashing()
 
         def work(cols: dict) -> dict:
-            out: dict[str, list] = {c: [] for c in ("edge", "ord", "rid", "pos", "nth", "after", "before", "left", "right")}
+            out: dict[str, list] = {c: [] for c in ("edge", "ord", "rid", "pos", "gap", "after", "before", "left", "right")}
             orders, rids = cols["ord"].to_numpy(), cols["rid"].to_numpy()
             for text, order, rid in zip(cols["text"].to_pylist(), orders, rids, strict=True):
                 words = words_of(text)
@@ -83,7 +87,7 @@ def _occurrences(docs: DataFrame, window: int, k: int) -> DataFrame:
                 right = (hashing.two.runs(other, at, np.minimum(at + k + more, n)) | np.uint64(1)).view(np.int64).astype(np.int32)
                 out["edge"].append(edge.view(np.int64))
                 out["pos"].append(at.astype(np.int32))
-                out["nth"].append(np.arange(len(at), dtype=np.int32))
+                out["gap"].append(np.diff(at, append=at[-1]).astype(np.int32))
                 out["after"].append(link[1:].view(np.int64))
                 out["before"].append(link[:-1].view(np.int64))
                 out["left"].append(np.where(at >= less, left, 0))
@@ -94,27 +98,55 @@ def _occurrences(docs: DataFrame, window: int, k: int) -> DataFrame:
 
         return work
 
-    return arrow_map(docs.select("text", "ord", "rid"), "edge bigint, ord bigint, rid bigint, pos int, nth int, after bigint, before bigint, left int, right int", make)
+    return arrow_map(docs.select("text", "ord", "rid"), "edge bigint, ord bigint, rid bigint, pos int, gap int, after bigint, before bigint, left int, right int", make)
+
+
+def _same(c: str) -> Column:
+    """One value, not 0, at every occurrence."""
+    return (F.min(c) == F.max(c)) & (F.min(c) != 0)
+
+
+def paths(occurrences: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """Rows (edge, last, words, c): every nonbranching path of ``occurrences`` as its first edge, its last one, its length in
+    words and how often it stands; edges that link with none are absent."""
+    edges = scratch.table(occurrences.groupBy("edge").agg(F.count("*").alias("c"), _same("after").alias("one_after"), _same("before").alias("one_before"), F.min("after").alias("after"), F.min("before").alias("before"), F.min("gap").alias("gap")).where("one_after or one_before"))
+    # a span's hash names the two edges that it lies between
+    come = edges.where("one_before").select(F.col("before").alias("after"), F.col("edge").alias("to"))
+    links = scratch.table(edges.where("one_after").join(come, "after").select("edge", "to", F.col("gap").cast("long").alias("far"), "c"))
+    firsts = scratch.table(links.join(links.select(F.col("to").alias("edge")), "edge", "left_anti"))
+    scratch.free(edges)
+    # a link's reach doubles each time; a text ends, so that no path goes round
+    while not firsts.isEmpty():
+        on = links.select(F.col("edge").alias("to"), F.col("to").alias("beyond"), F.col("far").alias("more"))
+        grow = lambda df: df.join(on, "to", "left").select("edge", F.coalesce("beyond", "to").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), "c", F.col("beyond").isNotNull().alias("grew"))  # noqa: B023, E731
+        longer = scratch.table(grow(firsts))
+        if longer.where("grew").isEmpty():
+            scratch.free(longer)
+            break
+        twice = scratch.table(grow(links).drop("grew"))
+        scratch.free(firsts, links)
+        firsts, links = longer.drop("grew"), twice
+        scratch.paths[id(firsts)] = scratch.paths.pop(id(longer))
+    out = firsts.select("edge", F.col("to").alias("last"), (F.col("far") + k).alias("words"), "c")
+    scratch.paths[id(out)] = scratch.paths.pop(id(firsts))
+    scratch.free(links)
+    return out
 
 
 def _settle(rows: DataFrame, window: int, k: int) -> DataFrame:
-    """Rows (ord, rid, start, stop, w1, w2): runs of window starts settled as repeats (w1 null), and open windows with their hashes."""
+    """Rows (ord, rid, start, stop, w1, w2): the windows of a path by the digest of its words, and open windows by their own hashes."""
     less, _ = _sides(window, k)
 
     def make():
         hashing = Hashing()
 
-        def work(cols: dict) -> dict:
+        def work(cols: dict) -> dict | None:
             out: dict[str, list] = {c: [] for c in ("ord", "rid", "start", "stop", "w1", "w2")}
 
-            def add(order, rid, start, stop, w1, w2):
-                n = len(start)
-                out["ord"].append(np.full(n, order, np.int64))
-                out["rid"].append(np.full(n, rid, np.int64))
-                out["start"].append(np.asarray(start, np.int32))
-                out["stop"].append(np.asarray(stop, np.int32))
-                out["w1"].append(w1)
-                out["w2"].append(w2)
+            def add(order, rid, *more):
+                n = len(more[0])
+                for c, v in zip(out, (np.full(n, order, np.int64), np.full(n, rid, np.int64), *more), strict=True):
+                    out[c].append(np.asarray(v))
 
             orders, rids = cols["ord"].to_numpy(), cols["rid"].to_numpy()
             for text, order, rid, edges in zip(cols["text"].to_pylist(), orders, rids, cols["edges"].to_pylist(), strict=True):
@@ -124,37 +156,29 @@ def _settle(rows: DataFrame, window: int, k: int) -> DataFrame:
                     continue
                 prefix, other = hashing(words)
                 # of a row that only shares the hash of another one, no edge stands at the place named
-                listed = sorted({(e["pos"], e["edge"], e["least"], e["joined"], e["lopen"], e["ropen"], e["nth"]) for e in edges if e["pos"] + k <= len(words)})
-                at = np.array([e[0] for e in listed], np.int64)
-                there = hashing.one.runs(prefix, at, at + k).view(np.int64)
-                found = [e for e, h in zip(listed, there.tolist(), strict=True) if e[1] == h]
+                listed = [e for e in edges if e["pos"] + max(e["words"], k) <= len(words)]
+                at = np.array([e["pos"] for e in listed], np.int64)
+                there = hashing.one.runs(prefix, at, at + k).view(np.int64) == np.array([e["edge"] for e in listed], np.int64)
+                found = [e for e, t in zip(listed, there.tolist(), strict=True) if t]
                 open_ = np.zeros(n, bool)
-                for pos, _, _, _, lopen, ropen, _ in found:
-                    if lopen:
-                        open_[max(pos + k - window, 0) : max(pos - less + 1, 0)] = True
-                    if ropen:
-                        open_[max(pos - less + 1, 0) : pos + 1] = True
-                i, starts, stops = 0, [], []
-                while i < len(found):
-                    j = i
-                    # the next edge may be missing here: then no window lies inside the path up to it
-                    while j + 1 < len(found) and found[j][3] and found[j + 1][6] == found[j][6] + 1:
-                        j += 1
-                    begin, end = found[i][0], min(found[j][0] + k - window + 1, n)
-                    if end > begin:
-                        open_[begin:end] = False
-                        if found[i][2] < order:
-                            starts.append(begin)
-                            stops.append(end)
-                    i = j + 1
-                if starts:
-                    none = np.full(len(starts), None, object)
-                    add(order, rid, starts, stops, none, none)
+                for e in found:
+                    if e["lopen"]:
+                        open_[max(e["pos"] + k - window, 0) : max(e["pos"] - less + 1, 0)] = True
+                    if e["ropen"]:
+                        open_[max(e["pos"] - less + 1, 0) : e["pos"] + 1] = True
+                whole = [(e["pos"], e["words"]) for e in found if e["words"] >= window]
+                if whole:
+                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(words[a : a + m])) for a, m in whole), ">i8").reshape(-1, 2).astype(np.int64)
+                    starts = np.array([a for a, _ in whole], np.int32)
+                    stops = np.array([a + m - window + 1 for a, m in whole], np.int32)
+                    for a, b in zip(starts, stops, strict=True):
+                        open_[a:b] = False
+                    add(order, rid, starts, stops, digests[:, 0], digests[:, 1])
                 left = np.flatnonzero(open_)
                 if len(left):
                     w1 = hashing.one.runs(prefix, left, left + window).view(np.int64)
                     w2 = hashing.two.runs(other, left, left + window).view(np.int64)
-                    add(order, rid, left, left + 1, w1, w2)
+                    add(order, rid, left.astype(np.int32), (left + 1).astype(np.int32), w1, w2)
             return {c: np.concatenate(v) for c, v in out.items()} if out["ord"] else None
 
         return work
@@ -162,45 +186,36 @@ def _settle(rows: DataFrame, window: int, k: int) -> DataFrame:
     return arrow_map(rows, "ord bigint, rid bigint, start int, stop int, w1 bigint, w2 bigint", make)
 
 
-def _same(c: str) -> Column:
-    """One value, not 0, at every occurrence."""
-    return (F.min(c) == F.max(c)) & (F.min(c) != 0)
-
-
 def removed_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, k: int = EDGE) -> DataFrame:
     """Rows (ord, rid, spans: array of (start, stop)) of word runs to remove, for rows of ``docs`` that lose some."""
     rows = _identity(docs)
     every = scratch.table(_occurrences(rows, window, k))
-    twice = every.groupBy("edge").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select("edge", "least")
-    occurrences = scratch.table(every.join(twice, "edge"))
-    scratch.free(every)
+    twice = scratch.table(every.groupBy("edge").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.count("*").alias("c")).where("least < most").select("edge", "c"))
+    occurrences = scratch.table(meet(every, twice, ["edge"], ["rid", "pos"]).drop("c"))
+    scratch.free(every, twice)
     scratch.settle()
-    # an edge compacts with the next one if the path branches at neither; the span's hash names the next edge
-    edges = occurrences.groupBy("edge").agg(_same("after").alias("one_after"), _same("before").alias("one_before"), F.min("after").alias("after"), F.min("before").alias("before"))
-    spans = edges.where("one_before").select(F.col("before").alias("span")).distinct()
-    joined = edges.join(spans, edges.one_after & (edges.after == spans.span)).select("edge", F.lit(True).alias("joined"))
+    found = paths(occurrences, scratch, k)
     # sides of edges that repeat with them
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("words")), F.struct(F.lit(1).alias("side"), F.col("right").alias("words"))))
-    repeated = occurrences.select("edge", "ord", sides.alias("s")).where("s.words <> 0").groupBy("edge", "s.side", "s.words").agg(F.min("ord").alias("a"), F.max("ord").alias("b")).where("a < b")
-    repeated = scratch.table(repeated.select("edge", "side", "words"))
-    lefts = repeated.where("side = 0").select("edge", F.col("words").alias("left"), F.lit(True).alias("lopen"))
-    rights = repeated.where("side = 1").select("edge", F.col("words").alias("right"), F.lit(True).alias("ropen"))
-    flagged = occurrences.select("edge", "rid", "pos", "nth", "least", "left", "right").join(joined, "edge", "left").join(lefts, ["edge", "left"], "left").join(rights, ["edge", "right"], "left").where("joined or lopen or ropen")
-    no = F.lit(False)
-    entry = F.struct("edge", "pos", "nth", "least", F.coalesce("joined", no).alias("joined"), F.coalesce("lopen", no).alias("lopen"), F.coalesce("ropen", no).alias("ropen"))
-    at = scratch.table(flagged.select("rid", entry.alias("e")).groupBy("rid").agg(F.collect_set("e").alias("edges")))
-    scratch.free(occurrences, repeated)
+    repeated = occurrences.select("edge", "ord", sides.alias("s")).where("s.words <> 0").groupBy("edge", "s.side", "s.words").agg(F.min("ord").alias("a"), F.max("ord").alias("b"), F.count("*").alias("c")).where("a < b")
+    repeated = scratch.table(repeated.select("edge", "side", "words", "c"))
+    entry = lambda words, lopen, ropen: F.struct("edge", "pos", words.cast("int").alias("words"), lopen.alias("lopen"), ropen.alias("ropen")).alias("e")
+    no, yes = F.lit(False), F.lit(True)
+    parts = [meet(occurrences.select("edge", "rid", "pos"), found, ["edge"], ["rid", "pos"]).select("rid", entry(F.col("words"), no, no))]
+    for side, (column, lopen, ropen) in enumerate((("left", yes, no), ("right", no, yes))):
+        own = scratch.table(repeated.where(F.col("side") == side).select("edge", F.col("words").alias(column), "c"))
+        parts.append(meet(occurrences.select("edge", "rid", "pos", column), own, ["edge", column], ["rid", "pos"]).select("rid", entry(F.lit(0), lopen, ropen)))
+    at = scratch.table(parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("rid").agg(F.collect_set("e").alias("edges")))
+    scratch.free(occurrences, repeated, found)
     scratch.settle()
     texts = rows.select("ord", "rid", "text").join(at, "rid").select("text", "ord", "rid", "edges")
     settled = scratch.table(_settle(texts, window, k))
     scratch.free(at)
     scratch.settle()
-    open_ = settled.where("w1 is not null")
-    first = open_.groupBy("w1", "w2").agg(F.min("ord").alias("least"), F.max("ord").alias("most")).where("least < most").select("w1", "w2", "least")
-    repeats = open_.join(first, ["w1", "w2"]).where("ord > least").select("ord", "rid", "start", "stop")
-    spans = settled.where("w1 is null").select("ord", "rid", "start", "stop").unionByName(repeats)
+    first = scratch.table(settled.groupBy("w1", "w2").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.count("*").alias("c")).where("least < most").select("w1", "w2", "least", "c"))
+    spans = meet(settled, first, ["w1", "w2"], ["rid", "start"]).where("ord > least")
     out = scratch.table(spans.groupBy("ord", "rid").agg(F.collect_set(F.struct("start", (F.col("stop") + window - 1).alias("stop"))).alias("spans")))
-    scratch.free(settled)
+    scratch.free(settled, first)
     scratch.settle()
     return out
 

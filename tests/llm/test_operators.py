@@ -166,15 +166,35 @@ def test_repeated_words(spark, rows):
         assert keyed(substring_words.remove_repeats(corpus(spark, rows), window, k), ["doc_id", "n_words", "n_removed", "kept_sha256"]) == expected
 
 
+def test_paths_compact_by_joins(spark):
+    """Long shared texts become one path each, whose words stand wherever its first edge does."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(6))
+    shared = [[word() for _ in range(n)] for n in (150, 400, 3000)]
+    rows = [(i, " ".join([word() for _ in range(30)] + shared[i % 3] + [word() for _ in range(30)])) for i in range(9)]
+    scratch = common.Scratch(spark)
+    occurrences = scratch.table(substring_words._occurrences(substring_words._identity(corpus(spark, rows)), 50, 16))
+    again = occurrences.groupBy("edge").agg(common.F.countDistinct("ord").alias("n")).where("n > 1")
+    occurrences = scratch.table(occurrences.join(again, "edge"))
+    found = substring_words.paths(occurrences, scratch, 16).collect()
+    assert len(found) == 3 and {x.c for x in found} == {3}
+    # a path reaches from the first chosen edge to the last one
+    assert all(n - 2 * 35 <= m <= n for n, m in zip((150, 400, 3000), sorted(x.words for x in found), strict=True))
+    starts = {x.edge: x.words for x in found}
+    held = {(x.ord, x.pos): starts[x.edge] for x in occurrences.collect() if x.edge in starts}
+    texts = {i: t.split() for i, t in rows}
+    for n in {*held.values()}:
+        assert len({tuple(texts[i][a : a + n]) for (i, a), m in held.items() if m == n}) == 1
+
+
 def test_interval_expansion():
     r = random.Random(3)
     for _ in range(60):
-        t = sorted(r.sample([1, 3, 5, 9], 2))
-        parts = list({bytes(r.choice(b"ab") for _ in range(r.randint(t[0], 40))) for _ in range(r.randint(1, 12))})
-        found = substring_bytes.repeated_starts([np.frombuffer(x, np.uint8) for x in parts], t)
-        for m, got in zip(t, found, strict=True):
-            count = Counter(x[i : i + m] for x in parts for i in range(len(x) - m + 1))
-            assert [x.tolist() for x in got] == [[i for i in range(len(x) - m + 1) if count[x[i : i + m]] > 1] for x in parts]
+        t = r.choice([1, 3, 5, 9])
+        parts = list({bytes(r.choice(b"ab") for _ in range(r.randint(t, 40))) for _ in range(r.randint(1, 12))})
+        count = Counter(x[i : i + t] for x in parts for i in range(len(x) - t + 1))
+        expected = [[i for i in range(len(x) - t + 1) if count[x[i : i + t]] > 1] for x in parts]
+        assert [x.tolist() for x in substring_bytes.repeated_starts([np.frombuffer(x, np.uint8) for x in parts], t)] == expected
 
 
 def repeated(data, length):
@@ -188,25 +208,29 @@ def repeated(data, length):
         yield gone
 
 
-def brute_bytes(rows, length, short):
+def check_bytes(spark, rows, length, short, k):
     data = [(t or "").encode() for _, t in rows]
-    out = Counter()
-    for (i, _), b, gone, some in zip(rows, data, repeated(data, length), repeated(data, short), strict=True):
+    proof = substring_bytes._proof(short, k)[1]
+    expected, bounds = Counter(), {}
+    for (i, _), b, gone, some, sure in zip(rows, data, repeated(data, length), repeated(data, proof), repeated(data, short), strict=True):
         spans = sum(s and (j == 0 or not gone[j - 1]) for j, s in enumerate(gone))
         kept = bytes(x for x, s in zip(b, gone, strict=True) if not s)
-        out[i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest(), sum(some)] += 1
-    return out
-
-
-BYTES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated"]
+        row = (i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+        expected[row] += 1
+        # a repeated short string shows, and nothing does that is not in a repeated run
+        bounds[row] = (max(sum(gone), proof if any(sure) else 0), sum(some))
+    got = substring_bytes.remove_repeats(corpus(spark, rows).withColumnRenamed("lang", "r1"), length, short, k)
+    found = [tuple(None if pd.isna(v) else v for v in r) for r in table(got).itertuples(index=False)]
+    assert Counter(r[:5] for r in found) == expected
+    assert all(bounds[r[:5]][0] <= r[5] <= bounds[r[:5]][1] for r in found)
+    return expected
 
 
-@pytest.mark.parametrize(("length", "short", "k", "group"), [(400, 250, 64, 2 << 20), (60, 40, 16, 2 << 20), (61, 47, 16, 2 << 20), (60, 40, 16, 300), (61, 60, 16, 1)])
+@pytest.mark.parametrize(("length", "short", "k", "group"), [(400, 250, 64, 2 << 20), (60, 40, 16, 2 << 20), (61, 47, 16, 300), (60, 59, 16, 1)])
 def test_repeated_bytes(spark, rows, length, short, k, group, monkeypatch):
     monkeypatch.setattr(substring_bytes, "GROUP", group)
-    expected = brute_bytes(rows, length, short)
-    got = substring_bytes.remove_repeats(corpus(spark, rows).withColumnRenamed("lang", "r1"), length, short, k)
-    assert keyed(got, BYTES) == expected and sum(n * x[2] for x, n in expected.items()) > 0
+    expected = check_bytes(spark, rows, length, short, k)
+    assert sum(n * x[2] for x, n in expected.items()) > 0
 
 
 def test_large_groups_of_repeated_bytes(spark, monkeypatch):
@@ -220,7 +244,8 @@ def test_large_groups_of_repeated_bytes(spark, monkeypatch):
     rounds = []
     part = substring_bytes._part
     monkeypatch.setattr(substring_bytes, "_part", lambda *x: rounds.append(x[1]) or part(*x))
-    assert keyed(substring_bytes.remove_repeats(corpus(spark, rows), 330, 200, 32), BYTES) == brute_bytes(rows, 330, 200)
+    monkeypatch.setattr(common, "HOT", 50)
+    check_bytes(spark, rows, 330, 200, 32)
     assert len(rounds) > 2
 
 
