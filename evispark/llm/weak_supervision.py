@@ -4,11 +4,13 @@ Each rule votes good or bad or abstains. Expectation-maximisation over the whole
 often each rule votes and how often it is right in each class; a row's posterior probability of being good, not an
 all-must-pass filter, decides. Rows enter the estimate as counts of vote patterns, of which there are at most three to
 the power of the number of rules whatever the size of the corpus; only these counts reach the driver, and each row's
-posterior is computed from its votes by an expression.
+posterior is computed from its votes by an expression. What is supposed of the rules before any row is seen weighs as
+much as WEIGHT rows, however many there are: it says which class is the good one, and the rows say the rest.
 
-Defined cases: null and empty texts have no words and fail the base rules; an empty table gives an empty result; rows
-that repeat count as often as they stand; texts of any length are counted whole. Word windows are compared by a
-64-bit hash within one text.
+Defined cases: null and empty texts have no words and fail the base rules; a null doc_id is judged like any other; an
+empty table gives an empty result; rows that repeat count as often as they stand; texts of any length are counted whole;
+a posterior of exactly KEEP keeps; columns beyond doc_id and text are ignored. Word windows are compared by a 64-bit
+hash within one text.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ from .common import Scratch, table
 
 #: The six white-space characters between words, and the symbols that are counted.
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
-#: Posterior from which a row is kept, the supposed share of good rows, rounds, and the suppositions' weight against the rows'.
-KEEP, PRIOR, ROUNDS, WEIGHT = 0.5, 0.85, 50, 0.1
+#: Marks of any kind, symbols included.
+MARKS = SYMBOLS + "!\"'()+,-./:;=?@[\\]^_`{}~"
+#: Posterior from which a row is kept, the supposed share of good rows, rounds, and the suppositions' weight in rows.
+KEEP, PRIOR, ROUNDS, WEIGHT = 0.5, 0.85, 100, 20
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -37,6 +41,7 @@ def measured(docs: DataFrame) -> DataFrame:
         words.alias("w"),
         F.length(F.translate("flat", " ", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("t") - F.length(F.translate("t", MARKS, ""))).cast("long").alias("n_marks"),
         (F.length("t") - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
         F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0).alias("lines"),
     )
@@ -44,7 +49,7 @@ def measured(docs: DataFrame) -> DataFrame:
     # hashes of 3-word windows with their places, in order of hash: equal windows are neighbours
     window = F.transform(F.slice("w", 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.col("w")[i + 1], F.col("w")[i + 2]).alias("h"), i.alias("i")))
     hashed = split.select(
-        "doc_id", n.cast("long").alias("n_words"), "word_chars", "n_symbols", "n_upper", F.size("lines").cast("long").alias("n_lines"),
+        "doc_id", n.cast("long").alias("n_words"), "word_chars", "n_symbols", "n_marks", "n_upper", F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
         F.array_sort(window).alias("s"),
@@ -55,7 +60,7 @@ def measured(docs: DataFrame) -> DataFrame:
     marked = hashed.withColumn("at", F.when(few, F.array().cast("array<int>")).otherwise(F.array_sort(F.transform(again, lambda x: x["i"])))).drop("s")
     # places in order: each window adds the words that the next one doesn't cover, the last one all three
     covered = F.aggregate(F.transform("at", lambda x, j: F.when(j < F.size("at") - 1, F.least(F.col("at")[F.least(j + 1, F.size("at") - 1)] - x, F.lit(3))).otherwise(3)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return marked.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "n_upper", "n_lines", "n_distinct")
+    return marked.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "n_marks", "n_upper", "n_lines", "n_distinct")
 
 
 def base_failed() -> Column:
@@ -64,37 +69,37 @@ def base_failed() -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes 1 (good) where ``good`` holds, else -1 (bad) where ``bad`` does, else 0 (abstains)."""
+    """Votes -1 (bad) where ``bad`` holds, else 1 (good) where ``good`` does, else 0 (abstains)."""
 
     name: str
     good: Column
     bad: Column
 
     def vote(self) -> Column:
-        return F.coalesce(F.when(self.good, 1).when(self.bad, -1), F.lit(0))
+        return F.coalesce(F.when(self.bad, -1).when(self.good, 1), F.lit(0))
 
 
 def rules() -> list[Rule]:
     words = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     share = lambda c, of: F.col(c) / of
-    never = F.lit(False)
-    symbols, upper, repeats, distinct = share("n_symbols", words), share("n_upper", chars), share("n_repeat_words", words), share("n_distinct", words)
-    prose = (F.col("n_words") >= 30) & (symbols < 0.03) & (upper < 0.12) & (repeats < 0.15) & (distinct > 0.4)
-    # signs of bad text abstain elsewhere: their silence is no sign of good text, only prose is
+    lines, enough = F.greatest(F.col("n_lines"), F.lit(1)), F.col("n_words") >= 30
+    symbols, marks, upper = share("n_symbols", words), share("n_marks", words), share("n_upper", chars)
+    repeats, distinct, again, size = share("n_repeat_words", words), share("n_distinct", words), share("n_dup_lines", lines), share("word_chars", words)
+    # between the two signs a rule abstains; few words are no sign of good text
     return [
-        Rule("prose", prose, never),
-        Rule("symbols", never, symbols > 0.15),
-        Rule("upper", never, upper > 0.4),
-        Rule("repeats", never, repeats > 0.4),
-        Rule("distinct", never, distinct < 0.2),
-        Rule("lines", never, share("n_dup_lines", F.greatest(F.col("n_lines"), F.lit(1))) > 0.4),
-        Rule("word_size", never, ~share("word_chars", words).between(2, 14)),
+        Rule("symbols", enough & (symbols < 0.02), symbols > 0.15),
+        Rule("marks", enough & (marks < 0.35), marks > 0.7),
+        Rule("upper", enough & (upper < 0.06), upper > 0.4),
+        Rule("repeats", enough & (repeats < 0.05), repeats > 0.4),
+        Rule("distinct", enough & (distinct > 0.5), enough & (distinct < 0.25)),
+        Rule("lines", (F.col("n_lines") >= 4) & (F.col("n_dup_lines") == 0), again > 0.4),
+        Rule("word_size", size.between(4, 6), ~size.between(3, 6.6)),
     ]
 
 
 #: What is supposed of every rule before any row is seen: probabilities of the votes bad, abstain, good in good and bad rows.
-GOOD, BAD = (0.02, 0.49, 0.49), (0.3, 0.65, 0.05)
+GOOD, BAD = (0.02, 0.28, 0.7), (0.4, 0.35, 0.25)
 
 
 @dataclass
@@ -121,7 +126,7 @@ def estimate(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = R
     """Expectation-maximisation on counts of vote patterns, from what is supposed of every rule, which keeps its weight."""
     e = Estimate(PRIOR, [GOOD] * n_rules, [BAD] * n_rules)
     total = sum(patterns.values())
-    held = WEIGHT * max(total, 1)
+    held = WEIGHT
     for _ in range(rounds):
         good = 0.0
         votes = [[[held * (1 - PRIOR) * x for x in BAD] for _ in range(n_rules)], [[held * PRIOR * x for x in GOOD] for _ in range(n_rules)]]

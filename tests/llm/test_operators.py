@@ -499,8 +499,20 @@ def test_weak_supervision(spark, rows):
     got = table(weak_supervision.judged(docs).join(labels, "doc_id"))
     judged = got[~got.base_failed]
     assert judged.kept[judged.quality == 1].mean() > 0.95 and judged.kept[judged.quality == 0].mean() < 0.1
-    e = weak_supervision.estimate({(1, 0): 90, (0, -1): 10}, 2)
-    assert e.log_odds((1, 0)) > 0 > e.log_odds((0, -1)) and all(0.5 < a <= 1 for a in e.accuracies())
+    assert (got.kept == (~got.base_failed & (got.posterior >= 0.5))).all()
+
+
+def test_estimate_follows_the_rows():
+    """Votes drawn from known classes: the estimate finds their rates, at any size by the same rows' weight."""
+    r = np.random.default_rng(3)
+    good, bad, prior = [(0.01, 0.19, 0.8), (0.05, 0.05, 0.9), (0.1, 0.6, 0.3), (0.02, 0.08, 0.9)], [(0.6, 0.3, 0.1), (0.5, 0.2, 0.3), (0.7, 0.2, 0.1), (0.3, 0.3, 0.4)], 0.7
+    is_good = r.random(20_000) < prior
+    votes = np.stack([np.where(is_good, r.choice([-1, 0, 1], 20_000, p=g), r.choice([-1, 0, 1], 20_000, p=b)) for g, b in zip(good, bad, strict=True)], 1)
+    e = weak_supervision.estimate(dict(Counter(map(tuple, votes.tolist()))), 4)
+    assert abs(e.prior - prior) < 0.05 and np.allclose(e.good, good, atol=0.06) and np.allclose(e.bad, bad, atol=0.06)
+    few = weak_supervision.estimate({}, 2)
+    assert few.prior == pytest.approx(weak_supervision.PRIOR) and few.good[0] == pytest.approx(weak_supervision.GOOD)
+    assert all(0.5 < a <= 1 for a in e.accuracies())
 
 
 def test_empty_tables(spark):
