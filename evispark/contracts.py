@@ -19,7 +19,7 @@ WORK_DEFAULT, WORK_PROBE = 100_000, 1024
 ROWS_BYTES_MAX, ROW_BYTES_MAX, SYMBOLS_MAX, FILES_MAX = 64 << 20, 4 << 20, 50_000, 10_000
 CONVENTIONS_MAX, CONVENTION_CHARS, CONTEXT_CHARS = 32, 256, 500
 TEST_PATTERNS, TEST_SEGMENTS = ("**/*.test.*", "**/*.spec.*"), ("test", "tests", "__tests__")
-ERRORS = ("INVALID_INPUT", "NOT_FOUND", "AMBIGUOUS", "INCOMPLETE_EVIDENCE", "STALE", "CONFLICT", "EXPIRED", "BLOCKED", "LIMIT", "CORRUPT", "CANCELLED", "TIMEOUT", "CAPACITY", "SHUTTING_DOWN", "INTERNAL")
+ERRORS = ("INVALID_INPUT", "PROJECT_NOT_FOUND", "PROJECT_CAPACITY_EXCEEDED", "PROJECT_QUEUE_FULL", "QUEUE_WAIT_TIMEOUT", "REQUEST_CANCELLED", "OPERATION_DEADLINE_EXCEEDED", "SERVER_SHUTTING_DOWN", "NOT_FOUND", "AMBIGUOUS_TARGET", "STALE_WORKSPACE", "INCOMPLETE_EVIDENCE", "MUTATION_BLOCKED", "CONFLICT", "INTERNAL_ERROR")
 
 
 class QueryError(ValueError):
@@ -75,7 +75,7 @@ def conventions(values: Iterable[str]) -> list[str]:
         if v not in out:
             out.append(v)
     if len(out) > CONVENTIONS_MAX:
-        raise QueryError("LIMIT", f"more than {CONVENTIONS_MAX} conventions")
+        raise QueryError("INVALID_INPUT", f"more than {CONVENTIONS_MAX} conventions")
     return out
 
 

@@ -45,17 +45,17 @@ class Scheduler:
         ticket = object()
         with self.turn:
             if self.closed:
-                raise QueryError("SHUTTING_DOWN", "no further operation is admitted")
+                raise QueryError("SERVER_SHUTTING_DOWN", "no further operation is admitted")
             if len(self.waiting) >= self.capacity:
                 self._count("rejected")
-                raise QueryError("CAPACITY", f"{self.capacity} operations wait already")
+                raise QueryError("PROJECT_QUEUE_FULL", f"{self.capacity} operations wait already")
             self.waiting.append(ticket)
             ready = self.turn.wait_for(lambda: not self.running and self.waiting[0] is ticket, self.wait)
             self.waiting.remove(ticket)
             if not ready:
                 self._count("timed_out")
                 self.turn.notify_all()
-                raise QueryError("TIMEOUT", "the operation waited too long")
+                raise QueryError("QUEUE_WAIT_TIMEOUT", "the operation waited too long")
             self.running = True
             self._count("admitted")
         tag = f"evispark-{id(ticket)}"
@@ -73,7 +73,7 @@ class Scheduler:
             late = time.monotonic() - began >= self.deadline
             self._count("cancelled" if late else "failed")
             if late:
-                raise QueryError("TIMEOUT", "the operation ran too long") from e
+                raise QueryError("OPERATION_DEADLINE_EXCEEDED", "the operation ran too long") from e
             raise
         finally:
             if watch is not None:
@@ -101,7 +101,7 @@ class Sessions:
             while len(self.open) >= self.most:
                 idle = next((k for k, p in self.open.items() if not p.scheduler.running and not p.scheduler.waiting), None)
                 if idle is None:
-                    raise QueryError("CAPACITY", "all sessions are busy")
+                    raise QueryError("PROJECT_CAPACITY_EXCEEDED", "all sessions are busy")
                 del self.open[idle]
             self.open[key] = make()
         self.open.move_to_end(key)
@@ -171,7 +171,7 @@ class Project:
         if len(found) != 1:
             bodies = [r for r in found if r.end_line > r.line]
             if len(bodies) != 1:
-                raise QueryError("AMBIGUOUS" if found else "NOT_FOUND", f"{symbol!r} has {len(found)} declarations", [r.selector for r in found[:20]])
+                raise QueryError("AMBIGUOUS_TARGET" if found else "NOT_FOUND", f"{symbol!r} has {len(found)} declarations", [r.selector for r in found[:20]])
             found = bodies
         return found[0].asDict()
 
@@ -207,7 +207,7 @@ class Project:
 
     def _proven(self) -> DataFrame:
         if self.status.state != "fresh":
-            raise QueryError("STALE", "relationships are only answered for a fresh project")
+            raise QueryError("STALE_WORKSPACE", "relationships are only answered for a fresh project")
         if self.edges is None:
             raise QueryError("INCOMPLETE_EVIDENCE", "no relationships have been supplied")
         return self.edges.where(graph.exact()) if "compiler_authoritative" in self.edges.columns else self.edges

@@ -118,7 +118,7 @@ def encode_checked(x: Any) -> str:
     """The text, once it is known to decode to the same value and to be small enough."""
     text = encode(x)
     if len(text.encode()) > MOST_BYTES:
-        raise QueryError("LIMIT", f"the text has more than {MOST_BYTES} bytes")
+        raise QueryError("INVALID_INPUT", f"the text has more than {MOST_BYTES} bytes")
     if decode(text) != x:
-        raise QueryError("INTERNAL", "the text does not decode to the same value")
+        raise QueryError("INTERNAL_ERROR", "the text does not decode to the same value")
     return text

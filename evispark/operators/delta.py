@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 def surplus(rows: DataFrame, other: DataFrame, identity: list[str], order: list[str]) -> DataFrame:
     """Rows beyond those that ``other`` has of the same identity; the later ones in ``order`` are the surplus.
 
-    ``other`` is counted before it is shuffled: an identity that holds very many of its rows stays one row.
+    Both sides are counted before they are shuffled: an identity that holds very many rows stays one row of each.
     """
-    counts = other.groupBy(*identity).agg(F.count("*").alias("_n"))
-    ranked = rows.withColumn("_rn", F.row_number().over(W.partitionBy(*identity).orderBy(*order)))
-    on = [ranked[c].eqNullSafe(counts[c]) for c in identity]
-    out = ranked.join(counts, on, "left").where(F.col("_rn") > F.coalesce("_n", F.lit(0)))
-    return out.select(*[ranked[c] for c in rows.columns])
+    here = rows.groupBy(*identity).agg(F.count("*").alias("_here"))
+    there = other.groupBy(*identity).agg(F.count("*").alias("_there"))
+    # counts cancel first: only identities with more rows here are ranked, and those that are only here need no rank
+    over = here.join(there, [here[c].eqNullSafe(there[c]) for c in identity], "left").where("_here > coalesce(_there, 0)").select(*[here[c].alias(f"_{i}") for i, c in enumerate(identity)], F.coalesce("_there", F.lit(0)).alias("_there"))
+    left = rows.join(over, [rows[c].eqNullSafe(over[f"_{i}"]) for i, c in enumerate(identity)])
+    alone = left.where("_there = 0").select(*[rows[c] for c in rows.columns])
+    ranked = left.where("_there > 0").select(*[rows[c] for c in rows.columns], "_there")
+    ranked = ranked.withColumn("_rn", F.row_number().over(W.partitionBy(*identity).orderBy(*order))).where("_rn > _there")
+    return alone.unionByName(ranked.select(*rows.columns))
 
 
 def delta(before: DataFrame, after: DataFrame, identity: list[str], order: list[str]) -> DataFrame:
@@ -25,6 +29,11 @@ def delta(before: DataFrame, after: DataFrame, identity: list[str], order: list[
     return added.unionByName(surplus(before, after, identity, order).withColumn("change", F.lit("removed")))
 
 
+def added_errors(changes: DataFrame, category: str, errors: list[str]) -> DataFrame:
+    """Of a delta's rows, the added ones of the given categories: what blocks a change."""
+    return changes.where((F.col("change") == "added") & F.col(category).isin(errors))
+
+
 def category_counts(rows: DataFrame, category: str, values: list[str]) -> DataFrame:
     return rows.agg(*[F.count_if(F.col(category) == v).alias(f"n_{v}") for v in values])
 

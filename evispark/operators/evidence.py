@@ -83,6 +83,12 @@ def omission_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     return counts.join(F.broadcast(total))  # one row
 
 
+def omissions(rows: DataFrame, by: list[str], order: list[str], details: int) -> DataFrame:
+    """The first ``details`` omitted rows of each group in order, with the group's number, the total and whether more follow."""
+    first = rows.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("place") <= details)
+    return first.join(omission_counts(rows, by), by).withColumn("has_more", F.col("n") > details)
+
+
 def byte_prefix(rows: DataFrame, order: list[str], size: Column, budget: int, buckets: int = 64) -> DataFrame:
     """The longest prefix in ``order`` whose sizes add up to no more than ``budget``, with the running sum.
 
@@ -122,7 +128,7 @@ def _closed(result: dict) -> dict:
         if (size := _size(result)) == used:
             return result
         used = size
-    raise QueryError("INTERNAL", "the size does not settle")
+    raise QueryError("INTERNAL_ERROR", "the size does not settle")
 
 
 def present(clusters: list[dict], total: int, max_bytes: int, offset: int = 0, call_spines: list | None = None) -> dict:
@@ -169,7 +175,7 @@ def present(clusters: list[dict], total: int, max_bytes: int, offset: int = 0, c
             symbols, omitted, best, cut = [*symbols, small], more, out, True
             continue
         if not symbols:
-            raise QueryError("LIMIT", "the first cluster does not fit")
+            raise QueryError("INVALID_INPUT", "the first cluster does not fit")
         cut = True
         best = fitting(symbols, evidence, omitted, True) or best
         break

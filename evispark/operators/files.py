@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import FILES_MAX, PAGE_MAX, ROW_BYTES_MAX, ROWS_BYTES_MAX, SYMBOLS_MAX, QueryError, page_bounds
 from ..functions.scalar import by_language, has
+from ..plans.checkpoints import cut
 from .search import page
 
 
@@ -53,7 +56,7 @@ def resolve(files: DataFrame, wanted: str, path: str = "path") -> str:
     if wanted in found:
         return wanted
     if len(found) != 1:
-        raise QueryError("AMBIGUOUS" if found else "NOT_FOUND", f"{wanted!r} names {len(found)} files", found)
+        raise QueryError("AMBIGUOUS_TARGET" if found else "NOT_FOUND", f"{wanted!r} names {len(found)} files", found)
     return found[0]
 
 
@@ -114,6 +117,25 @@ def refresh_plan(current: DataFrame, existing: DataFrame, config_digest: str | N
     return both.select(path, action.alias("action"))
 
 
+def rescan(index: DataFrame, files: DataFrame, extract: Callable[[DataFrame], DataFrame], path: str = "path", content: str = "text", verify: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """The index (path, content_hash, ...) brought up to date with ``files``: unchanged rows stay, new and changed files are
+    extracted again, deleted ones go. ``extract`` adds its columns to the files it is given, and no others are read through it.
+
+    ``verify`` lists the files once more at the end; if they are no longer the same, nothing is answered.
+    """
+    now = files.withColumn("content_hash", F.sha2(F.col(content).cast("binary"), 256))
+    plan = snapshot_diff(index, now.select(path, "content_hash"), path).where(F.col("change") != "deleted")
+    again = extract(now.join(plan.where(F.col("change").isin("added", "changed")).select(path), path, "left_semi"))
+    kept = index.join(plan.where(F.col("change") == "unchanged").select(path), path, "left_semi")
+    out = kept.withColumn("reused", F.lit(True)).unionByName(again.select(*index.columns).withColumn("reused", F.lit(False)))
+    if verify is not None:
+        out = cut(out)
+        later = verify().select(path, F.sha2(F.col(content).cast("binary"), 256).alias("content_hash"))
+        if not snapshot_diff(out, later, path).where(F.col("change") != "unchanged").isEmpty():
+            raise QueryError("CONFLICT", "files changed while they were scanned")
+    return out
+
+
 def checked_refresh(current: DataFrame, existing: DataFrame, rebuilt: DataFrame, config_digest: str, path: str = "file_path") -> DataFrame:
     """The plan, once what was supplied for rebuilding fits it; supplied files count as rebuilt even if unchanged."""
     problems = {

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..contracts import CONFIDENCES, DEPTH_DEFAULT, DEPTH_MAX, EDGE_KINDS, EDGES_DEFAULT, EDGES_MAX, NODES_DEFAULT, NODES_MAX, PROVENANCES, RESOLUTIONS, QueryError, member, truncation
+from ..contracts import CONFIDENCES, DEPTH_DEFAULT, DEPTH_MAX, EDGE_KINDS, EDGES_DEFAULT, EDGES_MAX, NODES_DEFAULT, NODES_MAX, PROVENANCES, RESOLUTIONS, WORK_DEFAULT, QueryError, member, truncation
 from ..plans.checkpoints import cut
 
 
@@ -84,7 +84,8 @@ def topk_neighbours(edges: DataFrame, k: int, order: list[Column], key: str = "n
 
 def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = DEPTH_MAX) -> DataFrame:
     """Rows (node, depth): everything that edges (src, dst) lead to within ``max_depth`` steps (None: any number), with the least depth."""
-    edges = edges.select("src", "dst")
+    # written once, by the end that every layer joins on: no layer reads the sources again or moves the edges
+    edges = cut(edges.select("src", "dst").distinct().repartition("src"))
     found = frontier = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
@@ -97,13 +98,45 @@ def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = DEPTH_MAX)
     return found
 
 
-def impact(edges: DataFrame, root: str, direction: str = "incoming", max_depth: int = DEPTH_MAX) -> DataFrame:
-    """Rows (node, depth, direct): the whole impact of ``root``, without budgets."""
+def impact(edges: DataFrame, root: str, direction: str = "incoming", max_depth: int | None = None) -> DataFrame:
+    """Rows (node, depth, direct): the whole impact of ``root``, or what lies within ``max_depth`` of it."""
     n = neighbours(edges, direction).select(F.col("node").alias("src"), F.col("other").alias("dst"))
     start = edges.sparkSession.createDataFrame([(root,)], "node string")
     return reach(n, start, max_depth).withColumn("direct", F.col("depth") == 1)
 
 
+def incident(edges: DataFrame, endpoint: str, direction: str, kinds: list[str] | None = None, max_edges: int = EDGES_DEFAULT, work: int = WORK_DEFAULT, allow: list[str] | None = None, exclude: list[str] = (), stop_first: bool = False) -> DataFrame:
+    """The first edges at one endpoint in order of the other end and the id: relationship_id, kind, other, and in each row
+    work_items (edges looked at), work_limit_reached, excluded (left out by ``exclude``) and incomplete.
+
+    No more than ``work`` edges are looked at; ``allow`` names the only other ends that count; ``stop_first`` ends at the
+    first edge. What max_edges or the work budget keeps out makes the answer incomplete.
+    """
+    near = neighbours(edges.where(F.col("kind").isin(kinds)) if kinds else edges, direction).where(F.col("node") == endpoint)
+    seen = near.orderBy("other", "relationship_id").limit(work + 1)
+    seen = cut(seen.withColumn("place", F.row_number().over(W.orderBy("other", "relationship_id"))))  # at most work + 1 rows
+    looked = seen.where(F.col("place") <= work)
+    out = F.col("other").isin(list(exclude)) if exclude else F.lit(False)
+    fits = ~out & (F.col("other").isin(list(allow)) if allow is not None else F.lit(True))
+    most = 1 if stop_first else max_edges
+    counts = looked.agg(F.count("*").alias("work_items"), F.count_if(out).alias("excluded"), F.count_if(fits).alias("fitting"))
+    limit = seen.agg((F.count("*") > work).alias("work_limit_reached"))
+    found = looked.where(fits).orderBy("place").limit(most).select("relationship_id", "kind", "other")
+    flags = counts.join(F.broadcast(limit))  # one row each
+    short = F.lit(False) if stop_first else F.col("fitting") > most
+    return found.join(F.broadcast(flags)).select("relationship_id", "kind", "other", "work_items", "work_limit_reached", "excluded", (F.col("work_limit_reached") | short).alias("incomplete"))
+
+
+def call_edges(sites: DataFrame, site: list[str], target: str, most: int = EDGES_MAX, work: int = WORK_DEFAULT) -> DataFrame:
+    """Rows (src, target, incomplete): one edge for each site with exactly one target, the first ``most`` in order of site, from
+    no more than the first ``work`` sites. A budget that keeps something out marks every row."""
+    looked = sites.select(*site, target).distinct().orderBy(*site, target).limit(work + 1)
+    looked = cut(looked.withColumn("place", F.row_number().over(W.orderBy(*site, target))))  # at most work + 1 rows
+    found = cut(unique_targets(looked.where(F.col("place") <= work), site, target))
+    flags = looked.agg((F.count("*") > work).alias("over")).join(F.broadcast(found.agg((F.count("*") > most).alias("more"))))
+    return found.orderBy(*site).limit(most).join(F.broadcast(flags)).select(*site, "target", (F.col("over") | F.col("more")).alias("incomplete"))
+
+
 @dataclass
 class Impact:
     """A budgeted walk's nodes (key: depth), selected edges, and why it stopped short, if it did."""
@@ -185,13 +218,13 @@ def bounded_impact(edges: DataFrame, root: str, direction: str = "incoming", max
     return result
 
 
-def canonical_paths(edges: DataFrame, root: str, max_depth: int, direction: str = "outgoing") -> DataFrame:
-    """Rows (node, depth, path): a shortest path to every node within reach; of several, that whose ids come first as JSON."""
-    near = neighbours(edges, direction).select("relationship_id", "node", "other")
+def canonical_paths(edges: DataFrame, root: str, max_depth: int | None = None, direction: str = "outgoing") -> DataFrame:
+    """Rows (node, depth, path): a shortest path to every node (within ``max_depth``); of several, that whose ids come first as JSON."""
+    near = cut(neighbours(edges, direction).select("relationship_id", "node", "other").repartition("node"))
     spark = edges.sparkSession
     found = frontier = cut(spark.createDataFrame([(root, 0, [])], "node string, depth int, path array<string>"))
     first = W.partitionBy("node").orderBy(F.to_json("path"))
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = near.join(frontier, "node").select(F.col("other").alias("node"), F.concat("path", F.array("relationship_id")).alias("path"))
         step = step.join(found.select("node"), "node", "left_anti")
         best = step.withColumn("rn", F.row_number().over(first)).where("rn = 1")
@@ -202,7 +235,7 @@ def canonical_paths(edges: DataFrame, root: str, max_depth: int, direction: str
     return found.where("depth > 0")
 
 
-def shortest_paths(edges: DataFrame, root: str, max_depth: int = DEPTH_MAX) -> DataFrame:
+def shortest_paths(edges: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:
     """Proof paths: like canonical_paths, with edges taken either way, each read from the node to the root."""
     return canonical_paths(edges, root, max_depth, "both").select("node", "depth", F.reverse("path").alias("path"))
 

@@ -73,7 +73,7 @@ def page(rows: DataFrame, order: list[Column], offset: int = 0, limit: int = PAG
 
 def ranked_page(symbols: DataFrame, query: str, names: Names = Names(), kinds: list[str] | None = None, file_filter: str | None = None, offset: int = 0, limit: int = SEARCH_DEFAULT) -> DataFrame:
     if limit > CANDIDATES_MAX:
-        raise QueryError("LIMIT", f"at most {CANDIDATES_MAX} candidates")
+        raise QueryError("INVALID_INPUT", f"at most {CANDIDATES_MAX} candidates")
     found = candidates(symbols, query, names, kinds, file_filter)
     order = [F.col("rank"), F.col(names.file), F.col(names.position)]
     return page(found, order, offset, limit, CANDIDATES_MAX, total=found.select("rank"))

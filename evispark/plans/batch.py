@@ -32,7 +32,7 @@ def _references(template: Any, name: str) -> list[str]:
 def load(text: str) -> dict:
     """A document from text, validated."""
     if len(text.encode()) > DOCUMENT_BYTES:
-        raise QueryError("LIMIT", "the document is too large")
+        raise QueryError("INVALID_INPUT", "the document is too large")
     try:
         return validate(json.loads(text))
     except json.JSONDecodeError as e:

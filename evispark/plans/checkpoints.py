@@ -5,13 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset and the master is local, as in tests, a folder of this machine."""
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = f"file://{tempfile.gettempdir()}/evispark-{uuid.uuid4().hex}"
+        context.setCheckpointDir(base)
+    return (spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder: later rounds read it, and survive a lost executor."""
-    spark = df.sparkSession
-    context = spark.sparkContext._jsc.sc()
-    if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/evispark-{uuid.uuid4().hex}")
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scalar import at_pointer, canonical_instant, matches_glob, redacted, saturated, selector_line, selector_path, sha256
-from .operators import delta, evidence, files, graph, search
+from .functions.scalar import array_items, at_pointer, canonical_instant, identifier, in_project, json_bytes, matches_glob, redacted, saturated, selector_line, selector_path, sha256, strict_base64, utf8_text, without_secrets
+from .operators import delta, diagnostics, evidence, files, graph, resolution, search
 from .sources import extract
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +37,7 @@ def long(c: str) -> Column:
 
 NAMES = search.Names(name="p_name", path="symbol_path", line="p_partkey", file="p_brand", kind="p_type", position="p_partkey")
 #: the search term of the queries, which occurs in p_name
-TERM = "steel"
+TERM = "widget"
 PARTS = "(SELECT *, p_brand || '.' || p_name AS symbol_path, p_brand || '.' || p_name || '@' || p_partkey AS selector FROM part)"
 RANK = """CASE WHEN lower(selector) = '{q}' THEN 0 WHEN lower(symbol_path) = '{q}' THEN 1 WHEN lower(p_name) = '{q}' THEN 2
  WHEN starts_with(lower(symbol_path), '{q}') OR starts_with(lower(p_name), '{q}') THEN 3 ELSE 4 END"""
@@ -74,6 +74,18 @@ def rank_histogram(spark, sf_dir):
     return search.histogram(search.candidates(parts(spark, sf_dir), TERM, NAMES)).select("rank", "n")
 
 
+#: a term for each rank: a selector, a path, a name, the start of one, and a part of one
+RANKED = ("Brand#2.small ring@0", "brand#2.small RING", "hot gear", "brand#1", "izm")
+
+
+@query(" UNION ALL ".join(f"SELECT '{q}' AS term, CAST(rank AS INT) AS rank, count(*) AS n FROM {FOUND.format(q=q.lower())} GROUP BY 2" for q in RANKED))
+def match_rank(spark, sf_dir):
+    out = [search.histogram(search.candidates(parts(spark, sf_dir), q, NAMES)).select(F.lit(q).alias("term"), "rank", "n") for q in RANKED]
+    for other in out[1:]:
+        out[0] = out[0].unionByName(other)
+    return out[0]
+
+
 def _detail(level: str):
     def run(spark, sf_dir):
         p = parts(spark, sf_dir).withColumns({"file_path": F.col("p_brand"), "name": F.col("p_name"), "kind": F.col("p_type"), "line": F.col("p_partkey"), "signature": F.concat_ws(" ", "p_type", "p_name")})
@@ -105,18 +117,112 @@ def paginate(spark, sf_dir):
  SELECT page_id, url, total, total > 100 AS has_more, CASE WHEN total > 100 THEN CAST(100 AS BIGINT) END AS next_offset FROM (SELECT * FROM f ORDER BY url, page_id LIMIT 100), t""")
 def list_files(spark, sf_dir):
     p = read(spark, sf_dir, "pages").select("page_id", "url")
-    return search.page(p.where(F.contains(F.lower("url"), F.lit("a"))), [F.col("url"), F.col("page_id")], 0, 100)
+    return files.list_files(p, "A", 0, 100, path="url", language_order=False)
 
 
-@query("""WITH c AS (SELECT p_partkey, p_name FROM part)
- SELECT (SELECT count(*) FROM c) AS n_base, (SELECT count(*) FROM c) AS n_index, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_extra, TRUE AS equal""")
+@query("""WITH b AS (SELECT p_partkey, p_name FROM part), i AS (SELECT p_partkey, CASE WHEN p_size = 7 THEN p_name || '?' ELSE p_name END AS p_name FROM part WHERE p_size <> 9)
+ SELECT (SELECT count(*) FROM b) AS n_base, (SELECT count(*) FROM i) AS n_index, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM i)) AS n_missing,
+ (SELECT count(*) FROM (SELECT * FROM i EXCEPT ALL SELECT * FROM b)) AS n_extra, (SELECT count(*) FROM part WHERE p_size IN (7, 9)) = 0 AS equal""")
 def parity_check(spark, sf_dir):
     from .sources.store import MemoryStore
 
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    p = read(spark, sf_dir, "part")
     store = MemoryStore(spark)
-    store.put("parts", p)
-    return search.parity(p, store.get("parts"))
+    store.put("parts", p.where("p_size <> 9").select("p_partkey", F.when(F.col("p_size") == 7, F.concat("p_name", F.lit("?"))).otherwise(F.col("p_name")).alias("p_name")))
+    return search.parity(p.select("p_partkey", "p_name"), store.get("parts"))
+
+
+# --- declarations -----------------------------------------------------------
+
+SOURCE_SQL = "(SELECT p_brand, 'C' || substr(p_brand, 7) AS c, 'm' || p_partkey AS m, p_size, 1 + row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS line, count(*) OVER (PARTITION BY p_brand) AS n FROM part)"
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of source text for each brand: one class, with a method for each part."""
+    p = read(spark, sf_dir, "part").select("p_brand", F.struct("p_partkey", F.concat(F.lit("  m"), F.col("p_partkey").cast("string"), F.lit("(): number { return "), F.col("p_size").cast("string"), F.lit("; }")).alias("line")).alias("m"))
+    lines = F.transform(F.array_sort(F.collect_list("m")), lambda m: m["line"])
+    text = F.concat(F.lit("export class C"), F.expr("substring(p_brand, 7)"), F.lit(" {\n"), F.array_join("lines", "\n"), F.lit("\n}\n"))
+    return p.groupBy("p_brand").agg(lines.alias("lines")).select(F.col("p_brand").alias("path"), text.alias("text"))
+
+
+@query(f"""SELECT p_brand AS path, c AS symbol_path, 'ClassDeclaration' AS kind, 1 AS line, CAST(max(n) + 2 AS INT) AS end_line, 0 AS symbol_position FROM {SOURCE_SQL} GROUP BY p_brand, c
+ UNION ALL SELECT p_brand, c || '.' || m, 'MethodDeclaration', CAST(line AS INT), CAST(line AS INT), CAST(line - 1 AS INT) FROM {SOURCE_SQL}""")
+def symbol_enumeration(spark, sf_dir):
+    return extract.symbols(sources(spark, sf_dir)).select("path", "symbol_path", "kind", "line", "end_line", "symbol_position")
+
+
+@query(f"""SELECT p_brand AS path, count(*) + 1 AS n_symbols, 'export class ' || c || chr(10) || string_agg('  ' || m || '(): number', chr(10) ORDER BY line) AS outline FROM {SOURCE_SQL} GROUP BY p_brand, c""")
+def outline(spark, sf_dir):
+    return extract.outline(sources(spark, sf_dir))
+
+
+@query(f"SELECT p_brand AS path, c || '.' || m || '@' || line AS selector, '  ' || m || '(): number {{ return ' || p_size || '; }}' AS source FROM {SOURCE_SQL}")
+def symbol_source(spark, sf_dir):
+    text = sources(spark, sf_dir)
+    own = extract.symbols(text).where("kind = 'MethodDeclaration'").select("path", "selector", "line", "end_line")
+    return extract.source_of(text, own).select("path", "selector", "source")
+
+
+@query(f"SELECT p_brand AS path, c || '.' || m AS symbol_path FROM {SOURCE_SQL}")
+def executable_bodies(spark, sf_dir):
+    return extract.symbols(sources(spark, sf_dir)).where(resolution.executable()).select("path", "symbol_path")
+
+
+@query(f"SELECT p_brand AS file_path, c || '.' || m AS symbol_path, CAST(line AS INT) AS line FROM {SOURCE_SQL} WHERE contains(m, 'm1') AND contains(lower(p_brand), '#2')")
+def stored_symbols(spark, sf_dir):
+    import uuid
+
+    from .plans.checkpoints import folder
+    from .sources.store import ParquetStore
+
+    text = sources(spark, sf_dir)
+    own = extract.symbols(text).select("path", F.struct("symbol_position", F.struct("name", "symbol_path", "selector", "kind", "signature", "line").alias("s")).alias("x"))
+    entries = own.groupBy("path").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]).alias("symbols"))
+    entries = entries.join(text.select("path", sha256(F.col("text")).alias("content_hash")), "path").select(F.col("path").alias("file_path"), "content_hash", F.lit("c1").alias("config_digest"), "symbols", F.lit("2026-08-06T00:00:00.000Z").alias("last_indexed_at"))
+    store = ParquetStore(spark, f"{folder(spark)}/index-{uuid.uuid4().hex}")
+    store.upsert("parts", entries)
+    return store.symbols("parts", "M1", ["MethodDeclaration"], "#2").select("file_path", "symbol_path", "line")
+
+
+@query("""SELECT c_custkey, coalesce(signature, c_name) AS signature FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS signature FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey""")
+def record_projection(spark, sf_dir):
+    symbols = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    lines = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("position"), F.col("o_orderpriority").alias("signature"))
+    return resolution.records(symbols, lines, ["c_custkey"], text="c_name").select("c_custkey", "signature")
+
+
+NAMED = "(SELECT p_brand AS file_path, p_brand || '.' || p_name AS symbol_path, p_brand || '.' || p_name || '@' || p_partkey AS selector, p_size > 25 AS has_body FROM part)"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT file_path, symbol_path AS symbol FROM {NAMED} UNION SELECT file_path, selector FROM {NAMED} UNION SELECT DISTINCT file_path, 'nothing' FROM {NAMED})
+ SELECT w.file_path, w.symbol, count(s.selector) AS n_found, CASE WHEN bool_or(s.selector = w.symbol) THEN w.symbol WHEN count(s.selector) = 1 THEN min(s.selector) WHEN count_if(s.has_body) = 1 THEN min(CASE WHEN s.has_body THEN s.selector END) END AS resolved
+ FROM w LEFT JOIN {NAMED} s ON s.file_path = w.file_path AND (s.symbol_path = w.symbol OR s.selector = w.symbol) GROUP BY 1, 2""")
+def declaration_lookup(spark, sf_dir):
+    s = parts(spark, sf_dir).select(F.col("p_brand").alias("file_path"), "symbol_path", "selector", (F.col("p_size") > 25).alias("has_body"))
+    wanted = s.select("file_path", F.explode(F.array("symbol_path", "selector", F.lit("nothing"))).alias("symbol")).distinct()
+    return resolution.lookup(s, wanted)
+
+
+@query("""WITH d AS (SELECT 'n' || c_nationkey AS file, 'c' || (c_custkey % 200) AS name, c_custkey AS id FROM customer),
+ own AS (SELECT file, name, min(id) AS id, count(DISTINCT id) AS n FROM d GROUP BY 1, 2),
+ brought AS (SELECT 'n' || s_nationkey AS file, 'c' || (s_suppkey % 200) AS name, min(d.id) AS id, count(DISTINCT d.id) AS n FROM supplier JOIN d ON d.file = 'n' || ((s_nationkey + 1) % 25) AND d.name = 'c' || (s_suppkey % 200) GROUP BY 1, 2),
+ scope AS (SELECT * FROM own UNION ALL SELECT b.* FROM brought b ANTI JOIN own o ON o.file = b.file AND o.name = b.name)
+ SELECT o_orderkey, coalesce(s.id, -1) AS symbol_id FROM orders LEFT JOIN (SELECT * FROM scope WHERE n = 1) s ON s.file = 'n' || (o_orderkey % 25) AND s.name = 'c' || (o_custkey % 200)""")
+def references_by_declaration(spark, sf_dir):
+    """Equal names of other files do not count: a name means one declaration of its file, or one that is imported."""
+    name = lambda p, c, n: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
+    declared = read(spark, sf_dir, "customer").select(name("n", "c_nationkey", 25).alias("file"), name("c", "c_custkey", 200).alias("name"), F.col("c_custkey").alias("symbol_id"))
+    imports = read(spark, sf_dir, "supplier").select(name("n", "s_nationkey", 25).alias("file"), name("c", "s_suppkey", 200).alias("name"), F.concat(F.lit("n"), ((F.col("s_nationkey") + 1) % 25).cast("string")).alias("target"))
+    uses = read(spark, sf_dir, "orders").select("o_orderkey", name("n", "o_orderkey", 25).alias("file"), name("c", "o_custkey", 200).alias("name"))
+    return resolution.resolved(uses, declared, imports).select("o_orderkey", F.coalesce("symbol_id", F.lit(-1)).alias("symbol_id"))
+
+
+@query("""SELECT p.p_partkey, p.p_brand, coalesce(e.n, 0) AS n FROM part p LEFT JOIN (SELECT p_brand, p_name, count(*) AS n FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND p_size < 25 GROUP BY 1, 2) e ON e.p_brand = p.p_brand AND e.p_name = p.p_name""")
+def evidence_attach(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("file"), F.col("p_name").alias("selector"), "p_size")
+    lines = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    found = p.where("p_size < 25").join(lines, "p_partkey").groupBy("file", "selector").agg(F.count("*").alias("n"))
+    return resolution.attached(p.drop("p_size"), found).select("p_partkey", F.col("file").alias("p_brand"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # --- files ------------------------------------------------------------------
@@ -190,6 +296,38 @@ def refresh_plan_config(spark, sf_dir):
     return files.refresh_plan(new, old.withColumn("config_digest", F.lit("c1")), "c2", path="doc_id")
 
 
+@query(f"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0)
+ SELECT n.doc_id, sha256(n.text) AS content_hash, CAST(strlen(n.text) AS BIGINT) AS size_bytes, coalesce(o.h = sha256(n.text), FALSE) AS reused FROM n LEFT JOIN {OLD} o ON o.doc_id = n.doc_id""")
+def incremental_rescan(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    now = d.where("doc_id % 11 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    extract_ = lambda f: f.select("doc_id", "content_hash", F.octet_length("text").cast("long").alias("size_bytes"))
+    before = extract_(d.where("doc_id % 7 <> 0").withColumn("content_hash", sha256(F.col("text"))))
+    return files.rescan(before, now, extract_, path="doc_id")
+
+
+URL_PATH = "regexp_replace(regexp_replace(url, '^https?://[^/]*/', ''), '[?#].*$', '')"
+
+
+@query(f"""WITH p AS (SELECT string_split(CASE WHEN page_id % 3 = 0 THEN 'src/dist/' ELSE 'src/' END || {URL_PATH}, '/') AS l FROM pages)
+ SELECT DISTINCT array_to_string(l[1:i], '/') AS directory FROM p, unnest(range(0, 10)) AS r(i) WHERE i < len(l) AND NOT list_contains(l[1:i], 'dist')""")
+def watch_directories(spark, sf_dir):
+    from .streaming.feed import watched
+
+    path = F.regexp_replace(F.regexp_replace("url", "^https?://[^/]*/", ""), "[?#].*$", "")
+    p = read(spark, sf_dir, "pages").select(F.concat(F.when(F.col("page_id") % 3 == 0, "src/dist/").otherwise("src/"), path).alias("path"))
+    return watched(p)
+
+
+@query(f"""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '/' WHEN 1 THEN 'node_modules/' WHEN 2 THEN '../' ELSE '' END || {URL_PATH} AS path FROM pages)
+ SELECT page_id, page_id % 4 = 3 AS inside, split_part(path, '/', -1) AS base FROM p""")
+def project_scope(spark, sf_dir):
+    path = F.regexp_replace(F.regexp_replace("url", "^https?://[^/]*/", ""), "[?#].*$", "")
+    head = F.element_at(F.array(F.lit("/"), F.lit("node_modules/"), F.lit("../"), F.lit("")), (F.col("page_id") % 4 + 1).cast("int"))
+    p = read(spark, sf_dir, "pages").select("page_id", F.concat(head, path).alias("path"))
+    return p.select("page_id", in_project(F.col("path")).alias("inside"), F.element_at(F.split("path", "/"), -1).alias("base"))
+
+
 @query("""SELECT source, count(*) AS n_files, sha256(string_agg(p || chr(0) || sha256(text) || chr(0), '' ORDER BY p, sha256(text))) AS digest
  FROM (SELECT source, CAST(doc_id AS VARCHAR) AS p, text FROM documents) GROUP BY source""")
 def workspace_digest(spark, sf_dir):
@@ -238,6 +376,30 @@ def diagnostic_delta(spark, sf_dir):
     return delta.delta(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "event_type"], ["event_id"])
 
 
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY half, user_id, event_type ORDER BY event_id) AS rn FROM {HALVES}),
+ c AS (SELECT half, user_id, event_type, count(*) AS n FROM {HALVES} GROUP BY 1, 2, 3)
+ SELECT r.event_id, r.user_id, r.event_type FROM r LEFT JOIN c ON c.half = 0 AND c.user_id = r.user_id AND c.event_type = r.event_type WHERE r.half = 1 AND r.rn > coalesce(c.n, 0) AND r.event_type = 'error'""")
+def added_errors(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    return delta.added_errors(delta.delta(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "event_type"], ["event_id"]), "event_type", ["error"]).drop("change")
+
+
+@query("""SELECT l_orderkey, l_linenumber, 1001 AS code, 'Error' AS category, 'discount ' || l_linestatus AS message FROM lineitem WHERE l_discount > 0.08 UNION ALL
+ SELECT l_orderkey, l_linenumber, 1002, 'Warning', 'quantity ' || CAST(CAST(l_quantity AS INT) AS VARCHAR) FROM lineitem WHERE l_quantity > 45""")
+def diagnostics_scan(spark, sf_dir):
+    rules = [
+        diagnostics.Rule(1001, "Error", F.col("l_discount") > 0.08, F.concat(F.lit("discount "), F.col("l_linestatus"))),
+        diagnostics.Rule(1002, "Warning", F.col("l_quantity") > 45, F.concat(F.lit("quantity "), F.col("l_quantity").cast("int").cast("string"))),
+    ]
+    return diagnostics.scan(read(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], rules)
+
+
+@query("""SELECT o_orderpriority, o_orderkey, CAST(place AS INT) AS place, n, total, n > 3 AS has_more FROM (
+ SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS place, count(*) OVER (PARTITION BY o_orderpriority) AS n, count(*) OVER () AS total FROM orders) WHERE place <= 3""")
+def omission_details(spark, sf_dir):
+    return evidence.omissions(read(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], ["o_orderkey"], 3)
+
+
 @query("SELECT count_if(event_type = 'error') AS n_error, count_if(event_type = 'view') AS n_view FROM events")
 def category_counts(spark, sf_dir):
     return delta.category_counts(read(spark, sf_dir, "events"), "event_type", ["error", "view"])
@@ -316,19 +478,27 @@ def percentiles(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"))
 
 
-@query("""SELECT doc_id, regexp_replace(text, '(?i)\\b(authorization|bearer|token|api[_-]?key|secret|password)\\b(\\s*[=:]\\s*|\\s+)("[^"]*"|''[^'']*''|[^\\s,;]+)', '\\1\\2[redacted]', 'g') AS text
- FROM documents WHERE contains(text, 'token = ') AND NOT regexp_matches(text, '(?:/[\\w.-]+){2,}|[A-Za-z]:\\\\\\S+')""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(\bauthorization[ \t]*[:=])([ \t]*)[^\r\n;]+', '\1\2[REDACTED]', 'g'), '(?i)\bbearer[ \t]+[^\r\n;]+', 'Bearer [REDACTED]', 'g'),
+ '(?i)\b(api[-_ ]?key|access[-_ ]?token|refresh[-_ ]?token|token|password|secret|credential|connection[-_ ]?string)\b\s*[:=]\s*(?:"[^"]*"|''[^'']*''|[^\s,;}\]]+)', '\1=[REDACTED]', 'g'), '\b([A-Za-z][A-Za-z0-9+.-]*://)[^\s"''`]+@', '\1[REDACTED]@', 'g'),
+ '\b(?:sk|ghp|github_pat|xox[baprs]-|AIza)[A-Za-z0-9_-]{8,}\b', '[REDACTED]', 'g') AS text FROM documents""")
 def redaction(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where(F.contains("text", F.lit("token = ")) & ~F.col("text").rlike(r"(?:/[\w.-]+){2,}|[A-Za-z]:\\\S+"))
-    return d.select("doc_id", redacted(F.col("text")).alias("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", without_secrets(F.col("text")).alias("text"))
 
 
 @query()
 def redaction_whole(spark, sf_dir):
-    """All rules over every document; the SQL of ``redaction`` has one rule and the documents that only it can touch."""
+    """Paths and secrets; the paths' rules look around, which the SQL cannot."""
     return read(spark, sf_dir, "documents").select("doc_id", redacted(F.col("text")).alias("text"))
 
 
+@query(r"""SELECT p_partkey, CAST(strlen('{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '","p_size":' || p_size || '}') AS INT) AS json_bytes, CAST(len(string_split(p_name, ' ')) AS INT) AS n_items,
+ to_base64(encode(p_name)) AS code, p_name AS decoded, regexp_matches(p_brand, '^[\p{L}_$][\p{L}\p{N}_$]*$') AS brand_is_name, regexp_matches(string_split(p_name, ' ')[1], '^[\p{L}_$][\p{L}\p{N}_$]*$') AS word_is_name FROM part""")
+def text_functions(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    code = F.base64(F.col("p_name").cast("binary"))
+    return p.select("p_partkey", json_bytes(F.struct("p_partkey", "p_name", "p_size")).alias("json_bytes"), array_items(F.to_json(F.split("p_name", " "))).alias("n_items"), code.alias("code"), utf8_text(strict_base64(code)).alias("decoded"), identifier(F.col("p_brand")).alias("brand_is_name"), identifier(F.element_at(F.split("p_name", " "), 1)).alias("word_is_name"))
+
+
 @query("SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events")
 def canonical_time(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumn("iso", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
@@ -369,6 +539,75 @@ def edge_integrity(spark, sf_dir):
     return graph.dangling(edges(spark, sf_dir), known)
 
 
+TRUSTED = "CASE l_returnflag WHEN 'R' THEN 'syntax' ELSE 'compiler' END AS provenance, CASE l_linestatus WHEN 'F' THEN 'exact' ELSE 'high' END AS confidence, CASE WHEN l_linenumber % 5 = 0 THEN 'unresolved' ELSE 'resolved' END AS resolution, CASE WHEN l_linenumber % 3 = 0 THEN 'stale' ELSE 'fresh' END AS state"
+
+
+@query(f"""WITH e AS (SELECT l_linenumber % 2 = 0 AS call, {TRUSTED} FROM lineitem), a AS (SELECT *, provenance = 'compiler' AND confidence = 'exact' AND resolution = 'resolved' AND state = 'fresh' AS ok FROM e)
+ SELECT provenance, confidence, resolution, state, ok AS compiler_authoritative, ok AND call AS exact_call, count(*) AS n FROM a GROUP BY ALL""")
+def edge_authority(spark, sf_dir):
+    kind = F.when(F.col("l_linenumber") % 2 == 0, "call").otherwise("reference")
+    state = F.when(F.col("l_linenumber") % 3 == 0, "stale").otherwise("fresh")
+    rows = read(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("dst"), kind.alias("kind"),
+        F.when(F.col("l_returnflag") == "R", "syntax").otherwise("compiler").alias("provenance"), F.when(F.col("l_linestatus") == "F", "exact").otherwise("high").alias("confidence"),
+        F.when(F.col("l_linenumber") % 5 == 0, "unresolved").otherwise("resolved").alias("resolution"), state.alias("state"),
+        F.when(state == "stale", F.array(F.lit("source_change"))).otherwise(F.array().cast("array<string>")).alias("causes"),
+    )
+    built = graph.build(rows).withColumn("exact_call", graph.exact(calls=True))
+    return built.groupBy("provenance", "confidence", "resolution", "state", "compiler_authoritative", "exact_call").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT 'reference:order:' || o_orderkey || '->customer:' || c_custkey AS relationship_id FROM orders JOIN customer ON c_custkey = o_custkey")
+def reference_edges(spark, sf_dir):
+    node = lambda p, c: F.concat(F.lit(f"{p}:"), F.col(c).cast("string"))
+    uses = read(spark, sf_dir, "orders").select(node("order", "o_orderkey").alias("src"), F.col("o_custkey").alias("symbol_id"))
+    declared = read(spark, sf_dir, "customer").select(node("customer", "c_custkey").alias("dst"), F.col("c_custkey").alias("symbol_id"))
+    return graph.reference_edges(uses, declared).select("relationship_id")
+
+
+@query("SELECT DISTINCT CASE WHEN n_regionkey < 3 THEN 'extends' ELSE 'implements' END AS kind, 'nation:' || n_nationkey AS src, 'region:' || n_regionkey AS dst FROM nation")
+def heritage_edges(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    clauses = n.select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("src"), F.col("n_regionkey").alias("symbol_id"), F.when(F.col("n_regionkey") < 3, "extends").otherwise("implements").alias("clause"))
+    declared = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("symbol_id"), F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("dst"))
+    return graph.heritage_edges(clauses, declared).select("kind", "src", "dst")
+
+
+@query("""SELECT DISTINCT kind, src_file, CASE WHEN name IS NULL THEN dst_file || '|<module>@1' ELSE dst END AS dst FROM (
+ SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'import' ELSE 'export' END AS kind, 's' || s_suppkey AS src_file, 'n' || s_nationkey AS dst_file, CASE WHEN s_suppkey % 3 > 0 THEN 'c' || (s_suppkey % 50) END AS name FROM supplier)
+ LEFT JOIN (SELECT 'n' || c_nationkey AS file, 'c' || c_custkey AS symbol, 'n' || c_nationkey || '|c' || c_custkey AS dst FROM customer) ON file = dst_file AND symbol = name WHERE name IS NULL OR dst IS NOT NULL""")
+def module_edges(spark, sf_dir):
+    s = read(spark, sf_dir, "supplier")
+    n = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    used = s.select(F.when(F.col("s_suppkey") % 2 == 0, "import").otherwise("export").alias("kind"), n("s", "s_suppkey").alias("src_file"), n("n", "s_nationkey").alias("dst_file"), F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("c"), (F.col("s_suppkey") % 50).cast("string"))).alias("name"))
+    declared = read(spark, sf_dir, "customer").select(n("n", "c_nationkey").alias("file"), n("c", "c_custkey").alias("name"), F.concat(n("n", "c_nationkey"), F.lit("\0"), n("c", "c_custkey")).alias("dst"))
+    out = graph.module_edges(used, declared)
+    return out.select("kind", F.element_at(F.split("src", "\0"), 1).alias("src_file"), F.translate("dst", "\0", "|").alias("dst"))
+
+
+@query(f"""WITH e AS MATERIALIZED {EDGES}, n AS (SELECT src AS node, dst AS other, relationship_id FROM e UNION ALL SELECT dst, src, relationship_id FROM e)
+ SELECT node, CAST(rn AS INT) AS rn, other, relationship_id FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY other, relationship_id) AS rn FROM n) WHERE rn <= 2""")
+def neighbor_order(spark, sf_dir):
+    near = graph.neighbours(edges(spark, sf_dir), "both")
+    return graph.topk_neighbours(near, 2, [F.col("other"), F.col("relationship_id")]).select("node", "rn", "other", "relationship_id")
+
+
+@query(f"""WITH n AS (SELECT relationship_id, kind, src AS other, row_number() OVER (ORDER BY src, relationship_id) AS rn FROM {EDGES} WHERE dst = 'nation:3' AND kind IN ('reference', 'import')),
+ c AS (SELECT * FROM n WHERE rn <= 40), f AS (SELECT * FROM c WHERE other <> (SELECT min(other) FROM c))
+ SELECT relationship_id, kind, other, (SELECT count(*) FROM c) AS work_items, (SELECT count(*) FROM n) > 40 AS work_limit_reached, CAST(1 AS BIGINT) AS excluded, (SELECT count(*) FROM n) > 40 OR (SELECT count(*) FROM f) > 10 AS incomplete
+ FROM f ORDER BY rn LIMIT 10""")
+def incident_edges(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    first = graph.neighbours(e.where(F.col("kind").isin("reference", "import")), "incoming").where("node = 'nation:3'").agg(F.min("other")).first()[0]
+    return graph.incident(e, "nation:3", "incoming", ["reference", "import"], max_edges=10, work=40, exclude=[first])
+
+
+@query("""WITH t AS (SELECT l_orderkey, min(l_suppkey) AS target FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem ORDER BY 1, 2 LIMIT 3000) GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1)
+ SELECT l_orderkey, target, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)) > 3000 OR (SELECT count(*) FROM t) > 100 AS incomplete FROM t ORDER BY 1 LIMIT 100""")
+def call_edges(spark, sf_dir):
+    return graph.call_edges(read(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_suppkey", most=100, work=3000)
+
+
 def _bfs(start: str, step: str, depth: int) -> str:
     return f"""WITH RECURSIVE e AS MATERIALIZED {EDGES}, r(node, depth) AS (SELECT '{start}', 0 UNION SELECT {step}), b AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1)
  SELECT node, CAST(depth AS INT) AS depth, depth = 1 AS direct FROM b""".replace("{depth}", str(depth))
@@ -389,9 +628,12 @@ def impact_both(spark, sf_dir):
     return graph.impact(edges(spark, sf_dir), "nation:3", "both", 2)
 
 
-@query()
+@query(f"""WITH e AS MATERIALIZED {EDGES}, n AS (SELECT src AS node FROM e WHERE dst = 'region:1'), c AS (SELECT e.src AS node, row_number() OVER (ORDER BY n.node, e.src, e.relationship_id) AS rn FROM n JOIN e ON e.dst = n.node),
+ r AS (SELECT 'region:1' AS node, 0 AS depth UNION ALL SELECT node, 1 FROM n UNION ALL SELECT node, 2 FROM c WHERE rn <= 99 - (SELECT count(*) FROM n)),
+ why AS (SELECT (SELECT count(*) FROM e JOIN r ON e.dst = r.node AND r.depth = 2) > 0 AS deep, (SELECT count(*) FROM c) > 99 - (SELECT count(*) FROM n) AS wide)
+ SELECT node, depth, depth = 1 AS direct, deep OR wide AS incomplete, concat_ws(',', CASE WHEN deep THEN 'depth_limit' END, CASE WHEN wide THEN 'record_limit' END) AS reasons FROM r, why""")
 def impact_budgeted(spark, sf_dir):
-    found = graph.bounded_impact(edges(spark, sf_dir), "region:1", "incoming", 3, 100, 200)
+    found = graph.bounded_impact(edges(spark, sf_dir), "region:1", "incoming", 2, 100, 200)
     return spark.createDataFrame([(n, d, x, found.incomplete, ",".join(found.reasons)) for n, d, x in found.ordered_nodes()], "node string, depth int, direct boolean, incomplete boolean, reasons string")
 
 
@@ -417,24 +659,38 @@ def _family(spark, sf_dir) -> DataFrame:
 
 
 @query(PATHS.format(root="part:0", step="e.dst, list_append(path, e.id), d + 1 FROM p JOIN e ON e.src = p.node WHERE TRUE", depth=3, path="array_to_string(path, '|')"))
-def call_spines(spark, sf_dir):
+def canonical_paths(spark, sf_dir):
     out = graph.canonical_paths(_family(spark, sf_dir), "part:0", 3)
     return out.select("node", "depth", F.array_join("path", "|").alias("path"))
 
 
+@query("""WITH e AS (SELECT DISTINCT 'call:order:' || l_orderkey || '->part:' || l_partkey AS id, 'order:' || l_orderkey AS src, 'part:' || l_partkey AS dst FROM lineitem UNION ALL SELECT DISTINCT 'call:part:' || l_partkey || '->supplier:' || l_suppkey, 'part:' || l_partkey, 'supplier:' || l_suppkey FROM lineitem),
+ a AS (SELECT dst AS node, id FROM e WHERE src = 'order:7')
+ SELECT node AS endpoint, id AS path FROM a UNION ALL SELECT e.dst, min(a.id || '|' || e.id) FROM a JOIN e ON e.src = a.node GROUP BY 1""")
+def call_spines(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem")
+    node = lambda p, c: F.concat(F.lit(f"{p}:"), F.col(c).cast("string"))
+    calls = lines.select(node("order", "l_orderkey").alias("src"), node("part", "l_partkey").alias("dst")).unionByName(lines.select(node("part", "l_partkey").alias("src"), node("supplier", "l_suppkey").alias("dst"))).distinct().withColumn("kind", F.lit("call"))
+    calls = calls.withColumn("relationship_id", graph.relationship_id(F.col("kind"), F.col("src"), F.col("dst")))
+    found = graph.call_spines(calls, "order:7", "outgoing", 2, 1000, 5000)
+    return spark.createDataFrame([(p["endpoint"], "|".join(p["relationship_ids"])) for p in found.paths], "endpoint string, path string")
+
+
 @query(PATHS.format(root="region:2", step="e.src, list_append(path, e.id), d + 1 FROM p JOIN e ON e.dst = p.node WHERE TRUE", depth=2, path="array_to_string(list_reverse(path), '|')"))
 def shortest_path(spark, sf_dir):
     out = graph.shortest_paths(_family(spark, sf_dir), "region:2", 2)
     return out.select("node", "depth", F.array_join("path", "|").alias("path"))
 
 
-@query("""WITH n AS (SELECT 'customer:' || c_custkey AS node, c_mktsegment || '/test/' || c_nationkey AS file, 2 AS depth FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1)
- SELECT file, CAST(min(depth) AS INT) AS depth, string_agg(node, ',' ORDER BY node) AS endpoints FROM n GROUP BY 1""")
+@query("""WITH n AS (SELECT 'customer:' || c_custkey AS node, c_mktsegment || '/test/' || (c_custkey % 7) AS file FROM customer WHERE c_nationkey = 3)
+ SELECT file, 'direct_compiler_reference' AS reason, 'exact' AS confidence, 1 AS depth, 'reference:' || min(node) || '->nation:3' AS path FROM n GROUP BY 1""")
 def test_candidates(spark, sf_dir):
-    walk = graph.impact(_family(spark, sf_dir), "region:1", "incoming", 2)
-    c = read(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"), F.concat_ws("/", "c_mktsegment", F.lit("test"), F.col("c_nationkey").cast("string")).alias("file"))
-    out = evidence.candidate_files(walk.join(c, "node"), "src/root", evidence.is_test(F.col("file")))
-    return out.select("file", "depth", F.array_join("endpoints", ",").alias("endpoints"))
+    e = edges(spark, sf_dir).where(F.col("kind").isin("reference", "import"))
+    walk = graph.bounded_impact(e, "nation:3", "incoming", 3, 1000, 5000)
+    c = read(spark, sf_dir, "customer").where("c_nationkey = 3")
+    place = {f"customer:{r.c_custkey}": f"{r.c_mktsegment}/test/{r.c_custkey % 7}" for r in c.select("c_custkey", "c_mktsegment").collect()}  # at most a walk's nodes
+    found = evidence.test_candidates(e, walk, {n: place.get(n, f"src/{n}") for n in walk.nodes})
+    return spark.createDataFrame([(x["file"], x["reason"], x["confidence"], x["evidence"]["depth"], "|".join(x["evidence"]["relationship_ids"])) for x in found], "file string, reason string, confidence string, depth int, path string")
 
 
 @query("""WITH b AS (SELECT DISTINCT p_brand, 'Brand#' || (CAST(substr(p_brand, 7, 1) AS INT)) AS base FROM part),
@@ -496,24 +752,27 @@ def receipts(spark, sf_dir):
 
 
 @query("""SELECT source, count(*) AS n_changes, sha256(string_agg(k || '|' || sha256(text) || '|' || sha256(text || '!') || chr(10), '' ORDER BY k, sha256(text))) AS plan_hash
- FROM (SELECT source, CAST(doc_id AS VARCHAR) AS k, text FROM documents WHERE doc_id % 5 = 0) GROUP BY 1""")
+ FROM (SELECT source, CAST(doc_id AS VARCHAR) AS k, text FROM documents) GROUP BY 1""")
 def plan_hash(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("doc_id % 5 = 0")
+    d = read(spark, sf_dir, "documents")
     return delta.plan_hash(d, F.col("doc_id"), sha256(F.col("text")), sha256(F.concat("text", F.lit("!"))), ["source"])
 
 
-@query()
+@query(_page_sql(TERM, 0, 100, "CAST(rank AS INT) AS rank, p_brand, selector, p_partkey"))
 def toon_roundtrip(spark, sf_dir):
+    """A page written as compact text and read back."""
     from .functions.toon import decode, encode_checked
 
-    rows = [r.asDict() for r in search.ranked_page(parts(spark, sf_dir), TERM, NAMES, limit=100).orderBy("rank", "p_brand", "p_partkey").collect()]
-    text = encode_checked(rows)
-    return spark.createDataFrame([(len(rows), len(text.encode()), decode(text) == rows)], "n_rows bigint, n_bytes bigint, equal boolean")
+    rows = [r.asDict() for r in search.ranked_page(parts(spark, sf_dir), TERM, NAMES, limit=100).select(*PAGE_COLUMNS).orderBy("rank", "p_brand", "p_partkey").collect()]
+    back = decode(encode_checked(rows))
+    return spark.createDataFrame([tuple(r[c] for c in PAGE_COLUMNS) for r in back], "rank int, p_brand string, selector string, p_partkey bigint, total bigint, has_more boolean, next_offset bigint")
 
 
-@query()
+@query(f"""WITH f AS (SELECT *, row_number() OVER (ORDER BY rank, p_brand, p_partkey) AS rn FROM {FOUND.format(q=TERM)})
+ SELECT CAST(rn AS INT) AS place, p_brand AS file, selector, p_type || ' ' || p_name AS signature, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM f) > 20 AS has_more FROM f WHERE rn <= 20""")
 def explore(spark, sf_dir):
     hits = search.ranked_page(parts(spark, sf_dir), TERM, NAMES, limit=20).orderBy("rank", "p_brand", "p_partkey").collect()
     clusters = [{"symbol": {"file": r.p_brand, "selector": r.selector, "kind": r.p_type, "signature": f"{r.p_type} {r.p_name}"}} for r in hits]
-    shown = evidence.present(clusters, hits[0].total if hits else 0, 2048)
-    return spark.createDataFrame([(len(shown["symbols"]), shown["budget"]["used_bytes"], shown["truncation"]["reason"], shown["page"]["next_offset"])], "n_symbols int, used_bytes int, reason string, next_offset long")
+    shown = evidence.present(clusters, hits[0].total if hits else 0, 64 << 10)
+    rows = [(i, x["file"], x["selector"], x["signature"], shown["page"]["total"], shown["page"]["has_more"]) for i, x in enumerate(shown["symbols"], 1)]
+    return spark.createDataFrame(rows, "place int, file string, selector string, signature string, total bigint, has_more boolean")

@@ -128,10 +128,10 @@ class ParquetStore(_Queries):
             bad = rows.where(~checksum().eqNullSafe(F.col("checksum"))).limit(1).count()
         except Exception as e:
             self.quarantine(project)
-            raise QueryError("CORRUPT", f"the index of {project} cannot be read") from e
+            raise QueryError("INTERNAL_ERROR", f"the index of {project} cannot be read") from e
         if bad:
             self.quarantine(project)
-            raise QueryError("CORRUPT", f"a checksum of {project} does not hold")
+            raise QueryError("INTERNAL_ERROR", f"a checksum of {project} does not hold")
         return rows.drop("checksum")
 
     def quarantine(self, project: str) -> str:

@@ -47,7 +47,7 @@ def test_scan_and_resolve(spark, tmp_path):
     assert files.resolve(got, "a.ts") == "a.ts"
     t = spark.createDataFrame([("x/a.ts",), ("y/a.ts",), ("z/b.ts",)], "path string")
     assert files.resolve(t, "b.ts") == "z/b.ts"
-    for wanted, code in (("a.ts", "AMBIGUOUS"), ("c.ts", "NOT_FOUND")):
+    for wanted, code in (("a.ts", "AMBIGUOUS_TARGET"), ("c.ts", "NOT_FOUND")):
         with pytest.raises(QueryError, match=code):
             files.resolve(t, wanted)
 
@@ -100,7 +100,7 @@ def test_corrupt_index_is_moved_aside(spark, tmp_path):
     path = s._current("p")
     bad = spark.read.parquet(path).withColumn("content_hash", F.lit("forged")).collect()
     spark.createDataFrame(bad, f"{store.ENTRY}, checksum string").write.mode("overwrite").parquet(path)
-    with pytest.raises(QueryError, match="CORRUPT"):
+    with pytest.raises(QueryError, match="INTERNAL_ERROR"):
         s.load("p")
     assert s.load("p").count() == 0 and s.inspect()["quarantined"] > 0
     assert [store.policy(x)[0] for x in (None, "canary", "off", "?")] == ["enabled", "canary", "disabled", "disabled"]
@@ -173,7 +173,7 @@ def test_presentation_reduces_what_does_not_fit():
     assert [(c["component"], c["n"]) for c in out["omissions"]["counts"]] == [("signature", 1), ("source", 1)]
     many = evidence.present([cluster(i, 100) for i in range(50)], 50, 3000)
     assert 0 < len(many["symbols"]) < 50 and many["page"]["next_offset"] == len(many["symbols"]) and many["budget"]["used_bytes"] <= 3000
-    with pytest.raises(QueryError, match="LIMIT"):
+    with pytest.raises(QueryError, match="INVALID_INPUT"):
         evidence.present([cluster(0)], 1, 100)
     spines = evidence.present([cluster(0)], 1, 4096, call_spines=[{"endpoint": "a"}])
     assert "call_spines" in spines and "call_spines" not in evidence.present([cluster(0)], 1, 700, call_spines=["z" * 600])
@@ -218,7 +218,7 @@ def test_operations(tmp_path):
     with pytest.raises(QueryError, match="CONFLICT"):
         ops.apply(late.operation_id, late.plan_hash)
     clock[0] = 901
-    with pytest.raises(QueryError, match="EXPIRED"):
+    with pytest.raises(QueryError, match="NOT_FOUND"):
         ops.apply(late.operation_id, late.plan_hash)
 
 
