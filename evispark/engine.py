@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from .contracts import CONTEXT_CHARS, PAGE_DEFAULT, PAGE_MAX, SEARCH_DEFAULT, QueryError, member, page_bounds, relative_path
 from .functions.toon import encode_checked
-from .operators import delta, evidence, files, graph, search
+from .operators import delta, evidence, files, graph, resolution, search
+from .plans.checkpoints import cut
 from .plans.operations import Files, Operations
 from .sources import extract
+from .sources.store import SymbolStore
 from .streaming.freshness import Status, step
 
 # Sessions, waiting operations, seconds to wait and to run, and the most that a counter shows.
@@ -119,14 +121,48 @@ class Project:
     status: Status = field(default_factory=lambda: step(Status(), "sync_succeeded", evidence=True))
     sources: Files | None = None
     scheduler: Scheduler = field(default_factory=Scheduler)
+    #: an index that outlives the project, and the name and configuration it is kept under
+    store: SymbolStore | None = None
+    name: str = "project"
+    config_digest: str = ""
 
     def __post_init__(self) -> None:
         self.operations = Operations(self.sources) if self.sources is not None else None
+        self._symbols: DataFrame | None = None
 
     @property
     def symbols(self) -> DataFrame:
-        s = extract.symbols(self.files)
-        return s.withColumnRenamed("path", "file_path")
+        """The project's declarations: extracted once, or read from the store once it is up to date."""
+        if self._symbols is None:
+            if self.store is None:
+                self._symbols = cut(extract.symbols(self.files).withColumnRenamed("path", "file_path"))
+            else:
+                self.refresh()
+                self._symbols = self.store.symbols(self.name)
+        return self._symbols
+
+    def refresh(self, files_now: DataFrame | None = None) -> dict[str, int]:
+        """Brings the index up to date with the files (or with ``files_now``): only new and changed ones are extracted."""
+        if files_now is not None:
+            self.files = files_now
+        self._symbols = None
+        if self.store is None:
+            return {}
+        now = self.files.select(F.col("path").alias("file_path"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+        plan = cut(files.refresh_plan(now, self.store.load(self.name), self.config_digest))
+        wanted = self.files.join(plan.where("action = 'rebuild'").select(F.col("file_path").alias("path")), "path", "left_semi")
+        stamp = time.strftime("%Y-%m-%dT%H:%M:%S.000Z", time.gmtime())
+        return self.store.refresh(self.name, plan, extract.entries(wanted, self.config_digest, stamp))
+
+    def verify_index(self) -> bool:
+        """Whether the store answers as the files do; where it does not, it is cleared, and the files answer."""
+        columns = ["file_path", "symbol_position", "selector", "kind", "signature", "line", "end_line"]
+        base = extract.symbols(self.files).withColumnRenamed("path", "file_path").select(*columns)
+        if self.store is None or not search.answer(base, self.store.symbols(self.name).select(*columns))[1]:
+            return True
+        self.store.clear(self.name)
+        self._symbols = None
+        return False
 
     def _page(self, rows: DataFrame, order: list, offset: int, limit: int, most: int = PAGE_MAX) -> dict:
         page_bounds(offset, limit, most)
@@ -160,16 +196,16 @@ class Project:
 
     def get_outline(self, file: str) -> dict:
         path = files.resolve(self.files, relative_path(file))
-        rows = self.symbols.where(F.col("file_path") == path).orderBy("symbol_position").limit(PAGE_MAX).collect()
+        rows = self.symbols.where(F.col("file_path") == path).orderBy("symbol_position").collect()  # one file's
         return {"file": path, "symbols": [r.asDict() for r in rows]}
 
     def declaration(self, file: str, symbol: str) -> dict:
         """The one declaration that a selector or path names."""
         path = files.resolve(self.files, relative_path(file))
         own = self.symbols.where((F.col("file_path") == path) & ((F.col("selector") == symbol) | (F.col("symbol_path") == symbol)))
-        found = own.orderBy("symbol_position").limit(PAGE_MAX).collect()
+        found = own.withColumn("runs", resolution.executable()).orderBy("symbol_position").collect()  # one file's
         if len(found) != 1:
-            bodies = [r for r in found if r.end_line > r.line]
+            bodies = [r for r in found if r.runs and r.end_line > r.line]
             if len(bodies) != 1:
                 raise QueryError("AMBIGUOUS_TARGET" if found else "NOT_FOUND", f"{symbol!r} has {len(found)} declarations", [r.selector for r in found[:20]])
             found = bodies
@@ -186,10 +222,20 @@ class Project:
         keep = search.DETAIL[member("detail", detail, search.DETAIL)]
         return out | {"items": [{k: r[k] for k in keep if k in r} for r in out["items"]]}
 
+    def where_meant(self, symbol: dict) -> DataFrame:
+        """Files (path) in which a declaration's name means that declaration: its own, and those that import it from there."""
+        top = self.symbols.where(~F.contains("symbol_path", F.lit(".")))
+        declared = top.select(F.col("file_path").alias("file"), "name", F.concat_ws("\0", "file_path", "symbol_path").alias("symbol_id"))
+        outer = symbol["symbol_path"].split(".")[0]  # a member is reached through what holds it
+        meant = resolution.scope(declared, extract.imports(self.files)).where((F.col("name") == outer) & (F.col("symbol_id") == F.lit(f"{symbol['file_path']}\0{outer}")))
+        own = self.files.where(F.col("path") == symbol["file_path"]).select("path")
+        return meant.select(F.col("file").alias("path")).unionByName(own).distinct()
+
     def references(self, symbol: dict) -> DataFrame:
-        """Whole-word occurrences of a declaration's name: syntax, not proof that they mean it."""
+        """Whole-word occurrences of a declaration's name where it means that declaration. Equal names of other files are not
+        its references; that an occurrence is one is syntax, not proof."""
         word = rf"(?<![\w$]){re.escape(symbol['name'])}(?![\w$])"
-        rows = files.lines(self.files, "path").where(F.col("line_text").rlike(word))
+        rows = files.lines(self.files.join(self.where_meant(symbol), "path", "left_semi"), "path").where(F.col("line_text").rlike(word))
         parts = F.split("line_text", word, -1)
         rows = rows.withColumn("p", parts).select("path", "line", "line_text", F.posexplode(F.slice("p", 1, F.size("p") - 1)).alias("i", "_"), "p")
         before = F.aggregate(F.slice("p", F.lit(1), F.col("i") + 1), F.lit(0), lambda a, x: a + F.length(x))
@@ -202,8 +248,10 @@ class Project:
         shown = found if include_declaration else found.where(~F.col("is_declaration"))
         order = files.by_language(F.concat_ws(":", "file", F.col("line").cast("string"), F.col("column").cast("string"), F.col("is_declaration").cast("string")))
         out = self._page(shown, [order], offset, limit)
-        affected = sorted(r.file for r in found.select("file").distinct().limit(PAGE_MAX).collect())
-        return out | {"declaration_count": 1, "reference_count": found.where(~F.col("is_declaration")).count(), "affected_files": affected}
+        touched = found.select("file").distinct()
+        affected = [r.file for r in touched.orderBy("file").limit(PAGE_MAX + 1).collect()]
+        more = len(affected) > PAGE_MAX
+        return out | {"declaration_count": 1, "reference_count": found.where(~F.col("is_declaration")).count(), "affected_files": affected[:PAGE_MAX], "affected_files_truncated": more}
 
     def _proven(self) -> DataFrame:
         if self.status.state != "fresh":
@@ -266,8 +314,17 @@ class Project:
     def _prepared(plan) -> dict:
         return {"operation_id": plan.operation_id, "plan_hash": plan.plan_hash, "kind": plan.kind, "status": plan.status, "affected_files": plan.affected_files(), "reference_count": plan.reference_count, "workspace_hash": plan.workspace_hash, "post_workspace_hash": plan.post_workspace_hash, "blocked": plan.blocked, "diagnostics_added": plan.added_problems}
 
-    def rename_symbol(self, name: str, new_name: str) -> dict:
-        return self._prepared(self._writable().rename_symbol(name, new_name))
+    def rename_symbol(self, name: str, new_name: str, file: str | None = None) -> dict:
+        """Renames a declaration, and its name where it means that declaration. Without ``file``, one file alone may declare it."""
+        own = self.symbols.where((F.col("name") == name) | (F.col("symbol_path") == name) | (F.col("selector") == name))
+        if file is not None:
+            path = files.resolve(self.files, relative_path(file))
+            own = own.where(F.col("file_path") == path)
+        found = own.select("file_path", "symbol_path", "name", "selector").distinct().orderBy("file_path", "symbol_path").limit(21).collect()
+        if len({(r.file_path, r.symbol_path) for r in found}) != 1:
+            raise QueryError("AMBIGUOUS_TARGET" if found else "NOT_FOUND", f"{name!r} has {len(found)} declarations", [f"{r.file_path}:{r.selector}" for r in found[:20]])
+        meant = [r.path for r in self.where_meant(found[0].asDict()).collect()]  # files that a rename would write
+        return self._prepared(self._writable().rename_symbol(found[0].name, new_name, meant))
 
     def replace_symbol_body(self, path: str, symbol_path: str, body: str) -> dict:
         return self._prepared(self._writable().replace_symbol_body(path, symbol_path, body))

@@ -175,10 +175,7 @@ def stored_symbols(spark, sf_dir):
     from .plans.checkpoints import folder
     from .sources.store import ParquetStore
 
-    text = sources(spark, sf_dir)
-    own = extract.symbols(text).select("path", F.struct("symbol_position", F.struct("name", "symbol_path", "selector", "kind", "signature", "line").alias("s")).alias("x"))
-    entries = own.groupBy("path").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]).alias("symbols"))
-    entries = entries.join(text.select("path", sha256(F.col("text")).alias("content_hash")), "path").select(F.col("path").alias("file_path"), "content_hash", F.lit("c1").alias("config_digest"), "symbols", F.lit("2026-08-06T00:00:00.000Z").alias("last_indexed_at"))
+    entries = extract.entries(sources(spark, sf_dir), "c1", "2026-08-06T00:00:00.000Z")
     store = ParquetStore(spark, f"{folder(spark)}/index-{uuid.uuid4().hex}")
     store.upsert("parts", entries)
     return store.symbols("parts", "M1", ["MethodDeclaration"], "#2").select("file_path", "symbol_path", "line")

@@ -91,6 +91,33 @@ def symbols(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
     return out.withColumn("selector", F.concat("symbol_path", F.lit("@"), F.col("line").cast("string")))
 
 
+def entries(files: DataFrame, config_digest: str, indexed_at: str, path: str = "path", text: str = "text") -> DataFrame:
+    """One index entry for each file, as the stores hold them; a file without declarations has an empty list."""
+    own = symbols(files, path, text).select(path, F.struct("symbol_position", F.struct("name", "symbol_path", "selector", "kind", "signature", "line", "end_line").alias("s")).alias("x"))
+    lists = own.groupBy(path).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]).alias("symbols"))
+    known = files.select(path, F.sha2(F.col(text).cast("binary"), 256).alias("content_hash"))
+    empty = F.array().cast("array<struct<name:string,symbol_path:string,selector:string,kind:string,signature:string,line:int,end_line:int>>")
+    return known.join(lists, path, "left").select(F.col(path).alias("file_path"), "content_hash", F.lit(config_digest).alias("config_digest"), F.coalesce("symbols", empty).alias("symbols"), F.lit(indexed_at).alias("last_indexed_at"))
+
+
+IMPORT = r"(?:import|export)\s+(?:type\s+)?(?:[\w$]+\s*,\s*)?\{([^}]*)\}\s*from\s*['\"](\.{1,2}/[^'\"]+)['\"]"
+ENDING = r"(?:/index)?\.[cm]?[jt]sx?$"
+
+
+def imports(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """Rows (file, name, target): what files import by name from others that are there; of renamed ones, the name outside."""
+    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(IMPORT), F.lit(1)).alias("names"), F.regexp_extract_all(text, F.lit(IMPORT), F.lit(2)).alias("at"))
+    rows = files.select(F.col(path).alias("file"), F.explode(both).alias("i"))
+    at = F.concat(F.regexp_replace("file", "[^/]*$", ""), F.col("i.at"))
+    at = F.regexp_replace(at, r"(?<=^|/)\./", "")
+    for _ in range(16):  # one directory up at a time
+        at = F.regexp_replace(at, r"(?<=^|/)(?!\.\./)[^/]+/\.\./", "")
+    rows = rows.select("file", F.regexp_replace(at, ENDING, "").alias("stem"), F.explode(F.split("i.names", ",")).alias("part"))
+    rows = rows.select("file", "stem", F.trim(F.regexp_replace(F.regexp_replace("part", r"^\s*type\s+", ""), r"\s+as\s+.*$", "")).alias("name")).where("name <> ''")
+    targets = files.select(F.col(path).alias("target"), F.regexp_replace(path, ENDING, "").alias("stem"))
+    return rows.join(targets, "stem").select("file", "name", "target").distinct()
+
+
 def outline(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """For each file, its declarations' signatures as one text without bodies."""
     depth = F.size(F.split("symbol_path", r"\.")) - 1

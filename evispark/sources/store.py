@@ -1,26 +1,32 @@
 """Stores of index entries behind one contract: in memory, and as parquet generations with checksums.
 
 A stored entry is one row a file: file_path, content_hash, config_digest, symbols (an array), last_indexed_at. The
-parquet store writes each generation to a folder of its own and then moves one small pointer file, so that readers see
-the old or the new generation, never half of one. Loading verifies every row's checksum; a generation that does not
-hold is moved aside and the store starts empty. Paths go through Hadoop's file systems, so that any of them will do.
+parquet store writes each generation to a folder of its own and then adds one small, numbered pointer file; the highest
+number counts, so that readers see the old or the new generation, never half of one or none. The last generation stays
+for those who still read it; those before it go. A generation is verified once, when it is first loaded: rows whose
+checksum does not hold, or files that are not there, prove it corrupt, and then alone it is moved aside and the store
+starts empty; any other failure to read is passed on. Indexes of the two schema versions before this one are brought up
+to it when they are loaded. Paths go through Hadoop's file systems, so that any of them will do.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
+from collections.abc import Sequence
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..contracts import QueryError
 from ..functions.scalar import has
 
 SCHEMA_VERSION = 3
-SYMBOL = "struct<name:string,symbol_path:string,selector:string,kind:string,signature:string,line:int>"
+SYMBOL = "struct<name:string,symbol_path:string,selector:string,kind:string,signature:string,line:int,end_line:int>"
 ENTRY = f"file_path string, content_hash string, config_digest string, symbols array<{SYMBOL}>, last_indexed_at string"
 
 
@@ -93,46 +99,74 @@ class MemoryStore(_Queries):
             old.unpersist()
 
 
-def checksum() -> F.Column:
-    return F.sha2(F.to_json(F.struct("file_path", "content_hash", "config_digest", "symbols", "last_indexed_at")), 256)
+COLUMNS = ("file_path", "content_hash", "config_digest", "symbols", "last_indexed_at")
+
+
+def checksum(columns: Sequence[str] = COLUMNS) -> F.Column:
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+#: What each older schema version lacks, and what stands there once it is brought up.
+MIGRATIONS = {1: ("config_digest", "last_indexed_at"), 2: ("last_indexed_at",)}
+NEVER = "1970-01-01T00:00:00.000Z"
 
 
 class ParquetStore(_Queries):
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        #: generations that have been verified
+        self.sound: set[str] = set()
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _pointer(self, project: str) -> str:
-        return f"{self.root}/{project}/current.json"
+    def _pointers(self, project: str) -> list[tuple[int, str]]:
+        """Numbers and paths of a project's pointers, the one that counts first."""
+        fs, p = self._fs(f"{self.root}/{project}")
+        if not fs.exists(p):
+            return []
+        names = [(f.getPath().getName(), f.getPath().toString()) for f in fs.listStatus(p)]
+        found = [(int(m[1]), path) for name, path in names if (m := re.fullmatch(r"current-(\d+)\.json", name))]
+        return sorted(found, reverse=True)
+
+    def _pointed(self, project: str) -> tuple[int, str, int] | None:
+        """Number, folder and schema version of the current generation."""
+        for number, path in self._pointers(project):
+            text = self.spark.read.text(path, wholetext=True).first()
+            try:
+                at = json.loads(text[0]) if text else {}
+            except ValueError:
+                continue  # half written by one that is no more: the one before it counts
+            if 1 <= at.get("schema_version", 0) <= SCHEMA_VERSION:
+                return number, f"{self.root}/{project}/{at['generation']}", at["schema_version"]
+        return None
 
     def _current(self, project: str) -> str | None:
-        fs, p = self._fs(self._pointer(project))
-        if not fs.exists(p):
-            return None
-        text = self.spark.read.text(self._pointer(project)).first()
-        try:
-            at = json.loads(text[0]) if text else {}
-        except ValueError:
-            at = {}
-        return f"{self.root}/{project}/{at['generation']}" if at.get("schema_version") == SCHEMA_VERSION else None
+        at = self._pointed(project)
+        return at[1] if at else None
 
     def load(self, project: str) -> DataFrame:
-        path = self._current(project)
-        if path is None:
+        at = self._pointed(project)
+        if at is None:
             return self.spark.createDataFrame([], ENTRY)
-        try:
-            rows = self.spark.read.schema(f"{ENTRY}, checksum string").parquet(path)
-            bad = rows.where(~checksum().eqNullSafe(F.col("checksum"))).limit(1).count()
-        except Exception as e:
-            self.quarantine(project)
-            raise QueryError("INTERNAL_ERROR", f"the index of {project} cannot be read") from e
-        if bad:
+        _, path, version = at
+        fs, p = self._fs(path)
+        if not fs.exists(p):
             self.quarantine(project)
-            raise QueryError("INTERNAL_ERROR", f"a checksum of {project} does not hold")
-        return rows.drop("checksum")
+            raise QueryError("INTERNAL_ERROR", f"the index of {project} is not where it was")
+        lacking = MIGRATIONS.get(version, ())
+        stored = [f for f in StructType.fromDDL(ENTRY) if f.name not in lacking]
+        rows = self.spark.read.schema(StructType([*stored, StructField("checksum", StringType())])).parquet(path)
+        if path not in self.sound:
+            if rows.where(~checksum([f.name for f in stored]).eqNullSafe(F.col("checksum"))).limit(1).count():
+                self.quarantine(project)
+                raise QueryError("INTERNAL_ERROR", f"a checksum of {project} does not hold")
+            self.sound.add(path)
+        # an empty digest fits no configuration, so that what is brought up is rebuilt with the next refresh
+        for name in lacking:
+            rows = rows.withColumn(name, F.lit(NEVER if name == "last_indexed_at" else ""))
+        return rows.select(*[f.name for f in StructType.fromDDL(ENTRY)])
 
     def quarantine(self, project: str) -> str:
         """Moves a project's folder aside; the next load starts empty."""
@@ -142,18 +176,27 @@ class ParquetStore(_Queries):
         return aside
 
     def _replace(self, project: str, entries: DataFrame) -> None:
-        before, name = self._current(project), f"gen={uuid.uuid4().hex}"
-        entries.withColumn("checksum", checksum()).write.parquet(f"{self.root}/{project}/{name}")
-        fs, pointer = self._fs(self._pointer(project))
-        _, fresh = self._fs(f"{self._pointer(project)}.{uuid.uuid4().hex}")
+        before, name = self._pointed(project), f"gen={uuid.uuid4().hex}"
+        path = f"{self.root}/{project}/{name}"
+        entries.withColumn("checksum", checksum()).write.parquet(path)
+        number = (before[0] if before else 0) + 1
+        fs, pointer = self._fs(f"{self.root}/{project}/current-{number}.json")
+        _, fresh = self._fs(f"{self.root}/{project}/.{uuid.uuid4().hex}")
         out = fs.create(fresh, True)
         out.write(bytearray(json.dumps({"schema_version": SCHEMA_VERSION, "generation": name}).encode()))
         out.close()
-        fs.delete(pointer, False)
-        fs.rename(fresh, pointer)
-        if before:
-            old_fs, old = self._fs(before)
-            old_fs.delete(old, True)
+        if fs.exists(pointer) or not fs.rename(fresh, pointer):
+            fs.delete(fresh, False)
+            fs.delete(self._fs(path)[1], True)
+            raise QueryError("CONFLICT", f"the index of {project} was changed by another writer")
+        # of those before the last generation, nothing is read any more
+        keep = {path, before[1] if before else path}
+        for old, at in self._pointers(project):
+            if old < number - 1:
+                fs.delete(self._fs(at)[1], False)
+        for f in fs.listStatus(self._fs(f"{self.root}/{project}")[1]):
+            if f.getPath().getName().startswith("gen=") and f"{self.root}/{project}/{f.getPath().getName()}" not in keep:
+                fs.delete(f.getPath(), True)
 
     def inspect(self, most: int = 4096) -> dict[str, int]:
         """Artifacts below the root, counted without reading them."""

@@ -74,7 +74,7 @@ def stores(request, spark, tmp_path):
 
 
 def entry(path, names, h="h"):
-    return (path, h, "c", [(n, f"M.{n}", f"M.{n}@{i}", "Function", "sig", i) for i, n in enumerate(names, 1)], "2026-08-06T00:00:00.000Z")
+    return (path, h, "c", [(n, f"M.{n}", f"M.{n}@{i}", "Function", "sig", i, i) for i, n in enumerate(names, 1)], "2026-08-06T00:00:00.000Z")
 
 
 def test_stores_conform(spark, stores):
@@ -106,6 +106,33 @@ def test_corrupt_index_is_moved_aside(spark, tmp_path):
     assert [store.policy(x)[0] for x in (None, "canary", "off", "?")] == ["enabled", "canary", "disabled", "disabled"]
 
 
+def test_old_indexes_are_brought_up(spark, tmp_path):
+    s = store.ParquetStore(spark, f"file://{tmp_path}/idx")
+    for version, lacking in store.MIGRATIONS.items():
+        project = f"p{version}"
+        old = spark.createDataFrame([entry("a.ts", ["alpha"])], store.ENTRY).drop(*lacking)
+        old.withColumn("checksum", store.checksum(old.columns)).write.parquet(f"{s.root}/{project}/gen=1")
+        (tmp_path / "idx" / project / "current-1.json").write_text(json.dumps({"schema_version": version, "generation": "gen=1"}))
+        row = s.load(project).first()
+        assert (row.file_path, row.symbols[0].name, row.last_indexed_at) == ("a.ts", "alpha", store.NEVER)
+        s.upsert(project, spark.createDataFrame([entry("b.ts", ["beta"])], store.ENTRY))
+        assert s._pointed(project)[2] == store.SCHEMA_VERSION and s.count_symbols(project) == 2
+
+
+def test_readers_keep_the_generation_they_have(spark, tmp_path):
+    s = store.ParquetStore(spark, f"file://{tmp_path}/idx")
+    t = lambda n: spark.createDataFrame([entry("a.ts", [n])], store.ENTRY)
+    s.upsert("p", t("one"))
+    reading = s.symbols("p")
+    s.upsert("p", t("two"))
+    assert [r.name for r in reading.collect()] == ["one"] and [r.name for r in s.symbols("p").collect()] == ["two"]
+    # a pointer that was never finished does not count, and nothing but proof of corruption moves an index aside
+    (tmp_path / "idx/p/current-99.json").write_text('{"schema_ver')
+    assert [r.name for r in s.symbols("p").collect()] == ["two"]
+    (tmp_path / "idx/p/current-100.json").write_text(json.dumps({"schema_version": store.SCHEMA_VERSION + 1, "generation": "later"}))
+    assert s.inspect()["quarantined"] == 0 and s.count_symbols("p") == 1
+
+
 def test_index_never_changes_an_answer(spark):
     base, other = spark.range(3), spark.range(4)
     assert search.answer(base, base)[1] is False
@@ -298,4 +325,4 @@ def test_validators():
 def test_text_functions(spark):
     t = spark.createDataFrame([("aé" * 40, "a/test/b.spec.ts", 'token = "s3cret" in /home/me/x')], "long string, path string, said string")
     r = t.select(scalar.truncated_bytes(F.col("long"), 30).alias("cut"), scalar.matches_glob(F.col("path"), "**/*.spec.*").alias("g"), scalar.has_segments(F.col("path"), "test").alias("seg"), scalar.redacted(F.col("said")).alias("red")).first()
-    assert len(r.cut.encode()) <= 30 and r.cut.endswith("... [truncated]") and r.g and r.seg and r.red == "token = [redacted] in [path]"
+    assert len(r.cut.encode()) <= 30 and r.cut.endswith("... [truncated]") and r.g and r.seg and r.red == "token=[REDACTED] in [path-redacted]"
