@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -21,8 +20,6 @@ from pyspark.sql.types import StructType
 
 #: Rows and bytes of text that a Python worker turns into objects at once.
 SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
-#: Words whose hashes a worker remembers before it starts anew.
-MEMO_WORDS = 300_000
 #: Order of a row without doc_id: after every row that has one.
 LAST_ID = (1 << 63) - 1
 #: Tasks over which the rows of one key are dealt where a key may hold very many.
@@ -57,22 +54,14 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-class WordHashes(dict):
-    """XXH64 of words, remembered for the frequent ones."""
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
 
-    def __init__(self, seed: int = 0):
-        super().__init__()
-        self.seed = seed
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word, self.seed)
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = value
-        return value
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text's UTF-8 bytes begin and end: those that bytes.split() gives."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _GAP[raw], [True]])))
+    return edge[0::2], edge[1::2]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,6 +105,18 @@ class Rolling:
         return mix((prefix[size:] - prefix[:n]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
+class SpanHashes:
+    """Hashes of all words of a text at once, each by its bytes alone."""
+
+    def __init__(self, seed: int):
+        self.values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(seed | 1))
+        self.rolling = Rolling(0xD6E8FEB86659FD93)
+
+    def __call__(self, raw: np.ndarray) -> np.ndarray:
+        starts, ends = word_spans(raw)
+        return self.rolling.runs(self.rolling.prefix(self.values[raw]), starts, ends)
+
+
 def window_minima(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(window starts, positions): from each start to the next, windows of ``width`` hashes have their leftmost minimum there.
 

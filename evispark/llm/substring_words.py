@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, Rolling, Scratch, WordHashes, arrow_map, meet, mix, table, window_minima, words_of
+from .common import LAST_ID, Rolling, Scratch, SpanHashes, arrow_map, meet, mix, table, window_minima, word_spans, words_of
 
 WINDOW, EDGE = 50, 16
 
@@ -35,12 +35,13 @@ class Hashing:
     """Two independent 64-bit hashes of runs of words."""
 
     def __init__(self):
-        self.words = WordHashes(11)
+        self.words = SpanHashes(0x27D4EB2F165667C5)
         self.one, self.two = Rolling(0xC2B2AE3D27D4EB4F), Rolling(0x165667B19E3779F9)
 
-    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        h = self.words.array(words)
-        return self.one.prefix(h), self.two.prefix(mix(h))
+    def __call__(self, data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+        """The number of words, and prefixes for both hashes."""
+        h = self.words(np.frombuffer(data, np.uint8))
+        return len(h), self.one.prefix(h), self.two.prefix(mix(h))
 
 
 def _edges(one: Rolling, prefix: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,11 +75,11 @@ def _occurrences(docs: DataFrame, window: int, k: int) -> DataFrame:
             out: dict[str, list] = {c: [] for c in ("edge", "ord", "rid", "pos", "gap", "after", "before", "left", "right")}
             orders, rids = cols["ord"].to_numpy(), cols["rid"].to_numpy()
             for text, order, rid in zip(cols["text"].to_pylist(), orders, rids, strict=True):
-                words = words_of(text)
-                n = len(words)
+                if len(text or "") < 2 * window - 1:  # too few characters for so many words
+                    continue
+                n, prefix, other = hashing(text.encode("utf-8"))
                 if n < window:
                     continue
-                prefix, other = hashing(words)
                 at, edge = _edges(hashing.one, prefix, window, k)
                 link = np.zeros(len(at) + 1, np.uint64)
                 # the span from an edge's first word to the next edge's last
@@ -150,13 +151,13 @@ def _settle(rows: DataFrame, window: int, k: int) -> DataFrame:
 
             orders, rids = cols["ord"].to_numpy(), cols["rid"].to_numpy()
             for text, order, rid, edges in zip(cols["text"].to_pylist(), orders, rids, cols["edges"].to_pylist(), strict=True):
-                words = words_of(text)
-                n = len(words) - window + 1
+                data = (text or "").encode("utf-8")
+                count, prefix, other = hashing(data)
+                n = count - window + 1
                 if n < 1:
                     continue
-                prefix, other = hashing(words)
                 # of a row that only shares the hash of another one, no edge stands at the place named
-                listed = [e for e in edges if e["pos"] + max(e["words"], k) <= len(words)]
+                listed = [e for e in edges if e["pos"] + max(e["words"], k) <= count]
                 at = np.array([e["pos"] for e in listed], np.int64)
                 there = hashing.one.runs(prefix, at, at + k).view(np.int64) == np.array([e["edge"] for e in listed], np.int64)
                 found = [e for e, t in zip(listed, there.tolist(), strict=True) if t]
@@ -168,7 +169,9 @@ def _settle(rows: DataFrame, window: int, k: int) -> DataFrame:
                         open_[max(e["pos"] - less + 1, 0) : e["pos"] + 1] = True
                 whole = [(e["pos"], e["words"]) for e in found if e["words"] >= window]
                 if whole:
-                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(words[a : a + m])) for a, m in whole), ">i8").reshape(-1, 2).astype(np.int64)
+                    first, last = word_spans(np.frombuffer(data, np.uint8))
+                    own = (b" ".join(data[first[a] : last[a + m - 1]].split()) for a, m in whole)
+                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in own), ">i8").reshape(-1, 2).astype(np.int64)
                     starts = np.array([a for a, _ in whole], np.int32)
                     stops = np.array([a + m - window + 1 for a, m in whole], np.int32)
                     for a, b in zip(starts, stops, strict=True):
