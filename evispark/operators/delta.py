@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 
 def surplus(rows: DataFrame, other: DataFrame, identity: list[str], order: list[str]) -> DataFrame:
     """Rows beyond those that ``other`` has of the same identity; the later ones in ``order`` are the surplus.
@@ -47,8 +49,11 @@ def plan_hash(changes: DataFrame, key: Column, before: Column, after: Column, by
 
 def evicted(entries: DataFrame, keep: int, access: Column, tie: Column, scope: list[str] | None = None) -> DataFrame:
     """Entries with their place by last access and whether a store of ``keep`` still holds them."""
-    w = W.partitionBy(*(scope or [])).orderBy(access.desc(), tie)
-    return entries.withColumn("place", F.row_number().over(w)).withColumn("kept", F.col("place") <= keep)
+    if scope:
+        places = entries.withColumn("place", F.row_number().over(W.partitionBy(*scope).orderBy(access.desc(), tie)))
+    else:
+        places = running(entries, [access.desc(), tie], F.lit(1), "place").withColumn("place", F.col("place").cast("int"))
+    return places.withColumn("kept", F.col("place") <= keep)
 
 
 def live(entries: DataFrame, expires: Column, now: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..contracts import CONTEXT_CHARS, TEST_PATTERNS, TEST_SEGMENTS, QueryError
 from ..functions.scalar import has_segments, matches_glob
 from .graph import Impact, shortest_paths
+from .ranges import running
 
 
 def containing(points: DataFrame, spans: DataFrame, by: list[str], point: list[str], start: str, end: str, at: str, order: list[str]) -> DataFrame:
@@ -89,31 +90,12 @@ def omissions(rows: DataFrame, by: list[str], order: list[str], details: int) ->
     return first.join(omission_counts(rows, by), by).withColumn("has_more", F.col("n") > details)
 
 
-def byte_prefix(rows: DataFrame, order: list[str], size: Column, budget: int, buckets: int = 64) -> DataFrame:
+def byte_prefix(rows: DataFrame, order: list[str], size: Column, budget: int) -> DataFrame:
     """The longest prefix in ``order`` whose sizes add up to no more than ``budget``, with the running sum.
 
-    A running sum over everything would need one task. Ranges of the first order column are summed first; only the
-    range in which the budget ends, and those before it, hold rows of the prefix.
+    Ranges of the order are summed first: only those before the one in which the budget ends, and that one, are looked at.
     """
-    key = order[0]
-    sized = rows.withColumn("_size", size)
-    cuts = sized.where(F.col(key).isNotNull()).approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.01)
-    bucket = F.lit(0)
-    for c in sorted(set(cuts)):
-        bucket = bucket + F.when(F.col(key) > c, 1).otherwise(0)
-    sized = sized.withColumn("_bucket", bucket)
-    sums = sorted((r["_bucket"], r.n) for r in sized.groupBy("_bucket").agg(F.sum("_size").alias("n")).collect())
-    before, total, last = [], 0, -1
-    for b, n in sums:
-        if total > budget:
-            break
-        before += [F.lit(b), F.lit(total)]
-        total, last = total + (n or 0), b
-    if not before:
-        return rows.limit(0).withColumn("running", F.lit(0).cast("long"))
-    running = F.sum("_size").over(W.partitionBy("_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    out = sized.where(F.col("_bucket") <= last).withColumn("running", (running + F.create_map(*before)[F.col("_bucket")]).cast("long"))
-    return out.where(F.col("running") <= budget).drop("_size", "_bucket")
+    return running(rows, [F.col(c) for c in order], size, "running", budget)
 
 
 def _size(x: object) -> int:

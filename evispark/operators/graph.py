@@ -82,7 +82,7 @@ def topk_neighbours(edges: DataFrame, k: int, order: list[Column], key: str = "n
     return edges.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rn") <= k)
 
 
-def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = DEPTH_MAX) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Rows (node, depth): everything that edges (src, dst) lead to within ``max_depth`` steps (None: any number), with the least depth."""
     # written once, by the end that every layer joins on: no layer reads the sources again or moves the edges
     edges = cut(edges.select("src", "dst").distinct().repartition("src"))

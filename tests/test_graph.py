@@ -1,64 +1,136 @@
-"""Budgets, ties and refusals of graph walks."""
+"""Graph walks against brute force on generated graphs, their budgets, ties and refusals."""
+
+import itertools
+import json
+import random
 
 import pytest
 
 from evispark.contracts import QueryError
-from evispark.operators import evidence, files, graph
+from evispark.operators import evidence, files, graph, resolution
 
 
 def edge_table(spark, pairs):
     return spark.createDataFrame([(i, "call", a, b) for i, a, b in pairs], "relationship_id string, kind string, src string, dst string")
 
 
-SPINE = [("z-root-a", "root", "a"), ("a-root-b", "root", "b"), ("a-a-leaf", "a", "leaf"), ("z-b-leaf", "b", "leaf"), ("cycle", "leaf", "root")]
-
-
-def test_spines_keep_the_path_whose_ids_come_first(spark):
-    s = graph.call_spines(edge_table(spark, SPINE), "root", "outgoing", 3, 10, 10)
-    assert {p["endpoint"]: p["relationship_ids"] for p in s.paths} == {"a": ["z-root-a"], "b": ["a-root-b"], "leaf": ["a-root-b", "z-b-leaf"]}
-    assert (s.visited_nodes, s.visited_edges, s.reasons, s.authority) == (4, 5, [], "authoritative")
-
-
-@pytest.mark.parametrize(("limits", "reason"), [((1, 10, 10), "depth_limit"), ((3, 2, 10), "node_limit"), ((3, 10, 1), "edge_limit")])
+def made(seed, nodes=9, edges=16):
+    """A graph of places with roads between them; ids say nothing about where a road leads."""
+    r = random.Random(seed)
+    names = [f"place {c}" for c in "mnopqrstuvwx"[:nodes]]
+    pairs = sorted({(r.choice(names), r.choice(names)) for _ in range(edges)})
+    ids = r.sample(range(100, 1000), len(pairs))
+    return names, [(f"road {i}", a, b) for i, (a, b) in zip(ids, pairs, strict=True) if a != b]
+
+
+def simple_paths(roads, root, depth):
+    """Every path of at most ``depth`` roads that meets no place twice: (end, ids)."""
+    todo = [([root], [])]
+    while todo:
+        places, ids = todo.pop()
+        if ids:
+            yield places[-1], ids
+        if len(ids) < depth:
+            todo += [([*places, b], [*ids, i]) for i, a, b in roads if a == places[-1] and b not in places]
+
+
+def fifo(roads, root, max_depth, max_nodes, max_edges):
+    """The walk in words: first in, first out, a place's roads in order of the other end and the id."""
+    nodes, taken, why, queue = {root: 0}, [], set(), [root]
+    for place in queue:
+        for i, other in sorted(((i, a) for i, a, b in roads if b == place), key=lambda x: (x[1], x[0])):
+            if i in taken:
+                continue
+            new = other not in nodes
+            if new and nodes[place] == max_depth:
+                why.add("depth_limit")
+            elif new and len(nodes) == max_nodes:
+                why.add("record_limit")
+            elif len(taken) == max_edges:
+                why.add("edge_limit")
+            else:
+                taken.append(i)
+                if new:
+                    nodes[other] = nodes[place] + 1
+                    queue.append(other)
+    return nodes, set(taken), [x for x in ("depth_limit", "record_limit", "edge_limit") if x in why]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_spines_are_the_first_of_the_shortest_paths(spark, seed):
+    names, roads = made(seed)
+    s = graph.call_spines(edge_table(spark, roads), names[0], "outgoing", 4, 100, 100)
+    best: dict = {}
+    for end, ids in simple_paths(roads, names[0], 4):
+        best[end] = min(best.get(end, (99, "", [])), (len(ids), json.dumps(ids, separators=(",", ":")), ids))
+    # layer by layer, so that a path goes on from its own first part
+    assert {p["endpoint"]: len(p["relationship_ids"]) for p in s.paths} == {e: n for e, (n, _, _) in best.items()}
+    assert all(p["relationship_ids"] == best[p["endpoint"]][2] for p in s.paths if len(p["relationship_ids"]) < 3)
+    assert s.visited_nodes == len(best) + 1 and s.authority == "authoritative"
+    ends = {i: (a, b) for i, a, b in roads}
+    for p in s.paths:
+        assert p["endpoints"] == [names[0], *[ends[i][1] for i in p["relationship_ids"]]]
+
+
+def test_incoming_spines_are_outgoing_ones_turned_round(spark):
+    names, roads = made(4)
+    back = graph.call_spines(edge_table(spark, roads), names[1], "incoming", 3, 100, 100)
+    ends = {i: (a, b) for i, a, b in roads}
+    assert back.paths
+    for p in back.paths:
+        assert p["endpoints"] == [*[ends[i][0] for i in p["relationship_ids"]], names[1]] and p["endpoints"][0] == p["endpoint"]
+
+
+FAN = [("road 1", "hub", "east"), ("road 2", "hub", "west"), ("road 3", "west", "far west")]
+
+
+@pytest.mark.parametrize(("limits", "reason"), [((1, 9, 9), "depth_limit"), ((2, 2, 9), "node_limit"), ((2, 9, 1), "edge_limit")])
 def test_spines_say_what_stopped_them(spark, limits, reason):
-    assert reason in graph.call_spines(edge_table(spark, SPINE), "root", "outgoing", *limits).reasons
-
+    assert graph.call_spines(edge_table(spark, FAN), "hub", "outgoing", *limits).reasons == [reason]
 
-def test_incoming_spines_run_from_the_caller_to_the_root(spark):
-    s = graph.call_spines(edge_table(spark, [("middle-root", "middle", "root"), ("caller-middle", "caller", "middle")]), "root", "incoming", 3, 10, 10)
-    path = next(p for p in s.paths if p["endpoint"] == "caller")
-    assert path["endpoints"] == ["caller", "middle", "root"] and path["relationship_ids"] == ["caller-middle", "middle-root"]
 
+@pytest.mark.parametrize(("fresh", "complete"), list(itertools.product([True, False], repeat=2)))
+def test_empty_spines_are_proven_only_with_authority(spark, fresh, complete):
+    s = graph.call_spines(edge_table(spark, FAN), "nowhere", fresh=fresh, complete=complete)
+    assert s.paths == [] and s.empty_proven == (fresh and complete)
+    assert s.authority == ("untrusted" if not fresh else "authoritative" if complete else "incomplete")
 
-@pytest.mark.parametrize(("fresh", "complete", "authority", "proven"), [(True, True, "authoritative", True), (True, False, "incomplete", False), (False, True, "untrusted", False)])
-def test_empty_spines_are_proven_only_with_authority(spark, fresh, complete, authority, proven):
-    s = graph.call_spines(edge_table(spark, SPINE), "nobody", fresh=fresh, complete=complete)
-    assert (s.paths, s.authority, s.empty_proven) == ([], authority, proven)
 
+@pytest.mark.parametrize("seed", [5, 6, 7, 8])
+def test_budgeted_impact_against_the_walk_in_words(spark, seed):
+    names, roads = made(seed, 10, 22)
+    e = edge_table(spark, roads)
+    for limits in ((3, 100, 100), (1, 100, 100), (4, 3, 100), (4, 100, 4), (4, 5, 6)):
+        w = graph.bounded_impact(e, names[0], "incoming", *limits)
+        assert (w.nodes, set(w.edges), w.reasons) == fifo(roads, names[0], *limits)
+    whole = fifo(roads, names[0], 99, 999, 999)[0]
+    assert {r.node: r.depth for r in graph.impact(e, names[0], "incoming").collect()} == whole
 
-STAR = [("e1", "a", "root"), ("e2", "b", "root"), ("e3", "c", "a"), ("e4", "b", "a")]
 
-
-def test_impact_reaching_a_budget_exactly_is_complete(spark):
-    w = graph.bounded_impact(edge_table(spark, STAR), "root", "incoming", 2, 4, 4)
-    assert w.nodes == {"root": 0, "a": 1, "b": 1, "c": 2} and set(w.edges) == {"e1", "e2", "e3", "e4"} and not w.incomplete
-
-
-@pytest.mark.parametrize(("limits", "reasons", "nodes"), [((1, 10, 10), ["depth_limit"], {"root", "a", "b"}), ((3, 3, 10), ["record_limit"], {"root", "a", "b"}), ((3, 10, 2), ["edge_limit"], {"root", "a", "b"})])
-def test_impact_says_what_it_kept_out(spark, limits, reasons, nodes):
-    w = graph.bounded_impact(edge_table(spark, STAR), "root", "incoming", *limits)
-    assert w.reasons == reasons and set(w.nodes) == nodes and w.truncation["reason"] == reasons[0]
-
-
-def test_edges_between_known_nodes_are_selected_at_the_node_budget(spark):
-    w = graph.bounded_impact(edge_table(spark, STAR), "root", "incoming", 3, 3, 10)
-    assert "e4" in w.edges and "e3" not in w.edges
+def test_whole_walks_have_no_silent_depth(spark):
+    n = 36
+    chain = edge_table(spark, [(str(i), f"n{i:02}", f"n{i + 1:02}") for i in range(n)])
+    assert graph.impact(chain, "n00", "outgoing").count() == n + 1
+    assert graph.canonical_paths(chain, "n00").where("node = 'n36'").first().depth == n
+    assert graph.ancestors(chain).count() == n * (n + 1) // 2
+    start = spark.createDataFrame([("n00",)], "node string")
+    assert files.closure(chain, start, "src", "dst").count() == n + 1
 
 
-def test_bounded_and_whole_walks_agree(spark):
-    e = edge_table(spark, [*SPINE, *STAR])
-    w = graph.bounded_impact(e, "root", "both", 5, 100, 100)
-    assert w.nodes == {r.node: r.depth for r in graph.impact(e, "root", "both", 5).collect()}
+def test_edges_at_one_endpoint(spark):
+    e = edge_table(spark, [(f"road {i:02}", f"place {i:02}", "hub") for i in range(10)])
+    rows = lambda **o: graph.incident(e, "hub", "incoming", **o).orderBy("relationship_id").collect()
+    whole = rows()
+    assert [r.other for r in whole] == [f"place {i:02}" for i in range(10)] and not whole[0].incomplete and whole[0].work_items == 10
+    few = rows(max_edges=3)
+    assert len(few) == 3 and few[0].incomplete and not few[0].work_limit_reached
+    tired = rows(work=4)
+    assert len(tired) == 4 and tired[0].incomplete and tired[0].work_limit_reached and tired[0].work_items == 4
+    left = rows(exclude=["place 00", "place 03"], allow=[f"place {i:02}" for i in range(5)])
+    assert [r.other for r in left] == ["place 01", "place 02", "place 04"] and left[0].excluded == 2 and not left[0].incomplete
+    one = rows(stop_first=True)
+    assert len(one) == 1 and not one[0].incomplete
+    assert rows(kinds=["import"]) == []
 
 
 def test_build_checks_edges_and_derives_authority(spark):
@@ -80,7 +152,7 @@ def test_producers_of_edges(spark):
     m = graph.module_edges(t([("a", "b", "f", "import"), ("a", "b", None, "import"), ("a", "b", "gone", "import")], "src_file string, dst_file string, name string, kind string"), t([("b", "f", "b#f")], "file string, name string, dst string"))
     assert {r.dst for r in m.collect()} == {"b#f", f"b\0{graph.MODULE}"}
     with pytest.raises(QueryError, match="INCOMPLETE"):
-        graph.assert_closed(edge_table(spark, STAR), t([("root",)], "node string"))
+        graph.assert_closed(edge_table(spark, FAN), t([("hub",)], "node string"))
 
 
 def test_closure_survives_cycles(spark):
@@ -88,21 +160,24 @@ def test_closure_survives_cycles(spark):
     assert {(r.node, r.ancestor) for r in got.collect()} == {(x, y) for x in "abc" for y in "abc" if x != y}
 
 
-def test_test_candidates(spark):
-    e = edge_table(spark, [("adapter-service", "adapter", "service"), ("spec-adapter", "spec", "adapter"), ("unit-service", "unit", "service")])
-    files = {"service": "src/service.ts", "adapter": "src/adapter.ts", "spec": "src/adapter.spec.ts", "unit": "test/unit.ts"}
-    found = evidence.test_candidates(e, graph.bounded_impact(e, "service", "incoming", 3), files)
+def test_names_mean_one_declaration_of_their_file(spark):
+    t = spark.createDataFrame
+    declared = t([("lib", "open", 1), ("lib", "shut", 2), ("other", "open", 3), ("twice", "open", 4), ("twice", "open", 5)], "file string, name string, symbol_id int")
+    brought = t([("app", "open", "lib"), ("other", "open", "lib"), ("both", "open", "lib"), ("both", "open", "other")], "file string, name string, target string")
+    used = t([("app", "open"), ("app", "shut"), ("other", "open"), ("twice", "open"), ("both", "open"), ("lib", "shut")], "file string, name string")
+    got = {(r.file, r.name): r.symbol_id for r in resolution.resolved(used, declared, brought).collect()}
+    assert got == {("app", "open"): 1, ("app", "shut"): None, ("other", "open"): 3, ("twice", "open"): None, ("both", "open"): None, ("lib", "shut"): 2}
+
+
+def test_candidates_are_tests_with_a_proof(spark):
+    roads = [("r1", "wheel", "axle"), ("r2", "checks of wheel", "wheel"), ("r3", "checks of axle", "axle"), ("r4", "shed", "axle")]
+    where = {"axle": "src/axle.ts", "wheel": "src/wheel.ts", "checks of wheel": "src/wheel.spec.ts", "checks of axle": "tests/axle.ts", "shed": "yard/shed.ts"}
+    e = edge_table(spark, roads)
+    found = evidence.test_candidates(e, graph.bounded_impact(e, "axle", "incoming", 5), where, ["yard"])
     assert [(c["file"], c["reason"], c["confidence"], c["evidence"]["relationship_ids"]) for c in found] == [
-        ("test/unit.ts", "direct_compiler_reference", "exact", ["unit-service"]),
-        ("src/adapter.spec.ts", "transitive_compiler_reference", "high", ["spec-adapter", "adapter-service"]),
+        ("tests/axle.ts", "direct_compiler_reference", "exact", ["r3"]),
+        ("yard/shed.ts", "convention_match", "exact", ["r4"]),
+        ("src/wheel.spec.ts", "transitive_compiler_reference", "high", ["r2", "r1"]),
     ]
     with pytest.raises(QueryError, match="INCOMPLETE_EVIDENCE"):
-        evidence.test_candidates(e, graph.bounded_impact(e, "service", "incoming", 1), files)
-
-
-def test_closures_of_a_long_chain(spark):
-    n = 36
-    chain = edge_table(spark, [(str(i), f"n{i:02}", f"n{i + 1:02}") for i in range(n)])
-    assert graph.ancestors(chain).count() == n * (n + 1) // 2
-    start = spark.createDataFrame([("n00",)], "node string")
-    assert files.closure(chain, start, "src", "dst").count() == n + 1
+        evidence.test_candidates(e, graph.bounded_impact(e, "axle", "incoming", 1), where)
