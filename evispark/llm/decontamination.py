@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, WordHashes, arrow_map, mix, table
+from .common import Rolling, SpanHashes, arrow_map, mix, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of a fingerprint, and the probability that a window at the bound lies beyond its radius.
@@ -177,10 +177,10 @@ class Shingles:
     """Hashes of a text's shingles, the same on every machine."""
 
     def __init__(self):
-        self.words, self.rolling = WordHashes(31), Rolling(0x9FB21C651E98DF25)
+        self.words, self.rolling = SpanHashes(0x85EBCA77C2B2AE63), Rolling(0x9FB21C651E98DF25)
 
     def prefix(self, text: str | None) -> np.ndarray:
-        return self.rolling.prefix(self.words.array((text or "").encode("utf-8").lower().split()))
+        return self.rolling.prefix(self.words(np.frombuffer((text or "").encode("utf-8").lower(), np.uint8)))
 
     def of(self, prefix: np.ndarray, q: int) -> np.ndarray:
         return self.rolling.windows(prefix, q)
