@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Sequence
 
@@ -85,6 +86,26 @@ def kinds_in_order(values: Iterable[str]) -> list[str]:
     return [k for k in EDGE_KINDS if k in wanted]
 
 
+def json_safe(value: object, depth: int = 64) -> object:
+    """``value`` if it is JSON as it stands: texts, whole and finite numbers, truth values, null, lists and objects of these."""
+    if depth == 0:
+        raise QueryError("INVALID_INPUT", "the value is nested too deeply")
+    if isinstance(value, dict):
+        for k, v in value.items():
+            if not isinstance(k, str):
+                raise QueryError("INVALID_INPUT", f"not a name: {k!r}")
+            json_safe(v, depth - 1)
+    elif isinstance(value, list):
+        for v in value:
+            json_safe(v, depth - 1)
+    elif isinstance(value, float):
+        if not math.isfinite(value):
+            raise QueryError("INVALID_INPUT", f"not a finite number: {value!r}")
+    elif value is not None and not isinstance(value, (str, int, bool)):
+        raise QueryError("INVALID_INPUT", f"not JSON: {type(value).__name__}")
+    return value
+
+
 def truncation(reasons: Iterable[str]) -> dict:
     """truncated exactly if there is a reason; the first one counts."""
     found = [member("reason", r, TRUNCATIONS) for r in reasons]

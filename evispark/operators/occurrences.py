@@ -9,6 +9,8 @@ from ..contracts import QueryError
 
 #: Whole words that a passage and a text must share in a row before the passage is searched for.
 KEY_WORDS = 3
+#: Passages of fewer words than that which are searched for in every text.
+SHORT = 200
 
 
 def _runs(words: Column) -> Column:
@@ -22,11 +24,19 @@ def contained(texts: DataFrame, passages: DataFrame, key: str, passage_key: str,
 
     A passage's second to fourth word are whole words of every text that contains it. Texts and passages meet by the
     hash of such three words (passages are sent to all tasks only if Spark finds them small enough), and the few texts
-    that remain are searched. A passage of fewer than five words has no such three and is refused.
+    that remain are searched. Passages of fewer than five words have no such three: each text is searched for all of
+    them, of which there may be SHORT at most.
     """
     words = F.split(F.trim(F.col(text)), r"\s+")
-    if not passages.where(F.size(words) < KEY_WORDS + 2).isEmpty():
-        raise QueryError("INVALID_INPUT", f"passages need at least {KEY_WORDS + 2} words")
-    wanted = passages.select(passage_key, F.col(text).alias("passage"), F.xxhash64(*[words[1 + j] for j in range(KEY_WORDS)]).alias("run"))
+    few = F.size(words) < KEY_WORDS + 2
+    short = passages.where(few & (F.col(text) != "")).select(passage_key, text).distinct().limit(SHORT + 1).collect()
+    if len(short) > SHORT:
+        raise QueryError("INVALID_INPUT", f"at most {SHORT} passages may have fewer than {KEY_WORDS + 2} words")
+    wanted = passages.where(~few).select(passage_key, F.col(text).alias("passage"), F.xxhash64(*[words[1 + j] for j in range(KEY_WORDS)]).alias("run"))
     near = texts.withColumn("words", words).select(key, F.explode(F.array_distinct(_runs(F.col("words")))).alias("run")).join(wanted, "run").select(key, passage_key, "passage")
-    return near.join(texts.select(key, text), key).where(F.contains(F.col(text), F.col("passage"))).select(passage_key, key).distinct()
+    found = near.join(texts.select(key, text), key).where(F.contains(F.col(text), F.col("passage"))).select(passage_key, key)
+    if short:
+        kind = passages.schema[passage_key].dataType
+        each = F.array(*[F.when(F.contains(F.col(text), F.lit(r[1])), F.lit(r[0]).cast(kind)) for r in short])
+        found = found.unionByName(texts.select(F.explode(F.array_compact(each)).alias(passage_key), key))
+    return found.distinct()

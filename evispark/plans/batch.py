@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..contracts import QueryError
+from ..contracts import QueryError, json_safe
 from ..functions.pointer import resolve, tokens
 
 # Limits of a document and its run.
@@ -45,6 +45,7 @@ def validate(document: dict, tools: dict | None = None) -> dict:
 
     if not isinstance(document, dict) or document.get("version") != 1:
         refuse("version must be 1")
+    json_safe(document)
     if extra := set(document) - {"version", "project_root", "limits", "steps", "emit"}:
         refuse(f"unknown keys {sorted(extra)}")
     steps = document.get("steps")

@@ -496,6 +496,11 @@ def text_functions(spark, sf_dir):
     return p.select("p_partkey", json_bytes(F.struct("p_partkey", "p_name", "p_size")).alias("json_bytes"), array_items(F.to_json(F.split("p_name", " "))).alias("n_items"), code.alias("code"), utf8_text(strict_base64(code)).alias("decoded"), identifier(F.col("p_brand")).alias("brand_is_name"), identifier(F.element_at(F.split("p_name", " "), 1)).alias("word_is_name"))
 
 
+@query("""SELECT p_partkey, '{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '","p_brand":"' || p_brand || '","p_size":' || p_size || '}' AS json FROM part""")
+def json_sink(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", F.to_json(F.struct("p_partkey", "p_name", "p_brand", "p_size")).alias("json"))
+
+
 @query("SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events")
 def canonical_time(spark, sf_dir):
     e = read(spark, sf_dir, "events").withColumn("iso", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
@@ -530,6 +535,13 @@ def edge_dedup(spark, sf_dir):
     return graph.dedup(e).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query(f"SELECT kind, count(DISTINCT relationship_id) AS n FROM {EDGES} WHERE kind IN ('call', 'implements') GROUP BY 1")
+def edge_collect(spark, sf_dir):
+    e = edges(spark, sf_dir)
+    one, other = e.where("kind = 'call'"), e.where("kind = 'implements' or kind = 'call'")
+    return graph.collect(one, other).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query(f"SELECT DISTINCT node FROM (SELECT src AS node FROM {EDGES} UNION ALL SELECT dst FROM {EDGES}) WHERE NOT starts_with(node, 'nation:') AND NOT starts_with(node, 'region:')")
 def edge_integrity(spark, sf_dir):
     known = read(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node")).unionByName(read(spark, sf_dir, "region").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("node")))
@@ -634,10 +646,11 @@ def impact_budgeted(spark, sf_dir):
     return spark.createDataFrame([(n, d, x, found.incomplete, ",".join(found.reasons)) for n, d, x in found.ordered_nodes()], "node string, depth int, direct boolean, incomplete boolean, reasons string")
 
 
-@query("""SELECT node, ancestor FROM (SELECT 'customer:' || c_custkey AS node, 'nation:' || c_nationkey AS ancestor FROM customer UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation
- UNION ALL SELECT 'customer:' || c_custkey, 'region:' || n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
+@query("""WITH c AS (SELECT 'customer:' || c_custkey AS node, 'nation:' || c_nationkey AS nation, 'region:' || n_regionkey AS region FROM customer JOIN nation ON c_nationkey = n_nationkey), o AS (SELECT 'order:' || o_orderkey AS node, 'customer:' || o_custkey AS customer FROM orders)
+ SELECT DISTINCT node, ancestor FROM (SELECT node, nation AS ancestor FROM c UNION ALL SELECT node, region FROM c UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation
+ UNION ALL SELECT node, customer FROM o UNION ALL SELECT o.node, c.nation FROM o JOIN c ON c.node = o.customer UNION ALL SELECT o.node, c.region FROM o JOIN c ON c.node = o.customer)""")
 def inheritance_closure(spark, sf_dir):
-    e = edges(spark, sf_dir).where(F.col("kind").isin("reference", "extends"))
+    e = edges(spark, sf_dir).where(F.col("kind").isin("reference", "extends", "call"))
     return graph.ancestors(e)
 
 
@@ -716,14 +729,17 @@ def debounce_sessions(spark, sf_dir):
     return debounced(e, "user_id", "30 minutes", most=3).select("user_id", "n_events", "n_paths", "overflow")
 
 
-@query("""SELECT user_id, CASE WHEN failed > 0 THEN 'degraded' WHEN last_type = 'purchase' THEN 'fresh' ELSE 'pending' END AS state FROM (
- SELECT user_id, count_if(event_type = 'error') AS failed, arg_max(event_type, event_id) AS last_type FROM events GROUP BY 1)""")
+@query("""WITH e AS (SELECT user_id, event_id AS seq, event_id % 2 = 0 AS evidence, CASE event_type WHEN 'purchase' THEN 'sync_succeeded' WHEN 'error' THEN 'index_failed' WHEN 'signup' THEN 'index_recovered' WHEN 'view' THEN 'source_changed'
+ ELSE CASE event_id % 4 WHEN 0 THEN 'config_changed' WHEN 1 THEN 'compiler_rebuild_started' WHEN 2 THEN 'sync_failed' ELSE 'stale_detected' END END AS event FROM events),
+ l AS (SELECT user_id, max(seq) FILTER (WHERE event = 'index_failed') AS failed, max(seq) FILTER (WHERE event = 'index_recovered') AS recovered, arg_max(event, seq) FILTER (WHERE event <> 'index_failed') AS last, arg_max(evidence, seq) FILTER (WHERE event <> 'index_failed') AS proof FROM e GROUP BY 1)
+ SELECT user_id, CASE WHEN coalesce(failed, -1) > coalesce(recovered, -1) THEN 'degraded' WHEN last IN ('sync_failed', 'stale_detected') THEN 'stale' WHEN last = 'compiler_rebuild_started' THEN 'rebuilding' WHEN last = 'sync_succeeded' AND proof THEN 'fresh' ELSE 'pending' END AS state FROM l""")
 def freshness_fold(spark, sf_dir):
     from .streaming.freshness import fold
 
     e = read(spark, sf_dir, "events")
-    kind = F.when(F.col("event_type") == "purchase", "sync_succeeded").when(F.col("event_type") == "error", "index_failed").otherwise("source_changed")
-    status = e.select("user_id", F.col("event_id").alias("seq"), kind.alias("event"), F.lit(True).alias("evidence"), F.lit(None).cast("string").alias("detail"))
+    click = F.element_at(F.array(*map(F.lit, ("config_changed", "compiler_rebuild_started", "sync_failed", "stale_detected"))), (F.col("event_id") % 4 + 1).cast("int"))
+    kind = F.when(F.col("event_type") == "purchase", "sync_succeeded").when(F.col("event_type") == "error", "index_failed").when(F.col("event_type") == "signup", "index_recovered").when(F.col("event_type") == "view", "source_changed").otherwise(click)
+    status = e.select("user_id", F.col("event_id").alias("seq"), kind.alias("event"), (F.col("event_id") % 2 == 0).alias("evidence"), F.lit(None).cast("string").alias("detail"))
     return fold(status, "user_id").select("user_id", "state")
 
 

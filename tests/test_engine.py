@@ -8,9 +8,9 @@ import pytest
 from evispark import contracts
 from evispark.contracts import QueryError
 from evispark.functions import pointer, scalar, toon
-from evispark.operators import delta, evidence, files, search
+from evispark.operators import delta, diagnostics, evidence, files, occurrences, search
 from evispark.plans import batch
-from evispark.plans.operations import MemoryFiles, Operations
+from evispark.plans.operations import FolderFiles, MemoryFiles, Operations
 from evispark.sources import extract, store
 from evispark.streaming import feed, freshness
 from pyspark.sql import functions as F
@@ -326,3 +326,64 @@ def test_text_functions(spark):
     t = spark.createDataFrame([("aé" * 40, "a/test/b.spec.ts", 'token = "s3cret" in /home/me/x')], "long string, path string, said string")
     r = t.select(scalar.truncated_bytes(F.col("long"), 30).alias("cut"), scalar.matches_glob(F.col("path"), "**/*.spec.*").alias("g"), scalar.has_segments(F.col("path"), "test").alias("seg"), scalar.redacted(F.col("said")).alias("red")).first()
     assert len(r.cut.encode()) <= 30 and r.cut.endswith("... [truncated]") and r.g and r.seg and r.red == "token=[REDACTED] in [path-redacted]"
+
+
+def test_short_passages_are_found_too(spark):
+    texts = spark.createDataFrame([(1, "a quick test of things that are said often here"), (2, "nothing"), (3, None)], "doc_id int, text string")
+    passages = spark.createDataFrame([(1, "test of"), (2, "noth"), (3, "quick test of things that are"), (4, ""), (5, None), (6, "never")], "item_id int, text string")
+    got = occurrences.contained(texts, passages, "doc_id", "item_id")
+    assert {(r.item_id, r.doc_id) for r in got.collect()} == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_values_that_are_json():
+    assert contracts.json_safe({"a": [1, 2.5, None, True, {"b": "c"}]})["a"][1] == 2.5
+    deep: list = []
+    for _ in range(70):
+        deep = [deep]
+    for bad in (float("nan"), float("inf"), {1: 2}, {"a": {3}}, object(), deep):
+        with pytest.raises(QueryError, match="INVALID_INPUT"):
+            contracts.json_safe(bad)
+
+
+def test_files_of_a_folder(tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "dist").mkdir()
+    (tmp_path / "src/a.ts").write_text("function go() {}\ngo();\n")
+    (tmp_path / "dist/a.ts").write_text("go();\n")
+    (tmp_path / "out.ts").symlink_to("/etc/hostname")
+    there = FolderFiles(str(tmp_path))
+    assert there.paths() == ["out.ts", "src/a.ts"] and there.read("src/none.ts") is None
+    with pytest.raises(QueryError, match="outside"):
+        there.read("out.ts")
+    (tmp_path / "out.ts").unlink()
+    ops = Operations(there)
+    plan = ops.rename_symbol("go", "run")
+    with there.lock(), pytest.raises(QueryError, match="CONFLICT"):
+        ops.apply(plan.operation_id, plan.plan_hash)
+    assert ops.apply(plan.operation_id, plan.plan_hash)["files"] == ["src/a.ts"]
+    assert (tmp_path / "src/a.ts").read_text() == "function run() {}\nrun();\n" and (tmp_path / "dist/a.ts").read_text() == "go();\n"
+
+
+def test_rescan_reads_only_what_changed(spark):
+    t = lambda rows: spark.createDataFrame(rows, "path string, text string")
+    seen = []
+
+    def extract_(f):
+        seen.append(sorted(r.path for r in f.select("path").collect()))
+        return f.select("path", "content_hash", F.length("text").alias("n"))
+
+    first = files.rescan(spark.createDataFrame([], "path string, content_hash string, n int"), t([("a", "x"), ("b", "yy")]), extract_).drop("reused")
+    now = t([("b", "yy"), ("c", "zzz"), ("a", "xxxx")])
+    again = files.rescan(first, now, extract_, verify=lambda: now)
+    assert {(r.path, r.n, r.reused) for r in again.collect()} == {("a", 4, False), ("b", 2, True), ("c", 3, False)}
+    assert seen[1] == ["a", "c"]
+    with pytest.raises(QueryError, match="CONFLICT"):
+        files.rescan(first, now, extract_, verify=lambda: t([("b", "yy")]))
+
+
+def test_diagnostics_of_rows(spark):
+    t = spark.createDataFrame([(1, 5, "x"), (2, None, None), (3, 50, "y")], "k int, n int, s string")
+    rules = [diagnostics.Rule(1, "Error", F.col("n") > 10, F.concat(F.lit("n is "), F.col("n").cast("string"))), diagnostics.Rule(2, "Warning", F.col("s").isNull(), F.lit("no s"))]
+    assert {(r.k, r.code, r.category, r.message) for r in diagnostics.scan(t, ["k"], rules).collect()} == {(3, 1, "Error", "n is 50"), (2, 2, "Warning", "no s")}
+    with pytest.raises(QueryError):
+        diagnostics.scan(t, ["k"], [diagnostics.Rule(1, "Fatal", F.lit(True), F.lit(""))])
