@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, arrow_map, fresh, held_out, table
+from .common import Scratch, SpanHashes, arrow_map, fresh, held_out, table
 
 #: Hashed word features (a power of two), factors, bins of a statistic, and labelled rows and features learned from.
 WORDS, FACTORS, BINS, SAMPLE, LEARNED = 1 << 16, 8, 16, 6000, 10_000_000
@@ -41,13 +41,12 @@ class Features:
     """Feature numbers and values of a document."""
 
     def __init__(self):
-        self.hashes = WordHashes(23)
+        self.hashes = SpanHashes(0x2545F4914F6CDD1D)
 
     def __call__(self, text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
         raw = (text or "").encode("utf-8")
-        words = raw.lower().split()
-        n = max(len(words), 1)
-        h = self.hashes.array(words)
+        h = self.hashes(np.frombuffer(raw.lower(), np.uint8))
+        n = max(len(h), 1)
         ids, counts = np.unique(h & np.uint64(WORDS - 1), return_counts=True)
         weight = 1 + np.log(counts)
         weight = weight / np.sqrt((weight**2).sum()) if len(weight) else weight
@@ -57,7 +56,7 @@ class Features:
         ratio = lambda x: min(int(x * (BINS - 1) + 0.999), BINS - 1)  # noqa: E731  0 only for 0
         log = lambda x: min(int(np.log2(1 + x)), BINS - 1)
         bins = (
-            log(len(words)), log(size / n), ratio(len(np.unique(h)) / n), ratio(float((h[1:] == h[:-1]).sum()) / n), ratio(kinds[1] / size), ratio(kinds[2] / size),
+            log(len(h)), log(size / n), ratio(len(np.unique(h)) / n), ratio(float((h[1:] == h[:-1]).sum()) / n), ratio(kinds[1] / size), ratio(kinds[2] / size),
             ratio(min(1, kinds[3] / n)), ratio(min(1, kinds[4] / n)), ratio(min(1, kinds[5] / n)), ratio(min(1, kinds[6] / n)), log(len(lines)),
             ratio(1 - len(set(lines)) / max(len(lines), 1)), ratio(kinds[7] / size), BINS - 1 if n_chars is None else min(log(max(n_chars, 0)), BINS - 2),
         )

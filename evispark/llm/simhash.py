@@ -113,7 +113,7 @@ def _compare(rows: DataFrame, radius: int) -> DataFrame:
                 step += 1
                 near = near[near + step < len(tile)]
                 near = near[tile[near] == tile[near + step]]
-            if len(state["parent"]) > 500_000:
+            if len(state["parent"]) > 200_000:
                 state["parent"].clear()
             return out
 
