@@ -60,6 +60,11 @@ def keyed(df, columns):
 def test_words_and_hashes():
     t = "a\x1cb\x0bc d \x85e"
     assert [w.decode() for w in common.words_of(t)] == words(t)
+    for x in (t, "", " ", "a", " a\n\tb\r", "é ß", "one  two one"):
+        raw = np.frombuffer(x.encode(), np.uint8)
+        assert [x.encode()[a:b].decode() for a, b in zip(*common.word_spans(raw), strict=True)] == words(x)
+        h = common.SpanHashes(5)(raw).tolist()
+        assert [h[i] == h[j] for i in range(len(h)) for j in range(i)] == [a == b for i, a in enumerate(words(x)) for b in words(x)[:i]]
     r = np.random.default_rng(3)
     for n, width in ((0, 4), (3, 4), (50, 7), (400, 26)):
         h = r.integers(0, 6 if n == 50 else 2**63, n).astype(np.uint64)
@@ -210,15 +215,14 @@ def repeated(data, length):
 
 def check_bytes(spark, rows, length, short, k):
     data = [(t or "").encode() for _, t in rows]
-    proof = substring_bytes._proof(short, k)[1]
     expected, bounds = Counter(), {}
-    for (i, _), b, gone, some, sure in zip(rows, data, repeated(data, length), repeated(data, proof), repeated(data, short), strict=True):
+    for (i, _), b, gone, some, sure in zip(rows, data, repeated(data, length), repeated(data, k), repeated(data, short), strict=True):
         spans = sum(s and (j == 0 or not gone[j - 1]) for j, s in enumerate(gone))
         kept = bytes(x for x, s in zip(b, gone, strict=True) if not s)
         row = (i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
         expected[row] += 1
         # a repeated short string shows, and nothing does that is not in a repeated run
-        bounds[row] = (max(sum(gone), proof if any(sure) else 0), sum(some))
+        bounds[row] = (max(sum(gone), k if any(sure) else 0), sum(some))
     got = substring_bytes.remove_repeats(corpus(spark, rows).withColumnRenamed("lang", "r1"), length, short, k)
     found = [tuple(None if pd.isna(v) else v for v in r) for r in table(got).itertuples(index=False)]
     assert Counter(r[:5] for r in found) == expected
@@ -226,7 +230,7 @@ def check_bytes(spark, rows, length, short, k):
     return expected
 
 
-@pytest.mark.parametrize(("length", "short", "k", "group"), [(400, 250, 64, 2 << 20), (60, 40, 16, 2 << 20), (61, 47, 16, 300), (60, 59, 16, 1)])
+@pytest.mark.parametrize(("length", "short", "k", "group"), [(400, 250, 100, 2 << 20), (60, 40, 16, 2 << 20), (61, 47, 16, 300), (60, 59, 16, 1)])
 def test_repeated_bytes(spark, rows, length, short, k, group, monkeypatch):
     monkeypatch.setattr(substring_bytes, "GROUP", group)
     expected = check_bytes(spark, rows, length, short, k)
@@ -278,6 +282,8 @@ def exhaustive_leaks(docs, items):
                 continue
             q = len(bag[0])
             own = [tuple(w[j : j + q]) for j in range(len(w) - q + 1)]
+            if not {*own} & {*bag}:  # without a shingle in common, no window is similar
+                continue
             size = min(len(bag), len(own))
             for a in range(len(own) - size + 1):
                 both = sum((Counter(own[a : a + size]) & Counter(bag)).values())
@@ -515,6 +521,77 @@ def test_estimate_follows_the_rows():
     assert all(0.5 < a <= 1 for a in e.accuracies())
 
 
+#: names that the operators use inside, and others in use by callers
+CLASHES = ["c0", "c1", "t", "n", "held", "h", "fp", "edge", "ord", "rid", "r1", "g", "f", "row", "text_hash", "place", "nth", "salt", "cut", "predicted", "score", "w", "lines", "kind", "spans", "taken", "item_id", "root", "least", "words", "posterior"]
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    """What the learned operators need, from the smallest tables."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    return quality_fm.train(docs, labels), language_id.profiles(docs.where(common.fold() != 2)), {k: pii.Trees() for k in pii.KINDS}
+
+
+ITEMS = [(1, "the quick brown fox jumps over the lazy dog while rain falls on the old town"), (2, None)]
+
+
+def every_operator(docs, learned, items):
+    machine, profiles, trees = learned
+    return {
+        1: quality_fm.score(docs, machine), 2: substring_words.remove_repeats(docs), 3: bpe_dp.encode_decode(docs, VOCABULARY), 4: token_counts.token_counts(docs, VOCABULARY), 5: simhash.near_duplicates(docs),
+        6: pii.find(docs, trees), 7: substring_bytes.remove_repeats(docs), 8: language_id.identify(docs, profiles), 9: decontamination.leaks(docs, items), 10: weak_supervision.judged(docs),
+    }
+
+
+def test_columns_with_clashing_names_and_nulls(spark, learned):
+    """Extra columns change no result and pass by the filters untouched; nulls in any column are no trouble."""
+    r = random.Random(31)
+    text = " ".join(r.choice(["alpha", "beta", "gamma", "delta", "the", "of"]) for _ in range(80))
+    rows = [(1, text), (2, text), (3, ITEMS[0][1]), (4, None), (None, text), (None, None), (5, ""), (5, "mail a@b.co")]
+    plain = spark.createDataFrame([(i, t, None if n == 2 else "en", None, None if n == 3 else 7) for n, (i, t) in enumerate(rows)], SCHEMA)
+    clash = plain.select("*", *[common.F.lit(f"own {c}").alias(c) for c in CLASHES])
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    expected = every_operator(plain, learned, items)
+    for n, out in every_operator(clash, learned, items.withColumn("doc_id", common.F.lit("x"))).items():
+        columns = expected[n].columns
+        assert out.columns == columns and keyed(out, columns) == keyed(expected[n], columns) and (n == 9 or out.count() == len(rows)), n
+    for keep in (lambda d: quality_fm.accepted(d, learned[0], 0.0), simhash.keep_one, lambda d: decontamination.decontaminated(d, items), lambda d: pii.redact(d, learned[2])):
+        out = keep(clash)
+        assert out.columns == clash.columns
+        kept = out.collect()
+        assert kept and all(x[c] == f"own {c}" for x in kept for c in CLASHES)
+        assert Counter(x.doc_id for x in kept) == Counter(x.doc_id for x in keep(plain).collect())
+
+
+def test_texts_of_a_megabyte(spark, learned):
+    """Whole texts of 1 MB, one copied, one without any white space, through all ten operators at their own parameters."""
+    r = random.Random(41)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(3000)]
+    long = " ".join(r.choice(vocabulary) for _ in range(180_000))
+    half = len(long) // 2
+    planted = long[:half] + " " + ITEMS[0][1] + " mail someone@example.org " + long[half:]
+    rows = [(1, long), (2, long), (3, planted), (4, "x7" * 500_000), (5, "short")]
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    got = {n: {x.doc_id: x for x in out.collect()} for n, out in every_operator(corpus(spark, rows), learned, items).items()}
+    assert all(set(got[n]) == {1, 2, 3, 4, 5} for n in got if n != 9)
+    t = Tokenizer.from_file(VOCABULARY)
+    for i, text in rows:
+        w, ids = words(text), t.encode(text, add_special_tokens=False).ids
+        assert got[2][i].n_words == got[10][i].n_words == len(w) and got[10][i].word_chars == sum(map(len, w))
+        assert got[3][i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and got[4][i].n_tokens == got[3][i].n_tokens == len(ids)
+        assert got[4][i].n_bytes == got[7][i].n_bytes == len(text.encode())
+        assert 0 <= got[1][i].score <= 1 and got[8][i].lang_pred in {*learned[1], "und"}
+    n = len(words(long))
+    assert (got[2][1].n_removed, got[2][2].n_removed, got[2][3].n_removed) == (0, n, n)
+    inserted = len(f" {ITEMS[0][1]} mail someone@example.org".encode())
+    assert (got[7][1].n_removed, got[7][2].n_removed, got[7][5].n_removed) == (len(long), len(long), 0)
+    assert len(planted) - inserted - 2 <= got[7][3].n_removed <= len(planted) - inserted + 2 and got[7][3].n_spans == 2
+    assert got[7][4].n_removed == 1_000_000
+    assert got[5][1].component_id == got[5][2].component_id == got[5][3].component_id == 1 and got[5][4].component_id == 4
+    assert [(d, x.item_id, x.similarity) for d, x in got[9].items()] == [(3, 1, 1.0)]
+    assert got[6][3].spans == f"email:{(a := planted.index('someone@'))}:{a + len('someone@example.org')}" and got[6][1].n_spans == 0
+
+
 def test_empty_tables(spark):
     docs = corpus(spark, [])
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
