@@ -15,46 +15,13 @@ from .engine import Project, batch_tools
 from .functions.toon import encode_checked
 from .operators import files
 from .plans import batch
-from .plans.operations import Operations
-
-
-class DiskFiles:
-    """Files below a folder."""
-
-    def __init__(self, root: str, suffixes: tuple[str, ...] = (".ts", ".tsx", ".js", ".jsx")):
-        self.root, self.suffixes = root, suffixes
-
-    def paths(self) -> list[str]:
-        out = []
-        for folder, names, found in os.walk(self.root):
-            names[:] = [n for n in names if n not in ("node_modules", ".git", "dist", "coverage")]
-            out += [os.path.relpath(os.path.join(folder, f), self.root).replace(os.sep, "/") for f in found if f.endswith(self.suffixes)]
-        return sorted(out)
-
-    def read(self, path: str) -> bytes | None:
-        try:
-            with open(os.path.join(self.root, path), "rb") as f:
-                return f.read()
-        except FileNotFoundError:
-            return None
-
-    def write(self, path: str, data: bytes) -> None:
-        where = os.path.join(self.root, path)
-        os.makedirs(os.path.dirname(where), exist_ok=True)
-        with open(f"{where}.tmp", "wb") as f:
-            f.write(data)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(f"{where}.tmp", where)
-
-    def delete(self, path: str) -> None:
-        os.remove(os.path.join(self.root, path))
+from .plans.operations import FolderFiles, Operations
 
 
 def _project(root: str) -> Project:
     spark = SparkSession.builder.getOrCreate()
-    found = files.scan(spark, os.path.abspath(root)).where(F.col("path").rlike(r"\.(ts|tsx|js|jsx)$") & ~F.col("path").rlike(r"(^|/)(node_modules|\.git|dist|coverage)/"))
-    return Project(spark, found.select("path", F.col("content").cast("string").alias("text")), sources=DiskFiles(root))
+    found = files.scan(spark, os.path.abspath(root)).where(F.col("path").rlike(r"\.[cm]?[jt]sx?$") & ~F.col("path").rlike(r"(^|/)(node_modules|\.git|dist|coverage)/"))
+    return Project(spark, found.select("path", F.col("content").cast("string").alias("text")), sources=FolderFiles(root))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -86,7 +53,7 @@ def main(argv: list[str] | None = None) -> int:
             else:
                 print(json.dumps({"valid": True, "steps": len(document["steps"])}))
         elif a.command == "apply":
-            ops = Operations(DiskFiles(a.root))
+            ops = Operations(FolderFiles(a.root))
             print(json.dumps(ops.apply(ops.load(a.plan).operation_id, a.hash)))
         else:
             from .sources.store import ParquetStore

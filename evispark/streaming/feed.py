@@ -15,7 +15,7 @@ def debounced(changes: DataFrame, key: str, gap: str, most: int = PENDING_MAX, t
 
     Works on tables and on streams (with a watermark on ``time``).
     """
-    # a set of at most most + 1 paths decides; a burst's size does not
+    # a burst's different paths are held in one set, however often each has changed
     w = F.session_window(time, gap)
     out = changes.groupBy(key, w).agg(F.count("*").alias("n_events"), F.collect_set(path).alias("paths"))
     n = F.size("paths").cast("long")
