@@ -6,6 +6,7 @@ tables written to the shared scratch folder to cut lineage, and connected compon
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -177,6 +178,14 @@ def slices(batches: Iterable[pa.RecordBatch], text: str | None = "text") -> Iter
             at = end
 
 
+def give_back() -> None:
+    """Returns what a finished task has freed to the system: a worker waits for its next task with little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dict]], text: str | None = "text") -> DataFrame:
     """``make()`` runs once a partition and gives a function from a slice's columns to the columns of ``schema``.
 
@@ -198,6 +207,8 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], di
             yield from rows(work({name: part.column(name) for name in part.schema.names}))
         if end is not None:
             yield from rows(end())
+        part = work = end = None
+        give_back()
 
     return df.mapInArrow(run, kinds)
 
