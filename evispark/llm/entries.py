@@ -16,6 +16,7 @@ NAMES = {
     "op8_rank_order_language": "language_id",
     "op9_simhash_windows": "decontamination",
     "op10_weak_supervision": "weak_supervision",
+    "op11_bit_sliced_negatives": "hard_negatives",
     "op13_merge_sort_windows": "rolling_ranks",
 }
 
