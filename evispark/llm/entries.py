@@ -17,6 +17,7 @@ NAMES = {
     "op9_simhash_windows": "decontamination",
     "op10_weak_supervision": "weak_supervision",
     "op11_bit_sliced_negatives": "hard_negatives",
+    "op12_markov_secrets": "secret_scan",
     "op13_merge_sort_windows": "rolling_ranks",
 }
 
