@@ -7,7 +7,7 @@ import pytest
 
 from evispark import contracts
 from evispark.contracts import QueryError
-from evispark.functions import pointer, scalar, toon
+from evispark.functions import pointer, redaction, scalar, toon
 from evispark.operators import delta, diagnostics, evidence, files, occurrences, search
 from evispark.plans import batch
 from evispark.plans.operations import FolderFiles, MemoryFiles, Operations
@@ -324,7 +324,7 @@ def test_validators():
 
 def test_text_functions(spark):
     t = spark.createDataFrame([("aé" * 40, "a/test/b.spec.ts", 'token = "s3cret" in /home/me/x')], "long string, path string, said string")
-    r = t.select(scalar.truncated_bytes(F.col("long"), 30).alias("cut"), scalar.matches_glob(F.col("path"), "**/*.spec.*").alias("g"), scalar.has_segments(F.col("path"), "test").alias("seg"), scalar.redacted(F.col("said")).alias("red")).first()
+    r = t.select(redaction.truncated_bytes(F.col("long"), 30).alias("cut"), scalar.matches_glob(F.col("path"), "**/*.spec.*").alias("g"), scalar.has_segments(F.col("path"), "test").alias("seg"), redaction.redacted(F.col("said")).alias("red")).first()
     assert len(r.cut.encode()) <= 30 and r.cut.endswith("... [truncated]") and r.g and r.seg and r.red == "token=[REDACTED] in [path-redacted]"
 
 
