@@ -182,6 +182,55 @@ def stored_symbols(spark, sf_dir):
     return store.symbols("parts", "M1", ["MethodDeclaration"], "#2").select("file_path", "symbol_path", "line")
 
 
+#: what the segment store holds after its second change: sizes of 7 renamed, sizes of 9 gone
+CHANGED = """(SELECT p_brand || '/' || p_type AS file_path, p_partkey, CASE WHEN p_size = 7 THEN 'renamed ' || p_name ELSE p_name END AS name FROM part WHERE p_size <> 9)"""
+
+
+def _segments(spark: SparkSession, sf_dir: str):
+    """A segment store of parts as symbols of files, after one change of all and one of some files."""
+    import uuid
+
+    from .plans.checkpoints import folder
+    from .sources.segments import SegmentStore
+
+    p = read(spark, sf_dir, "part").withColumn("file_path", F.concat_ws("/", "p_brand", "p_type"))
+    none = F.lit(None).cast("string")
+    symbol = lambda name: F.struct(name.alias("name"), F.concat_ws(".", "p_brand", name).alias("symbol_path"), F.concat_ws("@", "p_brand", F.col("p_partkey").cast("string")).alias("selector"), F.lit("part").alias("kind"), none.alias("signature"), F.col("p_partkey").cast("int").alias("line"), F.col("p_partkey").cast("int").alias("end_line"))
+
+    def entries(rows: DataFrame, name: Column) -> DataFrame:
+        own = rows.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("p_partkey", symbol(name).alias("s")))).alias("x"))
+        own = own.select("file_path", F.transform("x", lambda x: x["s"]).alias("symbols"))
+        return own.select("file_path", sha256(F.to_json("symbols")).alias("content_hash"), F.lit("c1").alias("config_digest"), "symbols", F.lit("2026-08-06T00:00:00.000Z").alias("last_indexed_at"))
+
+    store = SegmentStore(spark, f"{folder(spark)}/segments-{uuid.uuid4().hex}", buckets=8)
+    old = entries(p, F.col("p_name"))
+    store.upsert("parts", old)
+    new = entries(p.where("p_size <> 9"), F.when(F.col("p_size") == 7, F.concat(F.lit("renamed "), F.col("p_name"))).otherwise(F.col("p_name")))
+    changed = new.join(old.select("file_path", "content_hash"), ["file_path", "content_hash"], "left_anti")
+    gone = old.join(new.select("file_path"), "file_path", "left_anti")
+    plan = changed.select("file_path", F.lit("rebuild").alias("action")).unionByName(gone.select("file_path", F.lit("remove").alias("action")))
+    store.refresh("parts", plan, changed)
+    return store
+
+
+@query(f"SELECT file_path, count(*) AS n_symbols, string_agg(name, chr(10) ORDER BY p_partkey) AS names FROM {CHANGED} GROUP BY 1")
+def segment_refresh(spark, sf_dir):
+    found = _segments(spark, sf_dir).load("parts")
+    return found.select("file_path", F.size("symbols").cast("long").alias("n_symbols"), F.array_join(F.transform("symbols", lambda s: s["name"]), "\n").alias("names"))
+
+
+@query(f"""SELECT t.term, file_path, name, p_partkey AS line FROM {CHANGED}, (SELECT unnest(['{TERM}', 'ED ', 'b', 'brand#11.renamed', 'wi']) AS term) t
+ WHERE contains(lower(name), lower(term)) OR contains(lower(split_part(file_path, '/', 1) || '.' || name), lower(term)) OR contains(lower(split_part(file_path, '/', 1) || '@' || p_partkey), lower(term))""")
+def indexed_search(spark, sf_dir):
+    """Terms of one character and more, by postings over two segments."""
+    store = _segments(spark, sf_dir)
+    out = None
+    for term in (TERM, "ED ", "b", "brand#11.renamed", "wi"):
+        found = store.symbols("parts", term).select(F.lit(term).alias("term"), "file_path", "name", F.col("line").cast("long"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("""SELECT c_custkey, coalesce(signature, c_name) AS signature FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS signature FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey""")
 def record_projection(spark, sf_dir):
     symbols = read(spark, sf_dir, "customer").select("c_custkey", "c_name")

@@ -43,9 +43,13 @@ class _Queries:
 
     spark: SparkSession
 
+    def candidates(self, project: str, query: str) -> DataFrame:
+        """Entries among which all are that hold ``query``."""
+        return self.load(project)
+
     def symbols(self, project: str, query: str = "", kinds: list[str] | None = None, file_filter: str | None = None) -> DataFrame:
         """Matching symbols with file_path and symbol_position, in order of file and position."""
-        out = self.load(project).select("file_path", F.posexplode("symbols").alias("symbol_position", "s")).select("file_path", "symbol_position", "s.*")
+        out = self.candidates(project, query).select("file_path", F.posexplode("symbols").alias("symbol_position", "s")).select("file_path", "symbol_position", "s.*")
         if query:
             out = out.where(has(F.col("name"), query) | has(F.col("symbol_path"), query) | has(F.col("selector"), query))
         if kinds:
@@ -181,14 +185,15 @@ class ParquetStore(_Queries):
         entries.withColumn("checksum", checksum()).write.parquet(path)
         number = (before[0] if before else 0) + 1
         fs, pointer = self._fs(f"{self.root}/{project}/current-{number}.json")
-        _, fresh = self._fs(f"{self.root}/{project}/.{uuid.uuid4().hex}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"schema_version": SCHEMA_VERSION, "generation": name}).encode()))
-        out.close()
-        if fs.exists(pointer) or not fs.rename(fresh, pointer):
-            fs.delete(fresh, False)
+        try:
+            out = fs.create(pointer, False)  # by one writer alone
+            out.write(bytearray(json.dumps({"schema_version": SCHEMA_VERSION, "generation": name}).encode()))
+            out.close()
+        except Exception as e:
+            if "AlreadyExists" not in str(e):
+                raise
             fs.delete(self._fs(path)[1], True)
-            raise QueryError("CONFLICT", f"the index of {project} was changed by another writer")
+            raise QueryError("CONFLICT", f"the index of {project} was changed by another writer") from e
         # of those before the last generation, nothing is read any more
         keep = {path, before[1] if before else path}
         for old, at in self._pointers(project):
