@@ -23,9 +23,13 @@ def by_location(*parts: Column) -> Column:
     return by_language(F.concat_ws(":", *[p.cast("string") for p in parts]))
 
 
-def has(c: Column, query: str) -> Column:
+def has(c: Column, query: str | Column) -> Column:
     """Case-insensitive substring."""
-    return F.contains(F.lower(c), F.lit(query.lower()))
+    return F.contains(F.lower(c), lowered(query))
+
+
+def lowered(query: str | Column) -> Column:
+    return F.lit(query.lower()) if isinstance(query, str) else F.lower(query)
 
 
 def selector(path: Column, line: Column) -> Column:

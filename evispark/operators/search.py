@@ -9,10 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..contracts import CANDIDATES_MAX, PAGE_DEFAULT, PAGE_MAX, SEARCH_DEFAULT, QueryError, page_bounds
-from ..functions.scalar import has, selector
+from ..functions.scalar import has, lowered, selector
 
 
 @dataclass(frozen=True)
@@ -30,13 +31,13 @@ class Names:
         return selector(F.col(self.path), F.col(self.line))
 
 
-def matches(query: str, names: Names) -> Column:
+def matches(query: str | Column, names: Names) -> Column:
     return has(F.col(names.name), query) | has(F.col(names.path), query) | has(names.selector(), query)
 
 
-def rank(query: str, names: Names) -> Column:
+def rank(query: str | Column, names: Names) -> Column:
     """0 selector, 1 path, 2 name, 3 the start of path or name, 4 anywhere; without regard to case."""
-    q = F.lit(query.lower())
+    q = lowered(query)
     name, path, sel = F.lower(F.col(names.name)), F.lower(F.col(names.path)), F.lower(names.selector())
     return F.when(sel == q, 0).when(path == q, 1).when(name == q, 2).when(path.startswith(q) | name.startswith(q), 3).otherwise(4)
 
@@ -79,6 +80,16 @@ def ranked_page(symbols: DataFrame, query: str, names: Names = Names(), kinds: l
     return page(found, order, offset, limit, CANDIDATES_MAX, total=found.select("rank"))
 
 
+def pages(symbols: DataFrame, calls: DataFrame, names: Names = Names(), by: str = "pos") -> DataFrame:
+    """The first page of each of ``calls`` (``by``, query, limit), a small table: matching rows with rank and place.
+
+    All calls are answered in one pass over the symbols; a task keeps no more rows of a call than its page has.
+    """
+    met = symbols.join(calls, matches(F.col("query"), names)).withColumn("rank", rank(F.col("query"), names))
+    place = F.row_number().over(W.partitionBy(by).orderBy("rank", names.file, names.position))
+    return met.withColumn("place", place).where(F.col("place") <= CANDIDATES_MAX).where(F.col("place") <= F.col("limit"))
+
+
 #: Columns of each level of detail, each holding the one before.
 DETAIL = {
     "selectors": ("file_path", "selector", "rank"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import redaction as hiding
@@ -502,17 +503,46 @@ def foreach_expand(spark, sf_dir):
 @query(f"""WITH hits AS (SELECT p_partkey FROM (SELECT * FROM {FOUND.format(q=TERM)} ORDER BY rank, p_brand, p_partkey LIMIT 10))
  SELECT l_partkey AS p_partkey, count(*) AS n_lines, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM hits) GROUP BY 1""")
 def batch_pipeline(spark, sf_dir):
-    from .plans.batch import Runner
-
-    runner = Runner(
-        {
-            "search": lambda query, limit: search.ranked_page(parts(spark, sf_dir), query, NAMES, limit=limit).select("p_partkey"),
-            "usage": lambda p_partkey: read(spark, sf_dir, "lineitem").where(F.col("l_partkey") == p_partkey).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n_lines"), F.countDistinct("l_suppkey").alias("n_suppliers")),
-        }
-    )
+    """A document of two steps, the second one for each row of the first, as one plan."""
+    from .plans.compiled import Tool, compiled, rows_of
+
+    def found(calls: DataFrame) -> DataFrame:
+        return search.pages(parts(spark, sf_dir), F.broadcast(calls), NAMES).select("pos", "place", "p_partkey")  # at most as many calls as items
+
+    def usage(calls: DataFrame) -> DataFrame:
+        lines = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey")
+        return lines.join(F.broadcast(calls), "p_partkey").groupBy("pos", "p_partkey").agg(F.count("*").alias("n_lines"), F.countDistinct("l_suppkey").alias("n_suppliers"))
+
+    tools = {"search": Tool({"query": "string", "limit": "int"}, found, ("place",)), "usage": Tool({"p_partkey": "bigint"}, usage)}
     document = {"version": 1, "steps": [{"id": "s", "tool": "search", "input": {"query": TERM, "limit": 10}}, {"id": "u", "tool": "usage", "foreach": {"$ref": "/s"}, "input": {"p_partkey": {"$item": "/p_partkey"}}}]}
-    rows = [r for part in runner.run(document) for r in part]
-    return spark.createDataFrame([(r["p_partkey"], r["n_lines"], r["n_suppliers"]) for r in rows], "p_partkey bigint, n_lines bigint, n_suppliers bigint")
+    return rows_of(compiled(spark, document, tools), "p_partkey bigint, n_lines bigint, n_suppliers bigint", nested=True)
+
+
+#: each nation's customers with a number of their own, a page of three for each, and the orders of those
+FANNED = """(SELECT n_nationkey, c_custkey FROM nation, LATERAL (SELECT c_custkey FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC, c_custkey LIMIT 3))"""
+
+
+@query(f"""WITH f AS {FANNED} SELECT list_position((SELECT list(DISTINCT n_nationkey ORDER BY n_nationkey) FROM nation), n_nationkey)::INT - 1 AS pos, c_custkey, count(o_orderkey) AS n_orders,
+ (SELECT count(*) FROM nation) AS n_nations FROM f LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_nationkey, c_custkey""")
+def batch_fan_out(spark, sf_dir):
+    """Three steps: nations, a page of customers for each, and an emitted object that refers to both; then orders joined."""
+    from .plans.compiled import Tool, compiled
+
+    def nations(calls: DataFrame) -> DataFrame:
+        return read(spark, sf_dir, "nation").join(F.broadcast(calls), F.lit(True)).select("pos", F.col("n_nationkey").alias("id"))
+
+    def customers(calls: DataFrame) -> DataFrame:
+        met = read(spark, sf_dir, "customer").join(F.broadcast(calls), F.col("c_nationkey") == F.col("nation"))
+        place = F.row_number().over(W.partitionBy("pos").orderBy(F.desc("c_acctbal"), "c_custkey"))
+        return met.withColumn("place", place).where("place <= few").select("pos", "place", F.col("c_custkey").alias("id"))
+
+    tools = {"nations": Tool({}, nations, ("id",)), "customers": Tool({"nation": "bigint", "few": "int"}, customers, ("place",))}
+    steps = [{"id": "n", "tool": "nations"}, {"id": "c", "tool": "customers", "foreach": {"$ref": "/n"}, "input": {"nation": {"$item": "/id"}, "few": 3}}]
+    output = compiled(spark, {"version": 1, "steps": steps, "emit": {"all": {"$ref": "/c"}, "nations": {"$ref": "/n"}}}, tools)
+    groups = output.select(F.size(F.variant_get("output", "$.nations", "array<variant>")).cast("long").alias("n_nations"), F.posexplode(F.variant_get("output", "$.all", "array<array<struct<id:bigint>>>")).alias("pos", "own"))
+    each = groups.select("n_nations", "pos", F.explode("own").alias("x")).select("n_nations", "pos", F.col("x.id").alias("c_custkey"))
+    orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return each.join(orders, "c_custkey", "left").select("pos", "c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), "n_nations")
 
 
 @query("SELECT event_id, CAST(least(value_sum, 1000) AS BIGINT) AS n FROM (SELECT user_id AS event_id, count(*) * 100 AS value_sum FROM events GROUP BY 1)")

@@ -100,11 +100,13 @@ class SegmentStore(_Queries):
         fs, p = self._fs(f"{self.root}/{project}/manifest-{number}.json")
         if not fs.exists(p):
             return None
-        text = self.spark.read.text(p.toString(), wholetext=True).first()
+        opened = fs.open(p)
         try:
-            found = json.loads(text[0]) if text else {}
+            found = json.loads(bytes(opened.readAllBytes()))
         except ValueError:
             return None  # half written by one that is no more: the one before it counts
+        finally:
+            opened.close()
         return found if found.get("schema_version") == SEGMENT_VERSION else None
 
     def _commit(self, project: str, before: dict, buckets: dict[str, list[str]], segment: str) -> None:
