@@ -1,13 +1,16 @@
 """Token counts of whole texts by overlap resynchronisation.
 
-A text is encoded in overlapping chunks. Two neighbours are spliced at a boundary in their overlap that is proven
-stable. White space is a candidate, for no normal form, pre-token, merge or special string of the vocabulary crosses it;
-the proof is that the library, encoding the end of one chunk and the beginning of the next with offsets, gives the same
-ids at the same places between the overlap's first and last white space. Where that fails, or where there are no two
-candidates, the overlap is doubled, up to the whole chunk, and then the chunk. The stretches between white space of a
-spliced chunk are counted by the library once for each different one that a worker remembers.
-
-Every text goes this way; one that fits one chunk has no splice.
+A text is encoded in overlapping chunks, and every token is counted by the chunk that has it at its place: those that
+begin before a splice by the chunk on its left, the others by the one on its right. Where a chunk begins or ends inside a
+word, its own first or last tokens are not the text's; splices keep them out of the count. A splice lies at a boundary in
+the overlap that is proven stable. White space is a candidate, for no normal form, pre-token, merge or special string of
+the vocabulary crosses it; the proof is that the library, encoding the end of one chunk and the beginning of the next with
+offsets, gives the same ids at the same places between the overlap's first and last white space. Where that fails, or
+where there are no two candidates, the overlap is doubled, up to the whole chunk, and then the chunk.
+
+A chunk's encoding is kept as its words, in the chunk's own borders, with their places and numbers of tokens; the library
+encodes each different word once for as long as a worker remembers it. Every text goes this way; one that fits one
+chunk has no splice.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; special strings inside texts are single tokens, the
 library's default; a text without white space, however long, ends as one chunk; rows that repeat are counted each for
@@ -27,7 +30,7 @@ from .common import arrow_map, table
 #: Characters of a chunk and of the first overlap; stretches whose counts a worker remembers.
 CHUNK, OVERLAP, MEMO = 4096, 64, 600_000
 SPACE = regex.compile(r"\p{White_Space}")
-SPACES = regex.compile(r"\p{White_Space}+")
+WORD = regex.compile(r"\P{White_Space}+")
 #: what str.split() takes for white space and the vocabulary does not
 ODD = regex.compile("[\x1c-\x1f]")
 
@@ -44,16 +47,15 @@ class Counter:
         self.tokenizer.no_padding()
         self.memo: dict[str, int] = {}
 
-    def stretches(self, parts: list[str]) -> list[int]:
-        """Counts of parts that begin and end at stable boundaries."""
-        split = [t.split() if not ODD.search(t) else [w for w in SPACES.split(t) if w] for t in parts]
+    def tokens(self, words: list[list[str]]) -> list[int]:
+        """Numbers of tokens of lists of words."""
         if len(self.memo) > MEMO:
             self.memo.clear()
-        new = list({w for words in split for w in words}.difference(self.memo))
+        new = list({w for some in words for w in some}.difference(self.memo))
         for at in range(0, len(new), 8192):
             part = new[at : at + 8192]
             self.memo.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        return [sum(map(self.memo.__getitem__, words)) for words in split]
+        return [sum(map(self.memo.__getitem__, some)) for some in words]
 
     def between(self, text: str, a: int, b: int, p: int, q: int) -> list[tuple[int, int]]:
         """Ids and places, within the whole text, of the tokens that text[a:b] has from p to q."""
@@ -70,36 +72,58 @@ class Counter:
         right = self.between(text, begin, min(len(text), end + lap), p, q)
         return p if left == right else None
 
-    def cuts(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-        """The boundaries at which the chunks of a text are spliced."""
-        out, edge, size, n = [], 0, chunk, len(text)
-        while (end := edge + size) < n:
-            splice, lap = None, overlap
-            while splice is None:
-                begin = max(edge + 1, end - lap)
+    def chunks(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int, int, int]]:
+        """(start, end, from, to) of each chunk: what it encodes, and the splices between which its tokens count."""
+        out, start, low, size, n = [], 0, 0, chunk, len(text)
+        while (end := start + size) < n:
+            splice, lap, begin = None, overlap, end
+            while splice is None and begin > low + 1:
+                begin = max(low + 1, end - lap)
                 splice = self.stable(text, begin, end, lap)
-                if begin == edge + 1:
-                    break
                 lap *= 2
             if splice is None:  # no boundary in the whole chunk
                 size *= 2
             else:
-                out.append(splice)
-                edge, size = splice, chunk
-        return out
+                out.append((start, end, low, splice))
+                start, low, size = begin, splice, chunk
+        return [*out, (start, n, low, n)]
 
     def counts(self, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-        parts, of = [], []
-        for i, t in enumerate(texts):
-            edges = [0, *self.cuts(t, chunk, overlap), len(t)]
-            parts += [t[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-            of += [i] * (len(edges) - 1)
-        out = [0] * len(texts)
-        for i, c in zip(of, self.stretches(parts), strict=True):
-            out[i] += c
+        words, of = [], []
+        for i, text in enumerate(texts):
+            for start, end, low, high in self.chunks(text, chunk, overlap):
+                part = text[start:end]
+                # all tokens of the chunk, without those that begin before its first splice or from its last one on
+                words += [split(part), beginning_before(part, low - start), beginning_from(part, high - start)]
+                of.append(i)
+        out, n = [0] * len(texts), self.tokens(words)
+        for k, i in enumerate(of):
+            out[i] += n[3 * k] - n[3 * k + 1] - n[3 * k + 2]
         return out
 
 
+def split(part: str) -> list[str]:
+    return WORD.findall(part) if ODD.search(part) else part.split()
+
+
+def beginning_before(part: str, place: int) -> list[str]:
+    """The words of a chunk, as far as the chunk has them, that begin before a place."""
+    if place <= 0:
+        return []
+    border = SPACE.search(part, place - 1)  # a word that begins before the place may end behind it
+    return split(part[: border.start() if border else len(part)])
+
+
+def beginning_from(part: str, place: int) -> list[str]:
+    """The words of a chunk, as far as the chunk has them, that begin at a place or behind it."""
+    if place >= len(part):
+        return []
+    if place > 0 and not SPACE.match(part[place - 1]):
+        border = SPACE.search(part, place)  # the word around the place began before it
+        place = border.start() if border else len(part)
+    return split(part[place:])
+
+
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
     """One for each file and worker process."""
