@@ -568,6 +568,29 @@ def redaction(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", hiding.without_secrets(F.col("text")).alias("text"))
 
 
+LANES = ", ".join(f"sum(('0x' || substr(own, {8 * i + 1}, 8))::BIGINT) % 4294967296" for i in range(8))
+CHILDREN = " || ".join(f"coalesce(max(CASE WHEN right(prefix, 1) = '{d}' THEN digest END), '-')" for d in "0123456789abcdef")
+TREE = f"""WITH f AS (SELECT doc_id::VARCHAR AS path, sha256(CASE WHEN doc_id % 50 = 7 THEN 'new ' ELSE '' END || coalesce(text, '')) AS h FROM documents WHERE doc_id % 50 <> 9),
+ o AS (SELECT substr(sha256(path), 1, 2) AS prefix, sha256(path || chr(0) || h) AS own FROM f),
+ a AS (SELECT prefix, count(*) AS n, sha256(concat_ws('|', 'v1', count(*), {LANES})) AS digest FROM o GROUP BY 1),
+ b AS (SELECT left(prefix, 1) AS prefix, sum(n)::BIGINT AS n, sha256({CHILDREN}) AS digest FROM a GROUP BY 1),
+ c AS (SELECT '' AS prefix, sum(n)::BIGINT AS n, sha256({CHILDREN}) AS digest FROM b)
+ SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c"""
+
+
+@query(TREE)
+def tree_digest(spark, sf_dir):
+    """The tree over all documents, brought up to date with those that change and go."""
+    from .operators import tree_digest as tree
+
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    hashed = docs.select("path", sha256(F.col("text")).alias("content_hash"))
+    changed = docs.where("path % 50 = 7").select("path", sha256(F.concat(F.lit("new "), F.col("text"))).alias("content_hash"))
+    old = tree.tree(hashed, F.col("path"), F.col("content_hash"), 2)
+    fresh = tree.updated(old, hashed.where("path % 50 in (7, 9)"), changed, levels=2)
+    return tree.replaced(old, fresh).select("prefix", "n", "digest")
+
+
 @query()
 def redaction_whole(spark, sf_dir):
     """Paths and secrets; the paths' rules look around, which the SQL cannot."""
@@ -740,6 +763,30 @@ def inheritance_closure(spark, sf_dir):
     return graph.ancestors(e)
 
 
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst FROM customer WHERE c_custkey % 7 <> 0 UNION
+ SELECT 'customer:' || c_custkey, 'customer:' || (c_custkey + 1) FROM customer WHERE c_custkey % 7 = 0 UNION SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation WHERE n_nationkey % 5 <> 2 UNION
+ SELECT 'region:' || r_regionkey, 'nation:' || (r_regionkey * 5) FROM region UNION SELECT 'order:' || o_orderkey, 'customer:' || o_custkey FROM orders WHERE o_orderstatus <> 'P'),
+ p(node, ancestor) AS (SELECT src, dst FROM e UNION SELECT p.node, e.dst FROM p JOIN e ON e.src = p.ancestor) SELECT node, ancestor FROM p WHERE node <> ancestor""")
+def maintained_closure(spark, sf_dir):
+    """A stored closure after two updates: edges that go, edges that come (new ones in a row, and in a circle)."""
+    import uuid
+
+    from .operators.closure import StoredClosure
+    from .plans.checkpoints import folder
+
+    e = edges(spark, sf_dir).where(F.col("kind").isin("reference", "extends", "call")).select("src", "dst")
+    number = F.regexp_extract("src", "[0-9]+", 0).cast("long")
+    node = lambda p, c: F.concat(F.lit(f"{p}:"), c.cast("string"))
+    state = read(spark, sf_dir, "orders").select(node("order", F.col("o_orderkey")).alias("src"), node("customer", F.col("o_custkey")).alias("dst"), "o_orderstatus")
+    stored = StoredClosure(spark, f"{folder(spark)}/closure-{uuid.uuid4().hex}")
+    stored.update(e.where(~F.col("src").startswith("order:")).unionByName(state.where("o_orderstatus <> 'F'").drop("o_orderstatus")), e.limit(0))
+    seventh = read(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(node("customer", F.col("c_custkey")).alias("src"), node("customer", F.col("c_custkey") + 1).alias("dst"))
+    back = read(spark, sf_dir, "region").select(node("region", F.col("r_regionkey")).alias("src"), node("nation", F.col("r_regionkey") * 5).alias("dst"))
+    stored.update(seventh.unionByName(back), e.where(F.col("src").startswith("customer:") & (number % 7 == 0)))
+    stored.update(state.where("o_orderstatus = 'F'").drop("o_orderstatus"), e.where(F.col("src").startswith("nation:") & (number % 5 == 2)).unionByName(state.where("o_orderstatus = 'P'").drop("o_orderstatus")))
+    return stored.pairs()
+
+
 PATHS = """WITH RECURSIVE e AS MATERIALIZED (SELECT kind || ':' || src || '->' || dst AS id, src, dst FROM (
  SELECT 'reference' AS kind, 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst FROM customer UNION ALL
  SELECT 'import', 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL

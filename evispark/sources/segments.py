@@ -16,8 +16,6 @@ be set so that one bucket is a task's work.
 
 from __future__ import annotations
 
-import json
-import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +25,7 @@ from pyspark.sql.types import StructType
 
 from ..contracts import QueryError
 from ..plans.checkpoints import cut
+from .commits import Commits
 from .store import COLUMNS, ENTRY, _Queries, checksum
 
 SEGMENT_VERSION = 1
@@ -81,65 +80,33 @@ class SegmentStore(_Queries):
         #: folders of segments whose checksums have been verified
         self.sound: set[str] = set()
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _names(self, path: str, pattern: str) -> list[str]:
-        fs, p = self._fs(path)
-        return [m[1] for f in fs.listStatus(p) if (m := re.fullmatch(pattern, f.getPath().getName()))] if fs.exists(p) else []
+    def _commits(self, project: str) -> Commits:
+        return Commits(self.spark, f"{self.root}/{project}", "manifest")
 
     def manifest(self, project: str) -> dict:
-        """The newest manifest that is whole: number, and the segments of each bucket, newest first."""
-        for number in sorted(map(int, self._names(f"{self.root}/{project}", r"manifest-(\d+)\.json")), reverse=True):
-            if found := self._read(project, number):
-                return found
-        return {"number": 0, "buckets": {}}
-
-    def _read(self, project: str, number: int) -> dict | None:
-        fs, p = self._fs(f"{self.root}/{project}/manifest-{number}.json")
-        if not fs.exists(p):
-            return None
-        opened = fs.open(p)
+        """The newest manifest: its number, and the segments of each bucket, newest first."""
+        number, body = self._commits(project).latest()
+        if number and body.get("schema_version") != SEGMENT_VERSION:
+            raise QueryError("INTERNAL_ERROR", f"the index of {project} has another version")
+        return {"number": number, "buckets": body.get("buckets", {})}
+
+    def _commit(self, project: str, before: dict, buckets: dict[str, list[str]], segment: str | None = None) -> None:
+        """Makes a change valid, unless another one has come in since ``before``; then its segment goes."""
+        commits = self._commits(project)
         try:
-            found = json.loads(bytes(opened.readAllBytes()))
-        except ValueError:
-            return None  # half written by one that is no more: the one before it counts
-        finally:
-            opened.close()
-        return found if found.get("schema_version") == SEGMENT_VERSION else None
-
-    def _commit(self, project: str, before: dict, buckets: dict[str, list[str]], segment: str) -> None:
-        """Makes a change valid, unless another one has come in since ``before``."""
-        fs, p = self._fs(f"{self.root}/{project}")
-        last = max(map(int, self._names(p.toString(), r"manifest-(\d+)\.json")), default=0)
-        refuse = self.manifest(project)["number"] != before["number"]
-        if not refuse:
-            number = max(last, before["number"]) + 1
-            body = {"schema_version": SEGMENT_VERSION, "number": number, "buckets": buckets}
-            try:
-                out = fs.create(self._fs(f"{p.toString()}/manifest-{number}.json")[1], False)
-                out.write(bytearray(json.dumps(body).encode()))
-                out.close()
-            except Exception as e:
-                if "AlreadyExists" not in str(e):
-                    raise
-                refuse = True
-        if refuse:
-            fs.delete(self._fs(f"{p.toString()}/{segment}")[1], True)
-            raise QueryError("CONFLICT", f"the index of {project} was changed by another writer")
-        self._clean(project, number)
-
-    def _clean(self, project: str, number: int) -> None:
-        """Deletes manifests before the last two, and the segments that only these name."""
-        fs, p = self._fs(f"{self.root}/{project}")
-        numbers = sorted(map(int, self._names(p.toString(), r"manifest-(\d+)\.json")), reverse=True)
-        named = lambda n: {s for segments in (self._read(project, n) or {"buckets": {}})["buckets"].values() for s in segments}
-        kept = set().union(*map(named, numbers[:2])) if numbers else set()
+            commits.create(before["number"], {"schema_version": SEGMENT_VERSION, "buckets": buckets})
+        except QueryError:
+            if segment:
+                commits.delete(segment)
+            raise
+        # manifests before the last two go, and the segments that only these name
+        numbers = commits.numbers()
+        named = lambda n: {s for segments in (commits.read(n) or {}).get("buckets", {}).values() for s in segments}
+        kept = set().union(*map(named, numbers[:2]))
         for n in numbers[2:]:
-            for segment in named(n) - kept:
-                fs.delete(self._fs(f"{p.toString()}/{segment}")[1], True)
-            fs.delete(self._fs(f"{p.toString()}/manifest-{n}.json")[1], False)
+            for old in named(n) - kept:
+                commits.delete(old)
+            commits.delete(f"manifest-{n}.json")
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64("file_path"), F.lit(self.buckets)).cast("int")
@@ -154,15 +121,14 @@ class SegmentStore(_Queries):
         written = self.spark.read.schema(ROW).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
         lists = postings(written).withColumn("b", F.col("bucket")).repartition("b").sortWithinPartitions("b", "gram", "block")
         lists.write.partitionBy("b").option("parquet.writer.version", "v2").parquet(f"{path}/postings")
-        return segment, sorted(self._names(f"{path}/rows", r"b=(\d+)"), key=int)
+        return segment, sorted(self._commits(project).names(r"b=(\d+)", f"{segment}/rows"), key=int)
 
     def _append(self, project: str, rows: DataFrame) -> list[int]:
         """Writes changed entries; the buckets that were written."""
         before = self.manifest(project)
         segment, written = self._write(project, rows.select(*COLUMNS, "removed"), before["number"] + 1)
         if not written:
-            fs, p = self._fs(f"{self.root}/{project}/{segment}")
-            fs.delete(p, True)
+            self._commits(project).delete(segment)
             return []
         self._commit(project, before, before["buckets"] | {b: [segment, *before["buckets"].get(b, [])] for b in written}, segment)
         if full := [int(b) for b, s in self.manifest(project)["buckets"].items() if len(s) > self.most]:
@@ -203,7 +169,9 @@ class SegmentStore(_Queries):
         """Entries that may hold ``query``: by postings, then from the buckets in which there are any."""
         if not query:
             return self.load(project)
-        lists = self._parquet([path for path, _ in self._folders(project, "postings") if self._fs(path)[0].exists(self._fs(path)[1])], POSTING)
+        commits, at = self._commits(project), len(f"{self.root}/{project}/")
+        with_lists = {f"{s}/postings/b={b}" for s in {x for v in self.manifest(project)["buckets"].values() for x in v} for b in commits.names(r"b=(\d+)", f"{s}/postings")}
+        lists = self._parquet([path for path, _ in self._folders(project, "postings") if path[at:] in with_lists], POSTING)
         met = cut(matching(lists, query))
         touched = [r.bucket for r in met.select("bucket").distinct().collect()]  # at most as many as there are buckets
         # a path's older versions are dropped by the merge, whichever of them the postings name
@@ -227,5 +195,4 @@ class SegmentStore(_Queries):
         return {k: counts.get(k, 0) for k in ("rebuild", "reuse", "remove")}
 
     def clear(self, project: str) -> None:
-        before = self.manifest(project)
-        self._commit(project, before, {}, f"seg-{uuid.uuid4().hex}")
+        self._commit(project, self.manifest(project), {})
