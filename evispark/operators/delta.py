@@ -2,27 +2,42 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ranges import running
 
+#: Rows of one identity from which they are ranked in ranges instead of in one task.
+HOT = 100_000
+
 
 def surplus(rows: DataFrame, other: DataFrame, identity: list[str], order: list[str]) -> DataFrame:
     """Rows beyond those that ``other`` has of the same identity; the later ones in ``order`` are the surplus.
 
-    Both sides are counted before they are shuffled: an identity that holds very many rows stays one row of each.
+    Both sides are counted before they are shuffled: an identity that holds very many rows stays one row of each. Where such
+    an identity's rows must be ranked, ``order`` is to be total: they are ranked in ranges.
     """
     here = rows.groupBy(*identity).agg(F.count("*").alias("_here"))
     there = other.groupBy(*identity).agg(F.count("*").alias("_there"))
     # counts cancel first: only identities with more rows here are ranked, and those that are only here need no rank
-    over = here.join(there, [here[c].eqNullSafe(there[c]) for c in identity], "left").where("_here > coalesce(_there, 0)").select(*[here[c].alias(f"_{i}") for i, c in enumerate(identity)], F.coalesce("_there", F.lit(0)).alias("_there"))
+    over = here.join(there, [here[c].eqNullSafe(there[c]) for c in identity], "left").where("_here > coalesce(_there, 0)").select(*[here[c].alias(f"_{i}") for i, c in enumerate(identity)], "_here", F.coalesce("_there", F.lit(0)).alias("_there"))
     left = rows.join(over, [rows[c].eqNullSafe(over[f"_{i}"]) for i, c in enumerate(identity)])
     alone = left.where("_there = 0").select(*[rows[c] for c in rows.columns])
-    ranked = left.where("_there > 0").select(*[rows[c] for c in rows.columns], "_there")
-    ranked = ranked.withColumn("_rn", F.row_number().over(W.partitionBy(*identity).orderBy(*order))).where("_rn > _there")
-    return alone.unionByName(ranked.select(*rows.columns))
+    ranked = left.where("_there > 0").select(*[rows[c] for c in rows.columns], "_here", "_there")
+    usual = ranked.where(F.col("_here") <= HOT).withColumn("_rn", F.row_number().over(W.partitionBy(*identity).orderBy(*order)))
+    out = alone.unionByName(usual.where("_rn > _there").select(*rows.columns))
+    if over.where((F.col("_here") > HOT) & (F.col("_there") > 0)).isEmpty():
+        return out
+    # places in identities that hold very many rows come from a running number over ranges of all of them
+    placed = running(ranked.where(F.col("_here") > HOT), [F.col(c) for c in (*identity, *order)], F.lit(1), "_rn")
+    first = placed.groupBy(*identity).agg(F.min("_rn").alias("_first"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in identity]
+    met = placed.alias("a").join(first.alias("b"), reduce(and_, same)).where("_rn - _first + 1 > _there")
+    return out.unionByName(met.select(*[f"a.{c}" for c in rows.columns]))
 
 
 def delta(before: DataFrame, after: DataFrame, identity: list[str], order: list[str]) -> DataFrame:

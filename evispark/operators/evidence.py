@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,9 +20,17 @@ from .ranges import running
 def containing(points: DataFrame, spans: DataFrame, by: list[str], point: list[str], start: str, end: str, at: str, order: list[str]) -> DataFrame:
     """For each point (columns ``by`` and ``point``, ``at`` inside a span of the same ``by``): the smallest span around it.
 
-    Points and spans meet by ``by`` only; the best one is kept as an aggregate, so that a point's spans are never listed.
+    Places are whole numbers. A span of a length with k binary digits lies in one or two stretches of 2**k places, and a
+    point looks into its own stretch for each k that occurs, so that points and spans meet near each other alone, and a
+    key with very many of both is many keys. The best span is kept as an aggregate; a point's spans are never listed.
     """
-    near = points.join(spans, by).where((F.col(start) <= F.col(at)) & (F.col(end) >= F.col(at)))
+    place = lambda c: F.col(c).cast("long")
+    there = spans.where(F.col(end) >= F.col(start)).withColumn("_k", F.length(F.bin(place(end) - place(start))))
+    stretch = lambda c: F.call_function("shiftright", place(c), F.col("_k"))
+    there = there.withColumn("_stretch", F.explode(F.array_distinct(F.array(stretch(start), stretch(end)))))
+    sizes = sorted(r[0] for r in there.select("_k").distinct().collect())  # at most 64
+    asked = points.withColumn("_k", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).withColumn("_stretch", stretch(at))
+    near = asked.join(there, [*by, "_k", "_stretch"]).where((F.col(start) <= F.col(at)) & (F.col(end) >= F.col(at)))
     best = F.min(F.struct((F.col(end) - F.col(start)).alias("size"), *[F.col(c) for c in order]))
     return near.groupBy(*dict.fromkeys([*by, *point])).agg(best.alias("span"))
 
@@ -91,11 +101,15 @@ def omissions(rows: DataFrame, by: list[str], order: list[str], details: int) ->
 
 
 def byte_prefix(rows: DataFrame, order: list[str], size: Column, budget: int) -> DataFrame:
-    """The longest prefix in ``order`` whose sizes add up to no more than ``budget``, with the running sum.
+    """The longest prefix in ``order`` (a key) whose sizes add up to no more than ``budget``, with the running sum.
 
-    Ranges of the order are summed first: only those before the one in which the budget ends, and that one, are looked at.
+    Keys and sizes alone are sorted, in ranges; only those before the range in which the budget ends, and that one, are
+    looked at. The rows of the prefix are then fetched by their keys.
     """
-    return running(rows, [F.col(c) for c in order], size, "running", budget)
+    sized = rows.select(*order, F.coalesce(size, F.lit(0)).alias("_size"))
+    prefix = running(sized, [F.col(c) for c in order], F.col("_size"), "running", budget).drop("_size")
+    same = reduce(and_, [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in order])
+    return rows.alias("r").join(prefix.alias("p"), same).select("r.*", "p.running")
 
 
 def _size(x: object) -> int:

@@ -19,6 +19,10 @@ from ..contracts import CONFIDENCES, DEPTH_DEFAULT, DEPTH_MAX, EDGE_KINDS, EDGES
 from ..plans.checkpoints import cut
 
 
+#: Edges of one node from which they are dealt to several tasks.
+HUB = 100_000
+
+
 def _one_of(c: str, among: Iterable[str]) -> Column:
     allowed = list(among)
     return F.when(F.col(c).isin(allowed), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"{c} is not one of {', '.join(allowed)}: "), F.coalesce(F.col(c), F.lit("null")))))
@@ -82,13 +86,37 @@ def topk_neighbours(edges: DataFrame, k: int, order: list[Column], key: str = "n
     return edges.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rn") <= k)
 
 
+class Layers:
+    """Edges (``key``, ...) written once, by the end that every layer joins on; hubs are dealt to several tasks by ``other``.
+
+    No layer reads the sources again or moves the edges; a layer's nodes meet a hub's edges in all its parts.
+    """
+
+    def __init__(self, edges: DataFrame, key: str, other: str):
+        self.key, edges = key, cut(edges)
+        hubs = edges.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > HUB)
+        self.hubs = cut(hubs.select(key, F.ceil(F.col("_n") / HUB).cast("int").alias("_parts")))
+        self.none = self.hubs.isEmpty()
+        if not self.none:
+            edges = edges.join(self.hubs, key, "left").withColumn("_part", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+        self.edges = cut(edges.repartition(key) if self.none else edges.repartition(key, "_part"))
+
+    def beside(self, layer: DataFrame) -> DataFrame:
+        """The edges of a layer's nodes (column named as the key), with the layer's columns."""
+        if self.none:
+            return self.edges.join(layer, self.key)
+        parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+        spread = layer.join(self.hubs, self.key, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+        return self.edges.join(spread, [self.key, "_part"]).drop("_part")
+
+
 def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Rows (node, depth): everything that edges (src, dst) lead to within ``max_depth`` steps (None: any number), with the least depth."""
-    # written once, by the end that every layer joins on: no layer reads the sources again or moves the edges
-    edges = cut(edges.select("src", "dst").distinct().repartition("src"))
+    layers = Layers(edges.select("src", "dst").distinct(), "src", "dst")
     found = frontier = cut(start.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        step = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
+        # different nodes before they are shuffled
+        step = layers.beside(frontier.select(F.col("node").alias("src"))).select(F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
@@ -220,15 +248,14 @@ def bounded_impact(edges: DataFrame, root: str, direction: str = "incoming", max
 
 def canonical_paths(edges: DataFrame, root: str, max_depth: int | None = None, direction: str = "outgoing") -> DataFrame:
     """Rows (node, depth, path): a shortest path to every node (within ``max_depth``); of several, that whose ids come first as JSON."""
-    near = cut(neighbours(edges, direction).select("relationship_id", "node", "other").repartition("node"))
+    layers = Layers(neighbours(edges, direction).select("relationship_id", "node", "other"), "node", "other")
     spark = edges.sparkSession
     found = frontier = cut(spark.createDataFrame([(root, 0, [])], "node string, depth int, path array<string>"))
-    first = W.partitionBy("node").orderBy(F.to_json("path"))
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        step = near.join(frontier, "node").select(F.col("other").alias("node"), F.concat("path", F.array("relationship_id")).alias("path"))
-        step = step.join(found.select("node"), "node", "left_anti")
-        best = step.withColumn("rn", F.row_number().over(first)).where("rn = 1")
-        frontier = cut(best.select("node", F.lit(depth).alias("depth"), "path"))
+        step = layers.beside(frontier.select("node", "path")).select(F.col("other").alias("node"), F.concat("path", F.array("relationship_id")).alias("path"))
+        # each task keeps one path of a node before paths are shuffled
+        best = step.groupBy("node").agg(F.min_by("path", F.to_json("path")).alias("path"))
+        frontier = cut(best.join(found.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "path"))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)

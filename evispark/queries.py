@@ -787,23 +787,18 @@ def maintained_closure(spark, sf_dir):
     return stored.pairs()
 
 
-PATHS = """WITH RECURSIVE e AS MATERIALIZED (SELECT kind || ':' || src || '->' || dst AS id, src, dst FROM (
- SELECT 'reference' AS kind, 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst FROM customer UNION ALL
- SELECT 'import', 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION ALL
- SELECT 'extends', 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation UNION ALL
- SELECT DISTINCT 'implements', 'part:' || l_partkey, 'supplier:' || l_suppkey FROM lineitem)),
- p(node, path, d) AS (SELECT '{root}', CAST([] AS VARCHAR[]), 0 UNION ALL SELECT {step} AND d < {depth}),
- m AS (SELECT node, min(d) AS d FROM p GROUP BY 1)
- SELECT p.node, CAST(p.d AS INT) AS depth, min({path}) AS path FROM p JOIN m ON p.node = m.node AND p.d = m.d WHERE p.d > 0 GROUP BY 1, 2"""
-
-
-def _family(spark, sf_dir) -> DataFrame:
-    return edges(spark, sf_dir).where(F.col("kind") != "call")
+#: layer by layer, of each layer the first path as JSON; a node of an earlier layer is not entered again
+PATHS = f"""WITH RECURSIVE e AS MATERIALIZED {EDGES}, n AS MATERIALIZED (SELECT src AS node, dst AS other, relationship_id AS id FROM e {{both}}),
+ p(node, depth, path) USING KEY (node) AS (SELECT '{{root}}', 0, '' UNION
+ SELECT n.other, p.depth + 1, min(CASE WHEN p.depth = 0 THEN '' ELSE p.path || '","' END || n.id) FROM p JOIN n ON n.node = p.node
+ WHERE NOT EXISTS (SELECT 1 FROM recurring.p r WHERE r.node = n.other) GROUP BY 1, 2)
+ SELECT node, depth::INTEGER AS depth, {{path}} AS path FROM p WHERE depth > 0"""
 
 
-@query(PATHS.format(root="part:0", step="e.dst, list_append(path, e.id), d + 1 FROM p JOIN e ON e.src = p.node WHERE TRUE", depth=3, path="array_to_string(path, '|')"))
+@query(PATHS.format(root="part:0", both="", path="replace(path, '\",\"', '|')"))
 def canonical_paths(spark, sf_dir):
-    out = graph.canonical_paths(_family(spark, sf_dir), "part:0", 3)
+    """Over all edges, to any depth."""
+    out = graph.canonical_paths(edges(spark, sf_dir), "part:0")
     return out.select("node", "depth", F.array_join("path", "|").alias("path"))
 
 
@@ -819,9 +814,10 @@ def call_spines(spark, sf_dir):
     return spark.createDataFrame([(p["endpoint"], "|".join(p["relationship_ids"])) for p in found.paths], "endpoint string, path string")
 
 
-@query(PATHS.format(root="region:2", step="e.src, list_append(path, e.id), d + 1 FROM p JOIN e ON e.dst = p.node WHERE TRUE", depth=2, path="array_to_string(list_reverse(path), '|')"))
+@query(PATHS.format(root="region:2", both="UNION ALL SELECT dst, src, relationship_id FROM e", path="array_to_string(list_reverse(string_split(path, '\",\"')), '|')"))
 def shortest_path(spark, sf_dir):
-    out = graph.shortest_paths(_family(spark, sf_dir), "region:2", 2)
+    """From every node to one, over all edges either way, to any depth."""
+    out = graph.shortest_paths(edges(spark, sf_dir), "region:2")
     return out.select("node", "depth", F.array_join("path", "|").alias("path"))
 
 
