@@ -591,6 +591,52 @@ def tree_digest(spark, sf_dir):
     return tree.replaced(old, fresh).select("prefix", "n", "digest")
 
 
+@query("""SELECT doc_id::VARCHAR AS path, sha256(CASE WHEN doc_id % 50 = 7 THEN 'new ' ELSE '' END || text) AS content_hash, 'op' AS last_kind, 2 AS n_receipts FROM documents WHERE doc_id % 50 <> 9 AND text IS NOT NULL""")
+def reviewed_write(spark, sf_dir):
+    """All documents as files, then one reviewed change of some; a change made on the older table is refused."""
+    import uuid
+
+    from .contracts import QueryError
+    from .plans.checkpoints import folder
+    from .plans.reviewed import ReviewedTable
+
+    docs = read(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), "text", "doc_id")
+    table = ReviewedTable(spark, f"{folder(spark)}/reviewed-{uuid.uuid4().hex}")
+    first = table.prepare(docs.select("path", "text"))
+    late = table.prepare(docs.select("path", F.lit("late").alias("text")).limit(3))
+    table.apply(first.operation_id, first.plan_hash)
+    change = docs.where("doc_id % 50 in (7, 9)").select("path", F.when(F.col("doc_id") % 50 == 7, F.concat(F.lit("new "), F.col("text"))).alias("text"))
+    second = table.prepare(change)
+    table.apply(second.operation_id, second.plan_hash)
+    try:
+        table.apply(late.operation_id, late.plan_hash)
+    except QueryError as e:
+        if e.code != "STALE_WORKSPACE":
+            raise
+    last = table.receipts().agg(F.max_by(F.substring("operation_id", 1, 2), "place").alias("last_kind"), F.count("*").cast("int").alias("n_receipts"))
+    return table.load().select("path", "content_hash").join(F.broadcast(last))  # one row
+
+
+#: the newer version of documents: some lose or gain a line in the middle or at the end, some go, some come
+NEWER = """(SELECT doc_id, text FROM documents WHERE doc_id % 10 > 4 UNION ALL SELECT doc_id, replace(text, chr(10), chr(10) || 'line ' || doc_id || chr(10)) FROM documents WHERE doc_id % 10 = 1
+ UNION ALL SELECT doc_id, text || chr(10) || 'end' FROM documents WHERE doc_id % 10 = 2 UNION ALL SELECT doc_id, replace(text, 'e' || chr(10), chr(10)) FROM documents WHERE doc_id % 10 = 3 UNION ALL SELECT -1 - doc_id, text FROM documents WHERE doc_id % 10 = 4)"""
+
+
+@query(f"SELECT doc_id, sha256(text) AS content_hash FROM {NEWER} WHERE text IS NOT NULL")
+def line_diff_apply(spark, sf_dir):
+    """Whole documents brought to their newer version by the hunks of their differences alone."""
+    from .operators import line_diff
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    d, t, some = F.col("doc_id"), F.col("text"), lambda n: docs.where(F.col("doc_id") % 10 == n)
+    newline = F.lit("\n")
+    newer = docs.where("doc_id % 10 > 4").unionByName(some(1).select("doc_id", F.replace(t, newline, F.concat(F.lit("\nline "), d.cast("string"), newline)).alias("text")))
+    newer = newer.unionByName(some(2).select("doc_id", F.concat(t, F.lit("\nend")).alias("text"))).unionByName(some(3).select("doc_id", F.replace(t, F.lit("e\n"), newline).alias("text")))
+    newer = newer.unionByName(some(4).select((-1 - d).alias("doc_id"), "text"))
+    found = line_diff.line_diff(docs, newer, "doc_id")
+    return line_diff.applied(docs, found, "doc_id").where("text is not null").select("doc_id", sha256(t).alias("content_hash"))
+
+
 @query()
 def redaction_whole(spark, sf_dir):
     """Paths and secrets; the paths' rules look around, which the SQL cannot."""
