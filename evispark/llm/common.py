@@ -25,8 +25,9 @@ SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 LAST_ID = (1 << 63) - 1
 #: Tasks over which the rows of one key are dealt where a key may hold very many.
 SALTS = 8
-#: Rows of one key from which they are dealt to several tasks, where the number is known.
-HOT = 100_000
+#: Rows of one key from which they are dealt to several tasks, where the number is known, and the most such keys that are
+#: sent to every task.
+HOT, HOT_KEYS = 100_000, 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -270,12 +271,13 @@ class Scratch:
 def meet(rows: DataFrame, keyed: DataFrame, on: list[str], by: list[str], count: str = "c") -> DataFrame:
     """``rows`` joined with ``keyed``, which has one row a key and, as ``count``, about how many of ``rows`` have that key.
 
-    The rows of a key with more than HOT are dealt to several tasks by a hash of ``by``. Such keys are broadcast: there
-    are at most as many as there are rows, divided by HOT. ``keyed`` is read twice and should be a written table.
+    The rows of a key with more than HOT are dealt to several tasks by a hash of ``by``. Such keys are broadcast if they are
+    at most HOT_KEYS, else joined. ``keyed`` is read more than once and should be a written table.
     """
     cut = F.ceil(F.col(count) / HOT).cast("int")
     hot = keyed.where(F.col(count) > HOT).select(*on, cut.alias("cut"))
-    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("salt", F.pmod(F.xxhash64(*by), F.coalesce("cut", F.lit(1))).cast("int")).drop("cut")
+    few = hot.limit(HOT_KEYS + 1).count() <= HOT_KEYS
+    dealt = rows.join(F.broadcast(hot) if few else hot, on, "left").withColumn("salt", F.pmod(F.xxhash64(*by), F.coalesce("cut", F.lit(1))).cast("int")).drop("cut")
     spread = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(cut, F.lit(1)) - 1)))
     return dealt.join(spread, [*on, "salt"]).drop("salt")
 

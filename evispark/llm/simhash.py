@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SALTS, Scratch, arrow_map, components, forest, table
+from .common import SALTS, Scratch, arrow_map, components, forest, meet, table
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Blocks of the 64 bits: (first bit, bits). Radius plus two blocks, so that any two linked fingerprints agree on two.
@@ -133,17 +133,19 @@ def _compare(rows: DataFrame, radius: int) -> DataFrame:
 
 
 def classes(prints: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
-    """For ``prints`` (doc_id, fp): rows (fp, root, component_id) for each different fingerprint."""
+    """For ``prints`` (doc_id, fp): rows (fp, root, component_id, c) for each different fingerprint and the number of its rows, written."""
     if radius != RADIUS:
         raise ValueError(f"the tiles guarantee radius {RADIUS}")
-    ids = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    ids = scratch.table(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("c")))
     edges = scratch.table(_compare(_tiles(ids.select("fp"), scratch), radius))
     roots = components(edges, scratch)
     scratch.free(edges)
-    rooted = ids.join(roots, ids.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
+    rooted = ids.join(roots, ids.fp == roots.node, "left").select("fp", "least", "c", F.coalesce("root", "fp").alias("root"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt"))
     # a component may hold very many fingerprints: they meet its id in several tasks
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rooted.join(least, ["root", "salt"]).select("fp", "root", "component_id")
+    out = scratch.table(rooted.join(least, ["root", "salt"]).select("fp", "root", "component_id", "c"))
+    scratch.free(ids, roots)
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -151,7 +153,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     prints = scratch.table(fingerprints(docs))
     found = classes(prints, scratch)
-    return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # equal and empty texts have one fingerprint: its rows are dealt to several tasks
+    return meet(prints, found, ["fp"], ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -161,10 +164,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     prints = scratch.table(fingerprints(hashed, ["doc_id", "text_hash"]))
     found = classes(prints, scratch)
     # a component's rows that have its least doc_id: more than one only where ids repeat
-    first = prints.join(found, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    first = meet(prints, found, ["fp"], ["doc_id"]).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
     chosen = first.select(F.col("k.doc_id").alias("chosen_id"), F.col("k.text_hash").alias("chosen_hash")).distinct()
     # the caller's columns travel in a struct, so that none of their names clashes
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64(*[c for c, k in docs.dtypes if not k.startswith("map")]).alias("place"))
+    plain = [c for c, k in docs.dtypes if "map<" not in k and "variant" not in k]  # of which there are hashes
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64(*plain).alias("place"))
     stay = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("text_hash") == F.col("chosen_hash")), "left_semi")
     one = W.partitionBy("doc_id", "text_hash").orderBy("place")
     return stay.withColumn("nth", F.row_number().over(one)).where("nth = 1").select("row.*")

@@ -342,6 +342,14 @@ def _copied(kinds: DataFrame) -> DataFrame:
     return kinds.where("c > 1").select("g", "f", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("n"))).alias("runs"))
 
 
+def _told(pieces: DataFrame, found: DataFrame, scratch: Scratch, by: list[str]) -> DataFrame:
+    """``pieces`` with the runs that ``found`` (g, f, runs) has for their stretch; those without any are left out. A stretch that
+    stands very often is dealt to several tasks."""
+    each = found.groupBy("g", "f").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))  # one list for each time a group was split
+    counts = pieces.groupBy("g", "f").agg(F.count("*").alias("c"))
+    return meet(pieces, scratch.table(each.join(counts, ["g", "f"])), ["g", "f"], by).drop("c")
+
+
 def _compared(pieces: DataFrame, scratch: Scratch, size: int, length: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows (g, f, runs) of repeats among pieces (g, f, c, n, core, bytes) that share ``size`` bytes, and the groups that fit
     no block and are not compared yet."""
@@ -365,8 +373,8 @@ def _split(pieces: DataFrame, big: DataFrame, scratch: Scratch, size: int, lengt
         size += more
         scratch.free(rest, big)
         found, big = _compared(parts, scratch, size, length)
-        each = found.select("g", "f", F.explode("runs").alias("x"))
-        runs = parts.select("g", "f", "rg", "rf", "off").join(each, ["g", "f"]).groupBy(F.col("rg").alias("g"), F.col("rf").alias("f"))
+        each = _told(parts.select("g", "f", "rg", "rf", "off"), found, scratch, ["rg", "rf", "off"]).select("rg", "rf", "off", F.explode("runs").alias("x"))
+        runs = each.groupBy(F.col("rg").alias("g"), F.col("rf").alias("f"))
         out.append(scratch.table(runs.agg(F.collect_set(F.struct((F.col("off") + F.col("x.a")).alias("a"), F.col("x.n").alias("n"))).alias("runs"))))
         scratch.free(found)
         if big is None or size == length:
@@ -386,7 +394,7 @@ def removed_spans(rows: DataFrame, scratch: Scratch, length: int, short: int, k:
     spans = edges.where("one_before").select(F.col("before").alias("span"))
     joined = scratch.table(edges.join(spans.distinct(), edges.one_after & (edges.after == spans.span), "left").select("edge", "c", (F.col("far") > 1).alias("many"), F.col("span").isNotNull().alias("joined")))
     entry = F.struct("pos", "joined", (F.col("many") & F.col("after").isNotNull()).alias("far"))
-    at = scratch.table(meet(occurrences.select("edge", "r1", "r2", "pos", "after"), joined, ["edge"], ["r1", "pos"]).groupBy("r1", "r2").agg(F.collect_list(entry).alias("edges")))
+    at = scratch.table(meet(occurrences.select("edge", "r1", "r2", "pos", "after"), joined, ["edge"], ["r1", "pos"]).groupBy("r1", "r2").agg(F.collect_set(entry).alias("edges")))  # those of equal texts are equal
     scratch.free(occurrences, edges, joined)
     scratch.settle()
     texts = rows.where(F.octet_length("text") >= length).select("r1", "r2", "text").join(at.where(F.exists("edges", lambda e: e["far"])), ["r1", "r2"]).select("text", "r1", "r2", "edges")
@@ -404,7 +412,7 @@ def removed_spans(rows: DataFrame, scratch: Scratch, length: int, short: int, k:
     runs = tables[0]
     for t in tables[1:]:
         runs = runs.unionByName(t)
-    hits = open_.select("g", "f", "r1", "r2", "start").join(runs, ["g", "f"]).select("r1", "r2", "start", F.explode("runs").alias("x")).select("r1", "r2", (F.col("start") + F.col("x.a")).alias("start"), F.col("x.n").alias("n"))
+    hits = _told(open_.select("g", "f", "r1", "r2", "start"), runs, scratch, ["r1", "start"]).select("r1", "r2", "start", F.explode("runs").alias("x")).select("r1", "r2", (F.col("start") + F.col("x.a")).alias("start"), F.col("x.n").alias("n"))
     every = settled.where("g is null").select("r1", "r2", "start", "n").unionByName(hits)
     spans = every.groupBy("r1", "r2").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     out = scratch.table(at.select("r1", "r2", F.col("edges").alias("anchors")).join(spans, ["r1", "r2"], "left"))
