@@ -637,6 +637,29 @@ def line_diff_apply(spark, sf_dir):
     return line_diff.applied(docs, found, "doc_id").where("text is not null").select("doc_id", sha256(t).alias("content_hash"))
 
 
+@query("""WITH d AS (SELECT doc_id, text FROM documents), n AS (SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN 'new ' || text ELSE text END AS text FROM documents WHERE doc_id % 50 <> 9 UNION ALL SELECT -1 - doc_id, text FROM documents WHERE doc_id % 50 = 3),
+ p AS (SELECT CASE WHEN n.doc_id IS NULL THEN 'removed' WHEN d.doc_id IS NULL OR d.text <> n.text THEN 'rebuilt' ELSE 'reused' END AS name FROM d FULL JOIN n ON d.doc_id = n.doc_id)
+ SELECT 'refresh' AS scope, name, least(count(*), 1000000) AS n FROM p GROUP BY 2""")
+def observed_counters(spark, sf_dir):
+    """What a refresh of all documents does, counted while its plan is written."""
+    import uuid
+
+    from .plans.checkpoints import folder
+    from .plans.counters import Counters
+
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_path"), "text")
+    newer = docs.where("file_path % 50 <> 9").withColumn("text", F.when(F.col("file_path") % 50 == 7, F.concat(F.lit("new "), F.col("text"))).otherwise(F.col("text")))
+    newer = newer.unionByName(docs.where("file_path % 50 = 3").withColumn("file_path", -1 - F.col("file_path")))
+    hashed = lambda df: df.select("file_path", sha256(F.col("text")).alias("content_hash"))
+    plan = files.refresh_plan(hashed(newer), hashed(docs).withColumn("config_digest", F.lit("c")))
+    counters = Counters(spark, f"{folder(spark)}/counters-{uuid.uuid4().hex}")
+    names = {"rebuilt": "rebuild", "reused": "reuse", "removed": "remove"}
+    seen = counters.observed(plan, "refresh", **{name: F.count_if(F.col("action") == action) for name, action in names.items()})
+    seen.write.format("noop").mode("overwrite").save()
+    counters.flush()
+    return counters.table()
+
+
 @query()
 def redaction_whole(spark, sf_dir):
     """Paths and secrets; the paths' rules look around, which the SQL cannot."""
