@@ -1,12 +1,13 @@
 """BPE encoding and decoding by per-prefix dynamic programming.
 
 For a BPE vocabulary built by merges, every prefix of a piece has exactly one last token in its encoding: the one
-that ends the prefix and is compatible with the last token of what stands before it. A suffix automaton of the
-vocabulary lists the tokens that end at each position, a test of merge order decides compatibility, and back-pointers
-from the end give the ids. No merge loop runs over the piece, so a piece of n symbols costs O(n * longest token).
+that ends the prefix and is compatible with the last token of what stands before it. An automaton of the vocabulary
+(Aho-Corasick, in place of a suffix automaton) lists the tokens that end at each position, a test of merge order decides
+compatibility, and back-pointers from the end give the ids. No merge loop runs over the piece, so a piece of n symbols costs O(n * longest token).
 
 Defined cases: null and empty texts have no ids; the special strings of the tokenizer's file are single ids wherever
-they stand; texts of any length are encoded whole; extra columns pass by untouched.
+they stand; texts of any length are encoded whole; rows that repeat are encoded alike, each for itself; a null doc_id is
+carried through; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -67,3 +67,29 @@ def test_pipeline(spark, tmp_path):
         ids = t.encode(texts[i], add_special_tokens=False).ids
         decoded = t.decode(ids, skip_special_tokens=False)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, predicted string, `row` int, c0 int, t string, fp bigint, spans map<string,int>"
+
+
+def run_on(spark, folder, rows):
+    spark.createDataFrame(rows, ODD).write.parquet(str(folder / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(folder / f"{name}.parquet"))
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def test_pipeline_on_odd_and_on_empty_tables(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    rest = ("clash", 1, 2, "t", 3, {"a": 1})
+    rows = [(d.doc_id, d.text, d.lang, d.source, d.n_chars, *rest) for d in docs]
+    odd = [None, "", " \n", "a", "\U0001f600 " * 400, "word " * 40_000]
+    rows += [(10_000 + i, t, None, None, None, None, None, None, None, None, None) for i, t in enumerate(odd)]
+    rows += [(None, docs[0].text, None, None, None, *rest), (None, None, None, None, None, *rest), rows[1], rows[1]]
+    got = run_on(spark, tmp_path / "odd", rows)
+    ids = [r.doc_id for r in got]
+    # what is kept of the usual documents does not depend on the others, but for the near copies among them
+    usual = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
+    assert len(ids) == len(set(ids)) and set(ids) <= {r[0] for r in rows} and len(set(ids) & usual) >= 0.9 * len(usual)
+    assert all(r.n_tokens >= 0 and len(r.ids_sha256) == len(r.decoded_sha256) == 64 for r in got)
+    assert run_on(spark, tmp_path / "none", []) == []
