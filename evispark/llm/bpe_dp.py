@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_map, table
 
-#: Distinct white-space-delimited words whose encodings a worker remembers before it starts anew.
-MEMO = 400_000
+#: Distinct white-space-delimited words, and pieces of words, whose encodings a worker remembers before it starts anew.
+MEMO, PIECES = 300_000, 100_000
 #: Tested pairs of tokens that a worker remembers.
 BORDERS = 400_000
 
@@ -116,7 +116,7 @@ class Vocabulary:
         if (ids := self.known.get(piece)) is None:
             ids = self._encode(piece)
             if len(piece) < 100:
-                if len(self.known) >= MEMO:
+                if len(self.known) >= PIECES:
                     self.known.clear()
                 self.known[piece] = ids
         return ids
