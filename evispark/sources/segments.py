@@ -6,9 +6,9 @@ removed. A numbered manifest lists each bucket's segments, newest first; creatin
 valid, and only one writer can. Readers merge on read: of the versions of a path, the one of the newest segment counts. A
 bucket with more than MOST segments is compacted into one, other buckets being left as they are.
 
-Each segment carries postings: for every three neighbouring characters of what is searched, in small letters, the rows in
+Each segment carries postings: for every three neighbouring characters of a field that is searched, in small letters, the rows in
 which they stand, in ascending blocks of BLOCK rows, which the file format stores as differences. A term's rows lie in the
-intersection of its lists; a term of one or two characters begins some three (texts are filled up at the end), and its
+intersection of its lists; a term of one or two characters begins some three (fields are filled up at the end), and its
 rows lie in a union. Rows that remain are read from their buckets and searched themselves, so that a search gives what
 a scan gives. A bucket of one segment, and a list, grow with the bucket alone: the number of buckets is a parameter, to
 be set so that one bucket is a task's work.
@@ -36,23 +36,24 @@ ROW = f"{ENTRY}, checksum string, removed boolean, seq bigint, bucket int, row b
 POSTING = "gram string, block bigint, rows array<bigint>, seq bigint, bucket int"
 
 
-def searched(symbols: str = "symbols") -> Column:
-    """What a search of an entry looks at, in small letters, filled up so that three characters begin at each one."""
-    each = F.transform(symbols, lambda s: F.concat_ws("\n", s["name"], s["symbol_path"], s["selector"]))
-    return F.concat(F.lower(F.array_join(each, "\n")), F.lit("\0" * (GRAM - 1)))
+def searched(field: Column) -> Column:
+    """What a search looks at in one field of a symbol: small letters, filled up so that GRAM characters begin at each one."""
+    return F.concat(F.lower(field), F.lit("\0" * (GRAM - 1)))
 
 
-def grams(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """``df`` with the different runs of GRAM characters of ``text``, in time in proportion to its length."""
-    df = df.withColumn("_c", F.split(text, ""))
-    last = F.greatest(F.size("_c") - GRAM + 1, F.lit(0))
-    return df.withColumn(name, F.array_distinct(F.transform(F.slice("_c", F.lit(1), last), lambda c, i: F.concat(c, F.get("_c", i + 1), F.get("_c", i + 2))))).drop("_c")
+def grams(text: Column) -> Column:
+    """The runs of GRAM characters of ``text``: one pass of a pattern that takes none of what it finds, so that time grows
+    with the text's length; a function over the text's characters would be given the whole text again for each of them."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """(gram, block, rows, seq, bucket) of a segment's rows."""
-    each = grams(rows.where("not removed").select("seq", "bucket", "row", "symbols"), searched(), "grams").select("seq", "bucket", "row", F.explode("grams").alias("gram"))
-    return each.groupBy("seq", "bucket", "gram", F.floor(F.col("row") / BLOCK).alias("block")).agg(F.sort_array(F.collect_set("row")).alias("rows")).select("gram", "block", "rows", "seq", "bucket")
+    """(gram, block, rows, seq, bucket) of a segment's rows. Symbols are read one by one, and a row's grams are made
+    different before they are shuffled: no list of a whole row's text is held."""
+    each = rows.where("not removed").select("seq", "bucket", "row", F.explode("symbols").alias("s"))
+    each = each.select("seq", "bucket", "row", F.explode(F.array("s.name", "s.symbol_path", "s.selector")).alias("field")).where("field is not null")
+    each = each.select("seq", "bucket", "row", F.explode(grams(searched(F.col("field")))).alias("gram")).distinct()
+    return each.groupBy("seq", "bucket", "gram", F.floor(F.col("row") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list("row")).alias("rows")).select("gram", "block", "rows", "seq", "bucket")
 
 
 def matching(lists: DataFrame, term: str) -> DataFrame:

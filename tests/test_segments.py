@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,3 +127,15 @@ def test_what_is_damaged(spark, tmp_path):
     spark.createDataFrame(rows, segments.ROW).withColumn("content_hash", F.lit("forged")).write.mode("overwrite").parquet(folder)
     with pytest.raises(QueryError, match="checksum"):
         SegmentStore(spark, str(tmp_path), buckets=2).load("p")
+
+
+def test_postings_of_a_file_of_very_many_symbols(spark, tmp_path):
+    names = [f"Größe {i} of a rather long name" for i in range(8000)] + ["two\nlines", "x", None]
+    store = SegmentStore(spark, str(tmp_path), buckets=2)
+    began = time.time()
+    store.upsert("p", frame(spark, [entry("src/big.ts", names), entry("src/small.ts", ["y"])]))
+    assert time.time() - began < 60
+    for term, want in (("GRÖSSE 77", 0), ("größe 7777 ", 1), ("o\nl", 1), ("ig.ts.x", 1), ("x", 1), ("\U0001f600", 0)):
+        found = {(r.file_path, r.name) for r in store.symbols("p", term).collect()}
+        every = {(f, n) for f, ns in (("src/big.ts", names), ("src/small.ts", ["y"])) for i, n in enumerate(ns) if any(term.lower() in x.lower() for x in (n or "", f"{f}.{n}", f"{n}@{i + 1}"))}
+        assert len(found) == want and found == every, term
