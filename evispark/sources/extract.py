@@ -190,7 +190,20 @@ def outline(files: DataFrame, path: str = "path", text: str = "text") -> DataFra
 
 
 def source_of(files: DataFrame, spans: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """The text of lines ``line`` to ``end_line`` of each span's file."""
-    from ..operators.files import line_array
-
-    return spans.join(files, path).withColumn("source", F.array_join(F.slice(line_array(F.col(text)), F.col("line"), F.col("end_line") - F.col("line") + 1), "\n")).drop(text)
+    """The text of lines ``line`` to ``end_line`` of each span's file; no text where the file has none.
+
+    A file is cut into lines once, and each line meets the spans that hold it: what is moved grows with the files and with
+    what is returned, however many spans a file has, and a file's lines are many keys.
+    """
+    from ..operators.files import line_counts, lines
+
+    cut = lines(files.where(F.col(text).isNotNull()), path, text)
+    known = line_counts(files, path, text)
+    # spans alike share their lines; a span that holds no line of its file is empty
+    span = spans.select(path, "line", "end_line").distinct().join(known, path).withColumn("_to", F.least("end_line", "n_lines")).where("_to >= line")
+    each = span.select(path, F.struct("line", "end_line").alias("_span"), F.explode(F.sequence("line", "_to")).alias("line"))
+    found = each.join(cut, [path, "line"]).groupBy(path, "_span").agg(F.array_sort(F.collect_list(F.struct("line", "line_text"))).alias("_l"))
+    found = found.select(path, "_span.*", F.array_join(F.transform("_l", lambda x: x["line_text"]), "\n").alias("_source"))
+    out = spans.join(known, path).join(found, [path, "line", "end_line"], "left")
+    there = (F.col("n_lines") >= 0) & F.col("line").isNotNull() & F.col("end_line").isNotNull()
+    return out.withColumn("source", F.when(there, F.coalesce("_source", F.lit("")))).drop("_source", "n_lines")

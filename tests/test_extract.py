@@ -58,3 +58,17 @@ def test_imports_over_any_number_of_steps_up(spark, depth):
     files = [("src/base.ts", "export class Base {}"), (f"src/{below}/leaf.ts", f"import {{ Base as B, type Other }} from './.{'/..' * depth}/base';\nimport {{ x }} from '../' + y"), ("src/none.ts", None)]
     got = extract.imports(spark.createDataFrame(files, "path string, text string"))
     assert {tuple(r) for r in got.collect()} == {(f"src/{below}/leaf.ts", "Base", "src/base.ts"), (f"src/{below}/leaf.ts", "Other", "src/base.ts")}
+
+
+def test_sources_of_very_many_spans_of_one_file(spark):
+    n = 30_000
+    files = spark.createDataFrame([("big", "\n".join(f"line {i}" for i in range(1, n + 1))), ("small", "a\r\nb\nc\n"), ("none", None)], "path string, text string")
+    odd = [("small", 1, 3), ("small", 2, 2), ("small", 2, 2), ("small", 3, 9), ("small", 5, 6), ("small", 3, 2), ("none", 1, 1), ("gone", 1, 1), ("small", None, 1), ("small", 2, 2_000_000_000)]
+    spans = spark.range(1, n + 1, 1, 4).selectExpr("'big' path", "cast(id as int) line", "cast(id as int) end_line").unionByName(spark.createDataFrame(odd, "path string, line int, end_line int"))
+    began = time.time()
+    got = [tuple(r) for r in extract.source_of(files, spans).select("path", "line", "end_line", "source").collect()]
+    assert time.time() - began < 60
+    big = {r[1]: r[3] for r in got if r[0] == "big"}
+    assert big == {i: f"line {i}" for i in range(1, n + 1)}
+    want = [("small", 1, 3, "a\nb\nc"), ("small", 2, 2, "b"), ("small", 2, 2, "b"), ("small", 3, 9, "c"), ("small", 5, 6, ""), ("small", 3, 2, ""), ("none", 1, 1, None), ("small", None, 1, None), ("small", 2, 2_000_000_000, "b\nc")]
+    assert sorted((r for r in got if r[0] != "big"), key=str) == sorted(want, key=str)
