@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import CONTEXT_CHARS, TEST_PATTERNS, TEST_SEGMENTS, QueryError
 from ..functions.scalar import has_segments, matches_glob
-from .graph import Impact, shortest_paths
+from .graph import Impact, impact, shortest_paths
 from .ranges import running
 
 
@@ -87,6 +87,24 @@ def test_candidates(edges: DataFrame, walk: Impact, files: dict[str, str], custo
     return sorted(out, key=lambda x: (x["evidence"]["depth"], x["file"]))
 
 
+def proven_candidates(edges: DataFrame, root: str, files: DataFrame, custom: list[str] = ()) -> DataFrame:
+    """Rows (file, reason, confidence, depth, direct, relationship_ids): all tests that a change of ``root`` may affect.
+
+    What test_candidates() gives for a walk without budgets, which no walk's size can make incomplete; nothing but the rows
+    that are asked for leaves the executors. ``files`` (node, file) names files; a node that it does not name is no candidate.
+    """
+    nodes = impact(edges, root).join(files.select("node", "file"), "node")
+    home = files.where(F.col("node") == root).select(F.col("file").alias("_home")).limit(1)
+    test = nodes.where(is_test(F.col("file"), custom)).join(F.broadcast(home), F.col("file") == F.col("_home"), "left_anti")
+    inside = edges.join(impact(edges, root).select(F.col("node").alias("dst")), "dst", "left_semi")
+    proofs = shortest_paths(inside, root).select("node", F.col("depth").alias("_steps"), "path")
+    # the first path by length and node; edges among what was reached lead to every candidate
+    best = test.join(proofs, "node").groupBy("file").agg(F.min("depth").alias("depth"), F.min(F.struct("_steps", "node", "path"))["path"].alias("relationship_ids"))
+    direct = F.col("depth") == 1
+    reason = F.when(~is_test(F.col("file")), "convention_match").when(direct, "direct_compiler_reference").otherwise("transitive_compiler_reference")
+    return best.select("file", reason.alias("reason"), F.when(direct, "exact").otherwise("high").alias("confidence"), F.col("depth").cast("int").alias("depth"), direct.alias("direct"), "relationship_ids")
+
+
 def omission_counts(rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows of each group and their total over all groups."""
     counts = rows.groupBy(*by).agg(F.count("*").alias("n"))

@@ -894,11 +894,10 @@ def shortest_path(spark, sf_dir):
  SELECT file, 'direct_compiler_reference' AS reason, 'exact' AS confidence, 1 AS depth, 'reference:' || min(node) || '->nation:3' AS path FROM n GROUP BY 1""")
 def test_candidates(spark, sf_dir):
     e = edges(spark, sf_dir).where(F.col("kind").isin("reference", "import"))
-    walk = graph.bounded_impact(e, "nation:3", "incoming", 3, 1000, 5000)
-    c = read(spark, sf_dir, "customer").where("c_nationkey = 3")
-    place = {f"customer:{r.c_custkey}": f"{r.c_mktsegment}/test/{r.c_custkey % 7}" for r in c.select("c_custkey", "c_mktsegment").collect()}  # at most a walk's nodes
-    found = evidence.test_candidates(e, walk, {n: place.get(n, f"src/{n}") for n in walk.nodes})
-    return spark.createDataFrame([(x["file"], x["reason"], x["confidence"], x["evidence"]["depth"], "|".join(x["evidence"]["relationship_ids"])) for x in found], "file string, reason string, confidence string, depth int, path string")
+    place = F.concat(F.col("c_mktsegment"), F.lit("/test/"), (F.col("c_custkey") % 7).cast("string"))
+    files = read(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"), place.alias("file"))
+    found = evidence.proven_candidates(e, "nation:3", files)
+    return found.select("file", "reason", "confidence", "depth", F.array_join("relationship_ids", "|").alias("path"))
 
 
 @query("""WITH b AS (SELECT DISTINCT p_brand, 'Brand#' || (CAST(substr(p_brand, 7, 1) AS INT)) AS base FROM part),

@@ -181,3 +181,18 @@ def test_candidates_are_tests_with_a_proof(spark):
     ]
     with pytest.raises(QueryError, match="INCOMPLETE_EVIDENCE"):
         evidence.test_candidates(e, graph.bounded_impact(e, "axle", "incoming", 1), where)
+
+
+def test_candidates_of_a_walk_past_every_budget(spark):
+    """More nodes than a budgeted walk may have; what both forms can answer, they answer alike."""
+    roads = [("r1", "wheel", "axle"), ("r2", "checks of wheel", "wheel"), ("r3", "checks of axle", "axle"), ("r4", "shed", "axle"), ("r5", "axle", "wheel")]
+    where = {"axle": "src/axle.ts", "wheel": "src/wheel.ts", "checks of wheel": "src/wheel.spec.ts", "checks of axle": "tests/axle.ts", "shed": "yard/shed.ts"}
+    few = edge_table(spark, roads)
+    want = evidence.test_candidates(few, graph.bounded_impact(few, "axle", "incoming", 5), where, ["yard"])
+    files = spark.createDataFrame(list(where.items()), "node string, file string")
+    got = evidence.proven_candidates(few, "axle", files, ["yard"]).orderBy("depth", "file").collect()
+    assert [(r.file, r.reason, r.confidence, r.depth, r.direct, r.relationship_ids) for r in got] == [(c["file"], c["reason"], c["confidence"], c["evidence"]["depth"], c["evidence"]["direct"], c["evidence"]["relationship_ids"]) for c in want]
+    many = few.unionByName(edge_table(spark, [(f"m{i:05}", f"t{i:05}", "axle") for i in range(6000)]))
+    own = files.unionByName(spark.range(6000).selectExpr("concat('t', lpad(id, 5, '0')) node", "concat('tests/f', id % 3, '.ts') file"))
+    found = {r.file: r.relationship_ids for r in evidence.proven_candidates(many, "axle", own).collect()}
+    assert found == {"tests/axle.ts": ["r3"], "src/wheel.spec.ts": ["r2", "r1"]} | {f"tests/f{k}.ts": [f"m{k:05}"] for k in range(3)}
