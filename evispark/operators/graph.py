@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,6 +21,13 @@ from ..plans.checkpoints import cut
 
 #: Edges of one node from which they are dealt to several tasks.
 HUB = 100_000
+#: Rows that one task is to hold.
+ROWS = 1 << 20
+
+
+def tasks(spark: SparkSession, rows: int) -> int:
+    """The number of tasks for ``rows`` rows: what the session has, or more where a task would hold more than ROWS."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
 
 
 def _one_of(c: str, among: Iterable[str]) -> Column:
@@ -49,17 +56,18 @@ def exact(calls: bool = False) -> Column:
     return c & (F.col("kind") == "call") if calls else c
 
 
-def dedup(edges: DataFrame) -> DataFrame:
-    """One edge for each relationship_id."""
-    return edges.dropDuplicates(["relationship_id"])
+def dedup(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """One edge for each relationship_id. With ``rows``, about how many there are, a task holds about ROWS at any size."""
+    dealt = edges if rows is None else edges.repartition(tasks(edges.sparkSession, rows), "relationship_id")
+    return dealt.dropDuplicates(["relationship_id"])
 
 
-def collect(*families: DataFrame) -> DataFrame:
-    """All families' edges, each id once."""
+def collect(*families: DataFrame, rows: int | None = None) -> DataFrame:
+    """All families' edges (about ``rows``), each id once."""
     out = families[0]
     for f in families[1:]:
         out = out.unionByName(f)
-    return dedup(out)
+    return dedup(out, rows)
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -89,25 +97,29 @@ def topk_neighbours(edges: DataFrame, k: int, order: list[Column], key: str = "n
 class Layers:
     """Edges (``key``, ...) written once, by the end that every layer joins on; hubs are dealt to several tasks by ``other``.
 
-    No layer reads the sources again or moves the edges; a layer's nodes meet a hub's edges in all its parts.
+    Edges are dealt to as many tasks as their number asks for. No layer reads the sources again or moves the edges; a layer's nodes meet a hub's edges in all its parts.
     """
 
     def __init__(self, edges: DataFrame, key: str, other: str):
-        self.key, edges = key, cut(edges)
-        hubs = edges.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > HUB)
-        self.hubs = cut(hubs.select(key, F.ceil(F.col("_n") / HUB).cast("int").alias("_parts")))
-        self.none = self.hubs.isEmpty()
+        self.key = key
+        per = edges.groupBy(key).agg(F.count("*").alias("_n"))
+        # the number of edges, and the hubs among nodes, at most one for each HUB edges
+        all_, hubs = per.agg(F.sum("_n"), F.collect_list(F.when(F.col("_n") > HUB, F.struct(key, F.ceil(F.col("_n") / HUB).cast("int").alias("_parts"))))).first()
+        self.none = not hubs
+        n = tasks(edges.sparkSession, all_ or 0)
         if not self.none:
-            edges = edges.join(self.hubs, key, "left").withColumn("_part", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-        self.edges = cut(edges.repartition(key) if self.none else edges.repartition(key, "_part"))
+            self.hubs = edges.sparkSession.createDataFrame([tuple(h) for h in hubs], f"{key} {edges.schema[key].dataType.simpleString()}, _parts int")
+            edges = edges.join(F.broadcast(self.hubs), key, "left").withColumn("_part", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+        self.edges = cut(edges.repartition(n, key) if self.none else edges.repartition(n, key, "_part"))
 
     def beside(self, layer: DataFrame) -> DataFrame:
         """The edges of a layer's nodes (column named as the key), with the layer's columns."""
+        # a layer's nodes are looked up: the edges are not sorted again for each layer
         if self.none:
-            return self.edges.join(layer, self.key)
+            return self.edges.join(layer.hint("shuffle_hash"), self.key)
         parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
-        spread = layer.join(self.hubs, self.key, "left").withColumn("_part", F.explode(parts)).drop("_parts")
-        return self.edges.join(spread, [self.key, "_part"]).drop("_part")
+        spread = layer.join(F.broadcast(self.hubs), self.key, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+        return self.edges.join(spread.hint("shuffle_hash"), [self.key, "_part"]).drop("_part")
 
 
 def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:

@@ -696,14 +696,18 @@ EDGES = """(SELECT kind || ':' || src || '->' || dst AS relationship_id, * FROM
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def family(table: str, kind: str, src: str, a: str, dst: str, b: str) -> DataFrame:
+    def family(table: str | DataFrame, kind: str, src: str, a: str, dst: str, b: str) -> DataFrame:
         node = lambda p, c: F.concat(F.lit(f"{p}:"), F.col(c).cast("string"))
-        return read(spark, sf_dir, table).select(F.lit(kind).alias("kind"), node(src, a).alias("src"), node(dst, b).alias("dst"))
+        rows = read(spark, sf_dir, table) if isinstance(table, str) else table
+        return rows.select(F.lit(kind).alias("kind"), node(src, a).alias("src"), node(dst, b).alias("dst"))
 
     out = family("customer", "reference", "customer", "c_custkey", "nation", "c_nationkey")
     for f in (("supplier", "import", "supplier", "s_suppkey", "nation", "s_nationkey"), ("nation", "extends", "nation", "n_nationkey", "region", "n_regionkey"), ("orders", "call", "order", "o_orderkey", "customer", "o_custkey")):
         out = out.unionByName(family(*f))
-    out = out.unionByName(family("lineitem", "implements", "part", "l_partkey", "supplier", "l_suppkey").distinct())
+    # made different as numbers, before names are made of them, in as many tasks as the rows ask for
+    lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    lines = lines.repartition(graph.tasks(spark, lines.count()), "l_partkey", "l_suppkey").distinct()
+    out = out.unionByName(family(lines, "implements", "part", "l_partkey", "supplier", "l_suppkey"))
     return out.withColumn("relationship_id", graph.relationship_id(F.col("kind"), F.col("src"), F.col("dst")))
 
 
@@ -717,7 +721,8 @@ def edge_dedup(spark, sf_dir):
 def edge_collect(spark, sf_dir):
     e = edges(spark, sf_dir)
     one, other = e.where("kind = 'call'"), e.where("kind = 'implements' or kind = 'call'")
-    return graph.collect(one, other).groupBy("kind").agg(F.count("*").alias("n"))
+    rows = read(spark, sf_dir, "lineitem").count() + 2 * read(spark, sf_dir, "orders").count()
+    return graph.collect(one, other, rows=rows).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT DISTINCT node FROM (SELECT src AS node FROM {EDGES} UNION ALL SELECT dst FROM {EDGES}) WHERE NOT starts_with(node, 'nation:') AND NOT starts_with(node, 'region:')")

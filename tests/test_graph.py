@@ -196,3 +196,12 @@ def test_candidates_of_a_walk_past_every_budget(spark):
     own = files.unionByName(spark.range(6000).selectExpr("concat('t', lpad(id, 5, '0')) node", "concat('tests/f', id % 3, '.ts') file"))
     found = {r.file: r.relationship_ids for r in evidence.proven_candidates(many, "axle", own).collect()}
     assert found == {"tests/axle.ts": ["r3"], "src/wheel.spec.ts": ["r2", "r1"]} | {f"tests/f{k}.ts": [f"m{k:05}"] for k in range(3)}
+
+
+def test_tasks_are_as_many_as_the_rows_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROWS", 10)
+    e = edge_table(spark, [(f"e{i % 200}", f"n{i % 200}", f"n{i % 200 // 2}") for i in range(400)])
+    one = graph.collect(e, e, rows=400)
+    assert one.count() == 200 and one.rdd.getNumPartitions() == 40
+    assert graph.Layers(e.select("src", "dst").distinct(), "src", "dst").edges.rdd.getNumPartitions() == 20
+    assert graph.impact(e, "n0", "incoming").count() == 200
