@@ -4,7 +4,7 @@ Base patterns with their checks find what is certain. High-recall generators pro
 proposal's format and context become small numbers, boosted trees turn them into a score, and a threshold for each
 kind, calibrated on rows that the trees did not see, selects the spans that are added.
 
-What the trees learn from: in sampled documents every base span is rewritten, in its own context, into a wider form that
+What the trees learn from: in all documents every base span is rewritten, in its own context, into a wider form that
 no base pattern takes (spelled-out signs, other separators, no plus, two numbers side by side, a longer address) or into
 a broken one (a wrong check digit, a part too many). Proposals that are the rewritten span are positives; broken ones,
 proposals of another kind, with other borders, and all proposals of the texts as they stand that touch no base span are
@@ -58,10 +58,9 @@ GENERATORS = {
 #: What must stand in a text for a pattern to be tried at all.
 NEEDS = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"[0-9]"}
 CONTEXT = 24
-#: Documents sampled for the trees (a documented bound, in expectation), trees, learning rate, precision that a threshold
-#: must reach, and confirmed proposals that it must rest on.
-SAMPLE, TREES, RATE, PRECISION, CONFIRMED = 20_000, 20, 0.3, 0.9, 10
-#: Generated texts of each form that the trees learn from beside the sampled documents.
+#: Trees, learning rate, precision that a threshold must reach, and confirmed proposals that it must rest on.
+TREES, RATE, PRECISION, CONFIRMED = 20, 0.3, 0.9, 10
+#: Generated texts of each form that the trees learn from beside the documents.
 GENERATED = 60
 #: Elements that one step of a running sum copies.
 BLOCK = 64
@@ -382,12 +381,10 @@ def generated(spark: SparkSession, number: int = GENERATED) -> DataFrame:
     return spark.range(number).select(F.explode(F.array(*[F.concat(F.lit(a), x, F.lit(b), F.lit(" and so on "), draw(30 + j, 100).cast("string")) for j, (a, x, b) in enumerate(forms)])).alias("t"))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, Trees]:
-    """Trees and thresholds of each kind, from the proposals of about ``sample`` documents, drawn by hash, and of generated texts."""
-    total = docs.count()
-    part = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) < F.lit(int(min(1.0, sample / max(total, 1)) * (1 << 20)))) if total > sample else docs
+def train(docs: DataFrame) -> dict[str, Trees]:
+    """Trees and thresholds of each kind, from the proposals of all documents and of generated texts."""
     scratch = Scratch(docs.sparkSession)
-    both = texts(part.select("doc_id", "text")).select("t").unionByName(generated(docs.sparkSession))
+    both = texts(docs.select("doc_id", "text")).select("t").unionByName(generated(docs.sparkSession))
     plain = scratch.table(base_spans(both).withColumn("held", F.pmod(F.xxhash64("t"), F.lit(2)) == 0))
     # half of the documents, by text, is not seen by the trees
     made = plain.select("t", "held", F.lit(None).cast("array<struct<s:int,e:int,kind:string,plain:string>>").alias("truth"))

@@ -613,3 +613,12 @@ def test_a_wrong_splice_gives_a_wrong_count(monkeypatch):
     monkeypatch.setattr(token_counts.Counter, "stable", lambda self, text, begin, end, lap: begin)
     wrong = token_counts.Counter(VOCABULARY).counts(texts, 100, 24)
     assert sum(a != b for a, b in zip(wrong, right, strict=True)) > 15
+
+
+def test_personal_data_is_learned_from_every_document(spark, monkeypatch):
+    seen, boost, calibrated = [], pii.boost, pii.calibrated
+    monkeypatch.setattr(pii, "boost", lambda x, y, n: seen.append(n.sum()) or boost(x, y, n))
+    monkeypatch.setattr(pii, "calibrated", lambda m, x, y, n: seen.append(n.sum()) or calibrated(m, x, y, n))
+    docs = spark.range(40_000).select(common.F.col("id").alias("doc_id"), common.F.concat(common.F.lit("order "), common.F.lpad(common.F.col("id").cast("string"), 9, "5"), common.F.lit(" of")).alias("text"))
+    pii.train(docs)
+    assert sum(seen) > 40_000
