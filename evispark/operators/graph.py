@@ -23,6 +23,8 @@ from ..plans.checkpoints import cut
 HUB = 100_000
 #: Rows that one task is to hold.
 ROWS = 1 << 20
+#: Rows that all tasks may hold beside their own.
+FEW = 50_000
 
 
 def tasks(spark: SparkSession, rows: int) -> int:
@@ -30,6 +32,11 @@ def tasks(spark: SparkSession, rows: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """Written ``rows``, sent to all tasks by the join they stand in if they are FEW."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
 def _one_of(c: str, among: Iterable[str]) -> Column:
     allowed = list(among)
     return F.when(F.col(c).isin(allowed), F.col(c)).otherwise(F.raise_error(F.concat(F.lit(f"{c} is not one of {', '.join(allowed)}: "), F.coalesce(F.col(c), F.lit("null")))))
@@ -382,7 +389,10 @@ def ancestors(bases: DataFrame) -> DataFrame:
     direct = step.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("next"))
     found = frontier = cut(step)
     while True:
-        more = frontier.join(direct, "ancestor").select("node", F.col("next").alias("ancestor")).where("node <> ancestor").distinct()
+        # pairs of many nodes end at few: the steps on are looked up, not dealt out by the end
+        ends = cut(frontier.select("ancestor").distinct())
+        on = few(cut(direct.join(few(ends), "ancestor", "left_semi")))
+        more = frontier.join(on, "ancestor").select("node", F.col("next").alias("ancestor")).where("node <> ancestor").distinct()
         frontier = cut(more.join(found, ["node", "ancestor"], "left_anti"))
         if frontier.isEmpty():
             return found

@@ -72,6 +72,29 @@ def test_closure_updates_change_little(spark, tmp_path):
     assert stored.pairs().where("node = 'y'").count() == 1 and stored.pairs().where("node = 'z'").count() == 0
 
 
+@pytest.mark.parametrize("short", [0, 1000])
+def test_closure_keeps_pairs_of_inner_nodes_alone(spark, tmp_path, monkeypatch, short):
+    """Sources over a chain: none of their pairs is stored, all are read; whether short sides are sent to all tasks or not."""
+    monkeypatch.setattr(graph, "FEW", short)
+    monkeypatch.setattr(closure, "MOST", 3)
+    chain = {(f"n{i}", f"n{i + 1}") for i in range(5)}
+    held = chain | {(f"s{i}", f"n{i % 3}") for i in range(60)} | {(f"s{i}", "n4") for i in range(0, 60, 7)}  # some have two edges
+    stored = StoredClosure(spark, str(tmp_path / "c"))
+    stored.update(frame(spark, held), spark.createDataFrame([], "src string, dst string"))
+    kept = lambda what: spark.read.parquet(*[f"{stored.commits.folder}/{p}/{what}" for p in stored.commits.latest()[1]["parts"]])
+    assert kept("pairs").count() == len(pairs_of({e for e in held if e[0] in "n0 n1 n2 n3 n4"})) and kept("pairs").where("node like 's%'").isEmpty()
+    edits = [({("t", "s0"), ("t", "s1"), ("s1", "s2"), ("n5", "s3")}, {("n2", "n3")}), ({("n2", "n3"), ("s4", "s4")}, {("t", "s0"), ("s5", "n2"), ("n5", "s3")}), ({("s0", "s6")}, {("t", "s1"), ("s1", "s2")})]
+    for come, gone in edits:
+        stored.update(frame(spark, come), frame(spark, gone))
+        held = (held | {e for e in come if e[0] != e[1]}) - gone
+        found = [tuple(x) for x in stored.pairs().collect()]
+        assert len(found) == len(set(found)) and set(found) == pairs_of(held)
+        assert sorted(map(tuple, stored.edges().collect())) == sorted(held)
+    # written anew, what no edge leads to any more is a source again
+    assert len(stored.commits.latest()[1]["parts"]) == 1
+    assert {x.node for x in kept("pairs").collect()} == {"n0", "n1", "n2", "n3", "n4", "s6"}
+
+
 FILES = "path string, content_hash string"
 
 
