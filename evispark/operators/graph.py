@@ -25,6 +25,8 @@ HUB = 100_000
 ROWS = 1 << 20
 #: Rows that all tasks may hold beside their own.
 FEW = 50_000
+#: Groups of nodes by which edges are counted.
+BUCKETS = 1 << 16
 
 
 def tasks(spark: SparkSession, rows: int) -> int:
@@ -96,9 +98,27 @@ def neighbours(edges: DataFrame, direction: str) -> DataFrame:
     return out if direction == "outgoing" else into if direction == "incoming" else out.unionByName(into.where("node <> other"))
 
 
-def topk_neighbours(edges: DataFrame, k: int, order: list[Column], key: str = "node") -> DataFrame:
-    """The first ``k`` edges of each node; each task keeps its own first k before anything is shuffled."""
-    return edges.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("rn") <= k)
+def topk_neighbours(edges: DataFrame, k: int, order: list[Column], key: str = "node", whole: bool = True) -> DataFrame:
+    """The first ``k`` edges of each node.
+
+    Nodes are dealt to as many tasks as their edges ask for, hubs to several of which each keeps its own first k. To know
+    them, edges are counted by BUCKETS of nodes. Not ``whole``, for edges around few nodes, they are not counted; then each
+    task keeps its own first k before anything is shuffled.
+    """
+    first = lambda df, *by: df.withColumn("rn", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= k)
+    if not whole:
+        return first(edges, key)
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
+    per = edges.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
+    # the number of edges, and the buckets that one task should not hold, at most one for each ROWS edges
+    all_, full = per.agg(F.sum("_n"), F.collect_list(F.when(F.col("_n") > ROWS, F.struct("_bucket", F.ceil(F.col("_n") / ROWS).cast("int").alias("_parts"))))).first()
+    n = tasks(edges.sparkSession, all_ or 0)
+    if full:
+        parts = edges.sparkSession.createDataFrame([tuple(f) for f in full], "_bucket long, _parts int")
+        dealt = edges.withColumn("_bucket", bucket).join(F.broadcast(parts), "_bucket", "left")
+        dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(*edges.columns), F.coalesce("_parts", F.lit(1))).cast("int"))
+        edges = first(dealt.repartition(n, key, "_part"), key, "_part").select(*edges.columns)
+    return first(edges.repartition(n, key), key)
 
 
 class Layers:
@@ -212,7 +232,7 @@ class _Around:
         self.all = neighbours(edges.where(F.col("kind").isin(kinds)) if kinds else edges, direction)
 
     def first(self, nodes: list[str], most: int) -> dict[str, list[tuple[str, str, str]]]:
-        near = topk_neighbours(self.all.where(F.col("node").isin(nodes)), most, [F.col("other"), F.col("relationship_id")])
+        near = topk_neighbours(self.all.where(F.col("node").isin(nodes)), most, [F.col("other"), F.col("relationship_id")], whole=False)
         out: dict[str, list] = {n: [] for n in nodes}
         for r in near.orderBy("node", "rn").collect():
             out[r.node].append((r.relationship_id, r.other, r.kind))

@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from evispark.contracts import QueryError
 from evispark.operators import evidence, files, graph, resolution
@@ -205,3 +206,19 @@ def test_tasks_are_as_many_as_the_rows_ask_for(spark, monkeypatch):
     assert one.count() == 200 and one.rdd.getNumPartitions() == 40
     assert graph.Layers(e.select("src", "dst").distinct(), "src", "dst").edges.rdd.getNumPartitions() == 20
     assert graph.impact(e, "n0", "incoming").count() == 200
+
+
+def test_first_neighbours_in_as_many_tasks_as_edges_ask_for(spark, monkeypatch):
+    """Small nodes in more tasks; a hub in several, where each keeps its own first ones."""
+    monkeypatch.setattr(graph, "ROWS", 100)
+    order = [F.col("other"), F.col("relationship_id")]
+    small = [(f"n{i % 150:03d}", f"o{i * 7919 % 1000:03d}", f"r{i:04d}") for i in range(900)]
+    for rows in (small, small + [("hub", f"o{i * 7919 % 1000:03d}", f"h{i:04d}") for i in range(2000)]):
+        near = graph.topk_neighbours(spark.createDataFrame(rows, "node string, other string, relationship_id string"), 3, order)
+        assert near.columns == ["node", "other", "relationship_id", "rn"]
+        held = {}
+        for node, other, edge in sorted(rows):
+            held.setdefault(node, []).append((other, edge))
+        assert sorted((x.node, x.rn, x.other, x.relationship_id) for x in near.collect()) == [(n, i, *e) for n in sorted(held) for i, e in enumerate(held[n][:3], 1)]
+        assert near.rdd.getNumPartitions() == -(-len(rows) // 100)
+        assert ("_part" in near._jdf.queryExecution().toString()) == (len(rows) > 900)
