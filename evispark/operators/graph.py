@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..contracts import CONFIDENCES, DEPTH_DEFAULT, DEPTH_MAX, EDGE_KINDS, EDGES_DEFAULT, EDGES_MAX, NODES_DEFAULT, NODES_MAX, PROVENANCES, RESOLUTIONS, WORK_DEFAULT, QueryError, member, truncation
-from ..plans.checkpoints import cut
+from ..plans.checkpoints import cut, laid
 
 
 #: Edges of one node from which they are dealt to several tasks.
@@ -122,31 +123,51 @@ def topk_neighbours(edges: DataFrame, k: int, order: list[Column], key: str = "n
 
 
 class Layers:
-    """Edges (``key``, ...) written once, by the end that every layer joins on; hubs are dealt to several tasks by ``other``.
+    """Edges (``key``, ``other``, ...) written once, by the end that every layer joins on; hubs are dealt to several tasks by ``other``.
 
-    Edges are dealt to as many tasks as their number asks for. No layer reads the sources again or moves the edges; a layer's nodes meet a hub's edges in all its parts.
+    Edges are dealt to as many tasks as their number asks for. There a node's edges, or those of a hub's part, are one row, which a
+    layer that does not ask for them passes over. No layer reads the sources again or moves the edges; a layer's nodes meet a
+    hub's edges in all its parts. With ``root``, edges stand there from both their ends, and of a walk from the root those
+    of nodes with one neighbour are left out: the walk has come from that one.
     """
 
-    def __init__(self, edges: DataFrame, key: str, other: str):
+    def __init__(self, edges: DataFrame, key: str, other: str, root: str | None = None):
         self.key = key
-        per = edges.groupBy(key).agg(F.count("*").alias("_n"))
-        # the number of edges, and the hubs among nodes, at most one for each HUB edges
-        all_, hubs = per.agg(F.sum("_n"), F.collect_list(F.when(F.col("_n") > HUB, F.struct(key, F.ceil(F.col("_n") / HUB).cast("int").alias("_parts"))))).first()
+        # the number of edges, and the groups of nodes that hold a hub, at most one for each HUB edges
+        per = edges.groupBy(self._bucket().alias("_bucket")).agg(F.count("*").alias("_n"))
+        all_, full = per.agg(F.sum("_n"), F.collect_list(F.when(F.col("_n") > HUB, F.struct("_bucket", "_n")))).first()
+        hubs = [(b, -(-n // HUB)) for b, n in full if n > 2 * all_ // BUCKETS]
         self.none = not hubs
         n = tasks(edges.sparkSession, all_ or 0)
+        by, rest = [key], F.struct(*[c for c in edges.columns if c != key])
         if not self.none:
-            self.hubs = edges.sparkSession.createDataFrame([tuple(h) for h in hubs], f"{key} {edges.schema[key].dataType.simpleString()}, _parts int")
-            edges = edges.join(F.broadcast(self.hubs), key, "left").withColumn("_part", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-        self.edges = cut(edges.repartition(n, key) if self.none else edges.repartition(n, key, "_part"))
+            self.hubs = edges.sparkSession.createDataFrame(hubs, "_bucket long, _parts int")
+            # parts of hubs from 1, other nodes are part 0
+            by = [key, "_part"]
+            edges = self._dealt(edges).withColumn("_part", F.coalesce(F.pmod(F.xxhash64(other), F.col("_parts")).cast("int") + 1, F.lit(0)))
+        rows = edges.repartition(n, *by).groupBy(*by).agg(F.collect_list(rest).alias("_ends"))
+        if root is not None:
+            several = (F.size(F.array_distinct(F.col("_ends")[other])) > 1) | (F.col(key) == root)
+            rows = rows.where(several if self.none else (F.col("_part") > 0) | several)
+        self.edges = laid(rows)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(BUCKETS))
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the number of parts of hubs."""
+        return rows.withColumn("_bucket", self._bucket()).join(F.broadcast(self.hubs), "_bucket", "left").drop("_bucket")
 
     def beside(self, layer: DataFrame) -> DataFrame:
         """The edges of a layer's nodes (column named as the key), with the layer's columns."""
         # a layer's nodes are looked up: the edges are not sorted again for each layer
         if self.none:
-            return self.edges.join(layer.hint("shuffle_hash"), self.key)
-        parts = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
-        spread = layer.join(F.broadcast(self.hubs), self.key, "left").withColumn("_part", F.explode(parts)).drop("_parts")
-        return self.edges.join(spread.hint("shuffle_hash"), [self.key, "_part"]).drop("_part")
+            met = self.edges.join(layer.hint("shuffle_hash"), self.key)
+        else:
+            parts = F.sequence(F.when(F.col("_parts").isNull(), 0).otherwise(1), F.coalesce("_parts", F.lit(0)))
+            spread = self._dealt(layer).withColumn("_part", F.explode(parts)).drop("_parts")
+            met = self.edges.join(spread.hint("shuffle_hash"), [self.key, "_part"]).drop("_part")
+        return met.select(*[c for c in met.columns if c != "_ends"], F.inline("_ends"))
 
 
 def reach(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -285,20 +306,56 @@ def bounded_impact(edges: DataFrame, root: str, direction: str = "incoming", max
     return result
 
 
+def _told(edges: DataFrame, direction: str) -> DataFrame:
+    """neighbours() with ``told`` for the id and kind: an id made by relationship_id() is told by its kind and way alone."""
+    own = F.col("relationship_id")
+    told = lambda way: F.when(own == relationship_id(F.col("kind"), F.col("src"), F.col("dst")), F.concat(F.lit(way), "kind")).otherwise(F.concat(F.lit("="), own)).alias("told")
+    out = F.struct(F.col("src").alias("node"), F.col("dst").alias("other"), told(">"))
+    into = F.struct(F.col("dst").alias("node"), F.col("src").alias("other"), told("<"))
+    # both ends of an edge at once: edges are not made twice
+    ends = {"outgoing": F.array(out), "incoming": F.array(into), "both": F.when(F.col("src") != F.col("dst"), F.array(out, into)).otherwise(F.array(out))}
+    return edges.select(F.inline(ends[member("direction", direction, tuple(ends))]))
+
+
+def _id() -> Column:
+    """The id that _told() told."""
+    rest = F.substr("told", F.lit(2))
+    made = F.when(F.startswith("told", F.lit(">")), relationship_id(rest, F.col("node"), F.col("other"))).when(F.startswith("told", F.lit("<")), relationship_id(rest, F.col("other"), F.col("node")))
+    return made.otherwise(rest)
+
+
 def canonical_paths(edges: DataFrame, root: str, max_depth: int | None = None, direction: str = "outgoing") -> DataFrame:
-    """Rows (node, depth, path): a shortest path to every node (within ``max_depth``); of several, that whose ids come first as JSON."""
-    layers = Layers(neighbours(edges, direction).select("relationship_id", "node", "other"), "node", "other")
+    """Rows (node, depth, path): a shortest path to every node (within ``max_depth``); of several, that whose ids come first as JSON.
+
+    Of two paths of one length, that comes first whose part before the last id does, or of equal parts, that whose last id
+    does (an id stands for one edge). A layer's nodes are therefore numbered in the order of their paths (place), and what is
+    shuffled for each edge is a number and an id. Paths are joined from the layer before, and written if a layer follows.
+    """
     spark = edges.sparkSession
-    found = frontier = cut(spark.createDataFrame([(root, 0, [])], "node string, depth int, path array<string>"))
+    layers = Layers(_told(edges, direction), "node", "other", root if direction == "both" else None)
+    one = spark.range(1).select(F.lit(root).alias("node"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"), F.array().cast("array<string>").alias("path"))
+    frontier, paths, above = one.select("node", "place"), one, None
+    known, found = [frontier.select("node")], []
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        step = layers.beside(frontier.select("node", "path")).select(F.col("other").alias("node"), F.concat("path", F.array("relationship_id")).alias("path"))
-        # each task keeps one path of a node before paths are shuffled
-        best = step.groupBy("node").agg(F.min_by("path", F.to_json("path")).alias("path"))
-        frontier = cut(best.join(found.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "path"))
-        if frontier.isEmpty():
+        step = layers.beside(frontier).select(F.col("other").alias("node"), "place", F.to_json(F.array(_id())).alias("id"))
+        # each task keeps one edge of a node before edges are shuffled
+        best = step.groupBy("node").agg(F.min(F.struct("place", "id")).alias("_first")).select("node", F.col("_first.place").alias("above"), F.col("_first.id").alias("id"))
+        # rows of later tasks have higher numbers
+        layer = cut(best.join(reduce(DataFrame.unionByName, known), "node", "left_anti").orderBy("above", "id").withColumn("place", F.monotonically_increasing_id()))
+        if layer.isEmpty():
             break
-        found = found.unionByName(frontier)
-    return found.where("depth > 0")
+        if above is not None:
+            paths = cut(above)
+            found.append(paths)
+        before = paths.select(F.col("place").alias("above"), F.col("path").alias("_path"))
+        above = layer.join(before, "above").select("node", F.lit(depth).alias("depth"), "place", F.concat("_path", F.from_json("id", "array<string>")).alias("path"))
+        frontier = layer.select("node", "place")
+        # taken either way, edges lead no more than one layer back
+        known = [*known, frontier.select("node")][-2 if direction == "both" else 0 :]
+    out = paths.limit(0) if above is None else above
+    for some in found:
+        out = out.unionByName(some)
+    return out.select("node", "depth", "path")
 
 
 def shortest_paths(edges: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:

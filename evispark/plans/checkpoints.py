@@ -26,3 +26,18 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder: later rounds read it, and survive a lost executor."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def laid(df: DataFrame) -> DataFrame:
+    """``df`` written like cut(), for what is dealt out by keys and joined on them again and again.
+
+    Later plans know how it is dealt and do not deal it again. Spark does not keep that of a plan which it may still adapt.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        # a plan is made once and kept: this one is not adapted
+        return cut(df.select("*"))
+    finally:
+        conf.set(name, before)

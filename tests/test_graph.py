@@ -222,3 +222,40 @@ def test_first_neighbours_in_as_many_tasks_as_edges_ask_for(spark, monkeypatch):
         assert sorted((x.node, x.rn, x.other, x.relationship_id) for x in near.collect()) == [(n, i, *e) for n in sorted(held) for i, e in enumerate(held[n][:3], 1)]
         assert near.rdd.getNumPartitions() == -(-len(rows) // 100)
         assert ("_part" in near._jdf.queryExecution().toString()) == (len(rows) > 900)
+
+
+def test_walks_leave_laid_out_edges_where_they_are(spark):
+    """A layer's nodes come to the edges; the edges are not dealt out again for each layer."""
+    e = edge_table(spark, [(f"e{i}", f"n{i % 50}", f"m{i % 90}") for i in range(400)])
+    layers = graph.Layers(e.select("src", "dst").distinct(), "src", "dst")
+    plan = layers.beside(spark.createDataFrame([("n1",), ("n2",)], "src string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+ODD = ['say "x"', "back\\slash", "tab\there", "a", "a b", "a!", "ab", "é", "call:x->y", "=b", ">a"]
+
+
+@pytest.mark.parametrize(("direction", "hub"), [("both", 100_000), ("both", 3), ("outgoing", 3), ("incoming", 100_000)])
+def test_paths_with_odd_ids_and_several_edges_between_nodes(spark, monkeypatch, direction, hub):
+    """Ids of all kinds, made and given, more than one edge between two nodes, loops and lone neighbours: the first path by its JSON, none longer."""
+    monkeypatch.setattr(graph, "HUB", hub)
+    r = random.Random(11)
+    nodes = ["a", "a b", "a!", "ab", "b>c", 'd"', "x", "y", *[f"n{i}" for i in range(8)]]
+    rows = {(k := r.choice(["call", "call:x", "extends"]), a := r.choice(nodes), b := r.choice(nodes)): f"{k}:{a}->{b}" for _ in range(30)}
+    rows |= {("import", r.choice(nodes), r.choice(nodes)): i for i in ODD}
+    rows |= {("call", n, "x"): f"call:{n}->x" for n in ("lone 1", "lone 2")} | {("call", "x", "x"): "call:x->x"}
+    table = spark.createDataFrame([(i, *k) for k, i in rows.items()], "relationship_id string, kind string, src string, dst string")
+    ways = [(a, b, i) for (_, a, b), i in rows.items() if direction != "incoming"] + [(b, a, i) for (_, a, b), i in rows.items() if direction != "outgoing"]
+    as_json = lambda ids: json.dumps(ids, ensure_ascii=False, separators=(",", ":"))
+    best, layer = {"x": []}, {"x": []}
+    while layer:
+        reached = {}
+        for a, b, i in ways:
+            if a in layer and b not in best:
+                reached[b] = min([*layer[a], i], reached.get(b, [*layer[a], i]), key=as_json)
+        best, layer = best | reached, reached
+    for root, want in (("x", best), ("nowhere", {"nowhere": []})):
+        got = graph.canonical_paths(table, root, None, direction).collect()
+        assert {(x.node, x.depth, tuple(x.path)) for x in got} == {(n, len(p), tuple(p)) for n, p in want.items() if p} and len(got) == len(want) - 1
+    got = graph.canonical_paths(table, "x", 2, direction).collect()
+    assert {(x.node, tuple(x.path)) for x in got} == {(n, tuple(p)) for n, p in best.items() if 0 < len(p) < 3}
